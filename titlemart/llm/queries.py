@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, packing, secrets
+from . import line_dedup, packing, prefix_free_dedup, secrets, substring_dedup
 from .common import read
 
 END_ID = 1
@@ -18,6 +19,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"), at_least=10)
 
@@ -26,6 +32,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = prefix_free_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=50)
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=END_ID, capacity=4096)
 
@@ -33,7 +46,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op3_line_dedup, op5_secret_scan, op8_best_fit_packing)
+        for f in (op2_substring_dedup, op3_line_dedup, op5_secret_scan, op6_suffix_array_dedup, op8_best_fit_packing)
     }
 
 
