@@ -42,3 +42,39 @@ def byte_repeats(docs: dict[int, str | None], length: int = 50) -> set:
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.add((d, len(r), sum(gone), spans, sha(bytes(b for b, g in zip(r, gone, strict=True) if not g))))
     return out
+
+
+_UPPER = {i: i + 32 for i in range(65, 91)}
+
+
+def shingle_sets(docs: dict[int, str | None], width: int = 5) -> dict[int, frozenset]:
+    out = {}
+    for d, t in docs.items():
+        w = (t or "").translate(_UPPER).encode().split()
+        out[d] = frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    return out
+
+
+def near(docs: dict[int, str | None], percent: int = 75, width: int = 5) -> set:
+    sets = shingle_sets(docs, width)
+    parent = {d: d for d in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders: dict = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    shared: dict = {}
+    for ds in holders.values():
+        for i, a in enumerate(ds):
+            for b in ds[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    for (a, b), n in shared.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {(d, len(sets[d]), root(d), root(d) == d) for d in docs}
