@@ -78,3 +78,33 @@ def near(docs: dict[int, str | None], percent: int = 75, width: int = 5) -> set:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {(d, len(sets[d]), root(d), root(d) == d) for d in docs}
+
+
+def lm_scores(docs: dict[int, str | None], good: set, mu: float = 5.0) -> dict:
+    from collections import Counter
+    from math import log
+
+    tokens = {d: (t or "").translate(_UPPER).encode().split() for d, t in docs.items()}
+    models = []
+    for own in (good, set(docs)):
+        c, c2 = Counter(), Counter()
+        for d in own & set(docs):
+            w = tokens[d]
+            c.update(w)
+            if w:
+                c[None] += 1
+            c2.update(zip([None, *w], w))
+        models.append((c, c2, sum(c.values()), own))
+    v = len(models[1][0])
+    out = {}
+    for d, w in tokens.items():
+        losses = []
+        for c, c2, n, own in models:
+            less = d in own
+            total = 0.0
+            for x, y in zip([None, *w], w):
+                u = (c[y] - less + 1) / (n - less + v)
+                total -= log((c2[x, y] - less + mu * u) / (c[x] - less + mu))
+            losses.append(total / len(w) if w else None)
+        out[d] = (len(w), losses[0], losses[1], losses[0] - losses[1] if w else None)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, packing, prefix_free_dedup, secrets, substring_dedup
+from . import line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup
 from .common import read
 
 END_ID = 1
@@ -47,10 +47,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=END_ID, capacity=4096)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_scoring.score(read(spark, sf_dir, "documents"), good)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_substring_dedup, op3_line_dedup, op5_secret_scan, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_best_fit_packing)
+        for f in (op2_substring_dedup, op3_line_dedup, op5_secret_scan, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_best_fit_packing, op9_lm_scoring)
     }
 
 
