@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup
+from . import decontamination, language_id, line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup
 from .common import read
 
 END_ID = 1
@@ -19,6 +19,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("text", "lang"))
+    done = language_id.predicted(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    return done.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_mix")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -52,11 +63,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents"), good)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op2_substring_dedup, op3_line_dedup, op5_secret_scan, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_best_fit_packing, op9_lm_scoring)
-    }
+    own = (
+        op1_language_id,
+        op2_substring_dedup,
+        op3_line_dedup,
+        op5_secret_scan,
+        op6_suffix_array_dedup,
+        op7_minhash_near_dedup,
+        op8_best_fit_packing,
+        op9_lm_scoring,
+        op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
