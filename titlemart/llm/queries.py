@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup
+from . import additive_ann, decontamination, language_id, line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup
 from .common import read
 
 END_ID = 1
@@ -39,6 +39,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"), at_least=10)
 
 
+def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_language_id,
         op2_substring_dedup,
         op3_line_dedup,
+        op4_additive_ann,
         op5_secret_scan,
         op6_suffix_array_dedup,
         op7_minhash_near_dedup,
