@@ -626,3 +626,257 @@ def o2_view_surges(spark: SparkSession, d: str) -> DataFrame:
 def o4_author_clusters(spark: SparkSession, d: str) -> DataFrame:
     authors = V.obs_daily(spark, d).select("comic_id", F.col("title").alias("author")).distinct()
     return anomalies.author_clusters([anomalies.rank_leaps(_ranks(spark, d), least=90)], authors)
+
+
+# --- warehouse -------------------------------------------------------------------------------------------------------
+
+DAYS = f"""WITH {V.OBS_SQL},
+days AS (SELECT comic_id, scraped_at::DATE AS date, arg_min(source, ord) AS source, arg_min(platform_native_id, ord) AS platform_native_id, max(views) AS views,
+  max(likes) AS likes, max(subscribers) AS subscribers, max(rating) AS rating, min(rank) AS rank FROM obs GROUP BY 1, 2)"""
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.title_day(V.obs(spark, d))
+
+
+@query(f"{DAYS} SELECT * FROM days")
+def k1_title_day(spark: SparkSession, d: str) -> DataFrame:
+    return _days(spark, d)
+
+
+_NAMES = ", ".join(f"('{k}', '{v}')" for k, v in E.PLATFORM_NAMES.items())
+
+
+@query(f"""WITH {V.OBS_SQL}, known(source, platform) AS (VALUES {_NAMES}), c AS (SELECT source, count(DISTINCT comic_id) AS n FROM obs GROUP BY 1)
+  SELECT source, coalesce(platform, source) AS platform, coalesce(n, 0) AS titles FROM known FULL JOIN c USING (source)""")
+def k2_dim_platform(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.dim_platform(score.title_universe(V.obs(spark, d)))
+
+
+@query(f"""{DAYS} SELECT DISTINCT date, year(date)::INTEGER AS year, month(date)::INTEGER AS month, week(date)::INTEGER AS iso_week, dayofweek(date)::INTEGER AS day_of_week,
+    strftime(date, '%Y-%m') AS year_month FROM days""")
+def k3_dim_date(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.dim_date(_days(spark, d))
+
+
+@query("SELECT row_number() OVER (ORDER BY s_name) AS author_key, s_name AS author FROM (SELECT DISTINCT s_name FROM supplier JOIN lineitem ON l_suppkey = s_suppkey)")
+def k4_dim_author(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.dim_name(V.obs(spark, d), "author")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_name) AS c_name_key, c_name FROM (SELECT DISTINCT c_name FROM customer)")
+def k4_dense_key_of_customers(spark: SparkSession, d: str) -> DataFrame:
+    return dense_key(V.table(spark, d, "customer"), "c_name", "c_name_key")
+
+
+_TITLES = f"""{SCORED}, seen AS (SELECT comic_id, min(scraped_at)::DATE AS first_seen, max(scraped_at)::DATE AS last_seen, count(DISTINCT scraped_at::DATE) AS n_days FROM obs GROUP BY 1),
+titles AS (SELECT comic_id AS title_key, title, source, source AS platform, author, content_type, genre AS genre_raw,
+  upper(substr(genre, 1, 1)) || lower(substr(genre, 2)) AS genre_en, 'Other' AS genre_parent, first_seen, last_seen, n_days,
+  CAST(split_part(comic_id, ':', 2) AS BIGINT) % 10 = 0 AS restricted FROM scored JOIN seen USING (comic_id))"""
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    obs = V.obs(spark, d)
+    listed = V.table(spark, d, "part").filter("p_partkey % 10 = 0").select(F.concat_ws(":", "p_brand", "p_partkey").alias("comic_id"))
+    return warehouse.dim_title(_scored(spark, d), daily.seen_dates(obs), listed)
+
+
+@query(f"{_TITLES} SELECT * FROM titles")
+def k5_dim_title(spark: SparkSession, d: str) -> DataFrame:
+    return _titles(spark, d)
+
+
+@query("""SELECT row_number() OVER (ORDER BY 'c:' || conv_id, turn) AS episode_key, 'c:' || conv_id AS title_key, turn::INTEGER AS episode_no FROM (SELECT DISTINCT conv_id, turn FROM conversations)""")
+def k6_dim_episode(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.dim_episode(V.episodes(spark, d))
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY 'c:' || conv_id, turn) AS episode_key, 'c:' || conv_id AS title_key, max(length(text))::BIGINT AS likes FROM conversations GROUP BY conv_id, turn)
+  SELECT episode_key, title_key, likes, NULL::BIGINT AS views, NULL::BIGINT AS comments FROM e""")
+def k6_fact_episode(spark: SparkSession, d: str) -> DataFrame:
+    e = V.episodes(spark, d)
+    return warehouse.fact_episode(e, warehouse.dim_episode(e))
+
+
+@query(f"{SCORED} SELECT comic_id AS title_key, plotscore, reach_pct, momentum_pct, engagement_pct, monetization_pct, quality_pct, est_usd FROM scored")
+def k7_fact_score(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.fact_score(_scored(spark, d))
+
+
+_PLATFORM = """p AS (SELECT source, date, count(DISTINCT comic_id) AS titles, sum(views)::BIGINT AS views, sum(likes)::BIGINT AS likes, coalesce(sum(subscribers), 0)::BIGINT AS subscribers,
+  round(avg(rating), 3) AS mean_rating FROM days GROUP BY 1, 2)"""
+
+
+@query(f"{DAYS}, {_PLATFORM} SELECT * FROM p")
+def k8_fact_platform_daily(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.fact_platform_daily(_days(spark, d))
+
+
+@query(f"""{UNI}, a AS (SELECT row_number() OVER (ORDER BY author) AS author_key, author FROM (SELECT DISTINCT author FROM uni))
+  SELECT comic_id AS title_key, author_key FROM uni JOIN a USING (author)""")
+def k9_bridge_title_author(spark: SparkSession, d: str) -> DataFrame:
+    u = score.title_universe(V.obs(spark, d))
+    return warehouse.bridge(u, warehouse.dim_name(u, "author"), "author")
+
+
+@query(f"""{DAYS}, m AS (SELECT max(date) AS m FROM days), c(period, cutoff) AS (SELECT 'all', DATE '0001-01-01' UNION ALL SELECT '30d', m - 30 FROM m UNION ALL SELECT '7d', m - 7 FROM m)
+  SELECT comic_id, period, count(*) AS n, avg(views) AS mean_views, max(views) AS max_views, avg(rank) AS mean_rank, min(rank) AS min_rank FROM days JOIN c ON date >= cutoff GROUP BY 1, 2""")
+def k10_period_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.period_aggregate(_days(spark, d))
+
+
+@query(f"""{_TITLES}, days AS (SELECT comic_id, scraped_at::DATE AS date, max(views) AS views FROM obs GROUP BY 1, 2)
+  SELECT genre_parent, date, count(DISTINCT d.comic_id) AS titles, sum(d.views)::BIGINT AS views, avg(plotscore) AS mean_score
+  FROM days d JOIN titles ON d.comic_id = title_key LEFT JOIN scored s ON s.comic_id = d.comic_id GROUP BY 1, 2""")
+def k11_genre_daily(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.genre_daily(_days(spark, d), _titles(spark, d), warehouse.fact_score(_scored(spark, d)))
+
+
+@query(f"{DAYS}, {_PLATFORM} SELECT source, count(DISTINCT date) AS days, avg(titles) AS mean_titles, max(views) AS peak_views FROM p GROUP BY 1")
+def k12_platform_period(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.platform_period(warehouse.fact_platform_daily(_days(spark, d)))
+
+
+@query(f"""{_TITLES}, days AS (SELECT comic_id, scraped_at::DATE AS date, max(views) AS views, max(likes) AS likes, min(rank) AS rank FROM obs GROUP BY 1, 2)
+  SELECT title_key, title, source, genre_parent, date, views, likes, rank FROM titles LEFT JOIN (SELECT * FROM days QUALIFY row_number() OVER (PARTITION BY comic_id ORDER BY date DESC) = 1) l
+  ON title_key = l.comic_id""".replace("SELECT title_key, title, source, genre_parent, date, views, likes, rank FROM titles", "SELECT title_key, title, source, genre_parent, l.date, l.views, l.likes, l.rank FROM titles"))
+def k14_title_current(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.title_current(_days(spark, d), _titles(spark, d))
+
+
+@query(f"{SCORED} SELECT comic_id AS title_key, title, source, plotscore, est_usd FROM scored ORDER BY plotscore DESC NULLS LAST, comic_id LIMIT 100")
+def k14_leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    return warehouse.leaderboard(s.select(F.col("comic_id").alias("title_key"), "title", "source"), warehouse.fact_score(s))
+
+
+@query(f"""{DAILY}, base AS (SELECT comic_id, date, views FROM daily WHERE date < DATE '2024-01-20'), new AS (SELECT comic_id, date, views + 1 AS views FROM daily WHERE date >= DATE '2024-01-15')
+  SELECT * FROM new UNION ALL SELECT * FROM base WHERE (comic_id, date) NOT IN (SELECT (comic_id, date) FROM new)""")
+def k15_upsert_daily(spark: SparkSession, d: str) -> DataFrame:
+    rows = _daily(spark, d).select("comic_id", "date", "views")
+    new = rows.filter("date >= '2024-01-15'").withColumn("views", F.col("views") + 1)
+    return warehouse.upsert_daily(rows.filter("date < '2024-01-20'"), new)
+
+
+@query("SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'part', count(*) FROM part")
+def k16_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.inventory({n: V.table(spark, d, n) for n in ("orders", "events", "part")})
+
+
+# --- serving ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"{SCORED} SELECT comic_id, title, plotscore, reach_raw, est_usd FROM scored WHERE genre = 'ECONOMY' AND plotscore >= 20 ORDER BY reach_raw DESC NULLS LAST, comic_id LIMIT 40 OFFSET 5")
+def l1_titles_query(spark: SparkSession, d: str) -> DataFrame:
+    rows = serve.titles_query(_scored(spark, d), genre="ECONOMY", min_score=20, sort="reach", limit=40, offset=5)
+    return rows.select("comic_id", "title", "plotscore", "reach_raw", "est_usd")
+
+
+@query(f"{SCORED} SELECT comic_id, title, plotscore, views FROM scored WHERE comic_id = (SELECT min(comic_id) FROM obs)")
+def l2_title_profile(spark: SparkSession, d: str) -> DataFrame:
+    first = V.obs(spark, d).agg(F.min("comic_id")).first()[0]
+    return serve.title_profile(_scored(spark, d), first).select("comic_id", "title", "plotscore", "views")
+
+
+@query(f"""{SCORED}, m AS (SELECT comic_id, title, first_rank - latest_rank AS delta, plotscore FROM scored WHERE n_rank_obs > 1)
+  (SELECT 'rising' AS direction, * FROM m WHERE delta > 0 ORDER BY delta DESC, comic_id LIMIT 10) UNION ALL (SELECT 'falling', * FROM m WHERE delta < 0 ORDER BY delta, comic_id LIMIT 10)""")
+def l4_movers(spark: SparkSession, d: str) -> DataFrame:
+    return serve.movers(_scored(spark, d), V.obs(spark, d))
+
+
+@query(f"{SCORED} SELECT comic_id, title, source, plotscore FROM scored WHERE title ILIKE '%bolt%' ORDER BY plotscore DESC NULLS LAST, comic_id LIMIT 20")
+def l6_search(spark: SparkSession, d: str) -> DataFrame:
+    return serve.search(_scored(spark, d), "BOLT")
+
+
+@query(f"{SCORED} SELECT comic_id, title, plotscore FROM scored ORDER BY plotscore DESC NULLS LAST, comic_id LIMIT 100 OFFSET 100")
+def l7_feed_page(spark: SparkSession, d: str) -> DataFrame:
+    return serve.feed_page(_scored(spark, d), limit=100, offset=100).select("comic_id", "title", "plotscore")
+
+
+LAST = f"""{DAILY}, last AS (SELECT *, CASE WHEN views - views_gained > 0 THEN round(views_gained::DOUBLE / (views - views_gained) * 100, 2) ELSE 0.0 END AS change_pct
+  FROM gold WHERE date = (SELECT max(date) FROM gold))"""
+
+
+@query(f"{LAST} SELECT count(*) AS titles, sum(views)::BIGINT AS views, sum(likes)::BIGINT AS likes, sum(views_gained)::BIGINT AS gained, count(DISTINCT genre) AS genres FROM last")
+def l8_daily_summary(spark: SparkSession, d: str) -> DataFrame:
+    return serve.daily_report(_gold(spark, d))["summary"]
+
+
+@query(f"{LAST} SELECT comic_id, title, genre, views, views_gained FROM last ORDER BY views_gained DESC, comic_id LIMIT 10")
+def l8_daily_gainers(spark: SparkSession, d: str) -> DataFrame:
+    return serve.daily_report(_gold(spark, d))["top_gainers"].drop("change_pct")
+
+
+@query(f"{LAST} SELECT genre, count(*) AS titles, sum(views)::BIGINT AS views, {HHI.format('views')} AS hhi, avg({ENG}) AS engagement FROM last GROUP BY 1")
+def l8_daily_genres(spark: SparkSession, d: str) -> DataFrame:
+    return serve.daily_report(_gold(spark, d))["genres"]
+
+
+@query(f"""{DAILY}, g AS (SELECT genre FROM gold GROUP BY 1 ORDER BY sum(views) DESC, genre LIMIT 5) SELECT genre, date, sum(views)::BIGINT AS views FROM gold WHERE genre IN (FROM g) GROUP BY 1, 2""")
+def l9_genre_series(spark: SparkSession, d: str) -> DataFrame:
+    return serve.visual_report(_gold(spark, d))["series"]
+
+
+@query(f"""{DAILY}, g AS (SELECT genre FROM gold GROUP BY 1 ORDER BY sum(views) DESC, genre LIMIT 8) SELECT genre, min(views)::DOUBLE AS low, quantile_cont(views, 0.25) AS q1, quantile_cont(views, 0.5) AS median,
+    quantile_cont(views, 0.75) AS q3, max(views)::DOUBLE AS high FROM gold WHERE genre IN (FROM g) GROUP BY 1""")
+def l9_views_summary(spark: SparkSession, d: str) -> DataFrame:
+    return serve.visual_report(_gold(spark, d))["summary"]
+
+
+@query(f"""WITH {V.OBS_SQL} SELECT comic_id, count(DISTINCT scraped_at::DATE) FILTER (WHERE rank IS NOT NULL) AS n_ranks, CASE WHEN count(DISTINCT scraped_at::DATE) >= 2 THEN count(DISTINCT scraped_at::DATE) ELSE 0 END AS n_views,
+    array_to_string(arg_min(tags, ord), ' ') AS tags FROM obs GROUP BY 1""")
+def l10_title_documents(spark: SparkSession, d: str) -> DataFrame:
+    obs = V.obs(spark, d)
+    docs = serve.title_documents(score.title_universe(obs), obs)
+    return docs.select("comic_id", F.size("ranks").cast("bigint").alias("n_ranks"), F.coalesce(F.size("views_series"), F.lit(0)).cast("bigint").alias("n_views"), F.array_join("tags", " ").alias("tags"))
+
+
+@query(f"{_TITLES}, s AS (SELECT genre_parent, genre_en, count(*) AS n FROM titles GROUP BY 1, 2) SELECT genre_parent, genre_en, n, sum(n) OVER (PARTITION BY genre_parent)::BIGINT AS parent_n FROM s")
+def l11_genre_tree(spark: SparkSession, d: str) -> DataFrame:
+    tree = serve.genre_tree(_titles(spark, d))
+    return tree.select("genre_parent", F.col("n").alias("parent_n"), F.explode("subgenres").alias("s")).select("genre_parent", "s.genre_en", "s.n", "parent_n")
+
+
+@query()
+def l12_titles_table(spark: SparkSession, d: str) -> DataFrame:
+    obs, s = V.obs(spark, d), _scored(spark, d)
+    return serve.titles_table(s, daily.seen_dates(obs), score.conversion(obs), entities.cross_platform_count(s, entities.resolve_ip(s)))
+
+
+@query(f"""{DAYS}, m AS (SELECT max(date) AS m FROM days), c(period, cutoff) AS (SELECT 'All', DATE '0001-01-01' UNION ALL SELECT '1D', m FROM m UNION ALL SELECT '1W', m - 6 FROM m UNION ALL SELECT '1Y', m - 364 FROM m),
+  a AS (SELECT comic_id, period, max(views) AS views FROM days JOIN c ON date >= cutoff GROUP BY 1, 2)
+  SELECT period, row_number() OVER (PARTITION BY period ORDER BY views DESC, comic_id)::INTEGER AS nth, comic_id, views FROM a QUALIFY nth <= 10""")
+def l13_windowed_leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    return serve.windowed_leaderboard(_days(spark, d))
+
+
+@query(f"""{DAILY}, g AS (SELECT date, genre, sum(views) AS v FROM gold GROUP BY 1, 2), h AS (SELECT date, {HHI.format('v')} AS genre_hhi, count(*) AS genres FROM g GROUP BY 1),
+  f AS (SELECT first AS date, count(*) AS new_titles FROM (SELECT comic_id, min(date) AS first FROM gold GROUP BY 1) GROUP BY 1), t AS (SELECT date, count(DISTINCT comic_id) AS titles, sum(views)::BIGINT AS reach FROM gold GROUP BY 1)
+  SELECT date, titles, reach, genre_hhi, genres, coalesce(new_titles, 0) AS new_titles, sum(reach) OVER (ORDER BY date)::BIGINT AS cumulative_reach FROM t JOIN h USING (date) LEFT JOIN f USING (date)""")
+def l14_market_over_time(spark: SparkSession, d: str) -> DataFrame:
+    return daily.market_over_time(_gold(spark, d), daily.seen_dates(V.obs_daily(spark, d)))
+
+
+@query(f"{SCORED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY plotscore DESC, comic_id)::INTEGER AS nth, comic_id, title, plotscore FROM scored QUALIFY nth <= 3")
+def l15_platform_cards(spark: SparkSession, d: str) -> DataFrame:
+    return kpi.platform_cards(_scored(spark, d))
+
+
+@query(f"""{SCORED}, a AS (SELECT genre, author, sum(reach_raw) AS r FROM scored GROUP BY 1, 2), t AS (SELECT genre, author AS top_author FROM a QUALIFY row_number() OVER (PARTITION BY genre ORDER BY r DESC, author DESC) = 1)
+  SELECT genre, count(DISTINCT source) AS platforms, min(best_rank) AS best_rank, any_value(top_author) AS top_author, sum(reach_raw) AS reach, sum(reach_raw) / (SELECT sum(reach_raw) FROM scored) AS share
+  FROM scored JOIN t USING (genre) GROUP BY 1""")
+def l16_genre_table(spark: SparkSession, d: str) -> DataFrame:
+    return kpi.genre_table(_scored(spark, d))
+
+
+@query(f"""{SCORED} SELECT author, array_to_string(list_sort(list(DISTINCT genre)), ', ') AS genres, array_to_string(list_sort(list(DISTINCT source)), ', ') AS sources,
+    arg_max(title, lpad((plotscore * 10)::BIGINT::VARCHAR, 6, '0') || comic_id) AS top_title, count(*) AS titles FROM scored GROUP BY 1""")
+def l17_author_table(spark: SparkSession, d: str) -> DataFrame:
+    return kpi.author_table(_scored(spark, d))
+
+
+@query(f"""{DAILY}, r AS (SELECT * FROM daily WHERE date > (SELECT max(date) FROM daily) - 14), b AS (SELECT comic_id FROM r GROUP BY 1 ORDER BY sum(views) DESC, comic_id LIMIT 15),
+  k AS (SELECT comic_id, date, views, dense_rank() OVER (PARTITION BY date ORDER BY views DESC)::INTEGER AS day_rank FROM r) SELECT * FROM k WHERE comic_id IN (FROM b)""")
+def l18_top_performers(spark: SparkSession, d: str) -> DataFrame:
+    return serve.top_performers(_daily(spark, d), back=14)
