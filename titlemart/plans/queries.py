@@ -880,3 +880,93 @@ def l17_author_table(spark: SparkSession, d: str) -> DataFrame:
   k AS (SELECT comic_id, date, views, dense_rank() OVER (PARTITION BY date ORDER BY views DESC)::INTEGER AS day_rank FROM r) SELECT * FROM k WHERE comic_id IN (FROM b)""")
 def l18_top_performers(spark: SparkSession, d: str) -> DataFrame:
     return serve.top_performers(_daily(spark, d), back=14)
+
+
+# --- pages -----------------------------------------------------------------------------------------------------------
+
+from ..operators import concept, style  # noqa: E402
+from ..sources import bronze  # noqa: E402
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as raw snapshots, dealt over two known platforms and an unknown one."""
+    p = V.table(spark, d, "pages")
+    k = F.col("page_id") % 3
+    return p.select(
+        "page_id", F.col("url").alias("path"), F.when(k == 0, "anywhere").when(k == 1, "elsewhere").otherwise("nowhere").alias("source"),
+        F.when(F.col("page_id") % 5 == 0, "detail").otherwise("listing").alias("kind"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("scraped_at"), "html",
+    )
+
+
+_PAGE_RULES = {"anywhere": bronze.Rule(r"^/([^/?#]+)$", "https://anywhere.example"), "elsewhere": bronze.Rule(r"^/([^/?#]+)$", "https://elsewhere.example", content_type="novel", title_from_slug=True)}
+
+
+@query(r"""WITH p AS (SELECT page_id, length(html) AS n, trim(regexp_replace(regexp_extract(left(html, 8000), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t,
+    left(regexp_replace(regexp_replace(regexp_replace(left(html, 6000), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), 4000) AS b FROM pages)
+  SELECT page_id, CASE WHEN n < 1000 THEN 'too_small (' || n || 'b < 1000)'
+    WHEN regexp_matches(t, '(?i)connect error|access denied|captcha|blocked|just a moment') OR regexp_matches(b, '(?i)connect error|access denied|captcha|blocked|just a moment') THEN 'block' END AS reason FROM p""")
+def c1_detect_block(spark: SparkSession, d: str) -> DataFrame:
+    return V.table(spark, d, "pages").select("page_id", bronze.detect_block("html", min_bytes=1000).alias("reason"))
+
+
+@query()
+def c2_manifest(spark: SparkSession, d: str) -> DataFrame:
+    _, manifest = bronze.parse_pages(_pages(spark, d), min_bytes=1000, rules=_PAGE_RULES)
+    return manifest
+
+
+@query()
+def c3_anchor_listing(spark: SparkSession, d: str) -> DataFrame:
+    return bronze.anchor_listing(_pages(spark, d), _PAGE_RULES)
+
+
+@query()
+def c7_labelled_metrics(spark: SparkSession, d: str) -> DataFrame:
+    found = bronze.labelled_metrics(F.col("html"), {"number": [r"([\d.,]+\s*[kmb]?)\s+(?:the|de|der)\b", r"(\d[\d,]*)"]})
+    return V.table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in found.items()))
+
+
+@query()
+def c8_detail_records(spark: SparkSession, d: str) -> DataFrame:
+    return bronze.detail_records(_pages(spark, d), _PAGE_RULES)
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)) AS href FROM pages)
+  SELECT DISTINCT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://x.example' || href END AS url FROM l
+  WHERE regexp_matches(CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://x.example' || href END, '/[a-z]{4,}$')""")
+def c9_link_harvest(spark: SparkSession, d: str) -> DataFrame:
+    return bronze.link_harvest(V.table(spark, d, "pages"), "https://x.example", r"/[a-z]{4,}$")
+
+
+@query(f"""WITH {V.OBS_SQL}, m AS (SELECT comic_id, scraped_at::DATE AS date, arg_max(title, lpad(length(title)::VARCHAR, 6, '0') || ord) AS title, min(rank) AS rank, arg_min(author, ord) AS author, arg_min(publisher, ord) AS publisher,
+    max(views) AS views, max(likes) AS likes, max(subscribers) AS subscribers FROM obs GROUP BY 1, 2)
+  SELECT *, CASE WHEN coalesce(views, 0) <> 0 THEN views WHEN coalesce(subscribers, 0) <> 0 THEN subscribers ELSE likes END AS primary_metric FROM m""")
+def c11_merge_enrich(spark: SparkSession, d: str) -> DataFrame:
+    m = bronze.merge_enrich(V.obs(spark, d))
+    return m.select("comic_id", "date", "title", "rank", "author", "publisher", "views", "likes", "subscribers", "primary_metric")
+
+
+# --- style and concepts ----------------------------------------------------------------------------------------------
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """The first five dimensions of embeddings stand in for colour features."""
+    e = V.table(spark, d, "embeddings")
+    return e.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(style.FEATURES)))
+
+
+@query()
+def m3_style_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return style.named_clusters(style.style_clusters(_features(spark, d)))
+
+
+@query("""SELECT label::VARCHAR AS genre, count(*) AS n, avg(embedding[1]::DOUBLE) AS brightness, avg(embedding[2]::DOUBLE) AS saturation, avg(embedding[3]::DOUBLE) AS colorfulness
+  FROM embeddings GROUP BY 1 HAVING count(*) >= 3""")
+def g18_style_by_genre(spark: SparkSession, d: str) -> DataFrame:
+    return style.style_by_genre(_features(spark, d).withColumn("genre", F.col("label").cast("string")))
+
+
+@query()
+def m6_concept_predict(spark: SparkSession, d: str) -> DataFrame:
+    titles = score.title_universe(V.obs(spark, d)).select("comic_id", "genre", "title", "views")
+    return concept.predict(titles.select("comic_id", "genre", "title"), concept.train(titles, trees=20))
