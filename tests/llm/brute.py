@@ -108,3 +108,54 @@ def lm_scores(docs: dict[int, str | None], good: set, mu: float = 5.0) -> dict:
             losses.append(total / len(w) if w else None)
         out[d] = (len(w), losses[0], losses[1], losses[0] - losses[1] if w else None)
     return out
+
+
+_PAD = " \t\n\v\f\r"
+
+
+def lines(docs: dict[int, str | None], at_least: int) -> set:
+    split = {d: (t or "").split("\n") for d, t in docs.items()}
+    key = lambda line: line.strip(_PAD).translate(_UPPER)
+    holders: dict = {}
+    for d, ls in split.items():
+        for k in {key(x) for x in ls} - {""}:
+            holders[k] = holders.get(k, 0) + 1
+    out = set()
+    for d, ls in split.items():
+        kept = [x for x in ls if holders.get(key(x), 0) < at_least]
+        out.add((d, len(ls), len(ls) - len(kept), sha("\n".join(kept).encode())))
+    return out
+
+
+def first_lines(docs: dict[int, str | None]) -> set:
+    seen, out = set(), set()
+    for d in sorted(docs):
+        ls, kept = (docs[d] or "").split("\n"), []
+        for x in ls:
+            k = x.strip(_PAD).translate(_UPPER)
+            if not k or k not in seen:
+                kept.append(x)
+            seen.add(k)
+        out.add((d, len(ls), len(ls) - len(kept), sha("\n".join(kept).encode())))
+    return out
+
+
+def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
+    import re
+
+    text = text or ""
+    assign = re.compile(r"(?:(?i:(password|passwd|secret|token|api_?key)))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12 and m[1].isascii()]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def edit_matches(text: str, item: str) -> int:
+    """Least edit distance of ``item`` to any substring, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, x in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (c != x), row[j] + 1, row[j - 1] + 1)
+    return min(row)
