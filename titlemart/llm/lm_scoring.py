@@ -84,10 +84,10 @@ class Batch:
         self.before_at[new] = place[2 * n :]
 
 
-def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, **sizes) -> DataFrame:
+def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, batch_bytes: int = 6 << 20, **sizes) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score); ``good`` holds the doc_id of target documents."""
-    texts, layout = X.batched(docs, **sizes)
-    width = min(64, layout.bits + 6)
+    texts, layout = X.batched(docs, batch_bytes=batch_bytes, **sizes)
+    width = min(64, layout.bits + 2)
     none = [F.lit(None).cast("binary").alias(c) for c in "abc"]
     labels = (
         good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
