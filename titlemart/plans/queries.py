@@ -970,3 +970,120 @@ def g18_style_by_genre(spark: SparkSession, d: str) -> DataFrame:
 def m6_concept_predict(spark: SparkSession, d: str) -> DataFrame:
     titles = score.title_universe(V.obs(spark, d)).select("comic_id", "genre", "title", "views")
     return concept.predict(titles.select("comic_id", "genre", "title"), concept.train(titles, trees=20))
+
+
+# --- further rules, each over a whole table --------------------------------------------------------------------------
+
+
+@query(r"""SELECT DISTINCT s_name, trim(regexp_replace(split_part(split_part(lower(s_name || ' / x, y'), '/', 1), ',', 1), '[^\p{L}\p{N}_\s]', '', 'g')) AS author_key FROM supplier""")
+def b5_normalize_author(spark: SparkSession, d: str) -> DataFrame:
+    s = V.table(spark, d, "supplier").select("s_name").distinct()
+    return s.select("s_name", E.normalize_author(F.concat("s_name", F.lit(" / x, y"))).alias("author_key"))
+
+
+@query("""SELECT p_partkey, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS genre_en, 'Other' AS genre_parent FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT p_partkey, 'Wuxia', 'Action' FROM part WHERE p_partkey % 2 = 1""")
+def b6_normalize_genre(spark: SparkSession, d: str) -> DataFrame:
+    p = V.table(spark, d, "part").withColumn("genre", F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(" WuXia "))
+    return E.with_genre(p).select("p_partkey", "genre_en", "genre_parent")
+
+
+@query(r"""SELECT item_id, trim(regexp_replace(lower(text), '[^0-9a-z가-힣぀-ヿ一-鿿]+', ' ', 'g')) AS t FROM benchmark""")
+def b7_norm_match_text(spark: SparkSession, d: str) -> DataFrame:
+    return V.table(spark, d, "benchmark").select("item_id", E.norm_match_text("text").alias("t"))
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(p_brand || ' ' || split_part(p_name, ' ', 1), ' ') AS b FROM part)
+  SELECT p_partkey, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS similarity FROM w""")
+def b8_token_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    other = F.concat_ws(" ", "p_brand", F.substring_index("p_name", " ", 1))
+    return V.table(spark, d, "part").select("p_partkey", E.token_jaccard(F.col("p_name"), other).alias("similarity"))
+
+
+@query(r"""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'),
+    '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS t FROM pages""")
+def b9_strip_html(spark: SparkSession, d: str) -> DataFrame:
+    return V.table(spark, d, "pages").select("page_id", E.strip_html("html").alias("t"))
+
+
+@query(f"""{DAILY}, v AS (SELECT comic_id, date, CASE WHEN lag(views) OVER w > 0 THEN (views - lag(views) OVER w)::DOUBLE / lag(views) OVER w ELSE 0.0 END AS velocity FROM daily WINDOW w AS (PARTITION BY comic_id ORDER BY date))
+  SELECT *, velocity - coalesce(lag(velocity) OVER (PARTITION BY comic_id ORDER BY date), 0) AS acceleration FROM v""")
+def b14_velocity(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("comic_id").orderBy("date")
+    v = _daily(spark, d).select("comic_id", "date", E.velocity(F.col("views"), F.lag("views").over(w)).alias("velocity"))
+    return v.withColumn("acceleration", E.acceleration(F.col("velocity"), F.coalesce(F.lag("velocity").over(w), F.lit(0.0))))
+
+
+@query("""SELECT DISTINCT p_brand, CASE p_brand WHEN 'Brand#1' THEN 'Tapas' ELSE p_brand END AS platform FROM part""")
+def b18_platform_name(spark: SparkSession, d: str) -> DataFrame:
+    p = V.table(spark, d, "part").select("p_brand").distinct()
+    code = F.when(F.col("p_brand") == "Brand#1", "tapas_io").otherwise(F.col("p_brand"))
+    return p.select("p_brand", E.platform_name(code).alias("platform"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+  SELECT p_partkey, true AS titleish, false AS junk, upper(substr(a, 1, 1)) || substr(a, 2) || ' ' || upper(substr(b, 1, 1)) || substr(b, 2) AS title FROM w""")
+def b19_titles(spark: SparkSession, d: str) -> DataFrame:
+    slug = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
+    # "new ..." would count as a lead-in of page chrome only when it is the whole text.
+    return V.table(spark, d, "part").select("p_partkey", E.is_titleish("p_name").alias("titleish"), E.is_junk_title("p_name").alias("junk"), E.slug_to_title(slug).alias("title"))
+
+
+@query(f"""WITH {V.OBS_DAILY_SQL} SELECT comic_id, scraped_at::DATE AS date, views, source_file FROM obs_daily
+  QUALIFY row_number() OVER (PARTITION BY comic_id, scraped_at::DATE ORDER BY views DESC, source_file) = 1""")
+def d4_keep_highest_views(spark: SparkSession, d: str) -> DataFrame:
+    o = V.obs_daily(spark, d).withColumn("date", F.to_date("scraped_at"))
+    return first_row(o, ["comic_id", "date"], F.desc("views"), F.col("source_file")).select("comic_id", "date", "views", "source_file")
+
+
+@query("""SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE AS price_rank,
+    rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::DOUBLE AS cust_rank FROM orders""")
+def e11_average_rank(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.keys import average_ranks
+
+    o = average_ranks(V.table(spark, d, "orders"), "o_orderkey", ["o_totalprice", "o_custkey"])
+    return o.select("o_orderkey", F.col("o_totalprice_rank").alias("price_rank"), F.col("o_custkey_rank").alias("cust_rank"))
+
+
+@query(f"SELECT o_orderpriority, {HHI.format('o_totalprice')} AS hhi FROM orders GROUP BY 1")
+def g1_hhi(spark: SparkSession, d: str) -> DataFrame:
+    return V.table(spark, d, "orders").groupBy("o_orderpriority").agg(daily.hhi(F.col("o_totalprice")).alias("hhi"))
+
+
+@query(f"""{SCORED} SELECT author, count(*) AS titles, sum(reach_raw) AS reach FROM scored GROUP BY 1 ORDER BY titles DESC, reach DESC, author LIMIT 50""")
+def l5_author_listing(spark: SparkSession, d: str) -> DataFrame:
+    a = kpi.author_kpi(_scored(spark, d)).select("author", "titles", "reach")
+    return a.orderBy(F.desc("titles"), F.desc("reach"), "author").limit(50)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'verified' WHEN p_partkey % 3 = 1 THEN 'single_source' ELSE 'conflict' END AS label FROM part""")
+def j6_author_confidence(spark: SparkSession, d: str) -> DataFrame:
+    p = V.table(spark, d, "part").withColumns({
+        "o": F.col("p_name"), "x": F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 2, F.lit("someone else")),
+    })
+    label, _ = entities.author_confidence(F.col("o"), [F.col("x")])
+    return p.select("p_partkey", label.alias("label"))
+
+
+@query("""SELECT conv_id, nullif(coalesce(string_agg('n' || turn, ', ' ORDER BY turn) FILTER (WHERE k <= 3), ''), '') AS staff
+  FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) END AS k FROM (SELECT DISTINCT conv_id, turn FROM conversations)) GROUP BY 1""")
+def j7_staff_pick(spark: SparkSession, d: str) -> DataFrame:
+    c = V.table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    person = F.struct("turn", F.when(F.col("turn") % 2 == 0, "Story & Art").otherwise("Letterer").alias("role"), F.concat(F.lit("n"), "turn").alias("name"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(person)).alias("staff"))
+    return g.select("conv_id", F.nullif(entities.first_staff(F.col("staff")), F.lit("")).alias("staff"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name WHEN s_suppkey % 3 = 0 THEN 'found ' || s_suppkey END AS author FROM supplier""")
+def j9_gap_fill(spark: SparkSession, d: str) -> DataFrame:
+    s = V.table(spark, d, "supplier").withColumn("comic_id", F.col("s_suppkey").cast("string"))
+    titles = s.select("comic_id", "s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("author"))
+    checked = s.select("comic_id", F.concat(F.lit("found "), "comic_id").alias("author"), F.when(F.col("s_suppkey") % 3 == 0, "verified").otherwise("conflict").alias("author_status"))
+    return entities.gap_fill(titles, checked, ("author",)).select("s_suppkey", "author")
+
+
+@query(SQL["n4_scorecard"].replace("SELECT check_ AS", "SELECT * FROM (SELECT check_ AS") + ") WHERE failed AND severity IN ('CRITICAL', 'HIGH')")
+def n6_strict_gate(spark: SparkSession, d: str) -> DataFrame:
+    return quality.strict_gate(quality.scorecard(V.obs(spark, d)))
