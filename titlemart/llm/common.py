@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut as checkpointed
+from ..functions.lineage import shared_folder
+
+__all__ = ["BLANKS", "checkpointed", "read", "shared_table", "text_bytes"]
+
 #: The six white-space bytes that separate words and pad lines.
 BLANKS = " \t\n\v\f\r"
 
@@ -16,26 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Only where the session names none and Spark runs in one process, as in tests, is it a local one.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
