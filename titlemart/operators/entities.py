@@ -154,3 +154,25 @@ def thin_snapshots(snapshots: DataFrame, *, limit: int, keys: tuple[str, ...] =
     k = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(whole) / limit))
     n = F.row_number().over(whole.orderBy("ts", "digest"))
     return once.withColumns({"_k": k, "_n": n}).filter((F.col("_n") - 1) % F.col("_k") == 0).drop("_k", "_n")
+
+
+def verify_titles(titles: DataFrame, catalog: DataFrame, *, threshold: float = 0.9) -> DataFrame:
+    """Each title beside its best record of an outside catalog (ext_id, title, author, genres, synopsis), with labels.
+
+    Author: see ``author_confidence``.  Genre: verified if it is among the record's genres, by its key, unverified without any, else
+    conflict.  Synopsis: in how many places there is one.
+    """
+    match = fuzzy_match(
+        titles.select(F.col("comic_id").alias("l_id"), F.col("title").alias("text")),
+        catalog.select(F.col("ext_id").alias("r_id"), F.col("title").alias("text")), threshold=threshold,
+    )
+    outside = catalog.select("ext_id", F.col("author").alias("ext_author"), "genres", F.col("synopsis").alias("ext_synopsis"))
+    rows = titles.join(match.withColumnsRenamed({"l_id": "comic_id", "r_id": "ext_id"}), "comic_id", "left").join(outside, "ext_id", "left")
+    label, chosen = author_confidence(F.col("author"), [F.col("ext_author")])
+    held = F.array_contains(F.transform("genres", lambda g: F.lower(g)), F.lower("genre"))
+    genre = F.when(held, "verified").when(F.coalesce(F.size("genres"), F.lit(0)) == 0, "unverified").otherwise("conflict")
+    synopsis = F.col("synopsis") if "synopsis" in titles.columns else F.lit(None)
+    return rows.select(
+        "comic_id", "ext_id", "similarity", label.alias("author_status"), chosen.alias("author"), genre.alias("genre_status"),
+        (F.when(synopsis.isNotNull(), 1).otherwise(0) + F.when(F.col("ext_synopsis").isNotNull(), 1).otherwise(0)).alias("synopsis_sources"),
+    )

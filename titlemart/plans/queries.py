@@ -1087,3 +1087,24 @@ def j9_gap_fill(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL["n4_scorecard"].replace("SELECT check_ AS", "SELECT * FROM (SELECT check_ AS") + ") WHERE failed AND severity IN ('CRITICAL', 'HIGH')")
 def n6_strict_gate(spark: SparkSession, d: str) -> DataFrame:
     return quality.strict_gate(quality.scorecard(V.obs(spark, d)))
+
+
+@query(f"""WITH {V.EPISODES_SQL} SELECT comic_id, episode_no % 3 AS episode_no, max(episode_no) AS newest FROM episodes GROUP BY 1, 2""")
+def c12_newest_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Turns a multiple of three apart are sightings of one episode; the later turn is the newer."""
+    e = V.episodes(spark, d).select(
+        "comic_id", (F.col("episode_no") % 3).alias("episode_no"), F.col("episode_no").alias("newest"),
+        F.timestamp_seconds(F.col("episode_no")).alias("scraped_at"), F.lit("f").alias("source_file"),
+    )
+    return episodes.newest_episodes(e).select("comic_id", "episode_no", "newest")
+
+
+@query(f"""{UNI}, c AS (SELECT p_name, count(DISTINCT p_type) AS n FROM part GROUP BY 1)
+  SELECT comic_id, title AS ext_id, 1.0::DOUBLE AS similarity, 'conflict' AS author_status, author,
+    CASE WHEN genre IN (SELECT p_type FROM part WHERE p_name = title) THEN 'verified' ELSE 'conflict' END AS genre_status, 1 AS synopsis_sources FROM uni""")
+def k13_title_verification(spark: SparkSession, d: str) -> DataFrame:
+    """Part names as an outside catalog."""
+    catalog = V.table(spark, d, "part").groupBy(F.col("p_name").alias("title")).agg(F.collect_set("p_type").alias("genres")).select(
+        F.col("title").alias("ext_id"), "title", F.lit("outside writer").alias("author"), "genres", F.lit("told").alias("synopsis")
+    )
+    return entities.verify_titles(score.title_universe(V.obs(spark, d)), catalog)
