@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titlemart.llm import decontamination, language_id, line_dedup, minhash, packing
-from titlemart.llm.common import read, shared_table
+from titlemart.llm.common import by_ids, read, shared_table
 from titlemart.llm.queries import END_ID, vocabulary
 
 
@@ -37,7 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id."""
     gone = minhash.near_duplicates(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, gone, "left_anti")
 
 
 def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
