@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut as checkpointed
 from ..functions.lineage import shared_folder
 
-__all__ = ["BLANKS", "checkpointed", "read", "shared_table", "text_bytes"]
+__all__ = ["BLANKS", "by_ids", "checkpointed", "read", "shared_table", "text_bytes"]
 
 #: The six white-space bytes that separate words and pad lines.
 BLANKS = " \t\n\v\f\r"
@@ -27,6 +27,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Up to so many ids of 8 bytes are sent to all tasks; more are joined by a shuffle of both sides.
+BROADCAST_IDS = 4_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of documents with distinct ids (one column, doc_id): texts stay where they are while the ids are few."""
+    ids = checkpointed(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how).select(*docs.columns)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one narrow aggregate, used to size batches and partitions."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
