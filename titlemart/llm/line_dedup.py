@@ -9,8 +9,8 @@ each document, the run-length form of its keep bitmap.  Two rules share this lay
 
 Hot keys: lines are first reduced to one row a (hash, document), the range partitioning is by
 (hash, document), so one frequent line spreads over many tasks, and documents are counted by partial aggregates
-before the one-row-a-key shuffle.  The join that takes the decision back to the lines is a plain equi-join on
-both sides' own exchanges, which adaptive execution splits where a key is skewed.
+before the one-row-a-key shuffle.  The join that takes the decision back to the lines is by
+(hash, salt), the salt being a hash of the document; only keys that lose lines are repeated for each salt.
 
 Defined cases: a null or empty text is one empty line; a key shorter than ``min_chars`` never counts and always stays; rows
 that repeat both doc_id and text are one document, rows that share only doc_id are two; a null doc_id is a document like
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS
 
-#: Bytes of text whose lines go into one partition of hashes.
-BYTES_A_PARTITION = 32 << 20
+#: Places in which the lines of one key are joined with what was decided on it.
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -66,16 +66,19 @@ def keep_runs(docs: DataFrame, *, at_least: int = 10, min_chars: int = 1, rule:
     counted = spread.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "_print", "at")).alias("first")
     )
+    # A frequent key's documents meet it in SALTS places.
+    salted = spread.withColumn("salt", F.pmod(F.xxhash64("doc_id", "_print"), F.lit(SALTS)).cast("int"))
+    places = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     if rule == "at_least":
-        hot = counted.filter(F.col("n_docs") >= at_least).select("h1", "h2")
-        dropped = spread.join(hot, ["h1", "h2"])
+        hot = counted.filter(F.col("n_docs") >= at_least).select("h1", "h2", places)
+        dropped = salted.join(hot, ["h1", "h2", "salt"])
     else:
         hot = counted.filter((F.col("n_docs") > 1) | (F.size("first.at") > 1)).select(
-            "h1", "h2", F.struct("first.doc_id", "first._print").alias("owner")
+            "h1", "h2", F.struct("first.doc_id", "first._print").alias("owner"), places
         )
         mine = F.struct("doc_id", "_print").eqNullSafe(F.col("owner"))
         dropped = (
-            spread.join(hot, ["h1", "h2"])
+            salted.join(hot, ["h1", "h2", "salt"])
             .withColumn("at", F.when(mine, F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at")))
             .filter(F.size("at") > 0)
         )
