@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Bound of the sample that codebooks are fitted on: rows.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM = 32, 64, 8
-INDEX_BLOCK, QUERY_BLOCK = 16384, 1024
+INDEX_BLOCK, QUERY_BLOCK = 65536, 1024
 POOL = 500
 
 
@@ -152,8 +152,12 @@ def search(
     )
     reps = members.filter("nth = 1").select(F.col("vec_id").alias("rep"), "v", "h1", "h2")
     n, n_queries = base.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
+    # Blocks are dealt by hash, so each holds its share of a query's best; six deviations more than the mean are kept.
     parts, asks = max(1, math.ceil(n / INDEX_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
 
+    share = pool / parts
+    keep = min(pool, math.ceil(share + 6 * math.sqrt(share) + 10))
+
     def code(batches):
         made = shared.value
         for batch in batches:
@@ -194,10 +198,10 @@ def search(
                     score += own[:, codes[:, m]]
                 score = 2 * score - norm if metric == "l2" else score * scale
                 for i, s in enumerate(score):
-                    if len(s) > pool:
-                        least = np.partition(s, len(s) - pool)[len(s) - pool]
+                    if len(s) > keep:
+                        least = np.partition(s, len(s) - keep)[len(s) - keep]
                         over = np.flatnonzero(s > least)
-                        at = np.concatenate([over, np.flatnonzero(s == least)[: pool - len(over)]])
+                        at = np.concatenate([over, np.flatnonzero(s == least)[: keep - len(over)]])
                     else:
                         at = np.arange(len(s))
                     found_q.append(np.full(len(at), ids[lo + i]))
