@@ -33,6 +33,10 @@ from .textkit import SLICE, first_of, mix, packed, powers, prefix_sums, sliding
 U64 = np.uint64
 _MORE, _LEFT, _RIGHT = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 _CODEC = "zstd"
+#: Bytes of text in a batch: a task's arrays take about 40 times as much, beside the JVM and another task.
+BATCH_BYTES = 1 << 20
+#: Bytes of text whose entries meet in one partition: each entry takes about 40 times its own 70 bytes there.
+PART_BYTES = 5 << 20
 
 
 def triggers(raw: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +67,9 @@ class Batch:
 
     def __init__(self, table: pa.Table, length: int, gram: int):
         self.length, self.gram, self.reach = length, gram, length - gram
+        # Triggers near the edge of a document depend on its neighbour in the batch, so every pass needs one order.
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.doc_id = table["doc_id"]
         self.ids = X.doc_ids(table)
         self.raw, self.starts = packed(table["text"])
         self.at, self.hash = triggers(self.raw, self.starts, length, gram)
@@ -127,14 +134,17 @@ def _outward(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, length: int = 50, gram: int = 20, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed array<int>, kept binary): ``removed`` holds start and end of each removed run."""
-    texts, layout = X.batched(docs, **sizes)
+    texts, layout = X.batched(docs, batch_bytes=batch_bytes, part_bytes=part_bytes)
     reach = length - gram
     if not 0 < reach < 64:
         raise ValueError("length must be 1 to 63 more than gram")
 
     def ask_triggers(key, table):
+        X.release()
         keys, _, _ = Batch(table, length, gram).keys(layout)
         at = layout.bounds(keys, layout.bits)
         return X.messages([
@@ -142,6 +152,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes
         ])
 
     def answer_triggers(key, table):
+        X.release()
         rows = [(batch, X.unsqueeze(a)) for _, batch, a, _, _ in X.received(table, 1)]
         keys, times = np.unique(np.concatenate([a for _, a in rows]), return_counts=True)
         return X.messages([
@@ -149,6 +160,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes
         ])
 
     def ask_entries(key, table, answers):
+        X.release()
         if not len(table):
             return X.messages([])
         batch = Batch(table, length, gram)
@@ -166,6 +178,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes
         return X.messages(rows)
 
     def answer_entries(key, table):
+        X.release()
         asked, body = [], []
         for _, batch, a, b, c in X.received(table, 2):
             hashes = X.unsqueeze(a)
@@ -180,12 +193,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes
         _, place, ((least, most),) = first_of(hashes, doc)
         live = np.flatnonzero((least != most)[place])
         hashes_, doc_, left_, right_ = hashes[live], doc[live], left[live], right[live]
-        before, after = _outward(whole[live, :reach][:, ::-1]), _outward(whole[live, reach:])
+        before, after = np.zeros(len(live), U64), _outward(whole[live, reach:])
         for a in range(reach + 1):
             ok = np.flatnonzero((left_ >= a) & (right_ >= reach - a))
-            split = mix(hashes_[ok] * _MORE + before[a][ok] * _LEFT + after[reach - a][ok] * _RIGHT)
+            split = mix(hashes_[ok] * _MORE + before[ok] * _LEFT + after[reach - a][ok] * _RIGHT)
             _, spot, ((smallest, _),) = first_of(split, doc_[ok])
             found[live[ok]] |= (smallest[spot] < doc_[ok]).astype(U64) << U64(a)
+            if a < reach:
+                before = mix(before * _MORE + whole[live, reach - 1 - a] + U64(1))
         out, i = [], 0
         for batch, h, _ in asked:
             mask = found[i : i + len(h)].astype("<u8").tobytes()
@@ -194,6 +209,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes
         return X.messages(out)
 
     def remove(key, table, answers):
+        X.release()
         if not len(table):
             return _empty()
         batch = Batch(table, length, gram)
@@ -209,7 +225,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes
         for a in range(reach + 1):
             ok = (own >> U64(a) & U64(1)).astype(bool) & (left >= a) & (right >= reach - a)
             starts[batch.at[which[ok]] - a] = 1
-        running = np.cumsum(starts)
+        running = np.cumsum(starts, dtype=np.int32)
         running[length:] -= running[:-length].copy()
         gone = running[: len(batch.raw)] > 0
         n_bytes, n_removed, runs, kept = [], [], [], []
@@ -226,7 +242,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 20, **sizes
             kept.append(own_bytes.tobytes())
         return pa.table(
             [
-                table["doc_id"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()),
+                batch.doc_id, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()),
                 pa.array(runs, pa.list_(pa.int32())), pa.array(kept, pa.binary()),
             ],
             names=_NAMES,
