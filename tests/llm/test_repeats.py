@@ -145,3 +145,62 @@ def test_a_crowded_bucket_stays_linear(spark):
     rows |= {200 + d: rows[d] + " end" for d in range(0, 120, 10)}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     assert {tuple(r) for r in minhash.near_duplicates(df).collect()} == brute.near(rows)
+
+
+def edited_copies(n, seed=11, family=0):
+    """An original of 100 shingles and n copies, each with two words changed: copies resemble it, and not each other."""
+    import random
+
+    rng = random.Random(seed)
+    words = [f"f{family}w{i}" for i in range(104)]
+    rows = []
+    for d in range(n):
+        own = list(words)
+        first = rng.randrange(5, 94)
+        for at in (first, rng.choice([k for k in range(5, 99) if abs(k - first) >= 5])):
+            own[at] = f"x{family}n{d}at{at}"
+        rows.append(" ".join(own))
+    rows.insert(n // 2, " ".join(words))
+    return rows
+
+
+def near_of_many(docs):
+    """As brute.near(), by a product of matrices."""
+    import numpy as np
+
+    sets = brute.shingle_sets(docs, 5)
+    place = {g: i for i, g in enumerate(sorted(set().union(*sets.values())))}
+    ids = sorted(docs)
+    held = np.zeros((len(ids), len(place)), np.float32)
+    for k, d in enumerate(ids):
+        held[k, [place[g] for g in sets[d]]] = 1
+    both, n = held @ held.T, held.sum(1)
+    linked = (both > 0) & (100 * both >= 75 * (n[:, None] + n[None, :] - both))
+    least = np.arange(len(ids))
+    while True:
+        new = np.where(linked, least[None, :], len(ids)).min(1)
+        new = np.minimum(new, least)
+        if (new == least).all():
+            return {(d, int(n[k]), ids[least[k]], bool(least[k] == k)) for k, d in enumerate(ids)}
+        least = new
+
+
+@pytest.mark.parametrize("n", [300, 2000])
+def test_copies_that_resemble_only_their_original(spark, n):
+    docs = dict(enumerate(edited_copies(n)))
+    want = near_of_many(docs)
+    assert len({x[2] for x in want}) == 1
+    assert {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()} == want
+
+
+def test_crowded_families_without_an_original(spark):
+    """Two originals under each passage, one of them missing: pairs of copies are found one by one."""
+    import random
+
+    texts = edited_copies(60, 1, 1) + edited_copies(60, 2, 2) + [t for k, t in enumerate(edited_copies(60, 3, 3)) if k != 30]
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(16))
+    texts = [f"{passage} {t}" for t in texts] + [f"{passage} " + " ".join(f"u{rng.randrange(3000)}" for _ in range(9)) for _ in range(60)]
+    rng.shuffle(texts)
+    docs = dict(enumerate(texts))
+    assert {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()} == near_of_many(docs)

@@ -11,10 +11,12 @@
    alternating large and small stars.
 5. What stars can miss is a link between two classes of a bucket that its centre resembles neither of.  So buckets whose classes
    have not become one component are looked at again.  In those of up to ``CROWD`` classes, each class outside the commonest
-   component is compared with the classes of the other components, so every pair is accounted for.  In crowded ones, which gather
-   dissimilar documents around a passage that very many share, one class of each component meets ``TURNS`` further
-   centres.  A similar pair shares ten bands on average, and only those whose ``rows`` bins all stem from the common passage are
-   crowded: the pair meets alone in the others.
+   component is compared with the classes of the other components, so every pair is accounted for.
+6. Crowded buckets gather dissimilar documents around a passage, or copies that resemble one original and not each other.  Their
+   classes meet on rare shingles instead: with each set in one order of all shingles, rare ones first, two sets as similar as ``percent`` share one of
+   the first n - ceil(percent * n / 100) + 1 of each.  Any order will do, so frequencies are counts in ``CELLS`` cells.  First the classes of a shingle meet the one whose
+   shingles are commonest, which is an original rather than its copies; then a second one, not linked with any; and then every pair of different
+   components that sizes and places allow.  So each pair that shares a bucket is either in one component or compared.
 
 Defined cases: null or empty text, or text without words, has no shingles and is linked with nothing; fewer words than a shingle
 are one shingle of all of them; rows that share a doc_id each count as that document; a null doc_id is linked with nothing and kept; an empty table gives an empty result.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_ids, checkpointed
@@ -37,8 +39,10 @@ U64 = np.uint64
 BINS, ROWS = 128, 4
 #: Orders from which a bucket takes its centre.
 DRAWS = 4
-#: Buckets of up to so many classes are looked at pair by pair the second time, larger ones by so many further stars.
-CROWD, TURNS = 16, 3
+#: Buckets of up to so many classes are looked at pair by pair the second time, larger ones by rare shingles.
+CROWD = 16
+#: Cells in which frequencies of shingles are counted: they order shingles, and no result depends on them.
+CELLS = 1 << 20
 #: Texts are hashed so many bytes at a time.
 SLICE_BYTES = 2 << 20
 
@@ -212,6 +216,93 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _cells(gram: np.ndarray) -> np.ndarray:
+    return (mix(gram + U64(7)) % U64(CELLS)).astype(np.int64)
+
+
+def rare_prefixes(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """(rep, n, common, place, gram): the rare shingles of which two similar sets share one, and how common a set's shingles are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in _slices(batches):
+            cells, n = np.unique(_cells(shingles(batch.column("text"), width)[0]), return_counts=True)
+            total[cells] += n
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["cell", "n"])
+
+    table = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            gram, starts = shingles(batch.column("text"), width)
+            n = np.diff(starts)
+            row = np.repeat(np.arange(len(n)), n)
+            many = shared.value[_cells(gram)]
+            common = np.bincount(row, np.log(many), len(n)) / np.maximum(n, 1)
+            order = np.lexsort((gram, many, row))
+            place = np.arange(len(gram)) - starts[row]
+            # A shingle alone in its cell is in no other set.
+            held = (place <= n[row] - (percent * n[row] + 99) // 100) & (many[order] > 1)
+            row = row[held]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), pa.array(n[row]), pa.array(common[row]), pa.array(place[held]),
+                 pa.array(gram[order][held].view(np.int64))],
+                names=["rep", "n", "common", "place", "gram"],
+            )
+
+    rows = docs.select("doc_id", "text").mapInArrow(of, "rep long, n long, common double, place long, gram long")
+    met = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("gram")
+    return checkpointed(rows.join(met, "gram").select("rep", "n", "common", "place", "gram"))
+
+
+def _open(rare: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``rare`` with their components and whether they are ``lone``, and of their shingle the main component and the two hubs."""
+    placed = rare.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumns(
+        {"lone": F.col("component").isNull(), "component": F.coalesce("component", "rep")}
+    )
+    hub = [F.col(c) for c in ("common", "rep", "n", "place", "component")]
+    of = placed.groupBy("gram", "component").agg(
+        F.count(F.lit(1)).alias("size"), F.max(F.struct(*hub)).alias("hub"), F.max(F.struct("lone", *hub)).alias("lone_hub")
+    )
+    split = of.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", F.col("component").alias("main"))).alias("most"),
+        F.max("hub").alias("hub"), F.max("lone_hub").alias("lone_hub"),
+    )
+    return placed.join(split.filter("parts > 1").select("gram", "most.main", "hub", "lone_hub"), "gram")
+
+
+def _may(n: str, place: str, m: str, at: str, percent: int) -> Column:
+    """Whether sets of n and m shingles whose first common one is at these places can be similar enough."""
+    rest, size = F.least(F.col(n) - F.col(place), F.col(m) - F.col(at)), F.col(n) + F.col(m)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= size * percent)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
+def hub_pairs(open_: DataFrame, hub: str, percent: int) -> DataFrame:
+    """(a, b): the classes of each shingle with its hub, where that is of another component."""
+    flat = open_.select("rep", "n", "place", "component", *(F.col(f"{hub}.{c}").alias(f"{c}_h") for c in ("rep", "n", "place", "component")))
+    met = flat.filter((F.col("component") != F.col("component_h")) & _may("n", "place", "n_h", "place_h", percent))
+    return _ordered(met.select(F.col("rep_h").alias("x"), "rep"))
+
+
+def rest_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different components that share a shingle and can be similar enough."""
+    every = open_.select("gram", "rep", "n", "place", "component", (F.col("component") == F.col("main")).alias("is_main"))
+    lesser = every.filter("NOT is_main").select("gram", *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "place", "component")))
+    met = lesser.join(every, "gram").filter(
+        (F.col("component") != F.col("component_x")) & (F.col("is_main") | (F.col("rep") > F.col("rep_x")))
+        & _may("n", "place", "n_x", "place_x", percent)
+    )
+    return _ordered(met.select(F.col("rep_x").alias("x"), "rep"))
+
+
 def near_duplicates(
     docs: DataFrame, *, width: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS
 ) -> DataFrame:
@@ -246,22 +337,28 @@ def near_duplicates(
     few = open_.filter(F.col("all") <= CROWD)
     lesser = few.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("of"))
     each = lesser.join(few.select("key", "rep", "component"), "key").filter(F.col("of") != F.col("component")).select("x", "rep")
-    turns = F.explode(F.array(*map(F.lit, range(TURNS)))).alias("turn")
-    picked = (
-        open_.filter(F.col("all") > CROWD).select("key", "rep", "component", turns)
-        .groupBy("key", "turn", "component").agg(F.min(F.struct(F.xxhash64("turn", "rep").alias("h"), "rep")).alias("pick"))
-    )
-    centres = picked.groupBy("key", "turn").agg(F.min("pick").alias("centre"))
-    crowd = picked.join(centres, ["key", "turn"]).filter("pick <> centre").select(F.col("pick.rep").alias("x"), F.col("centre.rep").alias("rep"))
-    again = (
-        each.unionByName(crowd)
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = checkpointed(confirmed(again, reps, docs, width=width, percent=percent))
-    # Components of components: few edges are new.
-    final = components(links.unionByName(more)) if not more.isEmpty() else grouped
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    crowd = checkpointed(open_.filter(F.col("all") > CROWD).select(F.col("rep").alias("doc_id")).distinct())
+    rare = None if crowd.isEmpty() else rare_prefixes(by_ids(texts, crowd, "left_semi"), width=width, percent=percent)
+
+    tested, final = star, grouped
+    for turn in range(3):
+        if turn == 0:
+            pairs = _ordered(each)
+            if rare is not None:
+                pairs = pairs.unionByName(hub_pairs(_open(rare, final), "hub", percent)).distinct()
+        elif rare is not None:
+            pairs = hub_pairs(_open(rare, final), "lone_hub", percent) if turn == 1 else rest_pairs(_open(rare, final), percent)
+        else:
+            break
+        again = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+        if again.isEmpty():
+            continue
+        tested = tested.unionByName(again)
+        more = checkpointed(confirmed(again, reps, docs, width=width, percent=percent))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            final = components(links)
 
     answer = (
         named.select("doc_id", "n", "print")
