@@ -79,6 +79,25 @@ def test_weak_parts_need_their_complements():
         assert secrets.linked_spans(lone, secrets.base_spans(lone), 300)[0] == []
 
 
+@pytest.mark.parametrize(
+    "form", ["AWS_SECRET_ACCESS_KEY={}", "secretKey={}", "aws_secret_access_key:{}", 'key="{}"', '{{"secretAccessKey":"{}"}}', "key = {}", "key={}==", "key={}\nregion=x"]
+)
+def test_assigned_secrets_beside_an_identifier(form):
+    weak, key, url = "abcDEF1234" * 4, "AKIA" + "A" * 16, "https://s3.example.com/bucket"
+    text = f"AWS_ACCESS_KEY_ID={key}\n{form.format(weak)}\nurl={url}"
+    more, links = secrets.linked_spans(text, secrets.base_spans(text), 300)
+    assert [(secrets.KINDS[k], text[a:b]) for a, k, b in more] == [("secret", weak), ("endpoint", url)]
+    assert [[text[p[0] : p[2]] for p in link] for link in links] == [[key, weak, url]]
+
+
+def test_runs_that_are_no_secrets():
+    key, weak = "AKIA" + "A" * 16, "abcDEF1234" * 4
+    for run in (f"{weak}x", f"x{weak}", f"{weak}=value", f"{weak}==x", f"{weak}==="):
+        assert secrets.linked_spans(f"{key} {run}", secrets.base_spans(f"{key} {run}"), 300) == ([], [])
+    text = f"secret={weak}\n{key}"
+    assert [secrets.KINDS[p[1]] for p in secrets.linked_spans(text, secrets.base_spans(text), 300)[1][0] if p] == ["access", "assign"]
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = secrets.scan(odd).collect()
     assert len(rows) == odd.count() and all(r.n_access == 0 for r in rows)

@@ -31,7 +31,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is the run itself, so this equals + with a length test
-SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+# An equals sign before is an assignment's; after, it may pad the run but not lead to a value.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?!={0,2}[A-Za-z0-9+/]|={3})")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]+")
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -81,10 +82,11 @@ def linked_spans(text: str, base: list[Span], scope: int) -> tuple[list[Span], l
         return [], []
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
     weak = [(m.start(), 3, m.end()) for m in SECRET.finditer(text)]
-    secrets = sorted(weak + [s for s in base if s[1] == 0])
+    assigned = [s for s in base if s[1] == 0]
     endpoints = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)]
     added = {s for s in weak if _near(s, access, scope, breaks)}
-    sure = [s for s in secrets if s[1] == 0 or s in added]
+    # A weak part inside an assignment is the same secret.
+    sure = sorted(assigned + [s for s in added if not any(a[0] <= s[0] and s[2] <= a[2] for a in assigned)])
     added |= {e for e in endpoints if _near(e, access, scope, breaks) and _near(e, sure, scope, breaks)}
     said = [e for e in endpoints if e in added]
     links = [(a, _near(a, sure, scope, breaks), _near(a, said, scope, breaks)) for a in access]
