@@ -243,6 +243,20 @@ def test_matches_equal_brute_force(spark):
     assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {d for d, _ in docs} - gone
 
 
+def test_a_blocks_address_used_again(spark):
+    """A worker that unpickles a block where a freed one lay looks for the new block's items."""
+    from types import SimpleNamespace
+
+    room = []
+    for k, item in enumerate(("one item of some length", "another text to be found")):
+        (block,) = decontamination.blocks(spark.createDataFrame([(k, item)], "item_id long, text string"), 1 << 20)
+        room[:] = block.value
+        assert decontamination._finder(SimpleNamespace(value=room), 0.08).find(f"with {item} inside") == [(k, 0, len(item) + 5)]
+    near = SimpleNamespace(value=room)
+    assert decontamination._finder(near, 0.0).find("another text to be fxund") == []
+    assert decontamination._finder(near, 0.08).find("another text to be fxund") == [(1, 1, 24)]
+
+
 def test_matches_of_odd_rows(odd, none, spark):
     items = spark.createDataFrame([(1, "the same row twice the same row"), (2, None)], "item_id long, text string")
     assert sorted(r.doc_id for r in decontamination.matches(odd, items).collect()) == [4, 4]

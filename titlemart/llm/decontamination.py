@@ -20,6 +20,7 @@ its first end; empty tables give an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,24 +130,26 @@ class Finder:
             yield lo, hi
 
 
-_READY: dict[int, Finder] = {}
+_READY: dict[tuple[str, float], Finder] = {}
 
 
 def _finder(block: Broadcast, error_rate: float) -> Finder:
-    key = id(block.value)
+    # By a name of the block's own: workers are used again, and so are the addresses of blocks that they let go.
+    name, items = block.value
+    key = (name, error_rate)
     if key not in _READY:
         _READY.clear()
-        _READY[key] = Finder(block.value, error_rate)
+        _READY[key] = Finder(items, error_rate)
     return _READY[key]
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> list[Broadcast]:
-    """The items as (id, text), in broadcasts of about ``block_bytes`` at most."""
+    """A name and its items as (id, text), in broadcasts of about ``block_bytes`` at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     context, n = benchmark.sparkSession.sparkContext, max(1, math.ceil(total / block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [context.broadcast([tuple(r) for r in items.filter(part == k).collect()]) for k in range(n)]
+    return [context.broadcast((uuid.uuid4().hex, [tuple(r) for r in items.filter(part == k).collect()])) for k in range(n)]
 
 
 def matches(
