@@ -89,3 +89,24 @@ def test_p_values():
     t = np.array([0.0, 0.5, 1.0, 3.0, 40.0, np.inf])
     assert student_two_sided(t, np.ones(6)) == pytest.approx([1 - 2 / math.pi * math.atan(x) for x in t], abs=1e-9)
     assert student_two_sided(t[:5], np.full(5, 2.0)) == pytest.approx([1 - x / math.sqrt(2 + x * x) for x in t[:5]], abs=1e-9)
+
+
+def test_titles_of_any_script_are_normalized(spark):
+    """Every benchmark row against a plain version."""
+    import re
+
+    from titlemart.plans.registry import QUERIES
+
+    def plain(t):
+        t = (t or "").lower()
+        for pattern in (
+            r"\(.*?\)|\[.*?\]|\{.*?\}", r"\b(season|vol|volume|part|book|chapter|ch|s)\s*\.?\s*\d+\b", r"[^\w\s]",
+            r"\b(the|a|an|official|uncensored|complete|completed|webtoon|comic|novel)\b", r"\s+",
+        ):
+            t = re.sub(pattern, " ", t)
+        return t.strip()
+
+    d = "/root/testdata/sf0.01"
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    assert any(t and not t.isascii() for t in texts.values())
+    assert {r.item_id: r.title_key for r in QUERIES["b4_normalize_title_all"](spark, d).collect()} == {k: plain(t) for k, t in texts.items()}
