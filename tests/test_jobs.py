@@ -144,6 +144,24 @@ def test_few_rows_give_the_plain_concept_score(spark):
     assert [(r.predicted, r.tier) for r in out.collect()] == [(75, "B"), (50, "B")]
 
 
+def test_registered_concepts_come_from_all_trees(spark, sf_dir, monkeypatch):
+    import math
+
+    from titlemart.operators import concept
+    from titlemart.plans.registry import QUERIES
+
+    made = []
+    monkeypatch.setattr(concept, "train", lambda *a, **b: made.append(train(*a, **b)) or made[-1])
+    QUERIES["m6_concept_predict"](spark, sf_dir)
+    assert made[0][0].stages[-1].getNumTrees == 100
+
+    views = {"Action": 5_000_000, "Drama": 400_000, "Romance": 900}
+    rows = spark.createDataFrame([(f"{g}{k}", g, v) for g, v in views.items() for k in range(12)], "comic_id string, genre string, views long")
+    out = predict(spark.createDataFrame([(g, "x") for g in views], "genre string, title string"), train(rows, trees=5)).collect()
+    assert {r.genre: r.tier for r in out} == {"Action": "S", "Drama": "A", "Romance": "B"}
+    assert all(math.isclose(r.predicted, views[r.genre], rel_tol=1e-6) for r in out)
+
+
 def test_histogram_keeps_what_lies_outside(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (9.9,), (10.0,), (None,)], "v double")
     assert {r.bin: r.n for r in kpi.distribution(df, "v", 0, 10, 5).collect()} == {0: 1, 1: 1, 5: 1, 6: 1}

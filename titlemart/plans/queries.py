@@ -975,7 +975,7 @@ def g18_style_by_genre(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m6_concept_predict(spark: SparkSession, d: str) -> DataFrame:
     titles = score.title_universe(V.obs(spark, d)).select("comic_id", "genre", "title", "views")
-    return concept.predict(titles.select("comic_id", "genre", "title"), concept.train(titles, trees=20))
+    return concept.predict(titles.select("comic_id", "genre", "title"), concept.train(titles))
 
 
 # --- further rules, each over a whole table --------------------------------------------------------------------------
