@@ -44,10 +44,13 @@ class Layout:
     def short(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> U64(64 - self.bits)
 
-    def bounds(self, keys: np.ndarray, bits: int) -> np.ndarray:
-        """Where each partition's keys begin among sorted keys."""
+    def ranges(self, keys: np.ndarray, bits: int) -> dict[int, tuple[int, int]]:
+        """Of sorted keys, the partitions that occur and where each one's keys begin and end."""
+        if not len(keys):
+            return {}
         top = (keys >> U64(bits - 32)) * U64(self.parts) >> U64(32)
-        return np.searchsorted(top, np.arange(self.parts + 1, dtype=U64))
+        at = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(top)]])
+        return {int(top[i]): (int(i), int(j)) for i, j in zip(at[:-1], at[1:], strict=True)}
 
 
 def batched(docs: DataFrame, *, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> tuple[DataFrame, Layout]:

@@ -98,10 +98,9 @@ def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, batch_bytes: int
         if not len(table):
             return X.messages([])
         b = Batch(table, labels, width)
-        at = layout.bounds(b.keys, width)
         return X.messages([
             (1, k, key[0].as_py(), X.squeeze(b.keys[i:j]), _counts(b.background[i:j]), _counts(b.target[i:j]))
-            for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j
+            for k, (i, j) in layout.ranges(b.keys, width).items()
         ])
 
     def answer(key, table):
@@ -129,10 +128,10 @@ def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, batch_bytes: int
         if not len(table):
             return _empty()
         b = Batch(table, told, width)
-        at = layout.bounds(b.keys, width)
+        at = layout.ranges(b.keys, width)
         counts = np.zeros((2, len(b.keys)))
         for part, _, _, x, y in X.received(told, 1):
-            i, j = at[part : part + 2]
+            i, j = at[part]
             counts[0, i:j], counts[1, i:j] = _uncounts(x), _uncounts(y)
         n = np.bincount(b.text_of, minlength=len(table))
         out = []

@@ -59,11 +59,11 @@ class Batch:
     def candidates(self, layout: X.Layout, answers: pa.Table):
         """Places of the windows around hits, their distinct keys, each window's place among them, each key's smallest document."""
         anchors, anchor_place, least, most, probes, probe_place, p_least, p_most = self.keys(layout)
-        a_bounds, p_bounds = layout.bounds(anchors, layout.bits), layout.bounds(probes, layout.bits)
+        a_ranges, p_ranges = layout.ranges(anchors, layout.bits), layout.ranges(probes, layout.bits)
         a_hit, p_hit = np.zeros(len(anchors), bool), np.zeros(len(probes), bool)
         for part, _, a, p, _ in X.received(answers, 1):
-            for hit, bounds, raw in ((a_hit, a_bounds, a), (p_hit, p_bounds, p)):
-                i, j = bounds[part : part + 2]
+            for hit, ranges, raw in ((a_hit, a_ranges, a), (p_hit, p_ranges, p)):
+                i, j = ranges.get(part, (0, 0))
                 hit[i:j] = X.flags(raw, j - i)
         # Inside the batch: an anchor of one document, a probe of another.
         to = np.searchsorted(probes, anchors)
@@ -89,10 +89,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, **sizes) -> DataFrame:
     def ask_blocks(key, table):
         batch = Batch(table, window)
         anchors, _, _, _, probes, *_ = batch.keys(layout)
-        a, p = layout.bounds(anchors, layout.bits), layout.bounds(probes, layout.bits)
+        # Anchors are probes too, so they have no partition beyond those of the probes.
+        of = layout.ranges(anchors, layout.bits)
         return X.messages([
-            (1, k, key[0].as_py(), X.squeeze(anchors[a[k] : a[k + 1]]), X.squeeze(probes[p[k] : p[k + 1]]))
-            for k in range(layout.parts) if p[k] < p[k + 1]
+            (1, k, key[0].as_py(), X.squeeze(anchors[slice(*of.get(k, (0, 0)))]), X.squeeze(probes[i:j]))
+            for k, (i, j) in layout.ranges(probes, layout.bits).items()
         ])
 
     def answer_blocks(key, table):
@@ -114,10 +115,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, **sizes) -> DataFrame:
         if not len(table):
             return X.messages([])
         _, _, keys, _, smallest = Batch(table, window).candidates(layout, answers)
-        at = layout.bounds(keys, 64)
         return X.messages([
-            (2, k, key[0].as_py(), X.squeeze(keys[at[k] : at[k + 1]]), X.narrow(smallest[at[k] : at[k + 1]]))
-            for k in range(layout.parts) if at[k] < at[k + 1]
+            (2, k, key[0].as_py(), X.squeeze(keys[i:j]), X.narrow(smallest[i:j])) for k, (i, j) in layout.ranges(keys, 64).items()
         ])
 
     def answer_windows(key, table):
@@ -136,9 +135,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, **sizes) -> DataFrame:
             return _empty()
         batch = Batch(table, window)
         at, doc, keys, place, smallest = batch.candidates(layout, answers)
-        bounds, earlier = layout.bounds(keys, 64), np.zeros(len(keys), bool)
+        ranges, earlier = layout.ranges(keys, 64), np.zeros(len(keys), bool)
         for part, _, raw, _, _ in X.received(answers, 2):
-            i, j = bounds[part : part + 2]
+            i, j = ranges[part]
             earlier[i:j] = X.flags(raw, j - i)
         gone_at = at[earlier[place] | (doc > smallest[place])]
         n = len(batch.hashes)
