@@ -101,7 +101,8 @@ class Batch:
         left = np.minimum(left, at - self.starts[text])
         right = np.minimum(right, self.starts[text + 1] - at - gram)
         some = left + right >= self.reach
-        self.at, self.hash, self.doc = at[some], hashes[some], self.ids[text[some]]
+        # Triggers have small hashes, being the least; ranges need even ones.
+        self.at, self.hash, self.doc = at[some], mix(hashes[some] + _MORE), self.ids[text[some]]
         self.left, self.right = left[some], right[some]
 
     def keys(self, layout: X.Layout):
