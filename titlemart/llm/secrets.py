@@ -8,7 +8,7 @@ credential.  A weak secret or endpoint is reported only if an access identifier,
 secret, lies in its scope.
 
 Scopes never cross documents, so a document's parts are joined where its text is read: they are few, sorted by
-position and merged with two pointers, and nothing is shuffled.  Each task holds one Arrow batch of texts.
+position and found by bisection, and nothing is shuffled.  Each task holds one Arrow batch of texts.
 
 Defined cases: null text is empty; doc_id may be null or repeat, each row is scanned by itself; ties (parts at equal
 distance) link to the earlier part; an empty table gives an empty result.
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,16 +64,27 @@ def _gap(a: Span, b: Span) -> int:
     return max(b[0] - a[2], a[0] - b[2], 0)
 
 
-def _near(part: Span, others: list[Span], scope: int, breaks: list[int]) -> Span | None:
-    """The nearest of ``others`` (sorted, not overlapping one another) in the part's scope."""
-    i = bisect_left(others, part)
-    best = None
-    for x in others[max(i - 1, 0) : i + 1]:
-        lo, hi = min(part[2], x[2]), max(part[0], x[0])
-        if (gap := _gap(part, x)) <= scope and bisect_left(breaks, lo) == bisect_left(breaks, max(hi, lo)):
-            if best is None or gap < best[0]:
-                best = (gap, x)
-    return best and best[1]
+class Parts:
+    """Parts of one kind, by start; they may overlap and lie inside one another."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = sorted(spans)
+        self.furthest = list(accumulate((s[2] for s in self.spans), max))  # the greatest end so far
+
+    def near(self, part: Span, scope: int, breaks: list[int]) -> Span | None:
+        """The part nearest to ``part`` in its scope: of those that begin before it the first to end latest, or the first that begins with it or after."""
+        i = bisect_left(self.spans, part)
+        found = []
+        if i:
+            found.append(self.spans[bisect_left(self.furthest, min(self.furthest[i - 1], part[0]))])
+        found += self.spans[i : i + 1]
+        best = None
+        for x in found:
+            lo, hi = min(part[2], x[2]), max(part[0], x[0])
+            if (gap := _gap(part, x)) <= scope and bisect_left(breaks, lo) == bisect_left(breaks, max(hi, lo)):
+                if best is None or gap < best[0]:
+                    best = (gap, x)
+        return best and best[1]
 
 
 def linked_spans(text: str, base: list[Span], scope: int) -> tuple[list[Span], list[tuple[Span, Span | None, Span | None]]]:
@@ -84,12 +96,14 @@ def linked_spans(text: str, base: list[Span], scope: int) -> tuple[list[Span], l
     weak = [(m.start(), 3, m.end()) for m in SECRET.finditer(text)]
     assigned = [s for s in base if s[1] == 0]
     endpoints = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)]
-    added = {s for s in weak if _near(s, access, scope, breaks)}
+    ids = Parts(access)
+    added = {s for s in weak if ids.near(s, scope, breaks)}
     # A weak part inside an assignment is the same secret.
-    sure = sorted(assigned + [s for s in added if not any(a[0] <= s[0] and s[2] <= a[2] for a in assigned)])
-    added |= {e for e in endpoints if _near(e, access, scope, breaks) and _near(e, sure, scope, breaks)}
-    said = [e for e in endpoints if e in added]
-    links = [(a, _near(a, sure, scope, breaks), _near(a, said, scope, breaks)) for a in access]
+    begins = [a[0] for a in assigned]  # assignments don't overlap, so only the last to begin can hold a part
+    sure = Parts(assigned + [s for s in added if not (i := bisect_right(begins, s[0])) or assigned[i - 1][2] < s[2]])
+    said = Parts([e for e in endpoints if ids.near(e, scope, breaks) and sure.near(e, scope, breaks)])
+    added |= set(said.spans)
+    links = [(a, sure.near(a, scope, breaks), said.near(a, scope, breaks)) for a in access]
     return sorted(added), [x for x in links if x[1]]
 
 
