@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import math
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut as checkpointed
 from ..functions.lineage import shared_folder
 
-__all__ = ["BLANKS", "by_ids", "checkpointed", "read", "shared_table", "text_bytes"]
+__all__ = ["BLANKS", "by_ids", "checkpointed", "read", "release", "salt", "salts_for", "shared_table", "slices", "text_bytes", "two_hashes"]
 
 #: The six white-space bytes that separate words and pad lines.
 BLANKS = " \t\n\v\f\r"
@@ -37,6 +44,45 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how).select(*docs.columns)
 
 
+#: About so many rows of one key meet in one task, and into at most so many places is a key split.
+ROWS_A_SALT, MOST_SALTS = 4096, 4096
+
+
+def salts_for(rows: int) -> int:
+    """Into how many places the rows of a key that may hold them all are dealt."""
+    return min(MOST_SALTS, max(1, math.ceil(rows / ROWS_A_SALT)))
+
+
+def salt(salts: int, *of: str) -> Column:
+    """The place of a row.  A key is then joined by (key, salt), repeated for the salts that its own rows have (``collect_set``)."""
+    # coalesce() tells the optimizer that it is not null: a filter in one branch alone would keep two branches from one exchange.
+    return F.coalesce(F.pmod(F.xxhash64(*of), F.lit(salts)).cast("int"), F.lit(0))
+
+
+def two_hashes(of: Column) -> tuple[Column, Column]:
+    """128 bits of hash: the second begins from another seed, so that neither half follows from the other."""
+    return F.xxhash64(of), F.xxhash64(F.lit(7), of)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one narrow aggregate, used to size batches and partitions."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of about ``most`` bytes of text; a longer text is one by itself.  Memory is given back at the end."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
+            yield batch.slice(at, end - at)
+            at = end
+    release()
+
+
+def release() -> None:
+    """Gives back to the system what a worker has freed: workers outlive their tasks, and two of them and the JVM share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

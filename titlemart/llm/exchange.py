@@ -13,8 +13,6 @@ reuses, and nothing passes through the driver.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 from dataclasses import dataclass
 
@@ -23,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import release, text_bytes
+
+__all__ = ["LAST", "MESSAGE", "Layout", "batch_of", "batched", "bits", "doc_ids", "flags", "messages", "narrow", "received", "release", "squeeze", "unsqueeze", "widen"]
 
 U64 = np.uint64
 #: Bytes of text in a batch, and bytes of text whose keys meet in one partition.
@@ -134,13 +134,6 @@ def received(table: pa.Table, round_: int) -> list[tuple[int, int, bytes, bytes,
     return sorted((r[1:] for r in rows if r[0] == round_), key=lambda r: r[:2])
 
 
-def release() -> None:
-    """Gives back to the system what earlier groups of this worker have freed: two workers and the JVM share an executor's memory."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def doc_ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].to_numpy() if table["doc_id"].null_count == 0 else np.array(
         [LAST if x is None else x for x in table["doc_id"].to_pylist()], np.int64

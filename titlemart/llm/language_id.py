@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .textkit import packed
 
 U64 = np.uint64
@@ -60,23 +61,13 @@ def trigrams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (code >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64), text_of[:-2][ok].astype(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(batch):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities (bucket, language), from (text, lang)."""
     rows = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             bucket, text = trigrams(batch.column("text"), BUCKETS)
             lang = batch.column("lang").dictionary_encode()
             code = lang.indices.to_numpy()
@@ -100,8 +91,11 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     folded = counted.groupBy("lang", F.shiftright("bucket", fewer).alias("bucket")).agg(F.sum("n").alias("n"))
     model = np.zeros((BUCKETS >> fewer, len(languages)))
     place = {name: k for k, name in enumerate(languages)}
-    for name, bucket, n in folded.collect():  # at most MAX_CELLS rows
-        model[bucket, place[name]] = n
+    table = folded.toArrow()  # at most MAX_CELLS rows
+    code = table["lang"].combine_chunks().dictionary_encode()
+    column = np.array([place[name] for name in code.dictionary.to_pylist()], int)
+    if len(table):
+        model[table["bucket"].to_numpy(), column[code.indices.to_numpy()]] = table["n"].to_numpy()
     total = model.sum(0, keepdims=True)
     return languages, np.log((model + 0.5) / (total + 0.5 * len(model))).astype(np.float32)
 
@@ -168,7 +162,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], *, penalty:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             texts = batch.column("text")
             bucket, text = trigrams(texts, len(logs))
             share = infer(bucket, text, len(batch), logs, penalty, rounds)

@@ -28,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, checkpointed
+from .common import by_ids, checkpointed, salt, salts_for, slices
 from .textkit import LOWER, first_of, mix, packed, span_hashes, word_grams, words
 
 U64 = np.uint64
@@ -107,20 +106,10 @@ def signatures(gram: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(batch):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES)))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def sketches(docs: DataFrame, *, width: int, bins: int, rows: int) -> DataFrame:
     """(doc_id, n, print, keys array<long>): set size, 128-bit print of the set, and bucket keys."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             gram, starts = shingles(batch.column("text"), width)
             n = np.diff(starts)
             two = np.stack([gram, mix(gram + U64(1))], 1)
@@ -152,7 +141,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, grams binary): full sets as sorted 64-bit hashes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             gram, starts = shingles(batch.column("text"), width)
             raw = [gram[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "grams"])
@@ -225,7 +214,7 @@ def rare_prefixes(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             cells, n = np.unique(_cells(shingles(batch.column("text"), width)[0]), return_counts=True)
             total[cells] += n
         held = np.flatnonzero(total)
@@ -237,7 +226,7 @@ def rare_prefixes(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             gram, starts = shingles(batch.column("text"), width)
             n = np.diff(starts)
             row = np.repeat(np.arange(len(n)), n)
@@ -308,15 +297,22 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a document."""
     marks = checkpointed(sketches(docs, width=width, bins=bins, rows=rows))
-    named = marks.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    # A class may hold a third of all documents, and a bucket a third of all classes: both are joined by salts of their members.
+    salts = salts_for(marks.count())
+    named = marks.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).withColumn("salt", salt(salts, "doc_id"))
     # Equal sets have equal bucket keys, so any row's will do.
-    classes = named.groupBy("n", "print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    classes = named.groupBy("n", "print").agg(
+        F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.collect_set("salt").alias("salts")
+    )
     reps = classes.select("rep", "n", "print")
-    held = classes.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+    held = classes.select("rep", F.explode(F.array_distinct("keys")).alias("key")).withColumn("salt", salt(salts, "rep"))
     # The centre is the class with the least of a few draws: groups then meet under few centres, but not under one.
     draw = F.struct(F.xxhash64(F.pmod("key", F.lit(DRAWS)), "rep").alias("h"), F.col("rep").alias("centre"))
-    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(draw).alias("draw")).filter("many > 1")
-    members = checkpointed(held.join(shared.select("key", F.col("draw.centre").alias("centre")), "key"))
+    shared = held.groupBy("key").agg(
+        F.count(F.lit(1)).alias("many"), F.min(draw).alias("draw"), F.collect_set("salt").alias("salts")
+    ).filter("many > 1")
+    centres = shared.select("key", F.col("draw.centre").alias("centre"), F.explode("salts").alias("salt"))
+    members = checkpointed(held.join(centres, ["key", "salt"]).drop("salt"))
     star = (
         members.filter("rep <> centre")
         .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
@@ -361,8 +357,8 @@ def near_duplicates(
             final = components(links)
 
     answer = (
-        named.select("doc_id", "n", "print")
-        .join(reps, ["n", "print"])
+        named.select("doc_id", "n", "print", "salt")
+        .join(classes.select("n", "print", "rep", F.explode("salts").alias("salt")), ["n", "print", "salt"])
         .join(final.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     )

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 #: Exactly filling patterns that the fit looks at; a coarser grid of second lengths is taken where there would be more.
 MAX_PATTERNS = 60_000
-#: Distinct white-space-free chunks whose ids a worker remembers.
+#: Distinct white-space-free chunks, and words, whose ids a task remembers.
 CACHED_CHUNKS = 400_000
 LONGEST_CACHED = 48
 #: Pieces that one hash bucket of a length holds, about.
@@ -97,6 +97,13 @@ class ChunkIds(dict):
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def forget(self) -> None:
+        """Lets all but the tokenizer go: workers outlive their tasks, and later stages need the memory."""
+        self.clear()
+        self.by_word.clear()
+        self[""] = b""
+        release()
+
 
 _LOADED: dict[str, ChunkIds] = {}
 
@@ -131,6 +138,7 @@ def pieces(docs: DataFrame, path: str, *, end_id: int, capacity: int) -> DataFra
                 ],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        ids_of.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
