@@ -1,20 +1,22 @@
 """Line deduplication with DataFrame functions only.
 
 The key of a line is the line without blanks at both ends and with A-Z in lower case.  128-bit hashes of the
-keys, never the lines, are range-partitioned and sorted by (hash, document, position); what comes back is, for
-each document, the run-length form of its keep bitmap.  Two rules share this layout:
+keys, never the lines, are dealt into ranges by (hash, document) and sorted by (hash, document, position); first occurrences in a document are
+told as this order streams by.  What comes back is, for each document, the run-length form of its keep bitmap.  Two rules share this layout:
 
 ``at_least``  keys that occur in at least so many documents lose all their lines;
 ``first``     every line but the first occurrence of its key, by (document, position), goes.
 
-Hot keys: lines are first reduced to one row a (hash, document), the range partitioning is by
-(hash, document), so one frequent line spreads over many tasks, and documents are counted by partial aggregates
-before the one-row-a-key shuffle.  The join that takes the decision back to the lines is by
-(hash, salt), the salt being a hash of the document; only keys that lose lines are repeated for each salt.
+Lines are split, hashed and dealt once; both the count of a key's documents and the taking back of decisions read the same exchange.
+
+Hot keys: the ranges are by (hash, document), so one frequent line spreads over many tasks, and documents are counted by partial
+aggregates.  A decision meets its lines by (hash, salt), the salt being a hash of the document: a key is repeated for the
+salts that its own documents have, and there are as many salts as the number of documents asks for.
 
 Defined cases: a null or empty text is one empty line; a key shorter than ``min_chars`` never counts and always stays; rows
 that repeat both doc_id and text are one document, rows that share only doc_id are two; a null doc_id is a document like
-any other (ordered before all others); an empty table gives an empty result; other columns are left alone.
+any other (ordered before all others); an empty table gives an empty result; other columns are left alone, but for those that have the
+name of a result, which ``drop_lines`` replaces and ``decided`` keeps apart.
 """
 
 from __future__ import annotations
@@ -25,11 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS
-
-#: Places in which the lines of one key are joined with what was decided on it.
-SALTS = 16
-
+from .common import BLANKS, salt, salts_for, two_hashes
 
 def line_key(line: Column) -> Column:
     bare = F.trim(line, F.lit(BLANKS))
@@ -40,9 +38,9 @@ def line_key(line: Column) -> Column:
     )
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_text": text, "_print": F.xxhash64(text, F.lit(1))})
+def _print(text: Column) -> Column:
+    """Tells apart documents of one doc_id."""
+    return F.xxhash64(F.lit(1), text)
 
 
 def keep_runs(docs: DataFrame, *, at_least: int = 10, min_chars: int = 1, rule: str = "at_least") -> DataFrame:
@@ -52,56 +50,49 @@ def keep_runs(docs: DataFrame, *, at_least: int = 10, min_chars: int = 1, rule:
     """
     if rule not in ("at_least", "first"):
         raise ValueError(f"no such rule: {rule}")
+    text = F.coalesce("text", F.lit(""))
+    salts = salts_for(docs.count())
     lines = (
-        _identified(docs.select("doc_id", "text"))
-        .select("doc_id", "_print", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
+        docs.select("doc_id", _print(text).alias("print"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .filter(F.char_length("key") >= max(min_chars, 1))
-        .select("doc_id", "_print", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(7)).alias("h2"))
-    )
-    by_document = lines.groupBy("h1", "h2", "doc_id", "_print").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    spread = by_document.repartitionByRange("h1", "h2", "doc_id", "_print").sortWithinPartitions(
-        "h1", "h2", "doc_id", "_print"
+        .select(*(h.alias(c) for h, c in zip(two_hashes(F.col("key")), ("h1", "h2"), strict=True)), "doc_id", "print", "pos")
     )
-    counted = spread.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "_print", "at")).alias("first")
+    in_document = W.partitionBy("h1", "h2", "doc_id", "print").orderBy("pos")
+    sorted_ = (
+        lines.repartitionByRange("h1", "h2", "doc_id", "print")
+        .withColumn("nth", F.row_number().over(in_document))
+        .withColumn("salt", salt(salts, "doc_id", "print"))
     )
-    # A frequent key's documents meet it in SALTS places.
-    salted = spread.withColumn("salt", F.pmod(F.xxhash64("doc_id", "_print"), F.lit(SALTS)).cast("int"))
-    places = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    if rule == "at_least":
-        hot = counted.filter(F.col("n_docs") >= at_least).select("h1", "h2", places)
-        dropped = salted.join(hot, ["h1", "h2", "salt"])
-    else:
-        hot = counted.filter((F.col("n_docs") > 1) | (F.size("first.at") > 1)).select(
-            "h1", "h2", F.struct("first.doc_id", "first._print").alias("owner"), places
-        )
-        mine = F.struct("doc_id", "_print").eqNullSafe(F.col("owner"))
-        dropped = (
-            salted.join(hot, ["h1", "h2", "salt"])
-            .withColumn("at", F.when(mine, F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at")))
-            .filter(F.size("at") > 0)
-        )
-    one = dropped.select("doc_id", "_print", F.explode("at").alias("pos"))
-    w = W.partitionBy("doc_id", "_print").orderBy("pos")
+    counted = sorted_.groupBy("h1", "h2").agg(
+        F.count_if(F.col("nth") == 1).alias("n_docs"), F.max("nth").alias("most"),
+        F.min(F.struct("doc_id", "print")).alias("owner"), F.collect_set("salt").alias("salts"),
+    )
+    losing = F.col("n_docs") >= at_least if rule == "at_least" else (F.col("n_docs") > 1) | (F.col("most") > 1)
+    decided = counted.filter(losing).select("h1", "h2", "owner", F.explode("salts").alias("salt"))
+    dropped = sorted_.join(decided, ["h1", "h2", "salt"])
+    if rule == "first":
+        dropped = dropped.filter(~(F.struct("doc_id", "print").eqNullSafe(F.col("owner")) & (F.col("nth") == 1)))
+    w = W.partitionBy("doc_id", "print").orderBy("pos")
     runs = (
-        one.withColumn("run", F.col("pos") - F.row_number().over(w))
-        .groupBy("doc_id", "_print", "run")
+        dropped.select("doc_id", "print", "pos").withColumn("run", F.col("pos") - F.row_number().over(w))
+        .groupBy("doc_id", "print", "run")
         .agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("length"))
-    )
-    return runs.groupBy("doc_id", "_print").agg(
+    )
+    return runs.groupBy("doc_id", "print").agg(
         F.sum("length").alias("dropped"), F.array_sort(F.collect_list(F.struct("start", "length"))).alias("dropped_runs")
-    ).withColumnRenamed("_print", "print")
+    )
 
 
-def drop_lines(docs: DataFrame, **rule) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``kept_text``, ``n_lines`` and ``n_dropped``."""
-    runs = keep_runs(docs, **rule).select(
-        F.col("doc_id").alias("_doc"), F.col("print").alias("_run_print"), "dropped", "dropped_runs"
-    )
-    own = _identified(docs)
-    joined = own.join(runs, own.doc_id.eqNullSafe(runs._doc) & (own._print == runs._run_print), "left")
-    lines = F.split("_text", "\n", -1)
+def decided(docs: DataFrame, **rule) -> DataFrame:
+    """(row, kept_text, n_lines, n_dropped): each row of ``docs`` as a struct, and what is left of its text."""
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("whole"), F.col("doc_id").alias("doc"), _print(text).alias("own")
+    )
+    runs = keep_runs(docs.select("doc_id", "text"), **rule)
+    joined = own.join(runs, own.doc.eqNullSafe(runs.doc_id) & (own.own == runs.print), "left")
+    lines = F.split("whole", "\n", -1)
     runs_or_none = F.coalesce("dropped_runs", F.array().cast("array<struct<start:int,length:int>>"))
     # Kept runs lie between the dropped ones.
     begins = F.concat(F.array(F.lit(0)), F.transform(runs_or_none, lambda r: r["start"] + r["length"]))
@@ -109,15 +100,20 @@ def drop_lines(docs: DataFrame, **rule) -> DataFrame:
     kept = F.flatten(
         F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: F.slice(lines, r["b"] + 1, r["e"] - r["b"]))
     )
-    kept_text = F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *(own[c] for c in docs.columns),
-        kept_text.alias("kept_text"),
+        "row",
+        F.when(F.col("dropped").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce("dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
+def drop_lines(docs: DataFrame, **rule) -> DataFrame:
+    """All rows and columns of ``docs`` plus ``kept_text``, ``n_lines`` and ``n_dropped``."""
+    made = ("kept_text", "n_lines", "n_dropped")
+    return decided(docs, **rule).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made), *made)
+
+
 def digest(docs: DataFrame, **rule) -> DataFrame:
     """What op3 returns: doc_id, n_lines, n_dropped, kept_sha256."""
     return drop_lines(docs.select("doc_id", "text"), **rule).select(
