@@ -10,8 +10,12 @@ Euclidean distance, joined with the stored norm).  The ``pool`` best by that sco
 vectors.
 
 Equal vectors are one class, searched once under its smallest id, so copies can't crowd others out of the pool; of each
-class the first ``k + 1`` members by id are all that an answer can need.  Queries and index meet in blocks of bounded size, dealt by hash, each
-query block against each index block; best-of lists shrink before they are shuffled.
+class the first ``k + 1`` members by id are all that an answer can need.
+
+The index is dealt into coarse cells of about ``CELL_ROWS`` vectors around centres fitted on the same sample, and a query visits the ``probes`` cells nearest
+to it, so work and shuffle grow with queries times ``probes`` cells and not with queries times vectors.  Where there are no more cells than ``probes``, or ``probes`` is None, every query is
+scored against the whole index, which is then one cell.  A cell's vectors are dealt by hash into parts, its queries into blocks, by
+counted size; best-of lists shrink before they are shuffled.
 
 Defined cases: vectors that are null, empty, zero, of another length than the index's, or that hold null or non-finite components take no
 part, as query or candidate; a row is not its own candidate, but rows of equal id are one; ties go to the smaller id; fewer candidates
@@ -28,11 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpointed, two_hashes
+
 #: Bound of the sample that codebooks are fitted on: rows.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM = 32, 64, 8
-INDEX_BLOCK, QUERY_BLOCK = 65536, 1024
-POOL = 500
+#: Vectors of a cell, about, and at most in one of its parts, about; guesses that one task may return, about.
+CELL_ROWS, GUESSES = 8192, 1 << 20
+#: Bound of the centres that travel to the tasks.
+MOST_CELLS = 1024
+POOL, PROBES = 500, 64
 
 
 class Codebooks:
@@ -114,13 +123,29 @@ def usable(vector: Column, size: int | None = None) -> Column:
     return F.coalesce(ok if size is None else ok & (F.size(vector) == size), F.lit(False))
 
 
-def _matrix(column) -> np.ndarray:
-    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+def _matrix(column, size: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), size)
+
+
+def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of ``cells`` cells, of unit length."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    made = _k_means(unit.astype(np.float32), cells, 10, np.random.default_rng(2))
+    return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-30)
 
 
 def search(
-    vectors: DataFrame, is_query: Column, *, k: int = 20, pool: int = POOL, metric: str = "inner", books: int = BOOKS, words: int = WORDS
+    vectors: DataFrame,
+    is_query: Column,
+    *,
+    k: int = 20,
+    pool: int = POOL,
+    probes: int | None = PROBES,
+    metric: str = "inner",
+    books: int = BOOKS,
+    words: int = WORDS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query row the ``k`` nearest other rows of (vec_id, embedding).
 
@@ -128,6 +153,7 @@ def search(
     """
     if metric not in ("inner", "l2"):
         raise ValueError(f"no such metric: {metric}")
+    spark = vectors.sparkSession
     vector = F.col("embedding").cast("array<double>")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"), is_query.alias("is_query")).filter(
         F.col("vec_id").isNotNull() & usable(F.col("v"))
@@ -139,60 +165,86 @@ def search(
         ).limit(0)
     lengths = np.array([len(x) for x in sample["v"]])
     size = int(np.bincount(lengths).argmax())
-    shared = base.sparkSession.sparkContext.broadcast(
-        fit(np.array([x.as_py() for x, n in zip(sample["v"], lengths, strict=True) if n == size]), books=books, words=words)
-    )
-    base = base.filter(F.size("v") == size)
-
-    # Classes of equal vectors; row_number() is cut to k + 1 before its shuffle.
+    fitted = np.array([x.as_py() for x, n in zip(sample["v"], lengths, strict=True) if n == size])
+    base = base.filter(F.size("v") == size).withColumns(dict(zip(("h1", "h2"), two_hashes(F.col("v")), strict=True)))
+    n = base.count()
+    cells = min(MOST_CELLS, math.ceil(n / cell_rows))
+    if probes is None or cells <= probes:
+        cells = 1
+    shared = spark.sparkContext.broadcast((fit(fitted, books=books, words=words), _centres(fitted, cells) if cells > 1 else None))
+
+    # Classes of equal vectors; a repeated row is no second member, and row_number() is cut to k + 1 before its shuffle.
     same = W.partitionBy("h1", "h2").orderBy("vec_id")
     members = (
-        base.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))})
-        .withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1)
-    )
-    reps = members.filter("nth = 1").select(F.col("vec_id").alias("rep"), "v", "h1", "h2")
-    n, n_queries = base.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
-    # Blocks are dealt by hash, so each holds its share of a query's best; six deviations more than the mean are kept.
-    parts, asks = max(1, math.ceil(n / INDEX_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
+        base.select("h1", "h2", "vec_id").distinct().withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).drop("nth")
+    )
+    reps = base.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"))
 
-    share = pool / parts
-    keep = min(pool, math.ceil(share + 6 * math.sqrt(share) + 10))
+    def near(x: np.ndarray, centres: np.ndarray | None, most: int) -> np.ndarray:
+        """Row by row the nearest cells."""
+        if centres is None:
+            return np.zeros((len(x), 1), np.int32)
+        return np.argsort(-(x.astype(np.float32) @ centres.T), axis=1, kind="stable")[:, :most].astype(np.int32)
 
     def code(batches):
-        made = shared.value
+        made, centres = shared.value
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            codes = made.encode(x) if len(x) else np.zeros((0, made.books), np.int32)
-            near = made.decode(codes).astype(np.float64) if len(x) else x.reshape(0, size)
-            norm = (near**2).sum(1)
-            scale = np.where(norm > 0, (near * x).sum(1) / np.maximum(norm, 1e-30), 1)
+            x = _matrix(batch.column("v"), size)
+            codes = made.encode(x)
+            decoded = made.decode(codes).astype(np.float64)
+            norm = (decoded**2).sum(1)
+            scale = np.where(norm > 0, (decoded * x).sum(1) / np.maximum(norm, 1e-30), 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rep"), pa.array([c.tobytes() for c in codes.astype("<u2")], pa.binary()),
-                 pa.array(norm, pa.float64()), pa.array(scale, pa.float64())],
-                names=["rep", "codes", "norm", "scale"],
+                 pa.array(norm, pa.float64()), pa.array(scale, pa.float64()), pa.array(near(x, centres, 1)[:, 0])],
+                names=["rep", "codes", "norm", "scale", "cell"],
             )
 
-    coded = reps.select("rep", "v").mapInArrow(code, "rep long, codes binary, norm double, scale double")
-    index = coded.withColumns({
-        "part": F.pmod(F.xxhash64("rep"), F.lit(parts)), "ask": F.explode(F.sequence(F.lit(0), F.lit(asks - 1)))
-    })
+    def visit(batches):
+        for batch in batches:
+            cell = near(_matrix(batch.column("v"), size), shared.value[1], probes or 1)
+            own = np.repeat(np.arange(len(batch)), cell.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(own)) for c in ("query_id", "v")), pa.array(cell.ravel())], names=["query_id", "v", "cell"]
+            )
+
+    coded = reps.select("rep", "v").mapInArrow(code, "rep long, codes binary, norm double, scale double, cell int")
     queries = base.filter("is_query").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
-    asked = queries.withColumns({
-        "ask": F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    }).withColumn("part", F.col("part").cast("long"))
+    visits = queries.mapInArrow(visit, "query_id long, v array<double>, cell int")
+    if cells > 1:
+        coded, visits = checkpointed(coded), checkpointed(visits)
+        in_cell, to_cell = ({r["cell"]: r["count"] for r in x.groupBy("cell").count().collect()} for x in (coded, visits))  # <= MOST_CELLS rows
+    else:
+        in_cell, to_cell = {0: n}, {0: queries.count()}
+    # A cell has parts and query blocks as its size asks for.  Parts are dealt by hash, so each holds its share of a query's best; six deviations more than the mean are kept.
+    rows, part = [], 0
+    for cell, held in sorted(in_cell.items()):
+        parts = math.ceil(held / cell_rows)
+        share = pool / parts
+        keep = min(pool, math.ceil(share + 6 * math.sqrt(share) + 10))
+        rows.append((cell, part, parts, max(1, math.ceil(to_cell.get(cell, 0) * keep / GUESSES)), keep))
+        part += parts
+    dealt = F.broadcast(spark.createDataFrame(rows, "cell int, base int, parts int, asks int, keep int"))
+    index = coded.join(dealt, "cell").select(
+        "rep", "codes", "norm", "scale", "keep", (F.col("base") + F.pmod(F.xxhash64("rep"), "parts")).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"),
+    )
+    asked = visits.join(dealt, "cell").select(
+        "query_id", "v", F.pmod(F.xxhash64("query_id"), "asks").cast("int").alias("ask"),
+        F.explode(F.sequence(F.col("base").cast("long"), F.col("base").cast("long") + F.col("parts") - 1)).alias("part"),
+    )
 
     def scan(key, index, queries):
         found_q, found_r, found_s = [], [], []
         if len(index) and len(queries):
-            made = shared.value
+            made, keep = shared.value[0], index["keep"][0].as_py()
             index = index.sort_by("rep")
             reps = index["rep"].to_numpy()
             codes = np.frombuffer(b"".join(index["codes"].to_pylist()), "<u2").reshape(len(reps), -1).astype(np.int64)
             norm, scale = index["norm"].to_numpy(), index["scale"].to_numpy()
-            q, ids = _matrix(queries["v"]), queries["query_id"].to_numpy()
-            table = (q.astype(np.float32) @ made.words.T)
+            q, ids = _matrix(queries["v"], size), queries["query_id"].to_numpy()
             for lo in range(0, len(q), 32):
-                own = table[lo : lo + 32]
+                own = q[lo : lo + 32].astype(np.float32) @ made.words.T
                 score = np.zeros((len(own), len(reps)), np.float32)
                 for m in range(made.books):
                     score += own[:, codes[:, m]]
@@ -230,7 +282,7 @@ def search(
     )
     last = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        ranked.join(members.select("h1", "h2", "vec_id").distinct(), ["h1", "h2"])
+        ranked.join(members, ["h1", "h2"])
         .filter("vec_id <> query_id")
         .withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
