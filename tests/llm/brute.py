@@ -151,6 +151,62 @@ def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def linked(text: str, base: list, scope: int):
+    """As secrets.linked_spans(), by looking at every pair."""
+    import re
+
+    from titlemart.llm import secrets
+
+    breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+
+    def near(part, others):
+        found = []
+        for x in others:
+            gap, lo, hi = max(x[0] - part[2], part[0] - x[2], 0), min(part[2], x[2]), max(part[0], x[0])
+            if gap <= scope and not any(lo <= b < hi for b in breaks):
+                found.append((gap, x))
+        return min(found)[1] if found else None
+
+    spans = lambda k, pattern: [(m.start(), k, m.end()) for m in pattern.finditer(text)]
+    access, assigned = ([s for s in base if s[1] == k] for k in (1, 0))
+    if not access:
+        return [], []
+    weak = [s for s in spans(3, secrets.SECRET) if near(s, access)]
+    sure = assigned + [s for s in weak if not any(a[0] <= s[0] and s[2] <= a[2] for a in assigned)]
+    ends = [s for s in spans(4, secrets.ENDPOINT) if near(s, access) and near(s, sure)]
+    links = [(a, near(a, sure), near(a, ends)) for a in access]
+    return sorted(weak + ends), [x for x in links if x[1]]
+
+
+def mixture(bag: list[int], logs: list[list[float]], penalty: float, rounds: int) -> list[float]:
+    """Proportions of a bag of buckets; row b of ``logs`` holds log p(b | language)."""
+    from math import exp, log
+
+    n = len(logs[0])
+    if not bag:
+        return [0.0] * n
+    alone = [sum(logs[b][k] for b in bag) for k in range(n)]
+    share = [float(k == alone.index(max(alone))) for k in range(n)]
+    likelihood = lambda s: sum(log(sum(s[k] * exp(logs[b][k]) for k in range(n))) for b in bag)
+    level = max(alone)
+    while sum(s > 0 for s in share) < n:
+        mixed = [sum(share[k] * exp(logs[b][k]) for k in range(n)) for b in bag]
+        gain = [-1.0 if share[k] else sum(exp(logs[b][k]) / m for b, m in zip(bag, mixed)) for k in range(n)]
+        new = gain.index(max(gain))
+        if gain[new] <= len(bag):
+            break
+        trial = [0.1 if k == new else s for k, s in enumerate(share)]
+        trial = [s / sum(trial) for s in trial]
+        for _ in range(rounds):
+            mixed = [sum(trial[k] * exp(logs[b][k]) for k in range(n)) for b in bag]
+            trial = [t * sum(exp(logs[b][k]) / m for b, m in zip(bag, mixed)) / len(bag) for k, t in enumerate(trial)]
+        reached = likelihood(trial)
+        if reached - level <= penalty * log(len(bag) + 1):
+            break
+        share, level = trial, reached
+    return share
+
+
 def edit_matches(text: str, item: str) -> int:
     """Least edit distance of ``item`` to any substring, by the plain table."""
     row = [0] * (len(text) + 1)

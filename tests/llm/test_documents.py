@@ -44,6 +44,23 @@ def test_language_of_odd_rows(odd, none):
     assert {r.lang_pred for r in language_id.predicted(odd, language_id.train(none)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_proportions_match_plain_expectation_maximisation(seed):
+    rng = np.random.default_rng(seed)
+    buckets, languages, n_texts = 40, 4, 30
+    logs = np.log(rng.dirichlet(np.full(buckets, 0.3), languages).T + 1e-4).astype(np.float32)
+    bags = []
+    for _ in range(n_texts):
+        share = rng.dirichlet(np.full(languages, 0.4))
+        p = np.exp(logs.astype(float)) @ share
+        bags.append(rng.choice(buckets, rng.integers(0, 400), p=p / p.sum()))
+    text = np.concatenate([np.full(len(b), i) for i, b in enumerate(bags)])
+    got = language_id.infer(np.concatenate(bags), text, n_texts, logs, 2.0, 12)
+    for own, bag in zip(got, bags, strict=True):
+        assert own == pytest.approx(brute.mixture(bag.tolist(), logs.astype(float).tolist(), 2.0, 12), abs=1e-6)
+    assert (got > 0).sum(1).max() > 1
+
+
 # --- secrets ----------------------------------------------------------------------------------------------------------
 
 
@@ -98,6 +115,27 @@ def test_runs_that_are_no_secrets():
     assert [secrets.KINDS[p[1]] for p in secrets.linked_spans(text, secrets.base_spans(text), 300)[1][0] if p] == ["access", "assign"]
 
 
+def test_an_identifier_after_a_long_assignment_is_linked():
+    first, second, weak = "AKIA" + "A" * 16, "AKIA" + "B" * 16, "abcDEF1234" * 4
+    text = f"{first} token=x.{weak}-{'y.' * 200}{' ' * 10}{second}"
+    more, links = secrets.linked_spans(text, secrets.base_spans(text), 300)
+    assert [text[p[0] : p[2]] for p, *_ in links] == [first, second] and all(text[s[0] : s[2]].startswith("token") for _, s, _ in links)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_links_match_all_pairs(seed):
+    rng = random.Random(seed)
+    key = lambda: "AKIA" + "".join(rng.choice("AB1") for _ in range(16))
+    parts = [
+        key, lambda: rng.choice("ab") * 39 + rng.choice("CD"), lambda: f"https://h{rng.randrange(9)}.example/{'p' * rng.randrange(60)}",
+        lambda: f"token=x.{'e' * 40}-{'y.' * rng.randrange(120)}", lambda: f"secret: {'z' * rng.randrange(8, 90)}", lambda: f"https://u/{'k' * 5}={'E' * 40}/t",
+        lambda: "word " * rng.randrange(30), lambda: f"password={key()}", lambda: "\n \n",
+    ]
+    text = "".join(rng.choice(parts)() + rng.choice([" ", "\n", "  "]) for _ in range(rng.randrange(4, 40)))
+    base = secrets.base_spans(text)
+    assert secrets.linked_spans(text, base, 60) == brute.linked(text, base, 60)
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = secrets.scan(odd).collect()
     assert len(rows) == odd.count() and all(r.n_access == 0 for r in rows)
@@ -267,11 +305,11 @@ def test_matches_of_odd_rows(odd, none, spark):
 # --- nearest neighbours -----------------------------------------------------------------------------------------------
 
 
-def recall(spark, df, k=20, metric="inner"):
+def recall(spark, df, k=20, metric="inner", **how):
     table = df.toArrow()
     x, ids = np.array(table["embedding"].to_pylist(), float), table["vec_id"].to_numpy()
     got: dict = {}
-    for r in additive_ann.search(df, F.col("vec_id") % 20 == 0, k=k, metric=metric).collect():
+    for r in additive_ann.search(df, F.col("vec_id") % 20 == 0, k=k, metric=metric, **how).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     hit = total = 0
     for i in np.flatnonzero(ids % 20 == 0):
@@ -299,6 +337,25 @@ def test_copies_do_not_crowd_out_others(spark):
     assert recall(spark, df) >= 0.95
 
 
+def test_repeated_rows_are_one_vector(spark):
+    """Repeats of one row don't take the places of other ids with the same vector."""
+    rows = [(1, [1.0, 0.0])] * 50 + [(i, [1.0, 0.0]) for i in range(2, 9)] + [(20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = additive_ann.search(df, F.col("vec_id") % 20 == 0, k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("metric", ["inner", "l2"])
+def test_cells_find_the_neighbours_of_grouped_vectors(spark, metric):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 4
+    x = centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    assert recall(spark, df, metric=metric, cell_rows=60, probes=6) >= 0.9
+    assert recall(spark, df, metric=metric, cell_rows=60, probes=None) >= 0.95
+
+
 def test_vectors_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (20, [1.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0]), (None, [1.0, 2.0]), (2, [1.0, 0.0]), (40, [0.0, 0.0])]

@@ -30,3 +30,14 @@ def test_stages_of_odd_rows(spark, sf_dir, odd, none):
     stages = run_stages(spark, odd.select(*columns), sf_dir)
     assert 0 < stages[-2].count() <= stages[1].count() < odd.count()
     assert run_stages(spark, none.select(*columns), sf_dir)[-1].count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["n_dropped", "kept_text", "lang_pred", "lang_score", "_text", "print", "row", "whole", "kept", "n"]
+    named = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, named, sf_dir)
+        assert done.columns == named.columns
+        rows = done.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in names)

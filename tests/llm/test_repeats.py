@@ -2,7 +2,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from titlemart.llm import exchange, line_dedup, minhash, prefix_free_dedup, queries, substring_dedup
+from titlemart.llm import common, exchange, line_dedup, minhash, prefix_free_dedup, queries, substring_dedup
 
 SMALL = {"batch_bytes": 2000, "part_bytes": 3000}  # many batches and partitions on a small table
 
@@ -44,6 +44,41 @@ def test_bytes_of_one_letter(spark):
     assert bytes_digest(prefix_free_dedup.remove_repeats(df, batch_bytes=100, part_bytes=100)) == brute.byte_repeats(docs)
 
 
+def test_corpus_order_is_that_of_the_bytes():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    reach, gram, n = 6, 3, 400
+    whole = rng.integers(97, 99, (n, 2 * reach + gram)).astype(np.uint8)
+    left, right = rng.integers(0, reach + 1, n), rng.integers(0, reach + 1, n)
+    place = np.arange(2 * reach + gram)
+    whole[place < (reach - left)[:, None]] = 0
+    whole[place >= (reach + gram + right)[:, None]] = 0
+    for a, rows, new in prefix_free_dedup.corpus_order(whole, left, right, gram):
+        strings = [whole[i, reach - a : 2 * reach + gram - a].tobytes() for i in rows]
+        assert strings == sorted(strings)
+        assert sorted(rows) == [i for i in range(n) if left[i] >= a and right[i] >= reach - a]
+        assert new.tolist() == [not i or strings[i] != strings[i - 1] for i in range(len(rows))]
+
+
+def test_triggers_are_dealt_evenly(spark, sf_dir):
+    """Triggers have the least hashes; the ranges of their keys are even all the same."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toArrow()
+    batch = prefix_free_dedup.Batch(table, 50, 20)
+    keys, _, _ = batch.keys(layout := exchange.Layout(1, 8, 40))
+    sizes = [j - i for i, j in layout.ranges(keys, 40).values()]
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
+
+
+def test_ranges_hold_all_keys_in_order():
+    import numpy as np
+
+    keys = np.unique(np.random.default_rng(4).integers(0, 2**40, 500, dtype=np.uint64))
+    ranges = exchange.Layout(1, 10**6, 40).ranges(keys, 40)
+    assert [k for i, j in ranges.values() for k in range(i, j)] == list(range(len(keys))) and list(ranges) == sorted(ranges)
+    assert exchange.Layout(1, 7, 40).ranges(keys[:0], 40) == {}
+
+
 def test_registered_repeats_on_a_driver_table(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {tuple(r) for r in queries.op2_substring_dedup(spark, sf_dir).collect()} == brute.substring(docs)
@@ -99,6 +134,43 @@ def test_lines_of_odd_rows(odd, none, spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_lines_are_sorted_in_ranges_and_scanned_once(spark, sf_dir):
+    df = line_dedup.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Generate posexplode") == 1 and plan.count("FileScan parquet") == 2  # the other reads the texts that are cut
+    order = "h1 ASC, h2 ASC, doc_id ASC, print ASC"
+    found = [" ".join(line.replace(" NULLS FIRST", "").split("[")[1].split("]")[0].split(", ")) for line in plan.splitlines() if "Sort [h1" in line]
+    import re
+
+    assert any(re.sub(r"#\d+L?", "", x).startswith(order.replace(",", "") + " pos ASC") for x in found)
+    assert "Exchange rangepartitioning(h1" in plan
+
+
+def test_halves_of_a_key_do_not_follow_from_each_other(spark):
+    df = spark.range(100).select(F.concat(F.lit("line "), "id").alias("x"))
+    h1, h2 = common.two_hashes(F.col("x"))
+    follows = [F.xxhash64("x", F.lit(k)) for k in (1, 7)]  # made from the first hash alone
+    assert df.filter((h1 == h2) | (h2 == follows[0]) | (h2 == follows[1])).count() == 0
+    assert df.select(h1).distinct().count() == df.select(h2).distinct().count() == 100
+
+
+def test_columns_named_as_results_are_kept_apart(odd):
+    named = odd.withColumns({"n_dropped": F.lit("mine"), "kept_text": F.lit(1), "whole": F.lit(2), "row": F.lit(3)})
+    rows = line_dedup.decided(named, at_least=2).select("row.*", F.col("n_dropped").alias("lost")).collect()
+    assert len(rows) == odd.count() and all(r.n_dropped == "mine" and r.row == 3 for r in rows) and sum(r.lost for r in rows) == 2
+    assert {r.n_dropped for r in line_dedup.drop_lines(named, at_least=2).collect()} == {0, 1}
+
+
+def test_hot_keys_in_many_places(spark, shared_texts, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_A_SALT", 4)
+    docs = shared_texts[0] | {100 + d: "the very same words in all of these documents\na line" for d in range(40)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.digest(df, at_least=10).collect()} == brute.lines(docs, 10)
+    assert {tuple(r) for r in line_dedup.digest(df, rule="first").collect()} == brute.first_lines(docs)
+    assert {tuple(r) for r in minhash.near_duplicates(df).collect()} == brute.near(docs)
+
+
 def test_near_duplicates_match_brute_force(shared_texts):
     docs, df = shared_texts
     want = brute.near(docs)
