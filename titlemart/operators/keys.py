@@ -37,8 +37,8 @@ def _running(df: DataFrame, by: list[str], n: str) -> DataFrame:
     Rows are range-partitioned; a running sum inside each partition meets the sums of the partitions before it, one row a
     partition and group.  The dealt rows are cut off from their lineage, so that both uses see the same ranges.
     """
-    group, parts = by[:-1], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    group = by[:-1]
+    dealt = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     inside = W.partitionBy(*group, "_part").orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sums = dealt.groupBy(*group, "_part").agg(F.sum(n).alias("_n"))

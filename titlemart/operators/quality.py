@@ -15,11 +15,8 @@ EPISODE = r"화|\bEps\b|episode|^\s*\d"
 BADGE = r"(?i)^(?:up|new|hot|event)\s"
 
 
-def contamination(obs: DataFrame, *, ignore_case: bool = False) -> DataFrame:
-    """The latest row of each title with one flag for each field check."""
-    flag = "(?i)" if ignore_case else ""
-    now = latest_row(obs.select("comic_id", "source", "title", "author", "genre", "scraped_at", "source_file"), ["comic_id"], order_of())
-    return now.withColumns({
+def _field_checks(rows: DataFrame, flag: str = "") -> DataFrame:
+    return rows.withColumns({
         "title_eq_author": F.coalesce(F.col("author") == F.col("title"), F.lit(False)),
         "author_has_metric": F.coalesce(F.col("author").rlike(flag + METRIC), F.lit(False)),
         "genre_is_episode_token": F.coalesce(F.col("genre").rlike(flag + EPISODE), F.lit(False)),
@@ -27,37 +24,59 @@ def contamination(obs: DataFrame, *, ignore_case: bool = False) -> DataFrame:
     })
 
 
+def contamination(obs: DataFrame, *, ignore_case: bool = False) -> DataFrame:
+    """The latest row of each title with one flag for each field check."""
+    now = latest_row(obs.select("comic_id", "source", "title", "author", "genre", "scraped_at", "source_file"), ["comic_id"], order_of())
+    return _field_checks(now, "(?i)" if ignore_case else "")
+
+
 def conflicts(obs: DataFrame, column: str) -> DataFrame:
     """Titles with more than one value of a column over all rows, and the values."""
     values = obs.filter(F.col(column).isNotNull()).groupBy("comic_id").agg(F.collect_set(column).alias("_v"))
     return values.filter(F.size("_v") > 1).select("comic_id", F.size("_v").alias("n_values"), F.array_join(F.array_sort("_v"), " | ").alias("values"))
 
 
-def mislatched_authors(obs: DataFrame, least: int = 8) -> DataFrame:
+#: An author on so many titles of one platform is likely none.
+MISLATCHED = 8
+
+
+def mislatched_authors(obs: DataFrame, least: int = MISLATCHED) -> DataFrame:
     """Authors on so many titles of one platform that they are likely no authors."""
     now = latest_row(obs.select("comic_id", "source", "title", "author", "scraped_at", "source_file"), ["comic_id"], order_of())
     return now.filter("author IS NOT NULL").groupBy("source", "author").agg(F.countDistinct("title").alias("n_titles")).filter(F.col("n_titles") >= least)
 
 
 def scorecard(obs: DataFrame) -> DataFrame:
-    """One row a check: severity, count, percent of titles, threshold, failed.  Field checks come from one conditional aggregate."""
-    flags = ("title_eq_author", "author_has_metric", "genre_is_episode_token", "title_leading_badge")
-    rows = contamination(obs)
-    one = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(f).alias(f) for f in flags))
-    stacked = one.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("check"), F.col(f).alias("count")) for f in flags))).alias("c")).select("n", "c.*")
-    rest = None
-    for name, df in (
-        ("within_title_author_conflict", conflicts(obs, "author")), ("within_title_genre_conflict", conflicts(obs, "genre")),
-        ("author_mislatched", mislatched_authors(obs)),
-    ):
-        c = df.agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("check"), "count")
-        rest = c if rest is None else rest.unionByName(c)
-    counts = stacked.select("check", "count").unionByName(rest).join(F.broadcast(one.select("n")))
-    limits = F.create_map(*(F.lit(x) for k, (s, t) in THRESHOLDS.items() for x in (k, f"{s}|{t}")))
-    said = F.split(F.element_at(limits, F.col("check")), r"\|")
-    return counts.select(
-        "check", said[0].alias("severity"), "count", F.round(F.col("count") * 100 / F.greatest(F.col("n"), F.lit(1)), 3).alias("pct"),
-        said[1].cast("long").alias("threshold"), (F.col("count") > said[1].cast("long")).alias("failed"),
+    """One row a check: severity, count, percent of titles, threshold, failed.
+
+    One pass: titles with their latest row and whether they ever had two authors or genres, then sums by platform and author, then of all.
+    """
+    differs = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    titles = _field_checks(
+        obs.groupBy("comic_id").agg(
+            F.max_by(F.struct("source", "title", "author", "genre"), order_of()).alias("now"),
+            differs("author").alias("within_title_author_conflict"), differs("genre").alias("within_title_genre_conflict"),
+        ).select("now.*", "within_title_author_conflict", "within_title_genre_conflict")
+    )
+    flags = [
+        "title_eq_author", "author_has_metric", "genre_is_episode_token", "title_leading_badge",
+        "within_title_author_conflict", "within_title_genre_conflict",
+    ]
+    by_author = titles.groupBy("source", "author").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("n_titles"), *(F.count_if(f).alias(f) for f in flags)
+    )
+    latched = F.count_if(F.col("author").isNotNull() & (F.col("n_titles") >= MISLATCHED))
+    one = by_author.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), latched.alias("author_mislatched"),
+        *(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags),
+    )
+    checks = F.array(
+        *(F.struct(F.lit(c).alias("check"), F.lit(s).alias("severity"), F.col(c).alias("count"), F.lit(t).cast("long").alias("threshold"))
+          for c, (s, t) in THRESHOLDS.items())
+    )
+    return one.select("n", F.explode(checks).alias("c")).select("n", "c.*").select(
+        "check", "severity", "count", F.round(F.col("count") * 100 / F.greatest(F.col("n"), F.lit(1)), 3).alias("pct"),
+        "threshold", (F.col("count") > F.col("threshold")).alias("failed"),
     )
 
 
@@ -68,7 +87,8 @@ def examples(obs: DataFrame, check: str, k: int = 8) -> DataFrame:
 def coverage_by_source(obs: DataFrame) -> DataFrame:
     now = latest_row(obs.drop("tags"), ["comic_id"], order_of())
     pct = lambda c: F.round(F.count(c) / F.count(F.lit(1)) * 100, 1).alias(f"{c}_pct")
-    return now.groupBy("source").agg(F.count(F.lit(1)).alias("titles"), *(pct(c) for c in ("author", "genre", "publisher")))
+    told = [c for c in ("author", "genre", "publisher", "synopsis") if c in now.columns]
+    return now.groupBy("source").agg(F.count(F.lit(1)).alias("titles"), *(pct(c) for c in told))
 
 
 def strict_gate(card: DataFrame) -> DataFrame:

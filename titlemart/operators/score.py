@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.tables import EARNINGS, EARNINGS_DEFAULT, HIGH_FACTOR, LOW_FACTOR, WEIGHTS
 from ..schema import order_of
 from .keys import average_ranks, earliest, latest, latest_row
@@ -86,12 +87,13 @@ def composite_score(universe: DataFrame) -> DataFrame:
     out = with_earnings(raw_components(universe)).withColumn("monetization_raw", F.col("est_monthly_usd"))
     out = out.drop("ad_rev", "sub_rev", "est_low_usd", "est_high_usd", "est_monthly_usd")
     out = out.withColumns({f"{c}_raw": F.coalesce(f"{c}_raw", F.lit(0.0)) + 0.0 for c in WEIGHTS})
-    n = out.agg(F.count(F.lit(1)).alias("_all"))
-    out = average_ranks(out, "comic_id", [f"{c}_raw" for c in WEIGHTS]).join(F.broadcast(n))
-    out = out.withColumns({f"{c}_pct": F.col(f"{c}_raw_rank") / F.col("_all") for c in WEIGHTS})
-    out = out.drop("_all", *(f"{c}_raw_rank" for c in WEIGHTS))
+    # The universe is made once: values are counted from it and ranks come back to it.
+    out = cut(out)
+    n = out.count()
+    out = average_ranks(out, "comic_id", [f"{c}_raw" for c in WEIGHTS])
+    out = out.withColumns({f"{c}_pct": F.col(f"{c}_raw_rank") / n for c in WEIGHTS}).drop(*(f"{c}_raw_rank" for c in WEIGHTS))
     total = sum((F.col(f"{c}_pct") * w for c, w in WEIGHTS.items()), F.lit(0.0))
-    return out.withColumn("plotscore", rounded(total * 100, 1))
+    return out.withColumn("composite_score", rounded(total * 100, 1))
 
 
 def scored(universe: DataFrame) -> DataFrame:
