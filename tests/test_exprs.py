@@ -34,7 +34,7 @@ def test_text_rules(spark):
     assert one(spark, E.normalize_author("x"), "Kim, Lee / Park") == "kim"
     assert one(spark, E.collapse_ws("x"), " a  \t b ") == "a b" and one(spark, E.collapse_ws("x"), "  ") is None
     assert one(spark, E.title_case("x"), "sci-fi o'neil") == "Sci-Fi O'Neil"
-    assert one(spark, E.slug_to_title("x"), "my-great_story") == "My Great Story"
+    assert one(spark, E.title_of_slug("x"), "my-great_story") == "My Great Story"
     assert one(spark, E.strip_html("x"), "&lt;b&gt;Hi&lt;/b&gt; &amp; <i>you</i>") == "Hi & you"
     assert one(spark, E.clean_author("x"), "[[Kim|Kim A]] {{note}} (art) <br>") == "Kim A"
     assert one(spark, E.safe_id("x"), "a:1/é") == "a_1_é"
@@ -44,8 +44,8 @@ def test_text_rules(spark):
 
 def test_title_candidates(spark):
     for text, good in (("My Title", True), ("28.7K", False), ("UP", False), ("x", False), ("3hr", False), ("Chapter of 1.2M", False), (None, False)):
-        assert one(spark, E.is_titleish("x"), text) is good
-    assert one(spark, E.is_junk_title("x"), "Some Publisher Profile") and not one(spark, E.is_junk_title("x"), "Moon")
+        assert one(spark, E.reads_as_title("x"), text) is good
+    assert one(spark, E.names_no_title("x"), "Some Publisher Profile") and not one(spark, E.names_no_title("x"), "Moon")
 
 
 @pytest.mark.parametrize("text", ["Jan 5, 2024", "January 5, 2024", "2024-01-05", "Jan. 5, 2024"])
@@ -109,4 +109,4 @@ def test_titles_of_any_script_are_normalized(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
     assert any(t and not t.isascii() for t in texts.values())
-    assert {r.item_id: r.title_key for r in QUERIES["b4_normalize_title_all"](spark, d).collect()} == {k: plain(t) for k, t in texts.items()}
+    assert {r.item_id: r.title_key for r in QUERIES["b4_normalize_title"](spark, d).collect()} == {k: plain(t) for k, t in texts.items()}

@@ -97,6 +97,32 @@ def test_fuzzy_match_finds_all_pairs(spark, sf_dir):
         assert got.get(k) == ((-best[1], pytest.approx(best[0])) if best[0] >= 0.6 else None)
 
 
+def test_verification_by_other_titles_and_a_second_source(spark):
+    titles = spark.createDataFrame([("a", "One Long Name Here", "Kim", "fantasy"), ("b", "Nothing", None, None)], "comic_id string, title string, author string, genre string")
+    catalog = spark.createDataFrame(
+        [("x", "Other Words", ["One long name, here!"], "Lee", ["Fantasy"], None)], "ext_id string, title string, alt_titles array<string>, author string, genres array<string>, synopsis string"
+    )
+    wiki = spark.createDataFrame([("w", "One Long Name", "kim", "told")], "ext_id string, title string, author string, synopsis string")
+    got = {r.comic_id: r for r in entities.verify_titles(titles, catalog, second=wiki).collect()}
+    assert (got["a"].ext_id, got["a"].similarity, got["a"].second_id, got["a"].second_similarity) == ("x", 1.0, "w", 0.75)
+    assert (got["a"].author_status, got["a"].genre_status, got["a"].synopsis_sources) == ("verified", "verified", 1)
+    assert (got["b"].ext_id, got["b"].second_id, got["b"].author_status) == (None, None, "unverified")
+    alone = {r.comic_id: r for r in entities.verify_titles(titles, catalog.drop("alt_titles")).collect()}
+    assert alone["a"].ext_id is None
+
+
+def test_documents_hold_the_parts_given(spark, sf_dir):
+    from titlemart.operators import score
+    from titlemart.plans import serve
+    from titlemart.sources import views
+
+    obs = views.obs(spark, sf_dir)
+    units = episodes.unit_table(obs).select("comic_id", "units", "unit_type")
+    rows = serve.title_documents(score.title_universe(obs), obs, parts={"structure": units}).select("comic_id", "structure").collect()
+    want = {r.comic_id: (r.units, r.unit_type) for r in units.collect()}
+    assert {r.comic_id: tuple(r.structure) for r in rows} == want
+
+
 def test_author_labels(spark):
     df = spark.createDataFrame([("Kim Min", "kim m", None), ("Kim", None, None), ("Kim", "Lee", None), (None, None, None)], "o string, a string, b string")
     label, chosen = entities.author_confidence(F.col("o"), [F.col("a"), F.col("b")])

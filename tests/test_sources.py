@@ -83,6 +83,26 @@ def test_link_rules(spark):
     assert [tuple(r) for r in bronze.denylist_index(df, ["deny"]).collect()] == [("One%20Two", "One Two")]
 
 
+def test_a_page_that_cannot_be_parsed_is_an_error(spark, tmp_path):
+    class Fragile(bronze._Anchors):
+        """A parser that fails on one page."""
+
+        def feed(self, data):
+            if "BROKEN" in data:
+                raise ValueError("cannot read this")
+            super().feed(data)
+
+    page = "<ul><li><a href='/books/{0}'><img alt='Title {0}'></a><span>판타지 소설</span><span>4.5</span></li></ul>"
+    rows = [(f"p{k}", "ridibooks", "listing", dt.datetime(2024, 1, 2), page.format(k) + ("BROKEN" if k == 2 else "")) for k in range(1, 4)]
+    pages = spark.createDataFrame(rows, "path string, source string, kind string, scraped_at timestamp, html string")
+    records, manifest = bronze.parse_pages(pages, min_bytes=1, parser=Fragile)
+    got = {r.path: (r.status, r.reason, r.n_records) for r in manifest.collect()}
+    assert got == {"p1": ("ok", None, 1), "p2": ("error", "ValueError: cannot read this", 0), "p3": ("ok", None, 1)}
+    assert {(r.title, r.genre, r.rating) for r in records.collect()} == {("Title 1", "판타지 소설", 4.5), ("Title 3", "판타지 소설", 4.5)}
+    files.write_manifest(manifest, str(tmp_path))
+    assert [r.path for r in spark.read.json(f"{tmp_path}/quarantine").collect()] == ["p2"]
+
+
 def test_colours(spark):
     red = np.zeros((4, 4, 3), np.uint8)
     red[..., 2] = 255  # blue first

@@ -14,13 +14,21 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: A number with its suffix; what an author field drops, and a page's heading.
+NUMBER = r"(-?\d[\d,]*\.?\d*)\s*([BMK]?)"
+NUMBER_STRICT = r"(-?\d[\d,]*\.?\d*)\s*((?:[BMK]\b)?)"
+WIKI_LINK = r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]"
+WIKI_REST = (r"\{\{[^}]*\}\}", "<[^>]+>", r"\([^)]*\)")
+READ_PREFIX, TITLE_BAR = r"(?i)^\s*read\s+", r"\s+\|\s+"
+
+
 def clean_metric(text: Column | str, *, strict_suffix: bool = False) -> Column:
     """``'UP 26.6K'`` -> 26600: first number with an optional B, M or K; none -> 0.
 
     By default the suffix is any letter that follows, as in ``'5 books'`` -> 5 billion; ``strict_suffix`` asks for a word's end.
     """
     up = F.upper(F.trim(_col(text)))
-    pattern = r"(-?\d[\d,]*\.?\d*)\s*([BMK]?)" if not strict_suffix else r"(-?\d[\d,]*\.?\d*)\s*((?:[BMK]\b)?)"
+    pattern = NUMBER_STRICT if strict_suffix else NUMBER
     number = F.regexp_replace(F.regexp_extract(up, pattern, 1), ",", "").try_cast("double")
     suffix = F.regexp_extract(up, pattern, 2)
     factor = F.when(suffix == "B", 1e9).when(suffix == "M", 1e6).when(suffix == "K", 1e3).otherwise(1.0)
@@ -104,6 +112,12 @@ def token_jaccard(a: Column | str, b: Column | str) -> Column:
     )
 
 
+def script_language(c: Column | str) -> Column:
+    """The language that a title's script tells of: Korean, Japanese, Chinese, else English."""
+    c = _col(c)
+    return F.when(c.rlike("[가-힣]"), "ko").when(c.rlike("[぀-ヿ]"), "ja").when(c.rlike("[一-鿿]"), "zh").otherwise("en")
+
+
 def best_match(a: Column, candidates: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(candidates, lambda b: token_jaccard(a, b))), F.lit(0.0))
 
@@ -114,8 +128,8 @@ def strip_html(c: Column | str) -> Column:
 
 def clean_author(c: Column | str) -> Column:
     """An author field of a wiki infobox without links, templates, tags and remarks in brackets."""
-    t = F.regexp_replace(_col(c), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
-    for pattern in (r"\{\{[^}]*\}\}", "<[^>]+>", r"\([^)]*\)"):
+    t = F.regexp_replace(_col(c), WIKI_LINK, "$1")
+    for pattern in WIKI_REST:
         t = F.regexp_replace(t, pattern, " ")
     return collapse_ws(t)
 
@@ -199,16 +213,16 @@ JUNK_TITLES = ("comics", "webcomics", "releases", "read more", "home", "profile"
 
 
 def clean_detail_title(c: Column | str) -> Column:
-    t = F.regexp_replace(F.regexp_replace(_col(c), r"(?i)^\s*read\s+", ""), SITE_SUFFIX, "")
-    return collapse_ws(F.element_at(F.split(t, r"\s+\|\s+", -1), 1))
+    t = F.regexp_replace(F.regexp_replace(_col(c), READ_PREFIX, ""), SITE_SUFFIX, "")
+    return collapse_ws(F.element_at(F.split(t, TITLE_BAR, -1), 1))
 
 
-def is_junk_title(c: Column | str) -> Column:
+def names_no_title(c: Column | str) -> Column:
     t = F.lower(F.trim(_col(c)))
     return t.isin(*JUNK_TITLES) | t.contains("publisher profile") | t.endswith(" profile")
 
 
-def is_titleish(c: Column | str) -> Column:
+def reads_as_title(c: Column | str) -> Column:
     t = F.trim(_col(c))
     reject = F.lit(False)
     for pattern in (NUMERIC, CHROME, METRIC_TOKEN, TIME_TOKEN):
@@ -216,5 +230,5 @@ def is_titleish(c: Column | str) -> Column:
     return F.coalesce((F.char_length(t) >= 2) & ~reject, F.lit(False))
 
 
-def slug_to_title(c: Column | str) -> Column:
+def title_of_slug(c: Column | str) -> Column:
     return title_case(F.trim(F.regexp_replace(_col(c), "[-_]+", " ")))

@@ -163,6 +163,14 @@ def z_scores(df: DataFrame, value: str, *by: str, threshold: float = 2.0) -> Dat
     return df.withColumn("z", z).withColumn("outlier", F.abs("z") > threshold)
 
 
+def market_scores(days: DataFrame, scores: DataFrame) -> DataFrame:
+    """By day: mean score and modelled revenue of the titles seen, and how many of them have a rank."""
+    s = scores.select("comic_id", "composite_score", "est_usd")
+    return days.join(s, "comic_id", "left").groupBy("date").agg(
+        F.avg("composite_score").alias("mean_score"), F.sum("est_usd").alias("est_usd"), F.count("rank").alias("ranked_titles"), F.count(F.lit(1)).alias("titles")
+    )
+
+
 def market_over_time(gold: DataFrame, first_seen: DataFrame) -> DataFrame:
     """By day: titles, new titles, reach so far, HHI over genres.  The running sum is over days, few rows."""
     by_genre = gold.groupBy("date", "genre").agg(F.sum("views").alias("v"))

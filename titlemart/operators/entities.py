@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import normalize_author, normalize_title, norm_match_text, token_jaccard, tokens
+from ..functions.lineage import cut
 
 
 def _entity_id(prefix: str, key: Column) -> Column:
@@ -25,7 +26,7 @@ def resolve_ip(scored: DataFrame) -> DataFrame:
         F.max_by("title", F.struct(F.char_length("title"), "title")).alias("title"),
         F.countDistinct("source").alias("n_platforms"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("platforms"),
         F.count(F.lit(1)).alias("variants"), F.sum("views").alias("views"), F.coalesce(F.sum("subscribers"), F.lit(0)).alias("subscribers"),
-        F.sum("likes").alias("likes"), F.max("plotscore").alias("best_score"),
+        F.sum("likes").alias("likes"), F.max("composite_score").alias("best_score"),
         F.min_by("genre", F.when(F.col("genre").isNotNull(), F.col("comic_id"))).alias("genre"),
         F.min_by("author", F.when(F.col("author").isNotNull(), F.col("comic_id"))).alias("author"),
     )
@@ -36,7 +37,7 @@ def resolve_authors(scored: DataFrame) -> DataFrame:
     keyed = scored.withColumn("author_key", normalize_author("author")).filter(F.char_length("author_key") >= 2)
     return keyed.groupBy("author_key").agg(
         F.min("author").alias("author"), F.count(F.lit(1)).alias("titles"), F.countDistinct("source").alias("platforms"),
-        F.sum("views").alias("views"), F.max("plotscore").alias("best_score"), F.avg("plotscore").alias("avg_score"),
+        F.sum("views").alias("views"), F.max("composite_score").alias("best_score"), F.avg("composite_score").alias("avg_score"),
     ).withColumn("author_id", _entity_id("au:", F.col("author_key")))
 
 
@@ -49,11 +50,12 @@ def top_ip(ip: DataFrame, limit: int = 25) -> DataFrame:
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) -> DataFrame:
-    """Of each (l_id, text), the best (r_id, text) by word Jaccard at or over the threshold: (l_id, r_id, similarity).
+    """Of each l_id, the best r_id by word Jaccard of their texts at or over the threshold: (l_id, r_id, similarity).
 
-    Two sets that similar share a word among each one's first ``n - ceil(threshold * n) + 1`` words in any common order.
-    Words are ordered rarest first, so the join meets on rare words, and sizes must be within the threshold of each other.  Texts
-    are compared once for each distinct normalised text, not once a row.
+    An id may have several texts (alternative titles), one a row; its best pair counts, and of equal ones the smallest r_id.  Two sets that similar
+    share a word among each one's first ``n - ceil(threshold * n) + 1`` words in any common order.  Words are ordered rarest first, so the join
+    meets on rare words, and sizes must be within the threshold of each other.  Texts are compared once for each distinct normalised text, and
+    what they meet on is made once.
     """
 
     def sets(df: DataFrame, key: str) -> DataFrame:
@@ -61,26 +63,25 @@ def fuzzy_match(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) ->
         return df.select(key, text.alias("t")).filter("t <> ''")
 
     a, b = sets(left, "l_id"), sets(right, "r_id")
-    texts = a.select("t").union(b.select("t")).distinct().withColumn("w", tokens(F.col("t")))
-    rare = texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    sided = a.select("t", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(b.select("t", F.lit(False).alias("l"), F.lit(True).alias("r")))
+    texts = cut(sided.groupBy("t").agg(F.max("l").alias("l"), F.max("r").alias("r")).withColumn("w", tokens(F.col("t"))))
+    words = texts.select("t", "l", "r", F.size("w").alias("n"), F.explode("w").alias("word"))
+    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     w = W.partitionBy("t").orderBy("df", "word")
-    placed = texts.select("t", F.size("w").alias("n"), F.explode("w").alias("word")).join(rare, "word").withColumn("k", F.row_number().over(w))
-    prefix = placed.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", "n", "word")
-    one, two = a.select("t").distinct(), b.select("t").distinct()
-    pl = prefix.join(one, "t", "left_semi").select(F.col("t").alias("ta"), F.col("n").alias("na"), "word")
-    pr = prefix.join(two, "t", "left_semi").select(F.col("t").alias("tb"), F.col("n").alias("nb"), "word")
+    placed = words.join(rare, "word").withColumn("k", F.row_number().over(w))
+    prefix = cut(placed.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", "l", "r", "n", "word"))
+    pl = prefix.filter("l").select(F.col("t").alias("ta"), F.col("n").alias("na"), "word")
+    pr = prefix.filter("r").select(F.col("t").alias("tb"), F.col("n").alias("nb"), "word")
     pairs = (
         pl.join(pr, "word")
         .filter((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
         .select("ta", "tb").distinct()
         .withColumn("similarity", token_jaccard("ta", "tb")).filter(F.col("similarity") >= threshold)
     )
-    # A text's best partner first: every l_id of it gets the same similarity, the smallest r_id of the best.
+    best = lambda r: F.min_by(r, F.struct(-F.col("similarity"), r))
     smallest = b.groupBy(F.col("t").alias("tb")).agg(F.min("r_id").alias("r_id"))
-    best = pairs.join(smallest, "tb").groupBy("ta").agg(
-        F.max("similarity").alias("similarity"), F.min_by("r_id", F.struct(-F.col("similarity"), "r_id")).alias("r_id")
-    )
-    return a.join(best, a.t == best.ta).select("l_id", "r_id", "similarity")
+    of_text = pairs.join(smallest, "tb").groupBy("ta").agg(best("r_id").alias("r_id"), F.max("similarity").alias("similarity"))
+    return a.join(of_text, a.t == of_text.ta).groupBy("l_id").agg(best("r_id").alias("r_id"), F.max("similarity").alias("similarity"))
 
 
 def author_confidence(official: Column, external: list[Column]) -> tuple[Column, Column]:
@@ -144,7 +145,7 @@ def crawl_targets(obs: DataFrame, *, source: str | None = None, limit: int = 300
 
 def cover_targets(scored: DataFrame, have: DataFrame, limit: int = 500) -> DataFrame:
     left = scored.filter("cover_url IS NOT NULL").join(have, "comic_id", "left_anti")
-    return left.orderBy(F.desc_nulls_last("plotscore"), "comic_id").limit(limit).select("comic_id", "cover_url", "plotscore")
+    return left.orderBy(F.desc_nulls_last("composite_score"), "comic_id").limit(limit).select("comic_id", "cover_url", "composite_score")
 
 
 def thin_snapshots(snapshots: DataFrame, *, limit: int, keys: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -156,23 +157,38 @@ def thin_snapshots(snapshots: DataFrame, *, limit: int, keys: tuple[str, ...] =
     return once.withColumns({"_k": k, "_n": n}).filter((F.col("_n") - 1) % F.col("_k") == 0).drop("_k", "_n")
 
 
-def verify_titles(titles: DataFrame, catalog: DataFrame, *, threshold: float = 0.9) -> DataFrame:
+def verify_titles(
+    titles: DataFrame, catalog: DataFrame, *, threshold: float = 0.9, second: DataFrame | None = None, second_threshold: float = 0.6
+) -> DataFrame:
     """Each title beside its best record of an outside catalog (ext_id, title, author, genres, synopsis), with labels.
 
-    Author: see ``author_confidence``.  Genre: verified if it is among the record's genres, by its key, unverified without any, else
-    conflict.  Synopsis: in how many places there is one.
+    A record may have more titles in ``alt_titles``; the best of all counts.  ``second`` is another source of (ext_id, title, author, synopsis), an
+    encyclopedia, whose titles need to be less alike.  Author: see ``author_confidence``.  Genre: verified if it is among the record's genres, by its key,
+    unverified without any, else conflict.  Synopsis: in how many places there is one.
     """
-    match = fuzzy_match(
-        titles.select(F.col("comic_id").alias("l_id"), F.col("title").alias("text")),
-        catalog.select(F.col("ext_id").alias("r_id"), F.col("title").alias("text")), threshold=threshold,
-    )
+    own = titles.select(F.col("comic_id").alias("l_id"), F.col("title").alias("text"))
+
+    def matched(source: DataFrame, least: float, id_: str) -> DataFrame:
+        said = F.array("title")
+        if "alt_titles" in source.columns:
+            said = F.concat(said, F.coalesce("alt_titles", F.array().cast("array<string>")))
+        match = fuzzy_match(own, source.select(F.col("ext_id").alias("r_id"), F.explode(said).alias("text")), threshold=least)
+        return match.withColumnsRenamed({"l_id": "comic_id", "r_id": id_})
+
     outside = catalog.select("ext_id", F.col("author").alias("ext_author"), "genres", F.col("synopsis").alias("ext_synopsis"))
-    rows = titles.join(match.withColumnsRenamed({"l_id": "comic_id", "r_id": "ext_id"}), "comic_id", "left").join(outside, "ext_id", "left")
-    label, chosen = author_confidence(F.col("author"), [F.col("ext_author")])
+    rows = titles.join(matched(catalog, threshold, "ext_id"), "comic_id", "left").join(outside, "ext_id", "left")
+    authors, synopses = [F.col("ext_author")], ["ext_synopsis"]
+    more: list[str] = []
+    if second is not None:
+        other = second.select(F.col("ext_id").alias("second_id"), F.col("author").alias("second_author"), F.col("synopsis").alias("second_synopsis"))
+        found = matched(second, second_threshold, "second_id").withColumnRenamed("similarity", "second_similarity")
+        rows = rows.join(found, "comic_id", "left").join(other, "second_id", "left")
+        authors, synopses, more = [*authors, F.col("second_author")], [*synopses, "second_synopsis"], ["second_id", "second_similarity"]
+    label, chosen = author_confidence(F.col("author"), authors)
     held = F.array_contains(F.transform("genres", lambda g: F.lower(g)), F.lower("genre"))
     genre = F.when(held, "verified").when(F.coalesce(F.size("genres"), F.lit(0)) == 0, "unverified").otherwise("conflict")
-    synopsis = F.col("synopsis") if "synopsis" in titles.columns else F.lit(None)
+    told = [F.col(c) for c in synopses] + ([F.col("synopsis")] if "synopsis" in titles.columns else [])
     return rows.select(
-        "comic_id", "ext_id", "similarity", label.alias("author_status"), chosen.alias("author"), genre.alias("genre_status"),
-        (F.when(synopsis.isNotNull(), 1).otherwise(0) + F.when(F.col("ext_synopsis").isNotNull(), 1).otherwise(0)).alias("synopsis_sources"),
+        "comic_id", "ext_id", "similarity", *more, label.alias("author_status"), chosen.alias("author"), genre.alias("genre_status"),
+        sum((F.when(c.isNotNull(), 1).otherwise(0) for c in told), F.lit(0)).alias("synopsis_sources"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hhi_band
+from ..functions.exprs import hhi_band, script_language
 from .daily import hhi
 
 
@@ -20,8 +20,8 @@ def genre_kpi(scored: DataFrame) -> DataFrame:
         scored.filter(F.coalesce("genre", F.lit("")) != "")
         .groupBy("genre")
         .agg(
-            F.count(F.lit(1)).alias("titles"), F.sum(reach).alias("reach"), F.avg("plotscore").alias("avg_score"),
-            F.max("plotscore").alias("top_score"), F.avg("momentum").alias("avg_momentum"), F.sum("est_usd").alias("est_usd"),
+            F.count(F.lit(1)).alias("titles"), F.sum(reach).alias("reach"), F.avg("composite_score").alias("avg_score"),
+            F.max("composite_score").alias("top_score"), F.avg("momentum").alias("avg_momentum"), F.sum("est_usd").alias("est_usd"),
             hhi(reach).alias("hhi"), F.avg("rating").alias("avg_rating"), (F.avg("like_through") * 100).alias("like_through_pct"),
             _share(F.col("content_type") == "novel").alias("novel_pct"),
         )
@@ -34,7 +34,7 @@ def platform_kpi(scored: DataFrame) -> DataFrame:
     return scored.groupBy("source").agg(
         F.count(F.lit(1)).alias("titles"), F.sum("reach_raw").alias("reach"),
         F.coalesce(F.sum("subscribers"), F.lit(0)).alias("subscribers"), F.sum("likes").alias("likes"),
-        F.avg("plotscore").alias("avg_score"), F.sum("est_usd").alias("est_usd"), F.avg("rating").alias("avg_rating"),
+        F.avg("composite_score").alias("avg_score"), F.sum("est_usd").alias("est_usd"), F.avg("rating").alias("avg_rating"),
         (F.avg("like_through") * 100).alias("like_through_pct"), _share(cover).alias("cover_pct"),
         _share(F.col("content_type") == "novel").alias("novel_pct"),
     )
@@ -43,13 +43,13 @@ def platform_kpi(scored: DataFrame) -> DataFrame:
 def author_kpi(scored: DataFrame) -> DataFrame:
     return scored.filter("author IS NOT NULL").groupBy("author").agg(
         F.count(F.lit(1)).alias("titles"), F.countDistinct("source").alias("platforms"), F.sum("reach_raw").alias("reach"),
-        F.max("plotscore").alias("best_score"), F.avg("plotscore").alias("avg_score"), F.sum("est_usd").alias("est_usd"),
+        F.max("composite_score").alias("best_score"), F.avg("composite_score").alias("avg_score"), F.sum("est_usd").alias("est_usd"),
     )
 
 
 def publisher_kpi(scored: DataFrame) -> DataFrame:
     return scored.filter("publisher IS NOT NULL").groupBy("publisher").agg(
-        F.count(F.lit(1)).alias("titles"), F.sum("reach_raw").alias("reach"), F.avg("plotscore").alias("avg_score"),
+        F.count(F.lit(1)).alias("titles"), F.sum("reach_raw").alias("reach"), F.avg("composite_score").alias("avg_score"),
         F.sum("est_usd").alias("est_usd"),
     )
 
@@ -103,7 +103,8 @@ def author_table(scored: DataFrame) -> DataFrame:
     return scored.filter("author IS NOT NULL").groupBy("author").agg(
         F.array_join(F.array_sort(F.collect_set("genre")), ", ").alias("genres"),
         F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"),
-        F.max_by("title", F.struct("plotscore", "comic_id")).alias("top_title"), F.count(F.lit(1)).alias("titles"),
+        F.array_join(F.array_sort(F.collect_set(script_language("title"))), ", ").alias("languages"),
+        F.max_by("title", F.struct("composite_score", "comic_id")).alias("top_title"), F.count(F.lit(1)).alias("titles"),
     )
 
 
@@ -111,5 +112,17 @@ def platform_cards(scored: DataFrame, top: int = 3) -> DataFrame:
     """The best titles of each platform."""
     from pyspark.sql import Window as W
 
-    best = W.partitionBy("source").orderBy(F.desc("plotscore"), "comic_id")
-    return scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= top).select("source", "nth", "comic_id", "title", "plotscore")
+    best = W.partitionBy("source").orderBy(F.desc("composite_score"), "comic_id")
+    return scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= top).select("source", "nth", "comic_id", "title", "composite_score")
+
+
+def platform_coverage(scored: DataFrame, units: DataFrame) -> DataFrame:
+    """By platform: percent of titles with measures, genre, author and status, and how many episodes, chapters and volumes they come to."""
+    status = F.col("status") if "status" in scored.columns else F.lit(None)
+    u = units.select("comic_id", "episode_count", "chapter_count", "volume_count")
+    depth = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"{c.split('_')[0]}s")
+    return scored.join(u, "comic_id", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("titles"), _share((F.col("views") > 0) | (F.col("subscribers") > 0)).alias("metrics_pct"),
+        _share(F.col("genre").isNotNull()).alias("genre_pct"), _share(F.col("author").isNotNull()).alias("author_pct"),
+        _share(status.isNotNull()).alias("status_pct"), *(depth(c) for c in u.columns[1:]),
+    )

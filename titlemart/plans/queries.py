@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions.tables import PLATFORM_NAMES
 from ..operators import anomalies, daily, entities, episodes, kpi, quality, score, stats
 from ..operators.keys import dense_key, first_row, latest_row
 from ..schema import order_of, validated
@@ -54,7 +55,7 @@ pct AS (SELECT *, {", ".join(_pct(c) for c in ("reach", "momentum", "engagement"
 scored AS (
   SELECT * EXCLUDE (monetization_raw), monetization_raw AS est_usd,
     floor((reach_pct * 0.30::DOUBLE + momentum_pct * 0.25::DOUBLE + engagement_pct * 0.20::DOUBLE + monetization_pct * 0.15::DOUBLE
-      + quality_pct * 0.10::DOUBLE) * 100 * 10 + 0.5::DOUBLE) / 10 AS plotscore,
+      + quality_pct * 0.10::DOUBLE) * 100 * 10 + 0.5::DOUBLE) / 10 AS composite_score,
     CASE WHEN n_obs > 1 THEN first_rank - latest_rank END AS momentum,
     CASE WHEN views > 0 THEN likes::DOUBLE / views END AS like_through,
     CASE WHEN views > 0 THEN subscribers::DOUBLE / views END AS subs_per_view
@@ -74,6 +75,7 @@ latest AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY comic_id OR
 
 EPS = f"WITH {V.EPISODES_SQL}"
 
+_SCRIPT = "CASE WHEN regexp_matches(title, '[가-힣]') THEN 'ko' WHEN regexp_matches(title, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(title, '[一-鿿]') THEN 'zh' ELSE 'en' END"
 HHI = "CASE WHEN sum({0}) = 0 THEN 0.0 ELSE sum({0}::DOUBLE * {0}::DOUBLE) / (sum({0}::DOUBLE) * sum({0}::DOUBLE)) * 10000 END"
 BAND = "CASE WHEN {0} > 2500 THEN 'Concentrated' WHEN {0} > 1500 THEN 'Moderate' ELSE 'Competitive' END"
 ENG = "likes::DOUBLE / CASE WHEN views > 0 THEN views ELSE 1 END"
@@ -114,18 +116,15 @@ def b1_clean_metric(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", E.clean_metric(F.concat(F.expr("substr(source, 4)"), tail)).alias("metric"))
 
 
-@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')),
-    '\(.*?\)|\[.*?\]|\{.*?\}', ' ', 'g'), '\b(season|vol|volume|part|book|chapter|ch|s)\s*\.?\s*\d+\b', ' ', 'g'),
-    '[^\p{L}\p{N}_\s]', ' ', 'g'), '\b(the|a|an|official|uncensored|complete|completed|webtoon|comic|novel)\b', ' ', 'g'), '\s+', ' ', 'g')) AS title_key
-  FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
-def b4_normalize_title(spark: SparkSession, d: str) -> DataFrame:
-    plain = V.table(spark, d, "benchmark").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("item_id", E.normalize_title("text").alias("title_key"))
+# The SQL's word boundaries are ASCII's, so it spells them out: a pattern takes the letter beside it along and gives it back, twice, as neighbours share one.
+_VOLUME_SQL = r"""'(^|[^\p{L}\p{N}_])(season|vol|volume|part|book|chapter|ch|s)\s*\.?\s*\d+($|[^\p{L}\p{N}_])', '\1 \3', 'g')"""
 
 
-@query()
-def b4_normalize_title_all(spark: SparkSession, d: str) -> DataFrame:
-    """All rows, those that the SQL of b4_normalize_title leaves out too: the two dialects' word boundaries differ beyond ASCII."""
+@query(rf"""WITH v AS (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\(.*?\)|\[.*?\]|\{{.*?\}}', ' ', 'g'),
+    {_VOLUME_SQL}, {_VOLUME_SQL} AS t FROM benchmark),
+  w AS (SELECT item_id, string_split_regex(regexp_replace(t, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+') AS w FROM v)
+  SELECT item_id, array_to_string([x for x in w if x NOT IN ('', 'the', 'a', 'an', 'official', 'uncensored', 'complete', 'completed', 'webtoon', 'comic', 'novel')], ' ') AS title_key FROM w""")
+def b4_normalize_title(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "benchmark").select("item_id", E.normalize_title("text").alias("title_key"))
 
 
@@ -279,10 +278,10 @@ def f4_earnings_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("titles", *(F.round(c, 2).alias(c) for c in t.columns[1:]))
 
 
-@query(f"{SCORED} SELECT comic_id, reach_pct, momentum_pct, engagement_pct, monetization_pct, quality_pct, plotscore FROM scored")
+@query(f"{SCORED} SELECT comic_id, reach_pct, momentum_pct, engagement_pct, monetization_pct, quality_pct, composite_score FROM scored")
 def f5_composite_score(spark: SparkSession, d: str) -> DataFrame:
     s = score.composite_score(score.title_universe(V.obs(spark, d)))
-    return s.select("comic_id", "reach_pct", "momentum_pct", "engagement_pct", "monetization_pct", "quality_pct", "plotscore")
+    return s.select("comic_id", "reach_pct", "momentum_pct", "engagement_pct", "monetization_pct", "quality_pct", "composite_score")
 
 
 @query(f"{SCORED} SELECT comic_id, est_usd, momentum, like_through, subs_per_view, comments FROM scored")
@@ -306,7 +305,7 @@ def f9_conversion(spark: SparkSession, d: str) -> DataFrame:
 # --- aggregates and KPI tables ---------------------------------------------------------------------------------------
 
 
-@query(f"""{SCORED}, g AS (SELECT genre, count(*) AS titles, sum(reach_raw) AS reach, avg(plotscore) AS avg_score, max(plotscore) AS top_score,
+@query(f"""{SCORED}, g AS (SELECT genre, count(*) AS titles, sum(reach_raw) AS reach, avg(composite_score) AS avg_score, max(composite_score) AS top_score,
     avg(momentum) AS avg_momentum, sum(est_usd) AS est_usd, {HHI.format("reach_raw")} AS hhi, avg(rating) AS avg_rating,
     avg(like_through) * 100 AS like_through_pct, avg(CASE WHEN content_type = 'novel' THEN 1 ELSE 0 END) * 100 AS novel_pct FROM scored WHERE genre <> '' GROUP BY 1)
   SELECT *, {BAND.format("hhi")} AS band, reach / titles AS whitespace FROM g""")
@@ -315,19 +314,19 @@ def g3_genre_kpi(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{SCORED} SELECT source, count(*) AS titles, sum(reach_raw) AS reach, coalesce(sum(subscribers), 0)::BIGINT AS subscribers, sum(likes)::BIGINT AS likes,
-    avg(plotscore) AS avg_score, sum(est_usd) AS est_usd, avg(rating) AS avg_rating, avg(like_through) * 100 AS like_through_pct, 0.0::DOUBLE AS cover_pct,
+    avg(composite_score) AS avg_score, sum(est_usd) AS est_usd, avg(rating) AS avg_rating, avg(like_through) * 100 AS like_through_pct, 0.0::DOUBLE AS cover_pct,
     avg(CASE WHEN content_type = 'novel' THEN 1 ELSE 0 END) * 100 AS novel_pct FROM scored GROUP BY 1""")
 def g4_platform_kpi(spark: SparkSession, d: str) -> DataFrame:
     return kpi.platform_kpi(_scored(spark, d))
 
 
-@query(f"""{SCORED} SELECT author, count(*) AS titles, count(DISTINCT source) AS platforms, sum(reach_raw) AS reach, max(plotscore) AS best_score,
-    avg(plotscore) AS avg_score, sum(est_usd) AS est_usd FROM scored WHERE author IS NOT NULL GROUP BY 1""")
+@query(f"""{SCORED} SELECT author, count(*) AS titles, count(DISTINCT source) AS platforms, sum(reach_raw) AS reach, max(composite_score) AS best_score,
+    avg(composite_score) AS avg_score, sum(est_usd) AS est_usd FROM scored WHERE author IS NOT NULL GROUP BY 1""")
 def g5_author_kpi(spark: SparkSession, d: str) -> DataFrame:
     return kpi.author_kpi(_scored(spark, d))
 
 
-@query(f"""{SCORED} SELECT publisher, count(*) AS titles, sum(reach_raw) AS reach, avg(plotscore) AS avg_score, sum(est_usd) AS est_usd
+@query(f"""{SCORED} SELECT publisher, count(*) AS titles, sum(reach_raw) AS reach, avg(composite_score) AS avg_score, sum(est_usd) AS est_usd
   FROM scored WHERE publisher IS NOT NULL GROUP BY 1""")
 def g6_publisher_kpi(spark: SparkSession, d: str) -> DataFrame:
     return kpi.publisher_kpi(_scored(spark, d))
@@ -388,7 +387,15 @@ def g13_z_scores(spark: SparkSession, d: str) -> DataFrame:
     return daily.z_scores(_daily(spark, d), "views", "genre").select("comic_id", "date", "z")
 
 
-@query()
+@query(f"""{DAILY}, w AS (SELECT genre, source, date_trunc('week', date)::DATE AS week_start, sum(views)::BIGINT AS total_views FROM daily GROUP BY 1, 2, 3),
+  s AS (SELECT *, row_number() OVER k - 1 AS i, total_views::DOUBLE AS y, lag(total_views) OVER k AS b FROM w WINDOW k AS (PARTITION BY genre, source ORDER BY week_start)),
+  v AS (SELECT *, CASE WHEN b > 0 THEN (y - b) / b ELSE 0.0 END AS velocity FROM s),
+  p AS (SELECT a.genre, a.source, sum(sign(b.y - a.y))::DOUBLE AS s FROM s a JOIN s b ON a.genre = b.genre AND a.source = b.source AND a.i < b.i GROUP BY 1, 2),
+  n AS (SELECT genre, source, count(*) AS n, count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18.0::DOUBLE AS var, regr_r2(y, i) AS r2, regr_syy(y, i) AS syy FROM s GROUP BY 1, 2),
+  z AS (SELECT *, CASE WHEN n < 3 THEN 0.0 WHEN s > 0 THEN (s - 1) / sqrt(var) WHEN s < 0 THEN (s + 1) / sqrt(var) ELSE 0.0 END AS z FROM n LEFT JOIN p USING (genre, source))
+  SELECT genre, source, week_start, total_views, velocity AS view_velocity, velocity - coalesce(lag(velocity) OVER (PARTITION BY genre, source ORDER BY week_start), 0.0) AS view_acceleration,
+    CASE WHEN abs(z) <= 1.959963984540054 THEN 'Stable' WHEN s > 0 THEN 'Rising' ELSE 'Falling' END AS trend_status, round(z, 4) AS mann_kendall_z, CASE WHEN n < 3 OR syy = 0 THEN 0.0 ELSE r2 END AS r_squared, n AS n_points
+  FROM v JOIN z USING (genre, source)""")
 def g14_weekly_trends(spark: SparkSession, d: str) -> DataFrame:
     return stats.weekly_trends(_daily(spark, d))
 
@@ -436,6 +443,7 @@ def h4_weekly_releases(spark: SparkSession, d: str) -> DataFrame:
     return episodes.weekly_releases(V.episodes(spark, d))
 
 
+_UNIT_CTE = "u AS (SELECT comic_id, max(episode_count) AS units FROM obs GROUP BY 1)"
 _UNITS = f"""WITH {V.OBS_SQL}, u AS (SELECT comic_id, arg_max(source, ord) AS source, arg_max(genre, ord) AS genre, arg_max(content_type, ord) AS content_type,
   max(episode_count) AS units FROM obs GROUP BY 1)"""
 
@@ -494,12 +502,40 @@ def i3_trend_report(spark: SparkSession, d: str) -> DataFrame:
     return stats.trend_report(_daily(spark, d))
 
 
+@query(f"""{DAILY}, g AS (SELECT genre, date, sum(views)::DOUBLE AS y, count(DISTINCT comic_id) AS titles, avg({ENG}) AS e FROM daily WHERE genre <> '' GROUP BY 1, 2),
+  s AS (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY date) - 1 AS i FROM g),
+  p AS (SELECT a.genre, sum(sign(b.y - a.y))::DOUBLE AS s, median((b.y - a.y) / (b.i - a.i)) AS sen FROM s a JOIN s b ON a.genre = b.genre AND a.i < b.i GROUP BY 1),
+  n AS (SELECT genre, count(*) AS days, sum(y)::BIGINT AS total_views, max(titles) AS max_titles, avg(e) AS mean_engagement, CASE WHEN avg(y) = 0 THEN 0.0 ELSE stddev_pop(y) / avg(y) END AS cv,
+    count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18.0::DOUBLE AS var, regr_slope(y, i) AS slope, regr_r2(y, i) AS r2 FROM s GROUP BY 1 HAVING count(*) >= 3),
+  z AS (SELECT *, CASE WHEN s > 0 THEN (s - 1) / sqrt(var) WHEN s < 0 THEN (s + 1) / sqrt(var) ELSE 0.0 END AS mk_z FROM n JOIN p USING (genre)),
+  c AS (SELECT genre, {HHI.format("v")} AS hhi, sum(v) AS total FROM (SELECT genre, comic_id, sum(views) AS v FROM daily GROUP BY 1, 2) GROUP BY 1)
+  SELECT genre, days, total_views, max_titles, mean_engagement, cv, CASE WHEN abs(mk_z) <= 1.959963984540054 THEN 'Stable' WHEN s > 0 THEN 'Rising' ELSE 'Falling' END AS trend, mk_z, sen AS sen_slope, slope, r2, hhi,
+    CASE WHEN total = 0 THEN 'N/A' ELSE {BAND.format("hhi")} END AS band, CASE WHEN cv > 0.5 THEN 'High' WHEN cv > 0.2 THEN 'Medium' ELSE 'Low' END AS volatility FROM z JOIN c USING (genre)""")
+def i3_trend_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The report without what comes from p-values, which SQL has no functions for."""
+    return stats.trend_report(_daily(spark, d)).drop("mk_p", "lin_p", "both_significant")
+
+
+@query(f"""{DAILY} SELECT genre, CASE WHEN s > 0.5 THEN 'High' WHEN s > 0.2 THEN 'Medium' ELSE 'Low' END AS volatility FROM (SELECT genre, stddev_pop(views) / avg(views) AS s FROM daily GROUP BY 1)""")
+def b16_volatility_band(spark: SparkSession, d: str) -> DataFrame:
+    return _daily(spark, d).groupBy("genre").agg(daily.cv(F.col("views")).alias("cv")).select("genre", E.volatility_band("cv").alias("volatility"))
+
+
+@query(r"""WITH s AS (SELECT s_suppkey, '[[writers|' || s_name || ']] {{who}} <b>and</b> (pen name) [[Ann ' || s_suppkey % 7 || ']]' AS raw FROM supplier),
+  a AS (SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\[\[(?:[^\]|]*\|)?([^\]]*)\]\]', '\1', 'g'), '\{\{[^}]*\}\}', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '\s+', ' ', 'g')) AS author FROM s)
+  SELECT s_suppkey, author, array_to_string([x for x in string_split(trim(regexp_replace(lower(author), '[^0-9a-z가-힣぀-ヿ一-鿿]+', ' ', 'g')), ' ') if length(x) > 1], ' ') AS words FROM a""")
+def b10_clean_author(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit("[[writers|"), "s_name", F.lit("]] {{who}} <b>and</b> (pen name) [[Ann "), (F.col("s_suppkey") % 7).cast("string"), F.lit("]]"))
+    author = E.clean_author(raw)
+    return V.table(spark, d, "supplier").select("s_suppkey", author.alias("author"), F.array_join(E.author_tokens(author), " ").alias("words"))
+
+
 # --- entities --------------------------------------------------------------------------------------------------------
 
 IP = f"""{SCORED}, k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(title), '\\b(the|a|an|official|uncensored|complete|completed|webtoon|comic|novel)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS key0 FROM scored),
 ip AS (SELECT CASE WHEN length(key0) < 2 THEN comic_id ELSE key0 END AS ip_key, arg_max(title, lpad(length(title)::VARCHAR, 6, '0') || title) AS title,
   count(DISTINCT source) AS n_platforms, array_to_string(list_sort(list(DISTINCT source)), ', ') AS platforms, count(*) AS variants, sum(views)::BIGINT AS views,
-  coalesce(sum(subscribers), 0)::BIGINT AS subscribers, sum(likes)::BIGINT AS likes, max(plotscore) AS best_score,
+  coalesce(sum(subscribers), 0)::BIGINT AS subscribers, sum(likes)::BIGINT AS likes, max(composite_score) AS best_score,
   arg_min(genre, comic_id) AS genre, arg_min(author, comic_id) AS author FROM k GROUP BY 1)"""
 
 
@@ -509,8 +545,8 @@ def j1_resolve_ip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{SCORED}, k AS (SELECT *, trim(regexp_replace(split_part(split_part(lower(author), '/', 1), ',', 1), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')) AS author_key FROM scored WHERE author IS NOT NULL)
-  SELECT author_key, min(author) AS author, count(*) AS titles, count(DISTINCT source) AS platforms, sum(views)::BIGINT AS views, max(plotscore) AS best_score,
-    avg(plotscore) AS avg_score, 'au:' || substr(sha256(author_key), 1, 12) AS author_id FROM k WHERE length(author_key) >= 2 GROUP BY 1""")
+  SELECT author_key, min(author) AS author, count(*) AS titles, count(DISTINCT source) AS platforms, sum(views)::BIGINT AS views, max(composite_score) AS best_score,
+    avg(composite_score) AS avg_score, 'au:' || substr(sha256(author_key), 1, 12) AS author_id FROM k WHERE length(author_key) >= 2 GROUP BY 1""")
 def j2_resolve_authors(spark: SparkSession, d: str) -> DataFrame:
     return entities.resolve_authors(_scored(spark, d))
 
@@ -526,13 +562,18 @@ def j4_top_ip(spark: SparkSession, d: str) -> DataFrame:
     return entities.top_ip(entities.resolve_ip(_scored(spark, d)))
 
 
-@query()
+@query(r"""WITH x AS (SELECT item_id AS id, text AS raw, true AS l FROM benchmark UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))), false FROM documents),
+  y AS (SELECT id, l, trim(regexp_replace(lower(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')), '[^0-9a-z가-힣぀-ヿ一-鿿]+', ' ', 'g')) AS t FROM x),
+  z AS (SELECT l, t, min(id) AS id, list_distinct(string_split(t, ' ')) AS w FROM y WHERE t <> '' GROUP BY l, t),
+  p AS (SELECT a.t, b.id AS r_id, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM z a JOIN z b ON a.l AND NOT b.l AND len(a.w) >= 0.6 * len(b.w) AND len(b.w) >= 0.6 * len(a.w)),
+  s AS (SELECT t, r_id, k::DOUBLE / (n - k) AS similarity FROM p WHERE k::DOUBLE / (n - k) >= 0.6),
+  best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY t ORDER BY similarity DESC, r_id) = 1)
+  SELECT id AS l_id, r_id, similarity FROM y JOIN best USING (t) WHERE l""")
 def j5_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of odd and even number as two catalogs: titles are first lines."""
-    docs = V.table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
-    left = docs.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("l_id"), "text")
-    right = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("r_id"), "text")
-    return entities.fuzzy_match(left, right, threshold=0.9)
+    """Benchmark items against all lines of all documents."""
+    left = V.table(spark, d, "benchmark").select(F.col("item_id").alias("l_id"), "text")
+    right = V.table(spark, d, "documents").select(F.col("doc_id").alias("r_id"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    return entities.fuzzy_match(left, right, threshold=0.6)
 
 
 @query("""WITH t AS (SELECT doc_id::VARCHAR AS comic_id FROM documents), c AS (SELECT doc_id::VARCHAR AS comic_id, DATE '2024-03-01' - CAST(doc_id % 60 AS INTEGER) AS checked_at FROM labels)
@@ -551,8 +592,8 @@ def j11_crawl_targets(spark: SparkSession, d: str) -> DataFrame:
     return entities.crawl_targets(rows)
 
 
-@query(f"""{SCORED} SELECT comic_id, 'c/' || comic_id AS cover_url, plotscore FROM scored WHERE comic_id NOT IN (SELECT p_brand || ':' || p_partkey FROM part WHERE p_partkey % 3 = 0)
-  ORDER BY plotscore DESC NULLS LAST, comic_id LIMIT 100""")
+@query(f"""{SCORED} SELECT comic_id, 'c/' || comic_id AS cover_url, composite_score FROM scored WHERE comic_id NOT IN (SELECT p_brand || ':' || p_partkey FROM part WHERE p_partkey % 3 = 0)
+  ORDER BY composite_score DESC NULLS LAST, comic_id LIMIT 100""")
 def j12_cover_targets(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d).withColumn("cover_url", F.concat(F.lit("c/"), "comic_id"))
     have = V.table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.concat_ws(":", "p_brand", "p_partkey").alias("comic_id"))
@@ -602,9 +643,9 @@ def n4_scorecard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{LATEST} SELECT source, count(*) AS titles, round(count(author)::DOUBLE / count(*) * 100, 1) AS author_pct, round(count(genre)::DOUBLE / count(*) * 100, 1) AS genre_pct,
-    round(count(publisher)::DOUBLE / count(*) * 100, 1) AS publisher_pct FROM latest GROUP BY 1""")
+    round(count(publisher)::DOUBLE / count(*) * 100, 1) AS publisher_pct, round(count(*) FILTER (WHERE likes % 2 = 0)::DOUBLE / count(*) * 100, 1) AS synopsis_pct FROM latest GROUP BY 1""")
 def n5_coverage_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return quality.coverage_by_source(V.obs(spark, d))
+    return quality.coverage_by_source(V.obs(spark, d).withColumn("synopsis", F.expr("CASE WHEN likes % 2 = 0 THEN title END")))
 
 
 _RANKS = f"""WITH {V.OBS_DAILY_SQL}, r AS (SELECT comic_id, scraped_at::DATE AS date, min(rank) AS rank FROM obs_daily WHERE rank IS NOT NULL GROUP BY 1, 2),
@@ -704,7 +745,7 @@ def k6_fact_episode(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.fact_episode(e, warehouse.dim_episode(e))
 
 
-@query(f"{SCORED} SELECT comic_id AS title_key, plotscore, reach_pct, momentum_pct, engagement_pct, monetization_pct, quality_pct, est_usd FROM scored")
+@query(f"{SCORED} SELECT comic_id AS title_key, composite_score, reach_pct, momentum_pct, engagement_pct, monetization_pct, quality_pct, est_usd FROM scored")
 def k7_fact_score(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.fact_score(_scored(spark, d))
 
@@ -725,6 +766,13 @@ def k9_bridge_title_author(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.bridge(u, warehouse.dim_name(u, "author"), "author")
 
 
+@query(f"""{UNI}, a AS (SELECT row_number() OVER (ORDER BY publisher) AS publisher_key, publisher FROM (SELECT DISTINCT publisher FROM uni WHERE publisher <> ''))
+  SELECT comic_id AS title_key, publisher_key FROM uni JOIN a USING (publisher)""")
+def k9_bridge_title_publisher(spark: SparkSession, d: str) -> DataFrame:
+    u = score.title_universe(V.obs(spark, d))
+    return warehouse.bridge(u, warehouse.dim_name(u, "publisher"), "publisher")
+
+
 @query(f"""{DAYS}, m AS (SELECT max(date) AS m FROM days), c(period, cutoff) AS (SELECT 'all', DATE '0001-01-01' UNION ALL SELECT '30d', m - 30 FROM m UNION ALL SELECT '7d', m - 7 FROM m)
   SELECT comic_id, period, count(*) AS n, avg(views) AS mean_views, max(views) AS max_views, avg(rank) AS mean_rank, min(rank) AS min_rank FROM days JOIN c ON date >= cutoff GROUP BY 1, 2""")
 def k10_period_aggregate(spark: SparkSession, d: str) -> DataFrame:
@@ -732,7 +780,7 @@ def k10_period_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_TITLES}, days AS (SELECT comic_id, scraped_at::DATE AS date, max(views) AS views FROM obs GROUP BY 1, 2)
-  SELECT genre_parent, date, count(DISTINCT d.comic_id) AS titles, sum(d.views)::BIGINT AS views, avg(plotscore) AS mean_score
+  SELECT genre_parent, date, count(DISTINCT d.comic_id) AS titles, sum(d.views)::BIGINT AS views, avg(composite_score) AS mean_score
   FROM days d JOIN titles ON d.comic_id = title_key LEFT JOIN scored s ON s.comic_id = d.comic_id GROUP BY 1, 2""")
 def k11_genre_daily(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.genre_daily(_days(spark, d), _titles(spark, d), warehouse.fact_score(_scored(spark, d)))
@@ -750,12 +798,34 @@ def k14_title_current(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.title_current(_days(spark, d), _titles(spark, d))
 
 
-@query(f"{SCORED} SELECT comic_id AS title_key, title, source, plotscore, est_usd FROM scored ORDER BY plotscore DESC NULLS LAST, comic_id LIMIT 100")
+@query(f"{SCORED} SELECT comic_id AS title_key, title, source, composite_score, est_usd FROM scored ORDER BY composite_score DESC NULLS LAST, comic_id LIMIT 100")
 def k14_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d)
     return warehouse.leaderboard(s.select(F.col("comic_id").alias("title_key"), "title", "source"), warehouse.fact_score(s))
 
 
+@query(f"""{DAYS}, {_PLATFORM}, a AS (SELECT source, count(DISTINCT comic_id) AS titles FROM days GROUP BY 1)
+  SELECT source, source AS platform, a.titles, count(DISTINCT date) AS days, avg(p.titles) AS mean_titles, max(views) AS peak_views FROM a JOIN p USING (source) GROUP BY 1, 2, 3
+  UNION ALL SELECT code, name, 0, NULL, NULL, NULL FROM (VALUES {", ".join(f"('{c}', '{n}')" for c, n in PLATFORM_NAMES.items())}) k(code, name) WHERE code NOT IN (SELECT source FROM a)""")
+def k14_platform_summary(spark: SparkSession, d: str) -> DataFrame:
+    days = _days(spark, d)
+    return warehouse.platform_summary(warehouse.dim_platform(score.title_universe(V.obs(spark, d))), warehouse.platform_period(warehouse.fact_platform_daily(days)))
+
+
+@query(f"""{SCORED}, {_UNIT_CTE}, {V.TITLE_EPISODES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY comic_id ORDER BY episode_no, likes) <= count(*) OVER (PARTITION BY comic_id) // 2 AS early_half FROM title_episodes),
+  e AS (SELECT comic_id, count(*) AS episodes, avg(likes) AS mean_likes, max(likes) AS max_likes, avg(likes) FILTER (WHERE early_half) AS early, avg(likes) FILTER (WHERE NOT early_half) AS late FROM r GROUP BY 1)
+  SELECT comic_id, title, source AS platform, genre, author, content_type, CASE WHEN units IS NOT NULL THEN 'episode' END AS unit_type, units, NULL::DOUBLE AS chapters_per_volume, episodes, mean_likes, max_likes,
+    CASE WHEN episodes = 1 THEN 0.0 WHEN early > 0 THEN (early - late) / early * 100 END AS decay_pct, composite_score, views FROM scored JOIN u USING (comic_id) LEFT JOIN e USING (comic_id)""")
+def k14_content_structure(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.content_structure(_scored(spark, d), episodes.unit_table(V.obs(spark, d)), V.title_episodes(spark, d))
+
+
+@query(f"""{SCORED} SELECT count(*) AS titles, count(*) FILTER (WHERE views > 0 OR subscribers > 0) AS with_metrics, count(DISTINCT author) AS authors, count(DISTINCT genre) AS genres, sum(views)::BIGINT AS total_reach,
+    sum(est_usd) AS est_monthly_usd, round(avg(like_through) * 100, 2) AS mean_like_through_pct FROM scored""")
+def k14_market(spark: SparkSession, d: str) -> DataFrame:
+    return warehouse.market(_scored(spark, d))
+
+
 @query(f"""{DAILY}, base AS (SELECT comic_id, date, views FROM daily WHERE date < DATE '2024-01-20'), new AS (SELECT comic_id, date, views + 1 AS views FROM daily WHERE date >= DATE '2024-01-15')
   SELECT * FROM new UNION ALL SELECT * FROM base WHERE (comic_id, date) NOT IN (SELECT (comic_id, date) FROM new)""")
 def k15_upsert_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -764,40 +834,45 @@ def k15_upsert_daily(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.upsert_daily(rows.filter("date < '2024-01-20'"), new)
 
 
-@query("SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'part', count(*) FROM part")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in _TABLES))
 def k16_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return warehouse.inventory({n: V.table(spark, d, n) for n in ("orders", "events", "part")})
+    return warehouse.inventory({n: V.table(spark, d, n) for n in _TABLES})
 
 
 # --- serving ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"{SCORED} SELECT comic_id, title, plotscore, reach_raw, est_usd FROM scored WHERE genre = 'ECONOMY' AND plotscore >= 20 ORDER BY reach_raw DESC NULLS LAST, comic_id LIMIT 40 OFFSET 5")
+@query(f"{SCORED} SELECT comic_id, title, composite_score, reach_raw, est_usd FROM scored WHERE genre = 'ECONOMY' AND composite_score >= 20 ORDER BY reach_raw DESC NULLS LAST, comic_id LIMIT 40 OFFSET 5")
 def l1_titles_query(spark: SparkSession, d: str) -> DataFrame:
     rows = serve.titles_query(_scored(spark, d), genre="ECONOMY", min_score=20, sort="reach", limit=40, offset=5)
-    return rows.select("comic_id", "title", "plotscore", "reach_raw", "est_usd")
+    return rows.select("comic_id", "title", "composite_score", "reach_raw", "est_usd")
 
 
-@query(f"{SCORED} SELECT comic_id, title, plotscore, views FROM scored WHERE comic_id = (SELECT min(comic_id) FROM obs)")
+@query(f"{SCORED} SELECT comic_id, title, composite_score, views FROM scored WHERE comic_id = (SELECT min(comic_id) FROM obs)")
 def l2_title_profile(spark: SparkSession, d: str) -> DataFrame:
     first = V.obs(spark, d).agg(F.min("comic_id")).first()[0]
-    return serve.title_profile(_scored(spark, d), first).select("comic_id", "title", "plotscore", "views")
+    return serve.title_profile(_scored(spark, d), first).select("comic_id", "title", "composite_score", "views")
 
 
-@query(f"""{SCORED}, m AS (SELECT comic_id, title, first_rank - latest_rank AS delta, plotscore FROM scored WHERE n_rank_obs > 1)
+@query(f"""{SCORED}, m AS (SELECT comic_id, title, first_rank - latest_rank AS delta, composite_score FROM scored WHERE n_rank_obs > 1)
   (SELECT 'rising' AS direction, * FROM m WHERE delta > 0 ORDER BY delta DESC, comic_id LIMIT 10) UNION ALL (SELECT 'falling', * FROM m WHERE delta < 0 ORDER BY delta, comic_id LIMIT 10)""")
 def l4_movers(spark: SparkSession, d: str) -> DataFrame:
     return serve.movers(_scored(spark, d), V.obs(spark, d))
 
 
-@query(f"{SCORED} SELECT comic_id, title, source, plotscore FROM scored WHERE title ILIKE '%bolt%' ORDER BY plotscore DESC NULLS LAST, comic_id LIMIT 20")
+@query(f"{SCORED} SELECT comic_id, title, source, composite_score FROM scored WHERE title ILIKE '%bolt%' ORDER BY composite_score DESC NULLS LAST, comic_id LIMIT 20")
 def l6_search(spark: SparkSession, d: str) -> DataFrame:
     return serve.search(_scored(spark, d), "BOLT")
 
 
-@query(f"{SCORED} SELECT comic_id, title, plotscore FROM scored ORDER BY plotscore DESC NULLS LAST, comic_id LIMIT 100 OFFSET 100")
+@query(f"{SCORED} SELECT comic_id, title, composite_score FROM scored ORDER BY composite_score DESC NULLS LAST, comic_id LIMIT 100 OFFSET 100")
 def l7_feed_page(spark: SparkSession, d: str) -> DataFrame:
-    return serve.feed_page(_scored(spark, d), limit=100, offset=100).select("comic_id", "title", "plotscore")
+    return serve.feed_page(_scored(spark, d), limit=100, offset=100).select("comic_id", "title", "composite_score")
 
 
 LAST = f"""{DAILY}, last AS (SELECT *, CASE WHEN views - views_gained > 0 THEN round(views_gained::DOUBLE / (views - views_gained) * 100, 2) ELSE 0.0 END AS change_pct
@@ -844,13 +919,22 @@ def l11_genre_tree(spark: SparkSession, d: str) -> DataFrame:
     return tree.select("genre_parent", F.col("n").alias("parent_n"), F.explode("subgenres").alias("s")).select("genre_parent", "s.genre_en", "s.n", "parent_n")
 
 
-@query()
+@query(f"""{IP}, {_UNIT_CTE}, {V.TITLE_EPISODES_SQL}, x AS (SELECT comic_id, min(scraped_at)::DATE AS first_seen, max(views) AS v, arg_min(views, ord) AS f, arg_max(views, ord) AS t, count(DISTINCT scraped_at::DATE) AS days FROM obs GROUP BY 1),
+  c AS (SELECT comic_id, count(*) AS episodes, CASE WHEN max(upload_day) > min(upload_day) AND count(*) > 1 THEN (count(*) - 1) / ((max(upload_day) - min(upload_day)) / 7.0::DOUBLE) END AS cadence_wk FROM title_episodes GROUP BY 1)
+  SELECT k.comic_id, k.title, k.source AS platform, k.content_type AS type, k.genre, k.author, {_SCRIPT.replace("title", "k.title")} AS language, NULL::VARCHAR AS status, publisher, composite_score,
+    floor((0.30::DOUBLE * reach_pct + 0.15::DOUBLE * engagement_pct + 0.12::DOUBLE * momentum_pct + 0.15::DOUBLE * 0.5::DOUBLE) * 100 * 10 + 0.5::DOUBLE) / 10 AS adaptation,
+    k.views, k.subscribers, k.likes, comments, rating, est_usd AS revenue_usd, best_rank, latest_rank, n_obs AS observations, like_through,
+    CASE WHEN k.views > 0 THEN k.subscribers * 1000.0::DOUBLE / k.views END AS subs_per_1k, CASE WHEN k.views > 0 THEN comments * 1000.0::DOUBLE / k.views END AS comments_per_1k,
+    CASE WHEN days > 1 AND f > 0 THEN (t - f)::DOUBLE / f * 100 END AS growth_pct, ip.n_platforms AS cross_platform, u.units, CASE WHEN u.units IS NOT NULL THEN 'episode' END AS unit_type, episodes, cadence_wk, year(first_seen)::VARCHAR AS first_year
+  FROM k JOIN ip ON CASE WHEN length(key0) < 2 THEN k.comic_id ELSE key0 END = ip_key JOIN x ON x.comic_id = k.comic_id LEFT JOIN u ON u.comic_id = k.comic_id LEFT JOIN c ON c.comic_id = k.comic_id""")
 def l12_titles_table(spark: SparkSession, d: str) -> DataFrame:
     obs, s = V.obs(spark, d), _scored(spark, d)
-    return serve.titles_table(s, daily.seen_dates(obs), score.conversion(obs), entities.cross_platform_count(s, entities.resolve_ip(s)))
+    return serve.titles_table(
+        s, daily.seen_dates(obs), score.conversion(obs), entities.cross_platform_count(s, entities.resolve_ip(s)), episodes.unit_table(obs), V.title_episodes(spark, d)
+    )
 
 
-@query(f"""{DAYS}, m AS (SELECT max(date) AS m FROM days), c(period, cutoff) AS (SELECT 'All', DATE '0001-01-01' UNION ALL SELECT '1D', m FROM m UNION ALL SELECT '1W', m - 6 FROM m UNION ALL SELECT '1Y', m - 364 FROM m),
+@query(f"""{DAYS}, m AS (SELECT max(date) AS m FROM days), c(period, cutoff) AS (SELECT 'All', DATE '0001-01-01' UNION ALL SELECT '1D', m FROM m UNION ALL SELECT '1W', m - 6 FROM m UNION ALL SELECT 'YTD', date_trunc('year', m)::DATE FROM m UNION ALL SELECT '1Y', m - 364 FROM m),
   a AS (SELECT comic_id, period, max(views) AS views FROM days JOIN c ON date >= cutoff GROUP BY 1, 2)
   SELECT period, row_number() OVER (PARTITION BY period ORDER BY views DESC, comic_id)::INTEGER AS nth, comic_id, views FROM a QUALIFY nth <= 10""")
 def l13_windowed_leaderboard(spark: SparkSession, d: str) -> DataFrame:
@@ -864,11 +948,23 @@ def l14_market_over_time(spark: SparkSession, d: str) -> DataFrame:
     return daily.market_over_time(_gold(spark, d), daily.seen_dates(V.obs_daily(spark, d)))
 
 
-@query(f"{SCORED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY plotscore DESC, comic_id)::INTEGER AS nth, comic_id, title, plotscore FROM scored QUALIFY nth <= 3")
+@query(f"{SCORED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY composite_score DESC, comic_id)::INTEGER AS nth, comic_id, title, composite_score FROM scored QUALIFY nth <= 3")
 def l15_platform_cards(spark: SparkSession, d: str) -> DataFrame:
     return kpi.platform_cards(_scored(spark, d))
 
 
+@query(f"""{SCORED}, days AS (SELECT comic_id, scraped_at::DATE AS date, min(rank) AS rank FROM obs GROUP BY 1, 2)
+  SELECT date, avg(composite_score) AS mean_score, sum(est_usd) AS est_usd, count(days.rank) AS ranked_titles, count(*) AS titles FROM days JOIN scored USING (comic_id) GROUP BY 1""")
+def l14_market_scores(spark: SparkSession, d: str) -> DataFrame:
+    return daily.market_scores(_days(spark, d), _scored(spark, d))
+
+
+@query(f"""{SCORED}, {_UNIT_CTE} SELECT source, count(*) AS titles, avg(CASE WHEN views > 0 OR subscribers > 0 THEN 1 ELSE 0 END) * 100 AS metrics_pct, count(genre)::DOUBLE / count(*) * 100 AS genre_pct,
+    count(author)::DOUBLE / count(*) * 100 AS author_pct, 0.0::DOUBLE AS status_pct, sum(units)::BIGINT AS episodes, 0::BIGINT AS chapters, 0::BIGINT AS volumes FROM scored JOIN u USING (comic_id) GROUP BY 1""")
+def l15_platform_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return kpi.platform_coverage(_scored(spark, d), episodes.unit_table(V.obs(spark, d)))
+
+
 @query(f"""{SCORED}, a AS (SELECT genre, author, sum(reach_raw) AS r FROM scored GROUP BY 1, 2), t AS (SELECT genre, author AS top_author FROM a QUALIFY row_number() OVER (PARTITION BY genre ORDER BY r DESC, author DESC) = 1)
   SELECT genre, count(DISTINCT source) AS platforms, min(best_rank) AS best_rank, any_value(top_author) AS top_author, sum(reach_raw) AS reach, sum(reach_raw) / (SELECT sum(reach_raw) FROM scored) AS share
   FROM scored JOIN t USING (genre) GROUP BY 1""")
@@ -877,7 +973,7 @@ def l16_genre_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{SCORED} SELECT author, array_to_string(list_sort(list(DISTINCT genre)), ', ') AS genres, array_to_string(list_sort(list(DISTINCT source)), ', ') AS sources,
-    arg_max(title, lpad((plotscore * 10)::BIGINT::VARCHAR, 6, '0') || comic_id) AS top_title, count(*) AS titles FROM scored GROUP BY 1""")
+    array_to_string(list_sort(list(DISTINCT {_SCRIPT})), ', ') AS languages, arg_max(title, lpad((composite_score * 10)::BIGINT::VARCHAR, 6, '0') || comic_id) AS top_title, count(*) AS titles FROM scored GROUP BY 1""")
 def l17_author_table(spark: SparkSession, d: str) -> DataFrame:
     return kpi.author_table(_scored(spark, d))
 
@@ -910,7 +1006,8 @@ _PAGE_RULES = {"anywhere": bronze.Rule(r"^/([^/?#]+)$", "https://anywhere.exampl
 @query(r"""WITH p AS (SELECT page_id, length(html) AS n, trim(regexp_replace(regexp_extract(left(html, 8000), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t,
     left(regexp_replace(regexp_replace(regexp_replace(left(html, 6000), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), 4000) AS b FROM pages)
   SELECT page_id, CASE WHEN n < 1000 THEN 'too_small (' || n || 'b < 1000)'
-    WHEN regexp_matches(t, '(?i)connect error|access denied|captcha|blocked|just a moment') OR regexp_matches(b, '(?i)connect error|access denied|captcha|blocked|just a moment') THEN 'block' END AS reason FROM p""")
+    WHEN regexp_matches(t, '{words}') THEN 'block_marker:' || lower(regexp_extract(t, '{words}', 1)) WHEN regexp_matches(b, '{words}') THEN 'block_marker:' || lower(regexp_extract(b, '{words}', 1)) END AS reason FROM p"""
+    .replace("{words}", "(?i)(connect error|access denied|are you (?:a )?human|just a moment|attention required|403 forbidden|captcha|robot check|blocked)"))
 def c1_detect_block(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "pages").select("page_id", bronze.detect_block("html", min_bytes=1000).alias("reason"))
 
@@ -1030,11 +1127,13 @@ def b18_platform_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
-  SELECT p_partkey, true AS titleish, false AS junk, upper(substr(a, 1, 1)) || substr(a, 2) || ' ' || upper(substr(b, 1, 1)) || substr(b, 2) AS title FROM w""")
+  SELECT p_partkey, length(trim(p_name)) >= 2 AND NOT regexp_matches(trim(p_name), '(?i)^(up|new|hot|free with gold|latest\\s?24hours|read more|detail|more|\\d+(hr|h|d|m)|wed|mon|tue|thu|fri|sat|sun|completed|ongoing)$')
+      AND NOT regexp_matches(trim(p_name), '(?i)^\\s*(up\\s*)?[\\d.,]+\\s*[kmb]?\\s*$') AND NOT regexp_matches(trim(p_name), '(?i)\\b\\d[\\d.,]*\\s*[KMB]\\b|\\b\\d+\\s?(hr|h|min|d)\\b') AS titleish,
+    lower(trim(p_name)) IN ('comics', 'webcomics', 'releases', 'read more', 'home', 'profile', 'browse') OR contains(lower(p_name), 'publisher profile') OR lower(trim(p_name)) LIKE '% profile' AS junk, upper(substr(a, 1, 1)) || substr(a, 2) || ' ' || upper(substr(b, 1, 1)) || substr(b, 2) AS title FROM w""")
 def b19_titles(spark: SparkSession, d: str) -> DataFrame:
     slug = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
     # "new ..." would count as a lead-in of page chrome only when it is the whole text.
-    return V.table(spark, d, "part").select("p_partkey", E.is_titleish("p_name").alias("titleish"), E.is_junk_title("p_name").alias("junk"), E.slug_to_title(slug).alias("title"))
+    return V.table(spark, d, "part").select("p_partkey", E.reads_as_title("p_name").alias("titleish"), E.names_no_title("p_name").alias("junk"), E.title_of_slug(slug).alias("title"))
 
 
 @query(f"""WITH {V.OBS_DAILY_SQL} SELECT comic_id, scraped_at::DATE AS date, views, source_file FROM obs_daily
@@ -1105,12 +1204,20 @@ def c12_newest_episodes(spark: SparkSession, d: str) -> DataFrame:
     return episodes.newest_episodes(e).select("comic_id", "episode_no", "newest")
 
 
-@query(f"""{UNI}, c AS (SELECT p_name, count(DISTINCT p_type) AS n FROM part GROUP BY 1)
-  SELECT comic_id, title AS ext_id, 1.0::DOUBLE AS similarity, 'conflict' AS author_status, author,
-    CASE WHEN genre IN (SELECT p_type FROM part WHERE p_name = title) THEN 'verified' ELSE 'conflict' END AS genre_status, 1 AS synopsis_sources FROM uni""")
+_TOLD = "CASE length({0}) % 3 WHEN 0 THEN 'the supplier' WHEN 1 THEN 'outside writer' END"
+
+
+@query(f"""{UNI}, c AS (SELECT p_name, list(DISTINCT p_type) AS genres, CASE WHEN length(p_name) % 2 = 0 THEN 'told' END AS synopsis, {_TOLD.format("p_name")} AS author FROM part GROUP BY 1),
+  p AS (SELECT t.title, c.*, list_distinct(regexp_extract_all(lower(t.title), '[0-9a-z]+')) AS a, list_distinct(regexp_extract_all(lower(c.p_name), '[0-9a-z]+')) AS b FROM (SELECT DISTINCT title FROM uni) t, c),
+  m AS (SELECT *, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS similarity FROM p WHERE len(list_intersect(a, b)) > 0),
+  best AS (SELECT * FROM m WHERE similarity >= 0.9 QUALIFY row_number() OVER (PARTITION BY title ORDER BY similarity DESC, p_name) = 1),
+  words AS (SELECT u.comic_id, best.p_name AS ext_id, similarity, u.author, u.genre, genres, synopsis, regexp_extract_all(lower(coalesce(u.author, '')), '[0-9a-z]{{2,}}') AS own, regexp_extract_all(lower(coalesce(best.author, '')), '[0-9a-z]{{2,}}') AS told
+    FROM uni u LEFT JOIN best USING (title))
+  SELECT comic_id, ext_id, similarity, CASE WHEN list_has_any(own, told) THEN 'verified' WHEN len(own) + len(told) = 0 THEN 'unverified' WHEN len(own) = 0 OR len(told) = 0 THEN 'single_source' ELSE 'conflict' END AS author_status, author,
+    CASE WHEN list_contains([lower(g) for g in genres], lower(genre)) THEN 'verified' WHEN genres IS NULL THEN 'unverified' ELSE 'conflict' END AS genre_status, (synopsis IS NOT NULL)::INTEGER AS synopsis_sources FROM words""")
 def k13_title_verification(spark: SparkSession, d: str) -> DataFrame:
     """Part names as an outside catalog."""
     catalog = V.table(spark, d, "part").groupBy(F.col("p_name").alias("title")).agg(F.collect_set("p_type").alias("genres")).select(
-        F.col("title").alias("ext_id"), "title", F.lit("outside writer").alias("author"), "genres", F.lit("told").alias("synopsis")
+        F.col("title").alias("ext_id"), "title", F.expr(_TOLD.format("title")).alias("author"), "genres", F.expr("CASE WHEN length(title) % 2 = 0 THEN 'told' END").alias("synopsis")
     )
     return entities.verify_titles(score.title_universe(V.obs(spark, d)), catalog)

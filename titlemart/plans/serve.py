@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import engagement_ratio_of_table
+from ..functions.exprs import engagement_ratio_of_table, platform_name, script_language
 from ..operators.daily import hhi, rank_delta, report_pct_change
+from ..operators.episodes import per_title
 from ..operators.keys import first_row
+from ..operators.score import adaptation_readiness
 from ..schema import order_of
 
-_SORTS = {"score": "plotscore", "reach": "reach_raw", "revenue": "est_usd"}
+_SORTS = {"score": "composite_score", "reach": "reach_raw", "revenue": "est_usd"}
 
 
 def titles_query(
@@ -19,7 +21,7 @@ def titles_query(
 ) -> DataFrame:
     rows = scored
     if min_score is not None:
-        rows = rows.filter((F.col("plotscore") >= min_score) | F.col("plotscore").isNull())
+        rows = rows.filter((F.col("composite_score") >= min_score) | F.col("composite_score").isNull())
     if source:
         rows = rows.filter(F.col("source") == source)
     if genre:
@@ -34,19 +36,19 @@ def title_profile(scored: DataFrame, comic_id: str, style: DataFrame | None = No
 
 def movers(scored: DataFrame, obs: DataFrame, limit: int = 10) -> DataFrame:
     """The largest rises and falls by rank."""
-    moved = rank_delta(obs).join(scored.select("comic_id", "title", "plotscore"), "comic_id")
+    moved = rank_delta(obs).join(scored.select("comic_id", "title", "composite_score"), "comic_id")
     up = moved.filter("delta > 0").orderBy(F.desc("delta"), "comic_id").limit(limit).withColumn("direction", F.lit("rising"))
     down = moved.filter("delta < 0").orderBy("delta", "comic_id").limit(limit).withColumn("direction", F.lit("falling"))
-    return up.unionByName(down).select("direction", "comic_id", "title", "delta", "plotscore")
+    return up.unionByName(down).select("direction", "comic_id", "title", "delta", "composite_score")
 
 
 def search(scored: DataFrame, text: str, limit: int = 20) -> DataFrame:
     found = scored.filter(F.contains(F.lower("title"), F.lower(F.lit(text))))
-    return found.orderBy(F.desc_nulls_last("plotscore"), "comic_id").limit(limit).select("comic_id", "title", "source", "plotscore")
+    return found.orderBy(F.desc_nulls_last("composite_score"), "comic_id").limit(limit).select("comic_id", "title", "source", "composite_score")
 
 
 def feed_page(scored: DataFrame, *, limit: int = 100, offset: int = 0) -> DataFrame:
-    return scored.orderBy(F.desc_nulls_last("plotscore"), "comic_id").offset(offset).limit(limit)
+    return scored.orderBy(F.desc_nulls_last("composite_score"), "comic_id").offset(offset).limit(limit)
 
 
 def _last_day(gold: DataFrame) -> DataFrame:
@@ -87,9 +89,14 @@ def visual_report(gold: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def title_documents(scored: DataFrame, obs: DataFrame, episodes: DataFrame | None = None, *, tags: int = 14, top: int | None = None) -> DataFrame:
-    """One nested row a title: its rank series, its views series (of two days at least), its episodes, its first tags."""
-    keep = scored if top is None else scored.orderBy(F.desc_nulls_last("plotscore"), "comic_id").limit(top)
+def title_documents(
+    scored: DataFrame, obs: DataFrame, episodes: DataFrame | None = None, *, parts: dict[str, DataFrame] | None = None, tags: int = 14, top: int | None = None
+) -> DataFrame:
+    """One nested row a title: its rank series, its views series (of two days at least), its episodes, its first tags.
+
+    ``parts`` are tables of one row a comic_id (content structure, cover style, verification), each a struct of its own in the document.
+    """
+    keep = scored if top is None else scored.orderBy(F.desc_nulls_last("composite_score"), "comic_id").limit(top)
     rows = obs.join(keep.select("comic_id"), "comic_id", "left_semi")
     days = rows.groupBy("comic_id", F.to_date("scraped_at").alias("date")).agg(F.min("rank").alias("rank"), F.max("views").alias("views"))
     pair = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("date", c))))
@@ -100,6 +107,9 @@ def title_documents(scored: DataFrame, obs: DataFrame, episodes: DataFrame | Non
         from ..operators.episodes import series_map
 
         out = out.join(series_map(episodes, None).withColumnRenamed("series", "episodes"), "comic_id", "left")
+    for name, part in (parts or {}).items():
+        fields = [c for c in part.columns if c != "comic_id"]
+        out = out.join(part.select("comic_id", F.struct(*fields).alias(name)), "comic_id", "left")
     if "synopsis" in out.columns:
         out = out.withColumn("synopsis", F.substring("synopsis", 1, 600))
     return out.withColumn("tags", F.slice(F.filter("_t", lambda x: x != ""), 1, tags)).drop("_t")
@@ -113,16 +123,21 @@ def genre_tree(titles: DataFrame) -> DataFrame:
     )
 
 
-def titles_table(scored: DataFrame, seen: DataFrame, ratios: DataFrame, cross: DataFrame) -> DataFrame:
-    """The flat table that users query: score, ratios, language by script, first year, cross-platform count."""
-    script = F.when(F.col("title").rlike("[가-힣]"), "ko").when(F.col("title").rlike("[぀-ヿ]"), "ja").when(F.col("title").rlike("[一-鿿]"), "zh").otherwise("en")
+def titles_table(scored: DataFrame, seen: DataFrame, ratios: DataFrame, cross: DataFrame, units: DataFrame, episodes: DataFrame) -> DataFrame:
+    """The flat table that users query, 29 columns beside the id: identity, score and readiness, measures, ratios, structure, cadence."""
+    cadence = per_title(episodes).select("comic_id", F.col("n").alias("episodes"), F.col("per_week").alias("cadence_wk"))
+    rows = adaptation_readiness(scored).withColumn("status", F.col("status") if "status" in scored.columns else F.lit(None).cast("string"))
     return (
-        scored.join(seen, "comic_id").join(ratios, "comic_id").join(cross, "comic_id")
+        rows.join(seen.select("comic_id", "first_seen"), "comic_id")
+        .join(ratios.select("comic_id", "subs_per_1k", "comments_per_1k", "growth_pct"), "comic_id")
+        .join(cross.select("comic_id", "n_platforms"), "comic_id")
+        .join(units.select("comic_id", "units", "unit_type"), "comic_id", "left").join(cadence, "comic_id", "left")
         .select(
-            "comic_id", "title", "source", "author", "genre", "content_type", "views", "likes", "subscribers", "rating", "best_rank", "latest_rank",
-            "plotscore", "reach_pct", "momentum_pct", "engagement_pct", "monetization_pct", "quality_pct", "est_usd", "momentum",
-            "subs_per_1k", "comments_per_1k", "likes_per_view", "growth_pct", "first_seen", "last_seen", F.year("first_seen").alias("first_year"),
-            script.alias("language"), "n_platforms",
+            "comic_id", "title", platform_name("source").alias("platform"), F.col("content_type").alias("type"), "genre", "author",
+            script_language("title").alias("language"), "status", "publisher", "composite_score", F.col("readiness").alias("adaptation"),
+            "views", "subscribers", "likes", "comments", "rating", F.col("est_usd").alias("revenue_usd"), "best_rank", "latest_rank",
+            F.col("n_obs").alias("observations"), "like_through", "subs_per_1k", "comments_per_1k", "growth_pct", F.col("n_platforms").alias("cross_platform"),
+            "units", "unit_type", "episodes", "cadence_wk", F.year("first_seen").cast("string").alias("first_year"),
         )
     )
 
@@ -131,7 +146,7 @@ def windowed_leaderboard(days: DataFrame, value: str = "views", top: int = 10) -
     """The most of a measure in each period back from the last day."""
     from .warehouse import period_aggregate
 
-    periods = {"1D": 0, "1W": 6, "1Y": 364, "All": None}
+    periods = {"1D": 0, "1W": 6, "YTD": "year", "1Y": 364, "All": None}
     agg = period_aggregate(days.withColumn("views", F.col(value)), periods)
     w = W.partitionBy("period").orderBy(F.desc("max_views"), "comic_id")
     return agg.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= top).select("period", "nth", "comic_id", F.col("max_views").alias(value))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import platform_name, with_genre
 from ..functions.tables import PLATFORM_NAMES
+from ..operators.episodes import engagement_decay, per_title
 from ..operators.keys import _running, dense_key, earliest
 from ..schema import order_of
 
@@ -69,7 +70,7 @@ def fact_episode(episodes: DataFrame, dim: DataFrame) -> DataFrame:
 
 def fact_score(scored: DataFrame) -> DataFrame:
     return scored.select(
-        F.col("comic_id").alias("title_key"), "plotscore", *(f"{c}_pct" for c in ("reach", "momentum", "engagement", "monetization", "quality")), "est_usd"
+        F.col("comic_id").alias("title_key"), "composite_score", *(f"{c}_pct" for c in ("reach", "momentum", "engagement", "monetization", "quality")), "est_usd"
     )
 
 
@@ -85,13 +86,17 @@ def bridge(scored: DataFrame, dim: DataFrame, column: str) -> DataFrame:
     return scored.select(F.col("comic_id").alias("title_key"), column).join(dim, column).select("title_key", f"{column}_key")
 
 
-def period_aggregate(days: DataFrame, periods: dict[str, int | None] | None = None) -> DataFrame:
-    """By title and period back from the last day: one scan, joined with the few periods on date >= cutoff."""
+def period_aggregate(days: DataFrame, periods: dict[str, int | str | None] | None = None) -> DataFrame:
+    """By title and period back from the last day: one scan, joined with the few periods on date >= cutoff.
+
+    A period is a number of days back, ``"year"`` for the last day's calendar year, or None for all days.
+    """
     periods = periods or {"all": None, "30d": 30, "7d": 7}
-    table = days.sparkSession.createDataFrame(list(periods.items()), "period string, back int")
+    rows = [(name, None if back == "year" else back, back == "year") for name, back in periods.items()]
+    table = days.sparkSession.createDataFrame(rows, "period string, back int, this_year boolean")
     last = days.agg(F.max("date").alias("_last"))
     cut = table.join(F.broadcast(last)).select(
-        "period", F.when(F.col("back").isNull(), F.lit("0001-01-01").cast("date")).otherwise(F.date_sub("_last", F.col("back"))).alias("cutoff")
+        "period", F.when(F.col("this_year"), F.to_date(F.trunc("_last", "year"))).when(F.col("back").isNull(), F.lit("0001-01-01").cast("date")).otherwise(F.date_sub("_last", F.col("back"))).alias("cutoff")
     )
     return (
         days.join(F.broadcast(cut), F.col("date") >= F.col("cutoff")).groupBy("comic_id", "period")
@@ -101,10 +106,10 @@ def period_aggregate(days: DataFrame, periods: dict[str, int | None] | None = No
 
 def genre_daily(days: DataFrame, titles: DataFrame, scores: DataFrame) -> DataFrame:
     t = titles.select(F.col("title_key").alias("comic_id"), "genre_parent")
-    s = scores.select(F.col("title_key").alias("comic_id"), "plotscore")
+    s = scores.select(F.col("title_key").alias("comic_id"), "composite_score")
     return (
         days.join(t, "comic_id").join(s, "comic_id", "left").groupBy("genre_parent", "date")
-        .agg(F.countDistinct("comic_id").alias("titles"), F.sum("views").alias("views"), F.avg("plotscore").alias("mean_score"))
+        .agg(F.countDistinct("comic_id").alias("titles"), F.sum("views").alias("views"), F.avg("composite_score").alias("mean_score"))
     )
 
 
@@ -122,8 +127,33 @@ def title_current(days: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
+def platform_summary(platforms: DataFrame, periods: DataFrame) -> DataFrame:
+    """Each platform with what its days come to; platforms without days stay."""
+    return platforms.join(periods, "source", "left").select("source", "platform", "titles", "days", "mean_titles", "peak_views")
+
+
+def content_structure(scored: DataFrame, units: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Titles with their units, and of those with tracked episodes how these do."""
+    e = per_title(episodes).select("comic_id", F.col("n").alias("episodes"), F.col("mean_likes"), F.col("max_likes"))
+    decay = engagement_decay(episodes).select("comic_id", "decay_pct")
+    u = units.select("comic_id", "units", "unit_type", "chapters_per_volume")
+    return scored.join(u, "comic_id").join(e, "comic_id", "left").join(decay, "comic_id", "left").select(
+        "comic_id", "title", platform_name("source").alias("platform"), "genre", "author", "content_type", "unit_type", "units", "chapters_per_volume",
+        "episodes", "mean_likes", "max_likes", "decay_pct", "composite_score", "views",
+    )
+
+
+def market(scored: DataFrame) -> DataFrame:
+    """One row: size, titles with measures, reach, revenue and like-through of the whole market."""
+    return scored.agg(
+        F.count(F.lit(1)).alias("titles"), F.count_if((F.col("views") > 0) | (F.col("subscribers") > 0)).alias("with_metrics"),
+        F.countDistinct("author").alias("authors"), F.countDistinct("genre").alias("genres"), F.sum("views").alias("total_reach"),
+        F.sum("est_usd").alias("est_monthly_usd"), F.round(F.avg("like_through") * 100, 2).alias("mean_like_through_pct"),
+    )
+
+
 def leaderboard(titles: DataFrame, scores: DataFrame, limit: int = 100) -> DataFrame:
-    return titles.join(scores, "title_key").orderBy(F.desc_nulls_last("plotscore"), "title_key").limit(limit).select("title_key", "title", "source", "plotscore", "est_usd")
+    return titles.join(scores, "title_key").orderBy(F.desc_nulls_last("composite_score"), "title_key").limit(limit).select("title_key", "title", "source", "composite_score", "est_usd")
 
 
 def upsert_daily(base: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("comic_id", "date")) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions.lineage import cut
 from ..schema import order_of, validated
 
 #: What a blocked page says, and the size under which a page is only a shell.
@@ -62,6 +63,7 @@ class Rule:
     alt_prefix: str = ""
     alt_suffix: str = ""
     alt_by: bool = False
+    genre_token: str = ""
     detail: dict[str, list[str]] = field(default_factory=dict)
 
 
@@ -80,7 +82,7 @@ RULES = {
         r"/comic/([^/]+)/([0-9a-f]{6,})", "https://www.webcomicsapp.com", id_group=2, slug_group=1, title_from_slug=True,
         detail={"subscribers": [r"([\d,]+)\s*followers"], "likes": [r"([\d,]+)\s*likes?"]},
     ),
-    "ridibooks": Rule(r"/books/(\d+)", "https://ridibooks.com", content_type="novel", detail={"volume_count": [r"(\d+)\s*권"]}),
+    "ridibooks": Rule(r"/books/(\d+)", "https://ridibooks.com", content_type="novel", genre_token=r"(소설|만화)$", detail={"volume_count": [r"(\d+)\s*권"]}),
     "webnovel": Rule(r"/book/[^_/?#]+_(\d+)", "https://www.webnovel.com", content_type="novel", detail={"chapter_count": [r"([\d,]+)\s+Chapters?"], "volume_count": [r"Volume\s*(\d+)"]}),
     "tapas_io": Rule(
         r"/series/(\d+)", "https://tapas.io", metric_type="views",
@@ -143,46 +145,54 @@ class _Anchors(HTMLParser):
                 self._open[-1][1].append(text)
 
 
-ANCHORS = "path string, source string, pos int, href string, alt string, title_attr string, text string, cover string, card array<string>"
+ANCHORS = "path string, source string, pos int, href string, alt string, title_attr string, text string, cover string, card array<string>, error string"
 
 
-def anchor_scan(pages: DataFrame) -> DataFrame:
-    """Every anchor of every page, in order: the one step that needs a parser of HTML."""
+def anchor_scan(pages: DataFrame, parser: type[_Anchors] = _Anchors) -> DataFrame:
+    """Every anchor of every page, in order: the one step that needs a parser of HTML.
+
+    A page that the parser fails on is one row with the ``error`` alone, and the others go on.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, source, html in zip(batch.path, batch.source, batch.html, strict=True):
-                page = _Anchors()
-                page.feed(html or "")
-                page.close()
+                page = parser()
+                try:
+                    page.feed(html or "")
+                    page.close()
+                except Exception as e:  # whatever a page's bytes do to the parser
+                    rows.append((path, source, *[None] * 7, f"{type(e).__name__}: {e}"))
+                    continue
                 rows += [
-                    (path, source, n, a["href"], a["alt"], a["title"], " ".join(a["texts"]), a["cover"], a["card"]) for n, a in enumerate(page.found)
+                    (path, source, n, a["href"], a["alt"], a["title"], " ".join(a["texts"]), a["cover"], a["card"], None) for n, a in enumerate(page.found)
                 ]
-            yield pd.DataFrame(rows, columns=["path", "source", "pos", "href", "alt", "title_attr", "text", "cover", "card"])
+            yield pd.DataFrame(rows, columns=["path", "source", "pos", "href", "alt", "title_attr", "text", "cover", "card", "error"])
 
     return pages.select("path", "source", "html").mapInPandas(scan, ANCHORS)
 
 
 def _rule_table(spark: SparkSession, rules: dict[str, Rule]) -> DataFrame:
     rows = [
-        (s, r.href, r.base_url, r.id_group, r.slug_group, r.title_from_slug, r.metric_type, r.content_type, r.alt_prefix, r.alt_suffix, r.alt_by)
+        (s, r.href, r.base_url, r.id_group, r.slug_group, r.title_from_slug, r.metric_type, r.content_type, r.alt_prefix, r.alt_suffix, r.alt_by, r.genre_token)
         for s, r in rules.items()
     ]
     return spark.createDataFrame(
         rows,
         "source string, href_re string, base_url string, id_group int, slug_group int, title_from_slug boolean, "
-        "metric_type string, content_type string, alt_prefix string, alt_suffix string, alt_by boolean",
+        "metric_type string, content_type string, alt_prefix string, alt_suffix string, alt_by boolean, genre_token string",
     )
 
 
-def anchor_listing(pages: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """Records of listing pages: anchors grouped by native id, ranked by first appearance; the best title candidate wins.
+def anchor_listing(pages: DataFrame, rules: dict[str, Rule] | None = None, *, anchors: DataFrame | None = None) -> DataFrame:
+    """Records of listing pages (or of their scanned ``anchors``): anchors grouped by native id, ranked by first appearance; the best title candidate wins.
 
     A candidate is better by kind (image text, title attribute, anchor text), then by length, then by place.
     """
     table = _rule_table(pages.sparkSession, rules or RULES)
-    a = anchor_scan(pages).join(F.broadcast(table), "source").filter(F.expr("href rlike href_re"))
+    found = (anchor_scan(pages) if anchors is None else anchors).filter("error IS NULL").drop("error")
+    a = found.join(F.broadcast(table), "source").filter(F.expr("href rlike href_re"))
     none = F.lit("")
     a = a.withColumns({
         "native_id": F.expr("regexp_extract(href, href_re, id_group)"),
@@ -200,28 +210,29 @@ def anchor_listing(pages: DataFrame, rules: dict[str, Rule] | None = None) -> Da
     })
     bare = lambda c: F.nullif(F.trim(F.regexp_replace(E.collapse_ws(c), E.LEAD_CHROME, "")), none)
     cands = [F.struct(F.lit(k).alias("kind"), bare(c).alias("t")) for k, c in enumerate(("alt", "title_attr", "text"))]
-    a = a.withColumn("cands", F.filter(F.array(*cands), lambda c: E.is_titleish(c["t"])))
+    a = a.withColumn("cands", F.filter(F.array(*cands), lambda c: E.reads_as_title(c["t"])))
     ranked = F.transform("cands", lambda c: F.struct(c["kind"].alias("kind"), (-F.char_length(c["t"])).alias("length"), F.col("pos").alias("pos"), c["t"].alias("t")))
     g = a.withColumn("best", F.array_min(ranked)).groupBy("path", "source", "native_id").agg(
         F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"), F.min("best").alias("best"),
         F.min_by("cover", F.when(F.col("cover").isNotNull(), F.col("pos"))).alias("cover_url"),
         F.min_by("alt_author", F.when(F.col("alt_author").isNotNull(), F.col("pos"))).alias("author"),
         F.min_by("card", F.when(F.size("card") > 0, F.col("pos"))).alias("card"), F.min_by("slug", "pos").alias("slug"),
-        F.first("metric_type").alias("rule_metric"), F.first("content_type").alias("content_type"),
+        F.first("metric_type").alias("rule_metric"), F.first("content_type").alias("content_type"), F.first("genre_token").alias("genre_token"),
     )
     number = F.try_element_at(F.filter("card", lambda t: t.rlike(E.METRIC_TOKEN)), F.lit(1))
     metric = F.when(number.isNotNull(), E.clean_metric(number)).otherwise(F.lit(0).cast("bigint"))
     kind = F.when(number.isNotNull(), F.col("rule_metric")).otherwise(F.lit("unknown"))
     rating = F.try_element_at(F.filter("card", lambda t: t.rlike(r"^\d\.\d$")), F.lit(1)).try_cast("double")
+    genre = F.when(F.col("genre_token") != "", F.expr("try_element_at(filter(card, t -> t rlike genre_token), 1)"))
     order = W.partitionBy("path").orderBy("pos")
-    title = F.coalesce("best.t", E.slug_to_title("slug"))
+    title = F.coalesce("best.t", E.title_of_slug("slug"))
     return (
         g.withColumns({"rank": F.row_number().over(order), "title": title, "primary_metric": metric, "metric_type": kind, "rating": rating})
         .filter(F.col("title").isNotNull())
         .select(
             "path", F.concat_ws(":", "source", "native_id").alias("comic_id"), "source", F.col("native_id").alias("platform_native_id"), "title", "author", "url", "rank",
             "primary_metric", "metric_type", F.when(kind.isin("views", "reads"), metric).otherwise(0).cast("bigint").alias("views"),
-            F.when(kind == "likes", metric).otherwise(0).cast("bigint").alias("likes"), "rating", "cover_url", "content_type",
+            F.when(kind == "likes", metric).otherwise(0).cast("bigint").alias("likes"), "rating", genre.alias("genre"), "cover_url", "content_type",
         )
     )
 
@@ -259,13 +270,13 @@ def detail_records(pages: DataFrame, rules: dict[str, Rule] | None = None) -> Da
     })
     p = p.withColumn("native_id", F.nullif(F.expr("regexp_extract(url, href_re, id_group)"), F.lit("")))
     p = p.withColumn("native_id", F.coalesce("native_id", F.lower(F.regexp_replace("title", r"\s+", "_"))))
-    p = p.withColumn("title", F.coalesce("title", F.when(~F.col("native_id").rlike(r"^\d+$"), E.slug_to_title("native_id"))))
+    p = p.withColumn("title", F.coalesce("title", F.when(~F.col("native_id").rlike(r"^\d+$"), E.title_of_slug("native_id"))))
     fields = ("views", "likes", "subscribers", "episode_count", "chapter_count", "volume_count")
     found: dict[str, Column] = dict.fromkeys(fields, F.lit(None).cast("bigint"))
     for source, rule in rules.items():
         for name, c in labelled_metrics(F.col("html"), rule.detail).items():
             found[name] = F.when(F.col("source") == source, c).otherwise(found[name])
-    p = p.withColumns(found).filter(F.col("title").isNotNull() & F.col("native_id").isNotNull() & ~E.is_junk_title("title"))
+    p = p.withColumns(found).filter(F.col("title").isNotNull() & F.col("native_id").isNotNull() & ~E.names_no_title("title"))
     metric, kind = E.pick_primary("views", "subscribers", "likes")
     return p.select(
         "path", F.concat_ws(":", "source", "native_id").alias("comic_id"), "source", F.col("native_id").alias("platform_native_id"), "title", "url", "cover_url", "synopsis",
@@ -274,20 +285,27 @@ def detail_records(pages: DataFrame, rules: dict[str, Rule] | None = None) -> Da
     )
 
 
-def parse_pages(pages: DataFrame, *, min_bytes: int = MIN_BYTES, rules: dict[str, Rule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records in the contract's columns, manifest): every page has one manifest row with its status and number of records."""
+def parse_pages(
+    pages: DataFrame, *, min_bytes: int = MIN_BYTES, rules: dict[str, Rule] | None = None, parser: type[_Anchors] = _Anchors
+) -> tuple[DataFrame, DataFrame]:
+    """(records in the contract's columns, manifest): every page has one manifest row with its status and number of records.
+
+    Status: ``blocked``, ``no_adapter``, ``error`` (parsing failed, with the reason), ``empty`` (no records) or ``ok``.
+    """
     rules = rules or RULES
     seen = pages.withColumn("reason", detect_block("html", min_bytes=min_bytes)).withColumn(
         "status", F.when(F.col("reason").isNotNull(), "blocked").when(~F.col("source").isin(*rules), "no_adapter").otherwise("ok")
     )
     good = seen.filter("status = 'ok'")
-    listing = anchor_listing(good.filter("kind <> 'detail'"), rules)
+    anchors = cut(anchor_scan(good.filter("kind <> 'detail'"), parser))
+    failed = anchors.filter("error IS NOT NULL").select("path", "error")
+    listing = anchor_listing(good, rules, anchors=anchors)
     details = detail_records(good.filter("kind = 'detail'"), rules)
     both = listing.unionByName(details, allowMissingColumns=True).join(good.select("path", "scraped_at"), "path").withColumn("source_file", F.col("path"))
     counts = both.groupBy("path").agg(F.count(F.lit(1)).alias("n_records"))
-    manifest = seen.join(counts, "path", "left").select(
-        "path", "source", "kind", F.when((F.col("status") == "ok") & F.col("n_records").isNull(), "empty").otherwise(F.col("status")).alias("status"),
-        "reason", F.coalesce("n_records", F.lit(0)).alias("n_records"),
+    status = F.when(F.col("error").isNotNull(), "error").when((F.col("status") == "ok") & F.col("n_records").isNull(), "empty").otherwise(F.col("status"))
+    manifest = seen.join(counts, "path", "left").join(failed, "path", "left").select(
+        "path", "source", "kind", status.alias("status"), F.coalesce("reason", "error").alias("reason"), F.coalesce("n_records", F.lit(0)).alias("n_records"),
     )
     return validated(both), manifest
 

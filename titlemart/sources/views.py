@@ -107,6 +107,13 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def title_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same turns as episodes of observed titles: a conversation's number is that of a part."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("c:"), "p_partkey").alias("conv"), F.concat_ws(":", "p_brand", "p_partkey").alias("title_id"))
+    e = episodes(spark, sf_dir)
+    return e.join(part, e.comic_id == part.conv).drop("comic_id", "conv").withColumnRenamed("title_id", "comic_id")
+
+
 EPISODES_SQL = """
 ep0 AS (
   SELECT *, DATE '2024-01-01' + CAST((conv_id % 50) * 7 + turn * 3 AS INTEGER) AS day FROM conversations),
@@ -114,3 +121,7 @@ episodes AS (
   SELECT 'c:' || conv_id AS comic_id, 's' || (conv_id % 5) AS source, turn::INTEGER AS episode_no,
     length(text)::BIGINT AS likes, day AS upload_day, 'author ' || (conv_id % 30) AS author
   FROM ep0)"""
+
+
+TITLE_EPISODES_SQL = f"""{EPISODES_SQL},
+title_episodes AS (SELECT p_brand || ':' || p_partkey AS comic_id, episodes.* EXCLUDE (comic_id) FROM episodes JOIN part ON comic_id = 'c:' || p_partkey)"""
