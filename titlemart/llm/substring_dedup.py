@@ -5,8 +5,8 @@ A window of ``window`` words holds a whole block of ``(window + 1) // 2`` words
 1. every document's blocks, end to end from its first word, are the reference index; every rolling
    window of a block's length, in all documents, probes it (a hash of 36 bits or more, as a filter);
 2. hits are extended: a window that holds a hit (of a probe, or of a reference block that another document's probe hit) is
-   compared in full, and the smallest document that holds it is found; windows in a row that a smaller document holds
-   merge to the maximal exact repeat;
+   compared in full, by 128 bits of hash over two independent ones, and the smallest document that holds it is found; windows in a row that a smaller
+   document holds merge, which extends each hit to both sides to the maximal exact repeat;
 3. words that such a repeat covers go.
 
 Comparing a hit's windows with the smallest document that holds each, rather than with every other document, keeps a
@@ -40,7 +40,7 @@ class Batch:
         self.ids = X.doc_ids(table)
         self.raw, self.starts = packed(table["text"])
         lo, hi, self.text_of = words(self.raw, self.starts)
-        self.hashes = span_hashes(self.raw, lo, hi)
+        self.hashes, self.spans = span_hashes(self.raw, lo, hi), (lo, hi)
         self.first_word = np.searchsorted(self.text_of, np.arange(len(self.ids) + 1))
         gram, whole = word_grams(self.hashes, self.text_of, self.block)
         self.probe_at = np.flatnonzero(whole)
@@ -57,7 +57,7 @@ class Batch:
         return anchors, anchor_place, least, most, probes, probe_place, p_least, p_most
 
     def candidates(self, layout: X.Layout, answers: pa.Table):
-        """Places of the windows around hits, their distinct keys, each window's place among them, each key's smallest document."""
+        """Places of the windows around hits, both halves of their distinct keys, each window's place among them, each key's smallest document."""
         anchors, anchor_place, least, most, probes, probe_place, p_least, p_most = self.keys(layout)
         a_ranges, p_ranges = layout.ranges(anchors, layout.bits), layout.ranges(probes, layout.bits)
         a_hit, p_hit = np.zeros(len(anchors), bool), np.zeros(len(probes), bool)
@@ -78,8 +78,11 @@ class Batch:
         inner = self.window - self.block + 1
         at = np.flatnonzero(whole & (seen[inner : inner + len(gram)] > seen[: len(gram)])) if len(gram) else np.zeros(0, int)
         doc = self.ids[self.text_of[at]]
-        keys, place, ((smallest, _),) = first_of(gram[at], doc)
-        return at, doc, keys, place, smallest
+        half = word_grams(span_hashes(self.raw, *self.spans, other=True), self.text_of, self.window, other=True)[0][at]
+        keys, place, ((smallest, _),) = first_of(gram[at], doc, second=half)
+        halves = np.empty(len(keys), U64)
+        halves[place] = half
+        return at, doc, keys, halves, place, smallest
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 13, **sizes) -> DataFrame:
@@ -114,15 +117,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, **sizes) -> DataFrame:
     def ask_windows(key, table, answers):
         if not len(table):
             return X.messages([])
-        _, _, keys, _, smallest = Batch(table, window).candidates(layout, answers)
+        _, _, keys, halves, _, smallest = Batch(table, window).candidates(layout, answers)
         return X.messages([
-            (2, k, key[0].as_py(), X.squeeze(keys[i:j]), X.narrow(smallest[i:j])) for k, (i, j) in layout.ranges(keys, 64).items()
+            (2, k, key[0].as_py(), X.squeeze(keys[i:j]), X.narrow(smallest[i:j]), halves[i:j].tobytes())
+            for k, (i, j) in layout.ranges(keys, 64).items()
         ])
 
     def answer_windows(key, table):
-        rows = [(batch, X.unsqueeze(a), X.widen(b)) for _, batch, a, b, _ in X.received(table, 2)]
-        keys, place, ((smallest, _),) = first_of(
-            np.concatenate([k for _, k, _ in rows]), np.concatenate([d for _, _, d in rows])
+        received = X.received(table, 2)
+        rows = [(batch, X.unsqueeze(a), X.widen(b)) for _, batch, a, b, _ in received]
+        _, place, ((smallest, _),) = first_of(
+            np.concatenate([k for _, k, _ in rows]), np.concatenate([d for _, _, d in rows]), second=np.frombuffer(b"".join(r[4] for r in received), U64)
         )
         out, i = [], 0
         for batch, k, d in rows:
@@ -134,7 +139,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, **sizes) -> DataFrame:
         if not len(table):
             return _empty()
         batch = Batch(table, window)
-        at, doc, keys, place, smallest = batch.candidates(layout, answers)
+        at, doc, keys, _, place, smallest = batch.candidates(layout, answers)
         ranges, earlier = layout.ranges(keys, 64), np.zeros(len(keys), bool)
         for part, _, raw, _, _ in X.received(answers, 2):
             i, j = ranges[part]
