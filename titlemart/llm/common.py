@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut as checkpointed
 from ..functions.lineage import shared_folder
 
-__all__ = ["BLANKS", "by_ids", "checkpointed", "read", "release", "salt", "salts_for", "shared_table", "slices", "text_bytes", "two_hashes"]
+__all__ = ["BLANKS", "alike", "by_ids", "checkpointed", "in_few", "read", "release", "salt", "salts_for", "settled", "shared_table", "slices", "text_bytes", "two_hashes"]
 
 #: The six white-space bytes that separate words and pad lines.
 BLANKS = " \t\n\v\f\r"
@@ -40,8 +40,8 @@ BROADCAST_IDS = 4_000_000
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of documents with distinct ids (one column, doc_id): texts stay where they are while the ids are few."""
-    ids = checkpointed(ids)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how).select(*docs.columns)
+    ids, n = settled(ids)
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", how).select(*docs.columns)
 
 
 #: About so many rows of one key meet in one task, and into at most so many places is a key split.
@@ -59,6 +59,31 @@ def salt(salts: int, *of: str) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(*of), F.lit(salts)).cast("int"), F.lit(0))
 
 
+#: Tables of which little is left go on in tasks of about so many rows, and in no fewer than so many tasks.
+ROWS_A_TASK, LEAST_TASKS = 100_000, 8
+
+
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in as many tasks as they ask for: each task that writes a shuffle leaves files, however few its rows."""
+    return df.coalesce(max(LEAST_TASKS, math.ceil(rows / ROWS_A_TASK)))
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpointed, in as many tasks as its rows ask for; and their number."""
+    done = checkpointed(df)
+    rows = done.count()
+    return in_few(done, rows), rows
+
+
+def alike(*of: str) -> Column:
+    """A further join column that follows from the key.
+
+    A side that an aggregate has dealt by the key alone is then shuffled for the join, like the other, and adaptive execution
+    may split a hot key's rows among tasks and repeat the key's one row for each.
+    """
+    return F.pmod(F.xxhash64(*of), F.lit(8)).alias("alike")
+
+
 def two_hashes(of: Column) -> tuple[Column, Column]:
     """128 bits of hash: the second begins from another seed, so that neither half follows from the other."""
     return F.xxhash64(of), F.xxhash64(F.lit(7), of)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, checkpointed, salt, salts_for, slices
+from .common import alike, by_ids, checkpointed, in_few, settled, slices
 from .textkit import LOWER, first_of, mix, packed, span_hashes, word_grams, words
 
 U64 = np.uint64
@@ -149,15 +149,11 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, grams binary")
 
 
-def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, *, width: int, percent: int) -> DataFrame:
+def confirmed(edges: DataFrame, docs: DataFrame, *, width: int, percent: int) -> DataFrame:
     """The edges (a, b) of class representatives whose full sets are similar enough."""
-    size = classes.select("rep", "n")
-    possible = checkpointed(
-        edges.join(size.withColumnsRenamed({"rep": "a", "n": "n_a"}), "a")
-        .join(size.withColumnsRenamed({"rep": "b", "n": "n_b"}), "b")
-        .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .select("a", "b")
-    )
+    possible, n = settled(edges.select("a", "b"))
+    if not n:
+        return possible
     ends = possible.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     needed = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ends, "left_semi")
     sets = sets_of(needed, width)
@@ -176,7 +172,7 @@ def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, *, width: i
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(of, "a long, b long").distinct()
+    return in_few(pairs.select("a", "b", "set_a", "set_b").mapInArrow(of, "a long, b long"), n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,16 +181,19 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is two aggregates and joins by node; a node of very many edges is pre-aggregated by min() and its join is
     one that adaptive execution splits.  The lineage is cut each round.
     """
-    now = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
+    now, rows = settled(edges.select("a", "b").filter("a <> b").distinct())
+    few = lambda df: in_few(df, 2 * rows)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("x"), "m").filter("x <> m")
-        now = checkpointed(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")).withColumn("alike", alike("a"))
+        large = both.filter("b > a").withColumn("alike", alike("a")).join(least, ["a", "alike"])
+        large = few(large.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        down = few(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m")).withColumn("alike", alike("a"))
+        small = down.withColumn("alike", alike("a")).join(least, ["a", "alike"])
+        small = few(small.select(F.explode(F.array("a", "b")).alias("x"), "m").filter("x <> m")).distinct()
+        now = few(checkpointed(few(small.select(F.col("x").alias("a"), F.col("m").alias("b")))))
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -245,7 +244,7 @@ def rare_prefixes(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
 
     rows = docs.select("doc_id", "text").mapInArrow(of, "rep long, n long, common double, place long, gram long")
     met = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("gram")
-    return checkpointed(rows.join(met, "gram").select("rep", "n", "common", "place", "gram"))
+    return settled(rows.join(met, "gram").select("rep", "n", "common", "place", "gram"))[0]
 
 
 def _open(rare: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -261,7 +260,8 @@ def _open(rare: DataFrame, grouped: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", F.col("component").alias("main"))).alias("most"),
         F.max("hub").alias("hub"), F.max("lone_hub").alias("lone_hub"),
     )
-    return placed.join(split.filter("parts > 1").select("gram", "most.main", "hub", "lone_hub"), "gram")
+    open_ = split.filter("parts > 1").select("gram", "most.main", "hub", "lone_hub", alike("gram"))
+    return placed.withColumn("alike", alike("gram")).join(open_, ["gram", "alike"]).drop("alike")
 
 
 def _may(n: str, place: str, m: str, at: str, percent: int) -> Column:
@@ -297,68 +297,67 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a document."""
     marks = checkpointed(sketches(docs, width=width, bins=bins, rows=rows))
-    # A class may hold a third of all documents, and a bucket a third of all classes: both are joined by salts of their members.
-    salts = salts_for(marks.count())
-    named = marks.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).withColumn("salt", salt(salts, "doc_id"))
+    named = marks.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # Equal sets have equal bucket keys, so any row's will do.
-    classes = named.groupBy("n", "print").agg(
-        F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.collect_set("salt").alias("salts")
-    )
-    reps = classes.select("rep", "n", "print")
-    held = classes.select("rep", F.explode(F.array_distinct("keys")).alias("key")).withColumn("salt", salt(salts, "rep"))
+    classes = named.groupBy("n", "print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    held = classes.select("rep", "n", F.explode(F.array_distinct("keys")).alias("key"))
     # The centre is the class with the least of a few draws: groups then meet under few centres, but not under one.
-    draw = F.struct(F.xxhash64(F.pmod("key", F.lit(DRAWS)), "rep").alias("h"), F.col("rep").alias("centre"))
-    shared = held.groupBy("key").agg(
-        F.count(F.lit(1)).alias("many"), F.min(draw).alias("draw"), F.collect_set("salt").alias("salts")
-    ).filter("many > 1")
-    centres = shared.select("key", F.col("draw.centre").alias("centre"), F.explode("salts").alias("salt"))
-    members = checkpointed(held.join(centres, ["key", "salt"]).drop("salt"))
-    star = (
-        members.filter("rep <> centre")
-        .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        .distinct()
-    )
-    links = checkpointed(confirmed(star, reps, docs, width=width, percent=percent))
-    grouped = components(links)
+    draw = F.xxhash64(F.pmod("key", F.lit(DRAWS)), "rep")
+    shared = (
+        held.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min_by("rep", draw).alias("centre"), F.min_by("n", draw).alias("m"))
+        .filter("many > 1").select("key", "centre", "m", alike("key"))
+    )
+    # A class may hold a third of all documents, and a bucket a third of all classes: see alike().
+    members, _ = settled(held.withColumn("alike", alike("key")).join(shared, ["key", "alike"]).drop("alike"))
+
+    def near_in_size(n: str, m: str) -> Column:
+        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+    star, _ = settled(
+        members.filter((F.col("rep") != F.col("centre")) & near_in_size("n", "m"))
+        .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    )
+    grouped, _ = settled(components(confirmed(star, docs, width=width, percent=percent)))
 
     # Buckets whose classes are in more than one component.
     placed = members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     split = by_part.groupBy("key").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", F.col("component").alias("main"))).alias("most")
-    ).filter("parts > 1").select("key", "all", "most.main")
-    open_ = checkpointed(placed.join(split, "key"))
+    ).filter("parts > 1").select("key", "all", "most.main", alike("key"))
+    open_, _ = settled(placed.withColumn("alike", alike("key")).join(split, ["key", "alike"]).drop("alike"))
     few = open_.filter(F.col("all") <= CROWD)
-    lesser = few.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("of"))
-    each = lesser.join(few.select("key", "rep", "component"), "key").filter(F.col("of") != F.col("component")).select("x", "rep")
+    lesser = few.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("of"))
+    each = lesser.join(few.select("key", "rep", "n", "component"), "key").filter((F.col("of") != F.col("component")) & near_in_size("n", "n_x"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    crowd = checkpointed(open_.filter(F.col("all") > CROWD).select(F.col("rep").alias("doc_id")).distinct())
-    rare = None if crowd.isEmpty() else rare_prefixes(by_ids(texts, crowd, "left_semi"), width=width, percent=percent)
+    crowd, n_crowd = settled(open_.filter(F.col("all") > CROWD).select(F.col("rep").alias("doc_id")).distinct())
+    rare = rare_prefixes(by_ids(texts, crowd, "left_semi"), width=width, percent=percent) if n_crowd else None
 
     tested, final = star, grouped
     for turn in range(3):
         if turn == 0:
-            pairs = _ordered(each)
+            pairs = _ordered(each.select("x", "rep"))
             if rare is not None:
                 pairs = pairs.unionByName(hub_pairs(_open(rare, final), "hub", percent)).distinct()
         elif rare is not None:
             pairs = hub_pairs(_open(rare, final), "lone_hub", percent) if turn == 1 else rest_pairs(_open(rare, final), percent)
         else:
             break
-        again = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        if again.isEmpty():
+        again, n_again = settled(pairs.join(tested, ["a", "b"], "left_anti"))
+        if not n_again:
             continue
         tested = tested.unionByName(again)
-        more = checkpointed(confirmed(again, reps, docs, width=width, percent=percent))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            final = components(links)
+        more, n_more = settled(confirmed(again, docs, width=width, percent=percent))
+        if n_more:
+            # Components so far are stars; the new links join them.
+            so_far = final.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            final, _ = settled(components(so_far.unionByName(more)))
 
     answer = (
-        named.select("doc_id", "n", "print", "salt")
-        .join(classes.select("n", "print", "rep", F.explode("salts").alias("salt")), ["n", "print", "salt"])
+        named.select("doc_id", "n", "print", alike("n", "print"))
+        .join(named.groupBy("n", "print").agg(F.min("doc_id").alias("rep")).withColumn("alike", alike("n", "print")), ["n", "print", "alike"])
         .join(final.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     )
