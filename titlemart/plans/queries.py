@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions.lineage import shared_folder
 from ..functions.tables import PLATFORM_NAMES
 from ..operators import anomalies, daily, entities, episodes, kpi, quality, score, stats
 from ..operators.keys import dense_key, first_row, latest_row
 from ..schema import order_of, validated
+from ..sources import files
 from ..sources import views as V
 from . import serve, warehouse
 
@@ -161,6 +164,56 @@ def a0_validated_records(spark: SparkSession, d: str) -> DataFrame:
     return v.select("comic_id", "source_file", "title", "author", "views", "likes", F.coalesce("rating", F.lit(0.0)).alias("rating"), "metric_type", "content_type", "primary_metric")
 
 
+# --- sinks and sources, written to the shared folder and read again -----------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {V.OBS_DAILY_SQL} SELECT comic_id, source, title, genre, rank, views, likes, 'unknown' AS metric_type, 'comic' AS content_type, scraped_at::DATE AS day, source_file FROM obs_daily""")
+def a1_read_silver(spark: SparkSession, d: str) -> DataFrame:
+    """Observations written by platform and day (A2), and read whole."""
+    root = _place(spark, "silver")
+    files.write_silver(validated(V.obs_daily(spark, d)), root)
+    rows = files.read_silver(spark, root)
+    return rows.select("comic_id", "source", "title", "genre", "rank", "views", "likes", "metric_type", "content_type", F.to_date("scraped_at").alias("day"), "source_file")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def a5_newest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of a table, of which the newer one counts."""
+    root, parts = _place(spark, "snapshots"), V.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    files.write_snapshot(parts.withColumn("p_size", F.col("p_size") - 1), root, 20240101)
+    files.write_snapshot(parts, root, 20240102)
+    return files.read_newest(spark, root)
+
+
+@query("SELECT p_brand AS brand, count(*) AS n, min(p_name) AS first FROM part GROUP BY 1")
+def a6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Tables as fields of one JSON document, one of them read back."""
+    path, part = _place(spark, "report"), V.table(spark, d, "part")
+    brands = part.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first"))
+    files.write_report({"brands": brands, "size": part.agg(F.max("p_size").alias("most"))}, path)
+    schema = "brands array<struct<brand string, n long, first string>>"
+    return spark.read.schema(schema).json(path).select(F.explode("brands").alias("b")).select("b.*")
+
+
+@query("""SELECT c_custkey::VARCHAR AS title_id, c_name AS title, DATE '2024-01-01' + (c_custkey % 300)::INTEGER AS contract_date, c_acctbal AS contract_size_usd,
+    CASE WHEN c_custkey % 2 = 0 THEN (c_nationkey)::INTEGER END AS term_months FROM customer WHERE c_custkey % 5 > 0""")
+def a7_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a CSV of contracts; every fifth has no title's id, and odd ones a term that does not parse."""
+    path, c = _place(spark, "contracts"), V.table(spark, d, "customer")
+    id_ = F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey").cast("string"))
+    c.select(
+        id_.alias("title_id"), F.col("c_name").alias("title"), F.lit("p").alias("publisher"), F.lit("x").alias("platform"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")).alias("contract_date"), F.col("c_acctbal").alias("contract_size_usd"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).otherwise("two years").alias("term_months"),
+        *(F.lit("-").alias(n) for n in ("territory", "rights", "notes")),
+    ).write.option("header", "true").csv(path)
+    return files.read_contracts(spark, path).select("title_id", "title", "contract_date", "contract_size_usd", "term_months")
+
+
 # --- one row per key -------------------------------------------------------------------------------------------------
 
 
@@ -393,8 +446,8 @@ def g13_z_scores(spark: SparkSession, d: str) -> DataFrame:
   p AS (SELECT a.genre, a.source, sum(sign(b.y - a.y))::DOUBLE AS s FROM s a JOIN s b ON a.genre = b.genre AND a.source = b.source AND a.i < b.i GROUP BY 1, 2),
   n AS (SELECT genre, source, count(*) AS n, count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18.0::DOUBLE AS var, regr_r2(y, i) AS r2, regr_syy(y, i) AS syy FROM s GROUP BY 1, 2),
   z AS (SELECT *, CASE WHEN n < 3 THEN 0.0 WHEN s > 0 THEN (s - 1) / sqrt(var) WHEN s < 0 THEN (s + 1) / sqrt(var) ELSE 0.0 END AS z FROM n LEFT JOIN p USING (genre, source))
-  SELECT genre, source, week_start, total_views, velocity AS view_velocity, velocity - coalesce(lag(velocity) OVER (PARTITION BY genre, source ORDER BY week_start), 0.0) AS view_acceleration,
-    CASE WHEN abs(z) <= 1.959963984540054 THEN 'Stable' WHEN s > 0 THEN 'Rising' ELSE 'Falling' END AS trend_status, round(z, 4) AS mann_kendall_z, CASE WHEN n < 3 OR syy = 0 THEN 0.0 ELSE r2 END AS r_squared, n AS n_points
+  SELECT genre, source, week_start, total_views, velocity::DECIMAL(18, 6) AS view_velocity, (velocity - coalesce(lag(velocity) OVER (PARTITION BY genre, source ORDER BY week_start), 0.0))::DECIMAL(18, 6) AS view_acceleration,
+    CASE WHEN abs(z) <= 1.959963984540054 THEN 'Stable' WHEN s > 0 THEN 'Rising' ELSE 'Falling' END AS trend_status, z::DECIMAL(18, 4) AS mann_kendall_z, (CASE WHEN n < 3 OR syy = 0 THEN 0.0 ELSE r2 END)::DECIMAL(18, 6) AS r_squared, n AS n_points
   FROM v JOIN z USING (genre, source)""")
 def g14_weekly_trends(spark: SparkSession, d: str) -> DataFrame:
     return stats.weekly_trends(_daily(spark, d))
