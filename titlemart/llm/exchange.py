@@ -7,7 +7,8 @@ differences of sorted keys in the fewest bytes.  A partition merges the batches'
 key back to each batch, in the same order.  The batch then reads its texts beside the answers.
 
 Batches and partitions are sized by bytes of text, so a group's memory does not depend on the input's size; what
-a third of all documents share is one key in each batch.  Documents are read three times from one shuffle of the texts, which Spark
+a third of all documents share is one key in each batch.  A batch has a row for each partition that occurs among its keys and looks
+at no other, so rows and work grow with the keys, however many partitions there are.  Documents are read three times from one shuffle of the texts, which Spark
 reuses, and nothing passes through the driver.
 """
 

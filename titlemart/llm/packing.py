@@ -146,15 +146,15 @@ def pieces(docs: DataFrame, path: str, *, end_id: int, capacity: int) -> DataFra
     )
 
 
-def exact_patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of three lengths, long to short (0: none), that fill ``capacity`` and occur in ``counts``."""
+def exact_patterns(counts: np.ndarray, capacity: int, most: int = MAX_PATTERNS) -> np.ndarray:
+    """At most ``most`` rows of three lengths, long to short (0: none), that fill ``capacity`` and occur in ``counts``."""
     have = np.flatnonzero(counts)
     found = [np.array([[capacity, 0, 0]])] if counts[capacity] else []
     pairs = have[(have * 2 >= capacity) & (have < capacity)]
     pairs = pairs[counts[capacity - pairs] > 0]
     found.append(np.stack([pairs, capacity - pairs, 0 * pairs], 1))
     first = have[(have * 3 >= capacity) & (have < capacity)]
-    step = max(1, math.ceil(len(first) * len(have) / (4 * MAX_PATTERNS)))
+    step = max(1, math.ceil(len(first) * len(have) / (4 * most)))
     for a in first:
         rest = capacity - a
         b = have[(have <= a) & (have * 2 >= rest) & (have < rest)]
@@ -162,7 +162,7 @@ def exact_patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
         b = b[counts[rest - b] > 0]
         found.append(np.stack([np.full_like(b, a), b, rest - b], 1))
     out = np.concatenate(found) if found else np.zeros((0, 3), int)
-    return out[:: max(1, math.ceil(len(out) / MAX_PATTERNS))].astype(np.int64)
+    return out[:: max(1, math.ceil(len(out) / most))].astype(np.int64)
 
 
 def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 150) -> np.ndarray:
@@ -190,13 +190,16 @@ def fitted(patterns: np.ndarray, counts: np.ndarray, rounds: int = 150) -> np.nd
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence, how many such sequences): every piece of the histogram once."""
+def plan(histogram: dict[int, int], capacity: int, max_patterns: int = MAX_PATTERNS) -> list[tuple[list[int], int]]:
+    """(lengths of a sequence, how many such sequences): every piece of the histogram once.
+
+    ``max_patterns`` bounds what the fit looks at; what its patterns leave is packed by best fit, so no piece is left out.
+    """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
     made: list[tuple[list[int], int]] = []
-    patterns = exact_patterns(counts, capacity)
+    patterns = exact_patterns(counts, capacity, max_patterns)
     if len(patterns):
         x = fitted(patterns, counts.astype(float))
         for k in np.argsort(-x, kind="stable"):
@@ -245,12 +248,12 @@ def segments(made: list[tuple[list[int], int]], capacity: int) -> dict[str, np.n
     return {k: table[:, i] for i, k in enumerate(("length", "first", "per", "sequence", "offset"))}
 
 
-def pack(docs: DataFrame, path: str, *, end_id: int = 1, capacity: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, end_id: int = 1, capacity: int = 4096, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): each piece's place, gapless in its sequence."""
     spark = docs.sparkSession
     cut = checkpointed(pieces(docs, path, end_id=end_id, capacity=capacity))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # <= capacity rows
-    table = segments(plan(histogram, capacity), capacity)
+    table = segments(plan(histogram, capacity, max_patterns), capacity)
     keys = table["length"] << 40 | table["first"]  # ranks stay below 2**40
     place = spark.sparkContext.broadcast((keys, table))
 
