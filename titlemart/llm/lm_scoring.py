@@ -12,7 +12,7 @@ nearer to the target.
 
 Counts are asked for through ``exchange``: batches send their distinct words and bigrams with the counts of both models, partitions
 add them up and answer each batch's keys; nothing is cut off and the tables grow with the corpus, spread over the
-partitions.  Keys are hashes of so many bits that one in 10,000 or fewer meets another.
+partitions.  Keys are hashes of 63 bits and one that tells words from bigrams.
 
 Defined cases: null or empty text has no tokens, and null losses and score; a document with several labels is a target if any is good; a null doc_id
 is never labelled; repeated rows count each; without any labelled document the target is uniform; an empty table gives an empty result.
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import checkpointed
 from .textkit import LOWER, first_of, mix, packed, span_hashes, words
 
 U64 = np.uint64
@@ -87,7 +86,7 @@ class Batch:
 def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, batch_bytes: int = 6 << 20, **sizes) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score); ``good`` holds the doc_id of target documents."""
     texts, layout = X.batched(docs, batch_bytes=batch_bytes, **sizes)
-    width = min(64, layout.bits + 2)
+    width = 64
     none = [F.lit(None).cast("binary").alias(c) for c in "abc"]
     labels = (
         good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
@@ -119,10 +118,10 @@ def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, batch_bytes: int
         return X.messages(out)
 
     asked = texts.groupBy("batch").cogroup(labels.groupBy("batch")).applyInArrow(ask, X.MESSAGE)
-    answers = checkpointed(asked.groupBy("part").applyInArrow(answer, X.MESSAGE))
+    answers = asked.groupBy("part").applyInArrow(answer, X.MESSAGE)
+    # One row of totals goes to every batch beside its answers, within one plan: what was asked is shuffled once.
     said = F.split(F.decode("a", "utf-8"), ",")
-    sizes_ = answers.filter("round = 2").agg(*(F.sum(said[i].cast("long")) for i in range(3))).first()
-    n_background, n_target, vocabulary = (x or 0 for x in sizes_)
+    totals = answers.filter("round = 2").agg(F.array(*(F.coalesce(F.sum(said[i].cast("long")), F.lit(0)) for i in range(3))).alias("totals"))
 
     def losses(key, table, told):
         if not len(table):
@@ -130,6 +129,9 @@ def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, batch_bytes: int
         b = Batch(table, told, width)
         at = layout.ranges(b.keys, width)
         counts = np.zeros((2, len(b.keys)))
+        n_target, n_background, vocabulary = 0, 0, 1
+        if len(b.keys):  # then some row has the totals
+            n_background, n_target, vocabulary = told["totals"].drop_null()[0].as_py()
         for part, _, _, x, y in X.received(told, 1):
             i, j = at[part]
             counts[0, i:j], counts[1, i:j] = _uncounts(x), _uncounts(y)
@@ -145,7 +147,8 @@ def score(docs: DataFrame, good: DataFrame, *, mu: float = 5.0, batch_bytes: int
         ]
         return pa.table([table["doc_id"], pa.array(n, pa.int64()), *columns], names=_NAMES)
 
-    told = answers.filter("round = 1").withColumn("doc_id", F.lit(None).cast("long")).unionByName(labels)
+    told = answers.filter("round = 1").withColumns({"doc_id": F.lit(None).cast("long"), "totals": totals.scalar()})
+    told = told.unionByName(labels.withColumn("totals", F.lit(None).cast("array<long>")))
     return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
         losses, "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
     )
