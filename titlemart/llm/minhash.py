@@ -172,7 +172,7 @@ def confirmed(edges: DataFrame, docs: DataFrame, *, width: int, percent: int) ->
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return in_few(pairs.select("a", "b", "set_a", "set_b").mapInArrow(of, "a long, b long"), n)
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(of, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
