@@ -17,7 +17,7 @@ languages there are fewer buckets.  Training counts leave a task as at most that
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; training rows with null language or text are left
 out; ties go to the language that sorts first; without any training row all are ``und``; repeated rows count each; an empty table gives an
-empty result.
+empty result; other columns are carried along, but for those that have the name of a result, which takes their place.
 """
 
 from __future__ import annotations
