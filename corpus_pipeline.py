@@ -92,7 +92,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; tables between stages go to the shared folder."""
+    """All stages on ``documents``; tables between stages go to the shared folder, and stay there: the result is read from the last of them."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name)
