@@ -39,8 +39,8 @@ MAX_PATTERNS = 60_000
 #: Distinct white-space-free chunks, and words, whose ids a task remembers.
 CACHED_CHUNKS = 400_000
 LONGEST_CACHED = 48
-#: Pieces that one hash bucket of a length holds, about.
-PIECES_A_BUCKET = 20_000
+#: Pieces that one hash bucket of a length holds, about; a length that many pieces share has as many buckets as they ask for.
+PIECES_A_BUCKET = 500
 
 
 def _byte_letters() -> dict[int, str]:
@@ -257,8 +257,9 @@ def pack(docs: DataFrame, path: str, *, end_id: int = 1, capacity: int = 4096, m
     keys = table["length"] << 40 | table["first"]  # ranks stay below 2**40
     place = spark.sparkContext.broadcast((keys, table))
 
-    buckets = max(1, math.ceil(sum(histogram.values()) / PIECES_A_BUCKET))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    buckets = [(length, math.ceil(n / PIECES_A_BUCKET)) for length, n in histogram.items()]  # <= capacity rows
+    by_length = F.broadcast(spark.createDataFrame(buckets, "length long, buckets int"))
+    dealt = cut.join(by_length, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets").cast("int")).drop("buckets")
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
