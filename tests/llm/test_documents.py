@@ -41,6 +41,8 @@ def test_language_of_odd_rows(odd, none):
     assert by[1].lang_pred == by[2].lang_pred == by[8].lang_pred == "und" and by[8].lang_score == 0
     assert by[6].lang_pred == by[7].lang_pred in ("en", "fr") and by[11].lang_pred in ("de", "en", "fr")
     assert language_id.predicted(none, model).count() == 0
+    capitals = language_id.predicted(odd.withColumns({"LANG_PRED": F.lit("mine"), "Lang_Mix": F.lit(1)}), model)
+    assert "LANG_PRED" not in capitals.columns and {r.lang_pred for r in capitals.collect()} == {r.lang_pred for r in rows}
     assert {r.lang_pred for r in language_id.predicted(odd, language_id.train(none)).collect()} == {"und"}
 
 

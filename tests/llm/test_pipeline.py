@@ -32,6 +32,14 @@ def test_stages_of_odd_rows(spark, sf_dir, odd, none):
     assert run_stages(spark, none.select(*columns), sf_dir)[-1].count() == 0
 
 
+def test_repeated_rows_lose_several_lines_in_the_pipeline(spark, sf_dir):
+    text = "shared by all\nown line {}\nalso shared\nshared by all\nthe end of {}"
+    rows = [(d, text.format(d, d), "en", "s", 70) for d in [*range(12), 1, 1, 5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    done = corpus_pipeline.drop_repeated_lines(spark, df, sf_dir).collect()
+    assert len(done) == len(rows) and all(r.text == f"own line {r.doc_id}\nthe end of {r.doc_id}" and r.n_chars == len(r.text) for r in done)
+
+
 def test_stages_carry_columns_of_any_name(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
     names = ["n_dropped", "kept_text", "lang_pred", "lang_score", "_text", "print", "row", "whole", "kept", "n"]

@@ -134,6 +134,20 @@ def test_lines_of_odd_rows(odd, none, spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_repeated_rows_that_lose_several_lines(spark):
+    """A repeated row is one document: its runs, and what it loses, are those of one."""
+    texts = {d: f"shared by all\nown line {d}\nalso shared\nshared by all\nthe end" for d in range(12)}
+    want = brute.lines(texts, 10)
+    rows = [*texts.items(), (1, texts[1]), (1, texts[1]), (5, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in line_dedup.digest(df, at_least=10).collect()]
+    assert len(got) == len(rows) and set(got) == want
+    first = [tuple(r) for r in line_dedup.digest(df, rule="first").collect()]
+    assert len(first) == len(rows) and set(first) == brute.first_lines(texts)
+    nine = spark.createDataFrame([(d, texts[d]) for d in range(9)] * 2, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.digest(nine, at_least=10).collect()} == {0}
+
+
 def test_lines_are_sorted_in_ranges_and_scanned_once(spark, sf_dir):
     df = line_dedup.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     df.collect()
@@ -162,6 +176,11 @@ def test_columns_named_as_results_are_kept_apart(odd):
     assert {r.n_dropped for r in line_dedup.drop_lines(named, at_least=2).collect()} == {0, 1}
 
 
+def test_columns_named_as_results_in_another_case(odd):
+    rows = line_dedup.drop_lines(odd.withColumns({"N_DROPPED": F.lit("mine"), "Kept_Text": F.lit(1)}), at_least=2)
+    assert rows.count() == odd.count() and {r.n_dropped for r in rows.collect()} == {0, 1} and "N_DROPPED" not in rows.columns
+
+
 def test_hot_keys_in_many_places(spark, shared_texts, monkeypatch):
     monkeypatch.setattr(common, "ROWS_A_SALT", 4)
     docs = shared_texts[0] | {100 + d: "the very same words in all of these documents\na line" for d in range(40)}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut as checkpointed
 from ..functions.lineage import shared_folder
 
-__all__ = ["BLANKS", "alike", "by_ids", "checkpointed", "in_few", "read", "release", "salt", "salts_for", "settled", "shared_table", "slices", "text_bytes", "two_hashes"]
+__all__ = ["BLANKS", "alike", "by_ids", "checkpointed", "in_few", "others", "read", "release", "salt", "salts_for", "settled", "shared_table", "slices", "text_bytes", "two_hashes"]
 
 #: The six white-space bytes that separate words and pad lines.
 BLANKS = " \t\n\v\f\r"
@@ -27,6 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def others(df: DataFrame, *made: str) -> list[str]:
+    """The columns of ``df`` but those that Spark would take for one of ``made``: by default it does not tell capitals from small letters."""
+    told = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    taken = set(made) if told else {c.lower() for c in made}
+    return [c for c in df.columns if (c if told else c.lower()) not in taken]
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

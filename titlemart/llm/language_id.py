@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import others, slices
 from .textkit import packed
 
 U64 = np.uint64
@@ -157,8 +157,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], *, penalty:
     """All columns of ``docs`` plus lang_pred, lang_score and lang_mix (map of language to proportion)."""
     languages, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
-    clash = {"lang_pred", "lang_score", "lang_mix"} & set(docs.columns)
-    docs = docs.drop(*clash)
+    docs = docs.select(*(F.col(f"`{c}`") for c in others(docs, "lang_pred", "lang_score", "lang_mix")))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, salt, salts_for, two_hashes
+from .common import BLANKS, others, salt, salts_for, two_hashes
+
 
 def line_key(line: Column) -> Column:
     bare = F.trim(line, F.lit(BLANKS))
@@ -61,11 +62,11 @@ def keep_runs(docs: DataFrame, *, at_least: int = 10, min_chars: int = 1, rule:
     in_document = W.partitionBy("h1", "h2", "doc_id", "print").orderBy("pos")
     sorted_ = (
         lines.repartitionByRange("h1", "h2", "doc_id", "print")
-        .withColumn("nth", F.row_number().over(in_document))
+        .withColumns({"opens": F.row_number().over(in_document) == 1, "nth": F.dense_rank().over(in_document)})
         .withColumn("salt", salt(salts, "doc_id", "print"))
     )
     counted = sorted_.groupBy("h1", "h2").agg(
-        F.count_if(F.col("nth") == 1).alias("n_docs"), F.max("nth").alias("most"),
+        F.count_if("opens").alias("n_docs"), F.max("nth").alias("most"),
         F.min(F.struct("doc_id", "print")).alias("owner"), F.collect_set("salt").alias("salts"),
     )
     losing = F.col("n_docs") >= at_least if rule == "at_least" else (F.col("n_docs") > 1) | (F.col("most") > 1)
@@ -73,11 +74,12 @@ def keep_runs(docs: DataFrame, *, at_least: int = 10, min_chars: int = 1, rule:
     dropped = sorted_.join(decided, ["h1", "h2", "salt"])
     if rule == "first":
         dropped = dropped.filter(~(F.struct("doc_id", "print").eqNullSafe(F.col("owner")) & (F.col("nth") == 1)))
+    # A repeated row has each of its lines as often as itself: equal positions take one place, and a run is as long as its span.
     w = W.partitionBy("doc_id", "print").orderBy("pos")
     runs = (
-        dropped.select("doc_id", "print", "pos").withColumn("run", F.col("pos") - F.row_number().over(w))
+        dropped.select("doc_id", "print", "pos").withColumn("run", F.col("pos") - F.dense_rank().over(w))
         .groupBy("doc_id", "print", "run")
-        .agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("length"))
+        .agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("length"))
     )
     return runs.groupBy("doc_id", "print").agg(
         F.sum("length").alias("dropped"), F.array_sort(F.collect_list(F.struct("start", "length"))).alias("dropped_runs")
@@ -111,7 +113,7 @@ def decided(docs: DataFrame, **rule) -> DataFrame:
 def drop_lines(docs: DataFrame, **rule) -> DataFrame:
     """All rows and columns of ``docs`` plus ``kept_text``, ``n_lines`` and ``n_dropped``."""
     made = ("kept_text", "n_lines", "n_dropped")
-    return decided(docs, **rule).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made), *made)
+    return decided(docs, **rule).select(*(F.col(f"row.`{c}`").alias(c) for c in others(docs, *made)), *made)
 
 
 def digest(docs: DataFrame, **rule) -> DataFrame:
