@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 
 def sha(raw: bytes) -> str:
@@ -215,3 +216,13 @@ def edit_matches(text: str, item: str) -> int:
         for j, x in enumerate(text, 1):
             last, row[j] = row[j], min(last + (c != x), row[j] + 1, row[j - 1] + 1)
     return min(row)
+
+
+def exact(docs: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """(doc_id, keep_id, group_size, kept, sha256) of each row, in their order."""
+    form = [re.sub(rb"[ \t-\r]+", b" ", (t or "").encode()) for _, t in docs]
+    first: dict = {}
+    for k, (d, _) in enumerate(docs):
+        place = (d is None, d or 0, k)
+        first[form[k]] = min(first.get(form[k], place), place)
+    return [(d, docs[first[f][2]][0], form.count(f), first[f][2] == k, sha(f)) for k, ((d, _), f) in enumerate(zip(docs, form, strict=True))]
