@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 
@@ -226,3 +227,23 @@ def exact(docs: list[tuple[int | None, str | None]]) -> list[tuple]:
         place = (d is None, d or 0, k)
         first[form[k]] = min(first.get(form[k], place), place)
     return [(d, docs[first[f][2]][0], form.count(f), first[f][2] == k, sha(f)) for k, ((d, _), f) in enumerate(zip(docs, form, strict=True))]
+
+
+def clusters(rows: list[tuple], k: int = 16, rounds: int = 3, size: int = 64, scale: int = 64) -> list[tuple]:
+    """(vec_id, cluster, distance, cluster_inertia, inertia, sha256) in whole numbers."""
+    sound = lambda v: v is not None and len(v) == size and all(x is not None and math.isfinite(x) for x in v)
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if sound(v)]
+    first = sorted(kept, key=lambda r: (sha(f"1:{r[0]}".encode()) if r[0] is not None else "z", r[1]))
+    centroids = [v for _, v in first[:k]]
+    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for r in range(rounds + 1):
+        near = [min((apart(v, c), j) for j, c in enumerate(centroids)) for _, v in kept]
+        for j in range(len(centroids) if r < rounds else 0):
+            own = [v for (_, v), (_, n) in zip(kept, near, strict=True) if n == j]
+            if own:
+                centroids[j] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    total: dict = {}
+    for d, j in near if kept else []:
+        total[j] = total.get(j, 0) + d
+    shas = [sha(",".join(map(str, c)).encode()) for c in centroids]
+    return [(i, j, d, total[j], sum(total.values()), shas[j]) for (i, _), (d, j) in zip(kept, near if kept else [], strict=True)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup
+from . import additive_ann, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup, zone_clusters
 from .common import read
 
 END_ID = 1
@@ -71,6 +71,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clusters.cluster(read(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64.0)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -87,10 +91,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_best_fit_packing,
         op9_lm_scoring,
         op10_benchmark_decontamination,
+        op11_centroid_clusters,
         op13_exact_dedup,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op13_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op3_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_centroid_clusters": zone_clusters.oracle_sql(),
+        "op13_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
