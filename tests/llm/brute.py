@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 
 
 def sha(raw: bytes) -> str:
@@ -247,3 +248,32 @@ def clusters(rows: list[tuple], k: int = 16, rounds: int = 3, size: int = 64, sc
         total[j] = total.get(j, 0) + d
     shas = [sha(",".join(map(str, c)).encode()) for c in centroids]
     return [(i, j, d, total[j], sum(total.values()), shas[j]) for (i, _), (d, j) in zip(kept, near if kept else [], strict=True)]
+
+
+def rebuilt(rows: list[tuple], group: int = 100, most: int = 6) -> dict[int, list[tuple[str, str]]]:
+    """Conversations of (conv_id, turn, role, text) that begin as others do."""
+    digest = lambda r: sha(f"{len(r[2] or '')}:{r[2] or ''}{r[3] or ''}".encode())
+    own: dict = {}
+    for c, _, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, digest(r))):
+        own.setdefault(c, []).append((role or "", text or ""))
+    h = {c: zlib.crc32(str(c).encode()) % most for c in own}
+    return {c: own.get(c - int(math.fmod(c, group)), [])[: h[c]] + t[h[c] :] for c, t in own.items()}
+
+
+def trie(turns: dict[int, list[tuple[str, str]]]) -> set:
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node."""
+    members: dict = {}
+    for c, t in turns.items():
+        for d in range(len(t) + 1):
+            members.setdefault(tuple(t[:d]), []).append(c)
+    below: dict = {}
+    for k in members:
+        for d in range(len(k) + 1):
+            below.setdefault(k[:d], []).append(k)
+    children = {k: sum(len(x) == len(k) + 1 for x in below[k]) for k in members}
+    saved = {k: (len(m) - 1) * len(k[-1][1]) if k else 0 for k, m in members.items()}
+    return {
+        (min(m), len(k), min(members[k[:-1]]) if k else None, len(m), children[k], sum(not children[x] for x in below[k]), sum(saved[x] for x in below[k]),
+         sha(",".join(str(c) for c in sorted(m) if len(turns[c]) == len(k)).encode()))
+        for k, m in members.items()
+    }

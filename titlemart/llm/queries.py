@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, secrets, substring_dedup, zone_clusters
+from . import additive_ann, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, minhash, packing, prefix_free_dedup, prefix_trie, secrets, substring_dedup, zone_clusters
 from .common import read
 
 END_ID = 1
@@ -75,6 +75,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_clusters.cluster(read(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64.0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = prefix_trie.with_shared_openings(read(spark, sf_dir, "conversations"), group=100, most=6)
+    return prefix_trie.build(turns, ids).drop("enter", "exit")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_lm_scoring,
         op10_benchmark_decontamination,
         op11_centroid_clusters,
+        op12_prefix_trie,
         op13_exact_dedup,
     )
     return {f.__name__: f for f in own}
@@ -101,5 +107,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op11_centroid_clusters": zone_clusters.oracle_sql(),
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
         "op13_exact_dedup": exact_dedup.ORACLE_SQL,
     }
