@@ -349,10 +349,10 @@ ids AS (
     lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
   FROM (SELECT DISTINCT c FROM t)),
 r AS (
-  SELECT ids.c, p.p AS at, text, whole FROM ids JOIN p ON p.c = ids.c - ids.c % 100 AND p.p <= ids.h
+  SELECT ids.c, p.p AS place, text, whole FROM ids JOIN p ON p.c = ids.c - ids.c % 100 AND p.p <= ids.h
   UNION ALL SELECT p.c, p.p + 6, text, whole FROM p JOIN ids USING (c) WHERE p.p > ids.h),
 y AS (
-  SELECT c, row_number() OVER w AS d, text, sha256(string_agg(sha256(whole), '') OVER w) AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY at)
+  SELECT c, row_number() OVER w AS d, text, sha256(string_agg(sha256(whole), '') OVER w) AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY place)
   UNION ALL SELECT c, 0, '', 'root' FROM ids),
 n AS (SELECT k, d, min(c) AS c, count(*) AS n, (count(*) - 1) * length(any_value(text)) AS saved FROM y GROUP BY k, d),
 e AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max_by(k, d) AS k FROM y GROUP BY c) GROUP BY k),
