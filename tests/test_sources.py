@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from titlemart.operators import style
+from titlemart.plans import warehouse
 from titlemart.schema import SILVER, validated
 from titlemart.sources import bronze, files
 from titlemart.streaming import increments
@@ -57,6 +58,40 @@ def test_bronze_and_silver_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).selectExpr("size(a) AS a", "size(b) AS b").first() == (2, 1)
 
 
+def test_silver_is_read_by_folder_and_flat(spark, tmp_path):
+    days = [(f"c{k}", f"s{k % 3}", k, dt.datetime(2024, 1, 1 + k % 4, 5)) for k in range(24)]
+    records = validated(spark.createDataFrame(days, "comic_id string, source string, views long, scraped_at timestamp"))
+    files.write_silver(records, str(tmp_path / "parts"))
+    records.write.parquet(str(tmp_path / "flat"))
+    want = sorted(c for c, s, _, t in days if s in ("s1", "s2") and t.day in (2, 3))
+    for root in ("parts", "flat"):
+        whole = files.read_silver(spark, str(tmp_path / root))
+        assert whole.columns == SILVER.names and sorted((r.comic_id, r.source, r.views, r.scraped_at) for r in whole.collect()) == sorted(days)
+        some = files.read_silver(spark, str(tmp_path / root), sources=["s1", "s2"], since="2024-01-02", until="2024-01-03")
+        assert sorted(r.comic_id for r in some.collect()) == want
+    scan = files.read_silver(spark, str(tmp_path / "parts"), sources=["s1"], since="2024-01-02").select("views")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in scan or "PartitionFilters: [isnotnull(source" in scan
+    assert "date#" in scan.split("PartitionFilters")[1].split("]")[0] and "ReadSchema: struct<views:bigint>" in scan
+
+
+def test_updates_leave_other_days_alone(spark, tmp_path):
+    root = str(tmp_path / "facts")
+    rows = [(f"c{k}", dt.date(2024, 1, 1 + k % 5), k) for k in range(40)]
+    table = spark.createDataFrame(rows, "comic_id string, date date, views long")
+    files.rewrite_folders(table, root, "date")
+    stamp = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "facts").rglob("*.parquet")}
+    before = stamp()
+    changes = spark.createDataFrame([("c1", dt.date(2024, 1, 2), 700), ("c1", dt.date(2024, 1, 2), 800), ("n", dt.date(2024, 1, 2), 9), ("n", dt.date(2024, 2, 9), 10)], table.schema)
+    assert warehouse.upsert_table(changes.withColumn("more", F.lit(1)), root) == [dt.date(2024, 1, 2), dt.date(2024, 2, 9)]
+    after = stamp()
+    other = {p for p in before if "date=2024-01-02" not in str(p)}
+    assert len(other) >= 4 and all(after[p] == before[p] for p in other)
+    assert not any(p in after for p in before if p not in other) and any("date=2024-02-09" in str(p) for p in after)
+    want = {(c, d): v for c, d, v in rows} | {("c1", dt.date(2024, 1, 2)): 800, ("n", dt.date(2024, 1, 2)): 9, ("n", dt.date(2024, 2, 9)): 10}
+    assert {(r.comic_id, r.date): r.views for r in spark.read.parquet(root).collect()} == want
+    assert warehouse.upsert_table(changes.limit(0), root) == [] and stamp() == after
+
+
 def test_contracts(spark, tmp_path):
     head = "title_id,title,publisher,platform,contract_date,contract_size_usd,term_months,territory,rights,notes\n"
     (tmp_path / "c.csv").write_text(f"# remark\n{head}t1,A,P,X,2024-01-05,12.5,bad,US,all,\n,B,P,X,,,,,,\n")

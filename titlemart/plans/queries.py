@@ -180,6 +180,16 @@ def a1_read_silver(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("comic_id", "source", "title", "genre", "rank", "views", "likes", "metric_type", "content_type", F.to_date("scraped_at").alias("day"), "source_file")
 
 
+@query(f"""WITH {V.OBS_DAILY_SQL} SELECT comic_id, source, views, source_file, scraped_at::DATE AS day FROM obs_daily
+  WHERE source IN ('click', 'purchase') AND scraped_at::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""")
+def a1_read_silver_days(spark: SparkSession, d: str) -> DataFrame:
+    """Two platforms and some days of the same table: only their folders are read."""
+    root = _place(spark, "silver")
+    files.write_silver(validated(V.obs_daily(spark, d)), root)
+    rows = files.read_silver(spark, root, sources=["click", "purchase"], since="2024-01-05", until="2024-01-20")
+    return rows.select("comic_id", "source", "views", "source_file", F.to_date("scraped_at").alias("day"))
+
+
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def a5_newest_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Two runs of a table, of which the newer one counts."""
@@ -887,6 +897,19 @@ def k15_upsert_daily(spark: SparkSession, d: str) -> DataFrame:
     return warehouse.upsert_daily(rows.filter("date < '2024-01-20'"), new)
 
 
+@query(f"""{DAILY}, new AS (SELECT comic_id, date, max(views + 1) AS views FROM daily WHERE day(date) % 10 = 5 GROUP BY 1, 2 UNION ALL
+    SELECT 'new:' || comic_id, date, views FROM daily WHERE day(date) % 10 = 5)
+  SELECT * FROM new UNION ALL SELECT comic_id, date, views FROM daily WHERE (comic_id, date) NOT IN (SELECT (comic_id, date) FROM new)""")
+def k15_upsert_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table in folders by day; changes and new rows of some days are taken in, and the whole table is read again."""
+    root, rows = _place(spark, "facts"), _daily(spark, d).select("comic_id", "date", "views")
+    files.rewrite_folders(rows, root, "date")
+    some = rows.filter(F.dayofmonth("date") % 10 == 5)
+    changed = some.withColumn("views", F.col("views") + 1).unionByName(some)  # of two changes of a key the later counts
+    warehouse.upsert_table(changed.unionByName(some.withColumn("comic_id", F.concat(F.lit("new:"), "comic_id"))), root)
+    return spark.read.parquet(root).select("comic_id", "date", "views")
+
+
 _TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )

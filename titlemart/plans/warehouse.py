@@ -7,10 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import platform_name, with_genre
+from ..functions.lineage import cut
 from ..functions.tables import PLATFORM_NAMES
 from ..operators.episodes import engagement_decay, per_title
 from ..operators.keys import _running, dense_key, earliest
 from ..schema import order_of
+from ..sources.files import rewrite_folders
+
+#: Files that one day of an updated table is written in, at most.
+FILES_A_DAY = 8
 
 
 def title_day(obs: DataFrame) -> DataFrame:
@@ -157,10 +162,32 @@ def leaderboard(titles: DataFrame, scores: DataFrame, limit: int = 100) -> DataF
 
 
 def upsert_daily(base: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("comic_id", "date")) -> DataFrame:
-    """Rows of ``changes`` over those of ``base`` with the same key; the later order wins among changes."""
-    tagged = base.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    w = W.partitionBy(*keys).orderBy(F.desc("_new"), *(F.desc(c) for c in base.columns if c not in keys))
-    return tagged.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_new")
+    """Rows of ``changes`` over those of ``base`` with the same key; the later order wins among changes.
+
+    Changes become one row a key in an aggregate, which combines before its shuffle; of ``base``, keys are joined and nothing is sorted by its columns.
+    """
+    rest = [c for c in base.columns if c not in keys]
+    newest = changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, *(F.col(f"_row.`{c}`").alias(c) for c in rest))
+    return base.join(newest.select(*keys), list(keys), "left_anti").select(*base.columns).unionByName(newest)
+
+
+def upsert_table(changes: DataFrame, root: str, *, day: str = "date", keys: tuple[str, ...] = ("comic_id", "date")) -> list:
+    """Takes ``changes`` into the table in folders by ``day`` under ``root``; returns the days that were touched, in order.
+
+    Only the touched days are read, merged and written again; files of all other days stay as they are.  The merged days are written to the shared
+    folder before any of the table's files goes, so a lost executor finds what it needs.  The table's columns and types stay; of ``changes``, other columns are left out.
+    ``keys`` hold ``day``: a row never moves from one day to another.
+    """
+    if day not in keys:
+        raise ValueError("the day must be among the keys")
+    touched = sorted(r[0] for r in changes.select(day).distinct().collect())  # one row a day
+    if not touched:
+        return []
+    table = changes.sparkSession.read.parquet(root)
+    own = changes.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema))
+    merged = cut(upsert_daily(table.filter(F.col(day).isin(*touched)), own, keys))
+    rewrite_folders(merged.repartition(day, F.pmod(F.xxhash64(*keys), F.lit(FILES_A_DAY))), root, day)
+    return touched
 
 
 def insert_first_wins(dim: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import SILVER
 
-#: Rows of one platform and day that go into one file, about.
-ROWS_A_FILE = 1_000_000
+#: A platform and day, as folders name them.
+DAY = T.StructType([T.StructField("source", T.StringType()), T.StructField("date", T.DateType())])
+
 
+def read_silver(spark: SparkSession, root: str, *, sources: Sequence[str] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """All observations under ``root/source=*/date=*``, or in flat files under ``root``; of some platforms, and of days from ``since`` to ``until``, if asked for.
 
-def read_silver(spark: SparkSession, root: str) -> DataFrame:
-    """All observations under ``root/source=*/date=*``; the files' own columns count, not the path's."""
-    return spark.read.schema(SILVER).option("recursiveFileLookup", "true").parquet(root)
+    The types of the folders' columns are given, not guessed, so both conditions prune folders before a file is opened.  Flat files
+    have no folders to prune: there the observation's own platform and time are asked.
+    """
+    columns = [f for f in SILVER if f.name != "source"]
+    rows = spark.read.schema(T.StructType([*columns, *DAY])).parquet(root)
+    one = rows.select(F.input_file_name().alias("path")).first()
+    in_folders = one is None or "/source=" in one.path
+    day = F.col("date") if in_folders else F.to_date("scraped_at")
+    if sources is not None:
+        rows = rows.filter(F.col("source").isin(*sources))
+    for bound, keep in ((since, lambda b: day >= b), (until, lambda b: day <= b)):
+        if bound is not None:
+            rows = rows.filter(keep(F.lit(bound).cast("date")))
+    return rows.select(*SILVER.names)
 
 
 def write_silver(records: DataFrame, root: str, *, files_a_day: int = 1) -> None:
-    """Partitions of the touched platforms and days, written anew; others stay.  A large day spreads over ``files_a_day`` tasks."""
-    out = records.withColumns({"_source": F.col("source"), "_date": F.to_date("scraped_at"), "_salt": F.pmod(F.xxhash64("comic_id"), F.lit(files_a_day))})
+    """Folders of the touched platforms and days, written anew; others stay.  A large day spreads over ``files_a_day`` tasks."""
+    out = records.withColumns({"date": F.to_date("scraped_at"), "_salt": F.pmod(F.xxhash64("comic_id"), F.lit(files_a_day))})
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = out.repartition(parts, "_source", "_date", "_salt").drop("_salt").withColumnsRenamed({"_source": "source_part", "_date": "date"})
-    dealt.write.partitionBy("source_part", "date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
+    rewrite_folders(out.repartition(parts, "source", "date", "_salt").drop("_salt"), root, "source", "date")
+
+
+def rewrite_folders(df: DataFrame, root: str, *folders: str) -> None:
+    """The folders of ``root`` that rows of ``df`` belong to, written anew; all others are left as they are."""
+    df.write.partitionBy(*folders).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
 
 
 def write_snapshot(df: DataFrame, root: str, run: int, fmt: str = "parquet") -> None:
