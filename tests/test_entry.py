@@ -51,7 +51,6 @@ def test_query_without_sql_has_its_rows(spark, duck, sf_dir, name):
     """SQL says at least how many rows there are, or that there are some."""
     df = QUERIES[name](spark, sf_dir)
     whole = {
-        "c2_manifest": "SELECT count(*) FROM pages", "c7_labelled_metrics": "SELECT count(*) FROM pages",
         "m6_concept_predict": "SELECT count(DISTINCT l_partkey) FROM lineitem", "i3_trend_report": "SELECT count(DISTINCT event_type) FROM events",
     }
     n = df.count()

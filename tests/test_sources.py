@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from titlemart.operators import style
 from titlemart.plans import warehouse
 from titlemart.schema import SILVER, validated
-from titlemart.sources import bronze, files
+from titlemart.sources import bronze, files, markup
 from titlemart.streaming import increments
 
 LISTING = """<html><title>List</title><body><ul>
@@ -112,10 +112,51 @@ def test_merge_takes_the_best_of_each(spark):
     assert (r.title, r.author, r.rank, r.views, r.likes, r.primary_metric, r.metric_type) == ("A longer title", "Kim", 3, 10, 9, 10, "views")
 
 
-def test_link_rules(spark):
-    html = "<a class=x href='/w/One%20Two'>1</a><a href='/w/Cat:Three'>2</a><a href='/w/Deny'>3</a><a href='/w/one%20two'>4</a>"
-    df = spark.createDataFrame([("p", html)], "path string, html string")
-    assert [tuple(r) for r in bronze.denylist_index(df, ["deny"]).collect()] == [("One%20Two", "One Two")]
+def test_works_of_a_wiki_page(spark):
+    html = """<a class=x href='/w/One%20Two' title='One Two'>1</a><a href='/w/Cat:Three' title='Three'>2</a><a href='/w/a/b' title='Folder'>3</a>
+      <a href='/w/one' title='one two'>4</a><a href='/w/x' title='Kakao page'>5</a><a href='/w/Naver%20X' title='fine'>6</a><a href='/w/y' title=' Z '>7</a>
+      <A HREF="/w/%ED%8B%80+1" id=q title="A+B">8</A><a href='/w/no-title'>9</a><a href='/w/late?x' title='Query'>10</a><a href="/w/Last" title="Last one">11</a>"""
+    df = spark.createDataFrame([("p", html), ("q", html[:60]), ("r", None), ("s", "")], "path string, html string")
+    assert sorted(tuple(r) for r in bronze.denylist_index(df).collect()) == [("p", "Last", "Last one"), ("p", "One Two", "One Two"), ("q", "One Two", "One Two")]
+    assert sorted(r.title for r in bronze.denylist_index(df, "(?i)two").filter("path = 'p'").collect()) == ["A+B", "Kakao page", "Last one", "fine"]
+
+
+CARD_PAGES = {
+    "nested": "<div><ul><li><a href='/w/1'>One</a><span>9.9K</span><li><a href='/w/2' title='Two &amp; more'><img alt=bare src=/no.png><IMG SRC='https://c/2.png' ALT='Img > two'></a><b>4.5</b></ul>tail</div>",
+    "quotes": """<!-- <a href='/w/9'>no</a> --><script>var t="<a href='/w/8'>no</a>";</script><a class="x>y" href = "/w/3" >a <i>b</i>
+      c</a> out <a>none</a> <a href=''>none</a><article><img src='https://c/card.png'><a href='/w/4'></a>later</article><img src='https://c/far.png'>""",
+    "bare": "text only < 5", "open": "<a href='/w/5'>never <b>closed", "empty": "", "none": None,
+}
+
+
+def test_anchors_know_their_cards(spark):
+    df = spark.createDataFrame(list(CARD_PAGES.items()), "path string, html string").repartition(3)
+    got = {}
+    for r in sorted(markup.anchors(df, "path").collect(), key=lambda r: (r.path, r.pos)):
+        got.setdefault(r.path, []).append((r.pos, r.href, r.alt, r.title_attr, r.text, r.cover, r.card))
+    assert got == {
+        "nested": [(0, "/w/1", None, None, "One", "https://c/2.png", ["One", "9.9K", "4.5", "tail"]), (1, "/w/2", "bare", "Two & more", "", "https://c/2.png", ["4.5", "tail"])],
+        "quotes": [(0, "/w/3", None, None, "a b c", None, []), (1, "/w/4", None, None, "", "https://c/card.png", ["later"])],
+        "open": [(0, "/w/5", None, None, "never closed", None, [])],
+    }
+    plan = markup.anchors(df, "path")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(path") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_card_holds_its_first_texts(spark):
+    html = "<div>" + "".join(f"<p>t{k}</p>" for k in range(40)) + "</div><div>a<div>b<a href='/w/1'>c</a></div>d</div>"
+    pages = [("p", html), ("q", html.replace("<div>", "<div><a href='/w/0'>first</a>", 1))]
+    got = {(r.path, r.href): r.card for r in markup.anchors(spark.createDataFrame(pages, "path string, html string"), "path").collect()}
+    assert got == {("p", "/w/1"): ["b", "c"], ("q", "/w/1"): ["b", "c"], ("q", "/w/0"): ["first", *(f"t{k}" for k in range(15))]}
+
+
+def test_labelled_numbers_are_of_the_first_pattern(spark):
+    html = "<p>Reads 1.5K</p><style>9 views</style><b>2,000 followers</b> Volume 3 <script>7 likes</script>"
+    df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    tries = {"views": [r"([\d.,]+\s*[kmb]?)\s+views", r"reads\s*([\d.,]+\s*[kmb]?)"], "subscribers": [r"([\d,]+)\s*followers"], "likes": [r"(\d+)\s*likes"]}
+    got = [r.m for r in df.select(bronze.labelled_metrics(F.col("html"), tries).alias("m")).collect()]
+    nothing = dict.fromkeys(tries)
+    assert got == [{"views": 1500, "subscribers": 2000, "likes": None}, nothing, nothing]
 
 
 def test_a_page_that_cannot_be_parsed_is_an_error(spark, tmp_path):

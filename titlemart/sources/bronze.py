@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..functions.lineage import cut
 from ..schema import order_of, validated
+from . import markup
 
 #: What a blocked page says, and the size under which a page is only a shell.
 BLOCK_WORDS = (
@@ -93,7 +94,7 @@ RULES = {
 
 
 class _Anchors(HTMLParser):
-    """Anchors of a page in order, with their text, image and the texts of the card around them."""
+    """Anchors of a page in order, with their text, image and the texts of the card around them: what a parser of the caller's begins from."""
 
     _CARDS = ("li", "article", "div")
     _ALONE = ("img", "br", "meta", "link", "input", "hr", "source")
@@ -148,11 +149,13 @@ class _Anchors(HTMLParser):
 ANCHORS = "path string, source string, pos int, href string, alt string, title_attr string, text string, cover string, card array<string>, error string"
 
 
-def anchor_scan(pages: DataFrame, parser: type[_Anchors] = _Anchors) -> DataFrame:
-    """Every anchor of every page, in order: the one step that needs a parser of HTML.
+def anchor_scan(pages: DataFrame, parser: type[_Anchors] | None = None) -> DataFrame:
+    """Every anchor of every page, in order, by DataFrame functions; or by a ``parser`` of the caller's.
 
-    A page that the parser fails on is one row with the ``error`` alone, and the others go on.
+    A page that such a parser fails on is one row with the ``error`` alone, and the others go on.
     """
+    if parser is None:
+        return markup.anchors(pages, "path", "source").withColumn("error", F.lit(None).cast("string"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,13 +178,13 @@ def anchor_scan(pages: DataFrame, parser: type[_Anchors] = _Anchors) -> DataFram
 
 def _rule_table(spark: SparkSession, rules: dict[str, Rule]) -> DataFrame:
     rows = [
-        (s, r.href, r.base_url, r.id_group, r.slug_group, r.title_from_slug, r.metric_type, r.content_type, r.alt_prefix, r.alt_suffix, r.alt_by, r.genre_token)
+        (s, r.href, r.base_url, r.id_group, r.slug_group, r.title_from_slug, r.metric_type, r.content_type, r.alt_prefix, r.alt_suffix, r.alt_by, r.genre_token, r.detail)
         for s, r in rules.items()
     ]
     return spark.createDataFrame(
         rows,
         "source string, href_re string, base_url string, id_group int, slug_group int, title_from_slug boolean, "
-        "metric_type string, content_type string, alt_prefix string, alt_suffix string, alt_by boolean, genre_token string",
+        "metric_type string, content_type string, alt_prefix string, alt_suffix string, alt_by boolean, genre_token string, detail map<string,array<string>>",
     )
 
 
@@ -242,14 +245,24 @@ def visible_text(html: Column | str) -> Column:
     return E.strip_html(F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", " "))
 
 
-def labelled_metrics(html: Column, patterns: dict[str, list[str]]) -> dict[str, Column]:
-    """Of each field, the number of the first pattern that matches the visible text, else null."""
-    text = visible_text(html)
-    out = {}
-    for name, tries in patterns.items():
-        found = F.coalesce(*(F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")) for p in tries))
-        out[name] = F.when(found.isNotNull(), E.clean_metric(found))
-    return out
+def labelled_metrics(html: Column, patterns: Column | dict[str, list[str]]) -> Column:
+    """map<field, number>: of each field the number of the first pattern that matches the visible text; fields without a match are null.
+
+    ``patterns`` is a map<string, array<string>>, which may differ from row to row.  A page's text is made visible once, for all fields.
+    """
+    if isinstance(patterns, dict):
+        none = F.create_map().cast("map<string,array<string>>")
+        patterns = F.create_map(*(x for f, tries in patterns.items() for x in (F.lit(f), F.array(*map(F.lit, tries))))) if patterns else none
+
+    def first_found(text: Column, tries: Column) -> Column:
+        found = F.filter(F.transform(tries, lambda p: F.call_function("regexp_extract", text, F.concat(F.lit("(?i)"), p), F.lit(1))), lambda x: x != "")
+        return F.try_element_at(F.transform(F.slice(found, 1, 1), lambda x: E.clean_metric(x)), F.lit(1))
+
+    def of(text: Column) -> Column:
+        return F.transform_values(patterns, lambda _, tries: first_found(text, tries))
+
+    # The text is bound to a name: as a plain expression it would be worked out again for each pattern.
+    return F.element_at(F.transform(F.array(visible_text(html)), of), 1)
 
 
 def _meta(name: str) -> Column:
@@ -272,11 +285,8 @@ def detail_records(pages: DataFrame, rules: dict[str, Rule] | None = None) -> Da
     p = p.withColumn("native_id", F.coalesce("native_id", F.lower(F.regexp_replace("title", r"\s+", "_"))))
     p = p.withColumn("title", F.coalesce("title", F.when(~F.col("native_id").rlike(r"^\d+$"), E.title_of_slug("native_id"))))
     fields = ("views", "likes", "subscribers", "episode_count", "chapter_count", "volume_count")
-    found: dict[str, Column] = dict.fromkeys(fields, F.lit(None).cast("bigint"))
-    for source, rule in rules.items():
-        for name, c in labelled_metrics(F.col("html"), rule.detail).items():
-            found[name] = F.when(F.col("source") == source, c).otherwise(found[name])
-    p = p.withColumns(found).filter(F.col("title").isNotNull() & F.col("native_id").isNotNull() & ~E.names_no_title("title"))
+    p = p.withColumn("found", labelled_metrics(F.col("html"), F.col("detail"))).withColumns({f: F.try_element_at("found", F.lit(f)) for f in fields})
+    p = p.filter(F.col("title").isNotNull() & F.col("native_id").isNotNull() & ~E.names_no_title("title"))
     metric, kind = E.pick_primary("views", "subscribers", "likes")
     return p.select(
         "path", F.concat_ws(":", "source", "native_id").alias("comic_id"), "source", F.col("native_id").alias("platform_native_id"), "title", "url", "cover_url", "synopsis",
@@ -286,7 +296,7 @@ def detail_records(pages: DataFrame, rules: dict[str, Rule] | None = None) -> Da
 
 
 def parse_pages(
-    pages: DataFrame, *, min_bytes: int = MIN_BYTES, rules: dict[str, Rule] | None = None, parser: type[_Anchors] = _Anchors
+    pages: DataFrame, *, min_bytes: int = MIN_BYTES, rules: dict[str, Rule] | None = None, parser: type[_Anchors] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(records in the contract's columns, manifest): every page has one manifest row with its status and number of records.
 
@@ -297,14 +307,17 @@ def parse_pages(
         "status", F.when(F.col("reason").isNotNull(), "blocked").when(~F.col("source").isin(*rules), "no_adapter").otherwise("ok")
     )
     good = seen.filter("status = 'ok'")
+    # What is asked again is cut without the pages: their texts are read for the states, the anchors and the details, and no more.
+    states = cut(seen.select("path", "source", "kind", "scraped_at", "reason", "status"))
     anchors = cut(anchor_scan(good.filter("kind <> 'detail'"), parser))
     failed = anchors.filter("error IS NOT NULL").select("path", "error")
     listing = anchor_listing(good, rules, anchors=anchors)
     details = detail_records(good.filter("kind = 'detail'"), rules)
-    both = listing.unionByName(details, allowMissingColumns=True).join(good.select("path", "scraped_at"), "path").withColumn("source_file", F.col("path"))
+    both = listing.unionByName(details, allowMissingColumns=True).join(states.select("path", "scraped_at"), "path").withColumn("source_file", F.col("path"))
+    both = cut(both)
     counts = both.groupBy("path").agg(F.count(F.lit(1)).alias("n_records"))
     status = F.when(F.col("error").isNotNull(), "error").when((F.col("status") == "ok") & F.col("n_records").isNull(), "empty").otherwise(F.col("status"))
-    manifest = seen.join(counts, "path", "left").join(failed, "path", "left").select(
+    manifest = states.join(counts, "path", "left").join(failed, "path", "left").select(
         "path", "source", "kind", status.alias("status"), F.coalesce("reason", "error").alias("reason"), F.coalesce("n_records", F.lit(0)).alias("n_records"),
     )
     return validated(both), manifest
@@ -318,13 +331,25 @@ def link_harvest(pages: DataFrame, base_url: str, like: str) -> DataFrame:
     return found.select("page_id", url.alias("url")).filter(F.col("url").rlike(like)).distinct()
 
 
-def denylist_index(pages: DataFrame, deny: list[str]) -> DataFrame:
-    """(slug, title) of wiki category links, without namespaced and denied ones, once a title."""
-    pair = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href=[\"'](/w/[^\"'#?]+)[\"'][^>]*>[^<]*</a>"), F.lit(1))).alias("href")
-    slug = F.regexp_replace("href", "^/w/", "")
-    rows = pages.select("path", pair).select("path", slug.alias("slug")).withColumn("title", F.url_decode(F.replace("slug", F.lit("%20"), F.lit(" "))))
-    rows = rows.filter(~F.col("title").contains(":") & ~F.lower("title").isin(*[d.lower() for d in deny]))
-    return rows.groupBy(F.lower("title").alias("key")).agg(F.min(F.struct("slug", "title")).alias("s")).select("s.slug", "s.title")
+#: A wiki's own pages, and platforms' names, which are no works.
+WIKI_DENY = r"(?i)(namu|wiki|category|분류|나무위키|파일|틀|kakao|naver|munpia|문피아|series|시리즈|페이지|ridibooks|리디|template|main page|대문)"
+
+
+def denylist_index(pages: DataFrame, deny: str = WIKI_DENY) -> DataFrame:
+    """(path, slug, title) of each page's anchors that look like works: the first anchor of each title, capitals aside.
+
+    The address gives the slug, the anchor's title attribute the title.  Slugs with a namespace or a folder are no works, nor are slugs
+    and titles that ``deny`` matches, nor titles of fewer than two characters.
+    """
+    tag = F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<a[^>]+href=["']/w/[^"'?#]+["'][^>]*?title=["'][^"']+["']"""), F.lit(0))).alias("pos", "tag")
+    found = pages.select("path", tag)
+    slug = F.try_url_decode(F.replace(F.regexp_extract("tag", r"""(?i)href=["']/w/([^"'?#]+)["']""", 1), F.lit("+"), F.lit("%2B")))
+    title = F.trim(F.regexp_extract("tag", r"""(?i)href=["']/w/[^"'?#]+["'][^>]*?title=["']([^"']+)["']""", 1))
+    rows = found.select("path", "pos", slug.alias("slug"), title.alias("title")).filter(
+        ~F.col("slug").rlike("[:/]") & ~F.col("slug").rlike(deny) & ~F.col("title").rlike(deny) & (F.char_length("title") >= 2)
+    )
+    one = rows.groupBy("path", F.lower("title").alias("key")).agg(F.min_by(F.struct("slug", "title"), "pos").alias("s"))
+    return one.select("path", "s.slug", "s.title")
 
 
 _TEXT = ("author", "genre", "url", "cover_url", "publisher", "synopsis", "status", "platform_native_id")
