@@ -347,6 +347,25 @@ def test_repeated_rows_are_one_vector(spark):
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
 
 
+def test_an_id_with_two_vectors_is_one_row(spark):
+    rows = [(20, [1.0, 1.0]), (20, [1.0, 0.5]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (1, [0.0, 1.0]), (3, [0.1, 0.1])]
+    for shuffled in (rows, rows[::-1]):
+        df = spark.createDataFrame(shuffled, "vec_id long, embedding array<double>")
+        for k in (2, 3, 9):
+            got = additive_ann.search(df, F.col("vec_id") % 20 == 0, k=k).collect()
+            assert {r.vec_id for r in got} <= {1, 2, 3} and len(got) == len({r.vec_id for r in got}) == min(k, 3)
+
+
+def test_recall_does_not_depend_on_the_number_of_parts(spark):
+    """Unit vectors in random directions, which no cells fit, and the driver's own; parts as many as those of millions of vectors."""
+    x = np.random.default_rng(9).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    for own in (df, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")):
+        for cell_rows in (20, 8192):
+            assert recall(spark, own, k=20, cell_rows=cell_rows) >= 0.95
+
+
 @pytest.mark.parametrize("metric", ["inner", "l2"])
 def test_cells_find_the_neighbours_of_grouped_vectors(spark, metric):
     rng = np.random.default_rng(5)

@@ -12,13 +12,13 @@ vectors.
 Equal vectors are one class, searched once under its smallest id, so copies can't crowd others out of the pool; of each
 class the first ``k + 1`` members by id are all that an answer can need.
 
-The index is dealt into coarse cells of about ``CELL_ROWS`` vectors around centres fitted on the same sample, and a query visits the ``probes`` cells nearest
-to it, so work and shuffle grow with queries times ``probes`` cells and not with queries times vectors.  Where there are no more cells than ``probes``, or ``probes`` is None, every query is
-scored against the whole index, which is then one cell.  A cell's vectors are dealt by hash into parts, its queries into blocks, by
-counted size; best-of lists shrink before they are shuffled.
+Every query is scored against the whole index, at every size alike: the vectors are dealt by hash into parts, the queries into blocks, by
+counted size, and best-of lists shrink before they are shuffled.  So work grows with queries times vectors, at one addition a codebook.  With
+``probes`` the index is dealt into coarse cells of about ``cell_rows`` vectors around centres fitted on the same sample, and a query visits only the
+``probes`` cells nearest to it; what that costs in recall depends on the vectors, and is for the caller to measure.
 
 Defined cases: vectors that are null, empty, zero, of another length than the index's, or that hold null or non-finite components take no
-part, as query or candidate; a row is not its own candidate, but rows of equal id are one; ties go to the smaller id; fewer candidates
+part, as query or candidate; a row is not its own candidate, but rows of equal id are one (of several vectors that of least hash); ties go to the smaller id; fewer candidates
 than ``k`` give all; an empty table gives an empty result.
 """
 
@@ -39,9 +39,9 @@ SAMPLE = 8192
 BOOKS, WORDS, BEAM = 32, 64, 8
 #: Vectors of a cell, about, and at most in one of its parts, about; guesses that one task may return, about.
 CELL_ROWS, GUESSES = 8192, 1 << 20
-#: Bound of the centres that travel to the tasks.
+#: Bound of the centres that travel to the tasks, where cells are asked for.
 MOST_CELLS = 1024
-POOL, PROBES = 500, 64
+POOL = 500
 
 
 class Codebooks:
@@ -141,7 +141,7 @@ def search(
     *,
     k: int = 20,
     pool: int = POOL,
-    probes: int | None = PROBES,
+    probes: int | None = None,
     metric: str = "inner",
     books: int = BOOKS,
     words: int = WORDS,
@@ -166,17 +166,17 @@ def search(
     lengths = np.array([len(x) for x in sample["v"]])
     size = int(np.bincount(lengths).argmax())
     fitted = np.array([x.as_py() for x, n in zip(sample["v"], lengths, strict=True) if n == size])
-    base = base.filter(F.size("v") == size).withColumns(dict(zip(("h1", "h2"), two_hashes(F.col("v")), strict=True)))
+    hashed = base.filter(F.size("v") == size).withColumns(dict(zip(("h1", "h2"), two_hashes(F.col("v")), strict=True)))
+    one = F.min_by(F.struct("v", "h1", "h2"), F.struct("h1", "h2")).alias("one")
+    base = checkpointed(hashed.groupBy("vec_id").agg(F.max("is_query").alias("is_query"), one).select("vec_id", "is_query", "one.*"))
     n = base.count()
-    cells = min(MOST_CELLS, math.ceil(n / cell_rows))
-    if probes is None or cells <= probes:
-        cells = 1
+    cells = 1 if probes is None else min(MOST_CELLS, math.ceil(n / cell_rows))
     shared = spark.sparkContext.broadcast((fit(fitted, books=books, words=words), _centres(fitted, cells) if cells > 1 else None))
 
-    # Classes of equal vectors; a repeated row is no second member, and row_number() is cut to k + 1 before its shuffle.
+    # Classes of equal vectors; row_number() is cut to k + 1 before its shuffle.
     same = W.partitionBy("h1", "h2").orderBy("vec_id")
     members = (
-        base.select("h1", "h2", "vec_id").distinct().withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).drop("nth")
+        base.select("h1", "h2", "vec_id").withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).drop("nth")
     )
     reps = base.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"))
 
@@ -209,7 +209,7 @@ def search(
             )
 
     coded = reps.select("rep", "v").mapInArrow(code, "rep long, codes binary, norm double, scale double, cell int")
-    queries = base.filter("is_query").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    queries = base.filter("is_query").select(F.col("vec_id").alias("query_id"), "v")
     visits = queries.mapInArrow(visit, "query_id long, v array<double>, cell int")
     if cells > 1:
         coded, visits = checkpointed(coded), checkpointed(visits)
