@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,23 +173,95 @@ def test_few_rows_give_the_plain_concept_score(spark):
 
 
 def test_registered_concepts_come_from_all_trees(spark, sf_dir, monkeypatch):
-    import math
-
     from titlemart.operators import concept
     from titlemart.plans.registry import QUERIES
 
-    made = []
-    monkeypatch.setattr(concept, "train", lambda *a, **b: made.append(train(*a, **b)) or made[-1])
+    asked, boosted = [], concept.boosted
+    monkeypatch.setattr(concept, "boosted", lambda *a, **b: asked.append(b) or boosted(*a, **b))
     QUERIES["m6_concept_predict"](spark, sf_dir)
-    assert made[0][0].stages[-1].getNumTrees == 100
+    assert asked == [{"trees": 100, "depth": 6}]
 
     views = {"Action": 5_000_000, "Drama": 400_000, "Romance": 900}
     rows = spark.createDataFrame([(f"{g}{k}", g, v) for g, v in views.items() for k in range(12)], "comic_id string, genre string, views long")
-    out = predict(spark.createDataFrame([(g, "x") for g in views], "genre string, title string"), train(rows, trees=5)).collect()
+    out = predict(spark.createDataFrame([(g, "x") for g in views], "genre string, title string"), train(rows)).collect()
     assert {r.genre: r.tier for r in out} == {"Action": "S", "Drama": "A", "Romance": "B"}
     assert all(math.isclose(r.predicted, views[r.genre], rel_tol=1e-6) for r in out)
 
 
+def test_boosted_trees_match_a_plain_version():
+    """Trees over single rows, each split tried in turn."""
+    from titlemart.operators import concept
+
+    rng = np.random.default_rng(3)
+    code = rng.integers(0, 9, 200)
+    y = rng.normal(size=200) + (code % 4) * 2
+    out = np.full(200, y.mean())
+    for _ in range(5):
+        todo, step = [(np.arange(200), 2)], np.zeros(200)
+        while todo:
+            own, left = todo.pop()
+            g = lambda rows: (out[rows] - y[rows]).sum()
+            worth = lambda rows: g(rows) ** 2 / (len(rows) + 1)
+            cuts = [(worth(own[code[own] <= c]) + worth(own[code[own] > c]) - worth(own), -c) for c in sorted(set(code[own]))[:-1]]
+            if left and cuts and max(cuts)[0] > 1e-6:
+                c = -max(cuts)[1]
+                todo += [(own[code[own] <= c], left - 1), (own[code[own] > c], left - 1)]
+            else:
+                step[own] = -0.3 * g(own) / (len(own) + 1)
+        out += step
+    got = concept.boosted(np.bincount(code, minlength=9).astype(float), np.bincount(code, y, 9), trees=5, depth=2)
+    assert np.allclose(got[code], out)
+
+
+def test_concepts_fall_back_to_the_first_genre(spark):
+    from titlemart.operators import concept
+
+    rows = [(f"c{k}", ["Action", "Zed", None][k % 3], [10, 2_000_000, 150_000][k % 3]) for k in range(90)]
+    model = concept.train(spark.createDataFrame(rows, "comic_id string, genre string, views long"))
+    assert model.genres == ["Action", "Unknown", "Zed"] and model.r2 > 0.99
+    asked = spark.createDataFrame([("Action", "a"), ("Zed", "b"), ("Unknown", "c"), (None, "d"), ("never seen", "e")], "genre string, title string")
+    got = {r.title: (round(r.predicted), r.tier) for r in concept.predict(asked, model).collect()}
+    assert got["a"] == got["d"] == got["e"] and got["a"][1] == "B" and got["b"][1] == "S" and got["c"][1] == "A"
+    assert concept.train(spark.createDataFrame(rows[:9], "comic_id string, genre string, views long")) is None
+    plain = spark.createDataFrame([("Dark Romance Fantasy", "eleven char"), ("Romance", "ten charac"), (None, "x"), ("Other", None)], "genre string, title string")
+    assert sorted(r.predicted for r in concept.predict(plain, None).collect()) == [50, 50, 70, 90]
+    flat = concept.train(spark.createDataFrame([(f"c{k}", "a", 5) for k in range(20)], "comic_id string, genre string, views long"))
+    assert flat.r2 is None and abs(flat.values[0] - np.log1p(5)) < 1e-12
+
+
+def test_styles_are_few_and_named_by_their_centres(spark):
+    from titlemart.operators import style
+
+    rows = [("a", 0.1, 0.9, 0.9, 0.5, 0.0), ("b", 0.5, 0.6, 0.5, 0.5, 0.0), ("c", 0.7, 0.3, 0.35, 0.5, 0.0), ("d", 0.5, 0.2, 0.2, 0.5, 0.0), ("e", 0.5, 0.4, 0.4, 0.5, 0.06), ("f", 0.5, 0.4, 0.4, 0.5, 0.05)]
+    df = spark.createDataFrame([*rows, ("g", None, 0.1, 0.1, 0.1, 0.1)], "safe_id string, " + ", ".join(f"{c} double" for c in style.FEATURES))
+    names = {r.safe_id: r.style_name for r in style.with_style(style.style_clusters(df, k=6)).collect()}
+    assert names == {"a": "Dark & moody", "b": "Vivid & saturated", "c": "Bright & pastel", "d": "Muted / monochrome", "e": "Warm & soft", "f": "Cool & clean"}
+    assert style.style_clusters(df).select("cluster").distinct().count() == 5
+    two = style.style_clusters(df.filter("safe_id IN ('a', 'b')").unionByName(df.filter("safe_id = 'a'")))
+    assert two.select("cluster").distinct().count() == 2 and style.style_clusters(df.limit(0)).count() == 0
+
+
+def test_people_are_named_once(spark):
+    staff = [("Story", "A"), ("Art", "A"), ("Letterer", "L"), ("Original Creator", None), ("author", ""), ("Art", "B"), ("Story", "C"), ("Story", "D")]
+    df = spark.createDataFrame([(1, staff), (2, [("Editor", "E")]), (3, []), (4, None)], "k int, staff array<struct<role:string,name:string>>")
+    assert {r.k: r.s for r in df.select("k", entities.first_staff(F.col("staff")).alias("s")).collect()} == {1: "A, B, C", 2: None, 3: None, 4: None}
+
+
+def test_the_scorecard_shows_examples(spark):
+    from titlemart.operators import quality
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(f"t{k:02}", "s", f"UP title {k}", "3.4K" if k < 9 else f"author {k}", "g", day, f"f{k}") for k in range(12)] + [("t03", "s", "UP title 3", "Kim", "h", day - dt.timedelta(1), "e")]
+    obs = spark.createDataFrame(rows, "comic_id string, source string, title string, author string, genre string, scraped_at timestamp, source_file string")
+    card = {r.check: r for r in quality.scorecard(obs).collect()}
+    shown = {c: [tuple(x) for x in r.examples] for c, r in card.items()}
+    assert card["author_has_metric"]["count"] == 9 and len(shown["author_has_metric"]) == 8 and shown["author_has_metric"][0] == ("s", "UP title 0", "3.4K", "g")
+    assert shown["within_title_author_conflict"] == [("s", "UP title 3", "3.4K | Kim", "g")] and shown["within_title_genre_conflict"] == [("s", "UP title 3", "3.4K", "g | h")]
+    assert shown["author_mislatched"] == [("s", None, "3.4K", "9")] and shown["title_eq_author"] == [] and card["author_mislatched"].failed
+    assert {r.check for r in quality.scorecard(obs.limit(0)).collect()} == set(card)
+
+
+
 def test_histogram_keeps_what_lies_outside(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (9.9,), (10.0,), (None,)], "v double")
     assert {r.bin: r.n for r in kpi.distribution(df, "v", 0, 10, 5).collect()} == {0: 1, 1: 1, 5: 1, 6: 1}

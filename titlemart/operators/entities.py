@@ -100,9 +100,9 @@ def author_confidence(official: Column, external: list[Column]) -> tuple[Column,
 
 
 def first_staff(staff: Column, limit: int = 3) -> Column:
-    """Names of the first people with a telling role."""
-    told = F.filter(staff, lambda s: F.lower(s["role"]).rlike("story|art|original|author|creator"))
-    return F.array_join(F.slice(F.transform(told, lambda s: s["name"]), 1, limit), ", ")
+    """Distinct names of the first people with a telling role, joined; null if there are none."""
+    told = F.filter(staff, lambda s: F.lower(s["role"]).rlike("story|art|original|author|creator") & (F.coalesce(s["name"], F.lit("")) != ""))
+    return F.nullif(F.array_join(F.slice(F.array_distinct(F.transform(told, lambda s: s["name"])), 1, limit), ", "), F.lit(""))
 
 
 def top_tags(tags: Column, limit: int = 8) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.tables import THRESHOLDS
 from ..schema import order_of
 from .keys import latest_row
@@ -46,42 +48,69 @@ def mislatched_authors(obs: DataFrame, least: int = MISLATCHED) -> DataFrame:
     return now.filter("author IS NOT NULL").groupBy("source", "author").agg(F.countDistinct("title").alias("n_titles")).filter(F.col("n_titles") >= least)
 
 
-def scorecard(obs: DataFrame) -> DataFrame:
-    """One row a check: severity, count, percent of titles, threshold, failed.
+FLAGS = (
+    "title_eq_author", "author_has_metric", "genre_is_episode_token", "title_leading_badge",
+    "within_title_author_conflict", "within_title_genre_conflict",
+)
 
-    One pass: titles with their latest row and whether they ever had two authors or genres, then sums by platform and author, then of all.
+
+def checked_titles(obs: DataFrame) -> DataFrame:
+    """One row a title: its latest row, the flags of all checks of titles, and the authors and genres it ever had where they are in conflict."""
+    values = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
+    rows = obs.groupBy("comic_id").agg(F.max_by(F.struct("source", "title", "author", "genre"), order_of()).alias("now"), values("author"), values("genre"))
+    rows = rows.select("comic_id", "now.*", "authors", "genres")
+    return _field_checks(rows).withColumns({"within_title_author_conflict": F.size("authors") > 1, "within_title_genre_conflict": F.size("genres") > 1})
+
+
+def _by_author(titles: DataFrame) -> DataFrame:
+    return titles.groupBy("source", "author").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("n_titles"), *(F.count_if(f).alias(f) for f in FLAGS))
+
+
+def scorecard(obs: DataFrame, *, n_examples: int = 8) -> DataFrame:
+    """One row a check: severity, count, percent of titles, threshold, failed, examples.
+
+    One pass over observations: titles are cut, summed by platform and author, then over all; the few examples of each check are chosen among the
+    same titles.
     """
-    differs = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
-    titles = _field_checks(
-        obs.groupBy("comic_id").agg(
-            F.max_by(F.struct("source", "title", "author", "genre"), order_of()).alias("now"),
-            differs("author").alias("within_title_author_conflict"), differs("genre").alias("within_title_genre_conflict"),
-        ).select("now.*", "within_title_author_conflict", "within_title_genre_conflict")
-    )
-    flags = [
-        "title_eq_author", "author_has_metric", "genre_is_episode_token", "title_leading_badge",
-        "within_title_author_conflict", "within_title_genre_conflict",
-    ]
-    by_author = titles.groupBy("source", "author").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("n_titles"), *(F.count_if(f).alias(f) for f in flags)
-    )
+    titles = cut(checked_titles(obs))
     latched = F.count_if(F.col("author").isNotNull() & (F.col("n_titles") >= MISLATCHED))
-    one = by_author.agg(
+    one = _by_author(titles).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), latched.alias("author_mislatched"),
-        *(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in flags),
+        *(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in FLAGS),
     )
     checks = F.array(
         *(F.struct(F.lit(c).alias("check"), F.lit(s).alias("severity"), F.col(c).alias("count"), F.lit(t).cast("long").alias("threshold"))
           for c, (s, t) in THRESHOLDS.items())
     )
-    return one.select("n", F.explode(checks).alias("c")).select("n", "c.*").select(
+    row = F.struct("place", "source", "title", "author", "genre")
+    shown = examples(titles, k=n_examples).groupBy("check").agg(F.array_sort(F.collect_list(row)).alias("examples"))
+    return one.select("n", F.explode(checks).alias("c")).select("n", "c.*").join(F.broadcast(shown), "check", "left").select(
         "check", "severity", "count", F.round(F.col("count") * 100 / F.greatest(F.col("n"), F.lit(1)), 3).alias("pct"),
         "threshold", (F.col("count") > F.col("threshold")).alias("failed"),
+        F.coalesce(F.transform("examples", lambda x: F.struct(*(x[c].alias(c) for c in ("source", "title", "author", "genre")))), F.array()).alias("examples"),
     )
 
 
-def examples(obs: DataFrame, check: str, k: int = 8) -> DataFrame:
-    return contamination(obs).filter(check).orderBy("comic_id").limit(k).select("comic_id", "source", "title", "author", "genre")
+def examples(titles: DataFrame, k: int = 8) -> DataFrame:
+    """(check, place, source, title, author, genre): of each check that fails for some of ``checked_titles`` the first ``k``.
+
+    Titles come by their id, and show all authors or genres that are in conflict; mislatched authors by their number of titles, which stands under genre.
+    """
+    joined = {"author": "within_title_author_conflict", "genre": "within_title_genre_conflict"}
+    shown = F.array(*(
+        F.when(F.col(f), F.struct(
+            F.lit(f).alias("check"), "source", "title",
+            *((F.array_join(f"{c}s", " | ") if joined[c] == f else F.col(c)).alias(c) for c in joined),
+        ))
+        for f in FLAGS
+    ))
+    some = titles.select("comic_id", F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("x")).select(F.lit(0).cast("long").alias("least"), "comic_id", "x.*")
+    latched = _by_author(titles).filter(F.col("author").isNotNull() & (F.col("n_titles") >= MISLATCHED)).select(
+        (-F.col("n_titles")).alias("least"), F.concat_ws(":", "source", "author").alias("comic_id"), F.lit("author_mislatched").alias("check"), "source",
+        F.lit(None).cast("string").alias("title"), "author", F.col("n_titles").cast("string").alias("genre"),
+    )
+    w = W.partitionBy("check").orderBy("least", "comic_id")
+    return some.unionByName(latched).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("check", "place", "source", "title", "author", "genre")
 
 
 def coverage_by_source(obs: DataFrame) -> DataFrame:

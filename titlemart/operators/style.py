@@ -6,9 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +32,14 @@ def _sampled(row) -> np.ndarray:
 
 
 def features_of(rgb: np.ndarray) -> tuple[float, ...]:
+    """Brightness, saturation, colourfulness and warmth on a scale of 1; contrast in half scales, so that black and white in equal parts are about 1."""
     high, low = rgb.max(1), rgb.min(1)
     light = rgb @ np.array([0.299, 0.587, 0.114])
     rg, yb = rgb[:, 0] - rgb[:, 1], (rgb[:, 0] + rgb[:, 1]) / 2 - rgb[:, 2]
     colourful = np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean())
     saturation = np.divide(high - low, high, out=np.zeros_like(high), where=high > 0).mean()
-    return float(light.mean()), float(saturation), float(colourful), float(light.std()), float((rgb[:, 0] - rgb[:, 2]).mean())
+    found = (light.mean(), saturation, colourful, light.std() * 255 / 128, (rgb[:, 0] - rgb[:, 2]).mean())
+    return tuple(round(float(x), 3) for x in found)
 
 
 def palette_of(rgb: np.ndarray, k: int = 5, rounds: int = 8, seed: int = 0) -> list[str]:
@@ -65,21 +64,50 @@ def color_features(images: DataFrame) -> DataFrame:
 
 
 def style_name() -> Column:
-    """A cluster's name from its centre."""
+    """A cluster's name from its centre; limits and names are fixed values."""
+    brightness, saturation, colorfulness = F.col("brightness"), F.col("saturation"), F.col("colorfulness")
     return (
-        F.when(F.col("saturation") < 0.2, "Monochrome").when(F.col("brightness") < 0.35, "Dark")
-        .when((F.col("brightness") > 0.65) & (F.col("saturation") < 0.45), "Pastel").when(F.col("warmth") > 0.1, "Warm")
-        .when(F.col("warmth") < -0.1, "Cool").otherwise("Vivid")
+        F.when(brightness < 0.35, "Dark & moody").when((saturation > 0.55) & (colorfulness > 0.4), "Vivid & saturated")
+        .when((brightness > 0.68) & (saturation < 0.4), "Bright & pastel").when((saturation < 0.3) & (colorfulness < 0.3), "Muted / monochrome")
+        .when(F.col("warmth") > 0.05, "Warm & soft").otherwise("Cool & clean")
     )
 
 
-def style_clusters(features: DataFrame, *, k: int = 5, seed: int = 42, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """``features`` with ``cluster``, by k-means on rows where all features are there."""
+def _apart(columns: tuple[str, ...], centre: list[float]) -> Column:
+    return sum(((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(columns, centre, strict=True)), F.lit(0.0))
+
+
+def _nearest(columns: tuple[str, ...], centres: list[list[float]]) -> Column:
+    """(squared distance, number) of the nearest centre, the first of equals."""
+    return F.least(*(F.struct(_apart(columns, x).alias("d"), F.lit(j).alias("j")) for j, x in enumerate(centres))) if len(centres) > 1 else F.struct(
+        _apart(columns, centres[0]).alias("d"), F.lit(0).alias("j")
+    )
+
+
+def style_centres(features: DataFrame, key: str, *, k: int = 5, rounds: int = 10, columns: tuple[str, ...] = FEATURES) -> list[list[float]]:
+    """At most ``k`` centres, in the order of their choice: that of the least ``key``, then each time the row farthest from all centres so far, the least key of
+    equals; then ``rounds`` of k-means, each one aggregate.  Fewer distinct rows than ``k`` make fewer centres."""
+    point = F.struct(*columns)
+    first = features.agg(F.min_by(point, key)).first()[0]
+    centres = [] if first is None else [list(first)]
+    while centres and len(centres) < k:
+        own = features.select(key, point.alias("p"), _nearest(columns, centres)["d"].alias("d"))
+        far = own.filter("d > 0").agg(F.max("d").alias("d"), F.min_by("p", F.struct(-F.col("d"), F.col(key))).alias("p")).first()
+        if far.d is None:
+            break
+        centres.append(list(far.p))
+    for _ in range(rounds if len(centres) > 1 else 0):
+        means = features.withColumn("_j", _nearest(columns, centres)["j"]).groupBy("_j").agg(*(F.avg(c).alias(c) for c in columns)).collect()
+        for r in means:
+            centres[r["_j"]] = [r[c] for c in columns]
+    return centres
+
+
+def style_clusters(features: DataFrame, key: str = "safe_id", *, k: int = 5, rounds: int = 10, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """``features`` with ``cluster``, by k-means on rows where all features are there; an empty table stays empty."""
     rows = features.na.drop(subset=list(columns))
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=list(columns), outputCol="_v"), KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster"),
-    ]).fit(rows)
-    return model.transform(rows).drop("_v")
+    centres = style_centres(rows, key, k=k, rounds=rounds, columns=columns)
+    return rows.withColumn("cluster", _nearest(columns, centres)["j"] if centres else F.lit(None).cast("int"))
 
 
 def named_clusters(clustered: DataFrame) -> DataFrame:
@@ -87,6 +115,11 @@ def named_clusters(clustered: DataFrame) -> DataFrame:
     return centres.withColumn("style", style_name())
 
 
+def with_style(clustered: DataFrame) -> DataFrame:
+    """``clustered`` with the name of each row's cluster; the names are as few as the clusters."""
+    return clustered.join(F.broadcast(named_clusters(clustered).select("cluster", F.col("style").alias("style_name"))), "cluster")
+
+
 def style_join(titles: DataFrame, clustered: DataFrame) -> DataFrame:
     return titles.withColumn("safe_id", safe_id("comic_id")).join(clustered, "safe_id", "left")
 

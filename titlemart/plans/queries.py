@@ -702,7 +702,38 @@ def n3_author_mislatched(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'author_mislatched', 'HIGH', (SELECT count(*) FROM m), 0)
   SELECT check_ AS "check", severity, count_ AS "count", round(count_ * 100::DOUBLE / n, 3) AS pct, threshold::BIGINT AS threshold, count_ > threshold AS failed FROM k, n""")
 def n4_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return quality.scorecard(V.obs(spark, d))
+    return quality.scorecard(V.obs(spark, d)).drop("examples")
+
+
+def _faulty(spark: SparkSession, d: str) -> DataFrame:
+    """Observations with faults of every kind: some titles' authors are their title or a number, some genres an episode, some titles begin with a badge."""
+    k = F.col("platform_native_id").cast("int")
+    return V.obs(spark, d).withColumns({
+        "author": F.when(k % 11 == 0, F.col("title")).when(k % 11 == 1, "3.4K").when(k % 11 < 4, "same hand").when(k % 11 < 6, F.col("author")),
+        "genre": F.when(k % 13 == 0, "12 Eps").when(k % 13 == 1, F.concat_ws(" ", "genre", F.col("likes") % 3)).otherwise(F.col("genre")),
+        "title": F.when(k % 17 == 0, F.concat(F.lit("UP "), "title")).otherwise(F.col("title")),
+    })
+
+
+_FAULTY_SQL = V.OBS_SQL + """, faulty AS (SELECT comic_id, source, ord, CASE k % 11 WHEN 0 THEN title WHEN 1 THEN '3.4K' WHEN 2 THEN 'same hand' WHEN 3 THEN 'same hand' WHEN 4 THEN author WHEN 5 THEN author END AS author,
+    CASE k % 13 WHEN 0 THEN '12 Eps' WHEN 1 THEN genre || ' ' || (likes % 3) ELSE genre END AS genre, CASE WHEN k % 17 = 0 THEN 'UP ' || title ELSE title END AS title FROM (SELECT *, platform_native_id::INTEGER AS k FROM obs))"""
+
+
+@query(rf"""WITH {_FAULTY_SQL},
+  now AS (SELECT comic_id, source, title, author, genre FROM faulty QUALIFY row_number() OVER (PARTITION BY comic_id ORDER BY ord DESC) = 1),
+  had AS (SELECT comic_id, count(DISTINCT author) AS a, count(DISTINCT genre) AS g, string_agg(DISTINCT author, ' | ' ORDER BY author) AS aa, string_agg(DISTINCT genre, ' | ' ORDER BY genre) AS gg FROM faulty GROUP BY 1),
+  bad AS (
+    SELECT 'title_eq_author' AS "check", 0 AS least, * FROM now WHERE author = title
+    UNION ALL SELECT 'author_has_metric', 0, * FROM now WHERE regexp_matches(author, '\b\d[\d.,]*\s*[KMB]\b|\b(?:views?|likes?|reads?|subscribers?|eps?|episodes?)\b')
+    UNION ALL SELECT 'genre_is_episode_token', 0, * FROM now WHERE regexp_matches(genre, '화|\bEps\b|episode|^\s*\d')
+    UNION ALL SELECT 'title_leading_badge', 0, * FROM now WHERE regexp_matches(title, '^(?i)(?:up|new|hot|event)\s')
+    UNION ALL SELECT 'within_title_author_conflict', 0, comic_id, source, title, aa, genre FROM now JOIN had USING (comic_id) WHERE a > 1
+    UNION ALL SELECT 'within_title_genre_conflict', 0, comic_id, source, title, author, gg FROM now JOIN had USING (comic_id) WHERE g > 1
+    UNION ALL SELECT 'author_mislatched', -count(DISTINCT title), source || ':' || author, source, NULL, author, count(DISTINCT title)::VARCHAR FROM now WHERE author IS NOT NULL GROUP BY source, author HAVING count(DISTINCT title) >= 8)
+  SELECT "check", row_number() OVER (PARTITION BY "check" ORDER BY least, comic_id)::INTEGER AS place, source, title, author, genre FROM bad QUALIFY place <= 8""")
+def n4_examples(spark: SparkSession, d: str) -> DataFrame:
+    """What the scorecard shows of each check, flat."""
+    return quality.examples(quality.checked_titles(_faulty(spark, d)))
 
 
 @query(f"""{LATEST} SELECT source, count(*) AS titles, round(count(author)::DOUBLE / count(*) * 100, 1) AS author_pct, round(count(genre)::DOUBLE / count(*) * 100, 1) AS genre_pct,
@@ -1170,9 +1201,52 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(style.FEATURES)))
 
 
-@query()
+def _k_means_sql(k: int, rounds: int) -> str:
+    columns = style.FEATURES
+    apart = " + ".join(f"(f.{c} - c.{c}) * (f.{c} - c.{c})" for c in columns)
+    near = lambda s: "SELECT vec_id, " + ", ".join(f"any_value(f.{c}) AS {c}" for c in columns) + f", min({{'d': {apart}, 'j': c.j}}) AS n FROM f, {s} AS c GROUP BY vec_id"
+    ctes = [
+        "f AS (SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(columns)) + " FROM embeddings)",
+        f"s0 AS (SELECT 0 AS j, {', '.join(columns)} FROM f ORDER BY vec_id LIMIT 1)",
+    ]
+    for j in range(1, k):
+        far = f"SELECT {j} AS j, {', '.join(columns)} FROM ({near(f's{j - 1}')}) ORDER BY n.d DESC, vec_id LIMIT 1"
+        ctes.append(f"s{j} AS MATERIALIZED (SELECT * FROM s{j - 1} UNION ALL SELECT * FROM ({far}))")
+    for r in range(rounds):
+        means = f"SELECT n.j AS j, {', '.join(f'avg({c}) AS {c}' for c in columns)} FROM ({near(f's{k - 1 + r}')}) GROUP BY 1"
+        ctes.append(f"s{k + r} AS MATERIALIZED ({means})")
+    return f"WITH {', '.join(ctes)}, near AS ({near(f's{k - 1 + rounds}')})"
+
+
+@query(f"""{_k_means_sql(5, 10)} SELECT n.j AS cluster, {", ".join(f"avg({c}) AS {c}" for c in style.FEATURES)}, count(*) AS n,
+    CASE WHEN avg(brightness) < 0.35 THEN 'Dark & moody' WHEN avg(saturation) > 0.55 AND avg(colorfulness) > 0.4 THEN 'Vivid & saturated' WHEN avg(brightness) > 0.68 AND avg(saturation) < 0.4 THEN 'Bright & pastel'
+      WHEN avg(saturation) < 0.3 AND avg(colorfulness) < 0.3 THEN 'Muted / monochrome' WHEN avg(warmth) > 0.05 THEN 'Warm & soft' ELSE 'Cool & clean' END AS style FROM near GROUP BY 1""")
 def m3_style_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return style.named_clusters(style.style_clusters(_features(spark, d)))
+    return style.named_clusters(style.style_clusters(_features(spark, d), "vec_id"))
+
+
+_PIXELS = 10
+
+
+@query(f"""WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
+  px AS (SELECT doc_id, unnest(list_transform(range({_PIXELS}), lambda k: {{'b': ('0x' || substr(h, 6 * k + 1, 2))::INTEGER / 255.0::DOUBLE, 'g': ('0x' || substr(h, 6 * k + 3, 2))::INTEGER / 255.0::DOUBLE, 'r': ('0x' || substr(h, 6 * k + 5, 2))::INTEGER / 255.0::DOUBLE}})) AS p FROM h),
+  q AS (SELECT doc_id, p.r AS r, p.b AS b, 0.299::DOUBLE * p.r + 0.587::DOUBLE * p.g + 0.114::DOUBLE * p.b AS light, greatest(p.r, p.g, p.b) AS hi, least(p.r, p.g, p.b) AS lo, p.r - p.g AS rg, (p.r + p.g) / 2 - p.b AS yb FROM px)
+  SELECT doc_id::VARCHAR AS safe_id, round(avg(light), 3) AS brightness, round(avg(CASE WHEN hi > 0 THEN (hi - lo) / hi ELSE 0 END), 3) AS saturation,
+    round(sqrt(var_pop(rg) + var_pop(yb)) + 0.3::DOUBLE * sqrt(avg(rg) * avg(rg) + avg(yb) * avg(yb)), 3) AS colorfulness, round(stddev_pop(light) * 255 / 128, 3) AS contrast, round(avg(r - b), 3) AS warmth FROM q GROUP BY 1""")
+def m1_color_features(spark: SparkSession, d: str) -> DataFrame:
+    """Images of two by five pixels, whose bytes are a hash of a document's text."""
+    t = V.table(spark, d, "documents").filter("text IS NOT NULL")
+    data = F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 6 * _PIXELS))
+    images = t.select(F.col("doc_id").cast("string").alias("safe_id"), F.lit(2).alias("height"), F.lit(_PIXELS // 2).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
+    return style.color_features(images).drop("palette")
+
+
+@query("""SELECT p_brand || ':' || p_partkey AS comic_id, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE END AS brightness FROM part""")
+def m4_style_join(spark: SparkSession, d: str) -> DataFrame:
+    """Features of every other title, known by its safe id."""
+    p = V.table(spark, d, "part").select(F.concat_ws(":", "p_brand", "p_partkey").alias("comic_id"), F.col("p_size").cast("double").alias("brightness"), "p_partkey")
+    found = p.filter("p_partkey % 2 = 0").select(F.translate("comic_id", "#:", "__").alias("safe_id"), "brightness")
+    return style.style_join(p.select("comic_id"), found).select("comic_id", "brightness")
 
 
 @query("""SELECT label::VARCHAR AS genre, count(*) AS n, avg(embedding[1]::DOUBLE) AS brightness, avg(embedding[2]::DOUBLE) AS saturation, avg(embedding[3]::DOUBLE) AS colorfulness
@@ -1181,6 +1255,49 @@ def g18_style_by_genre(spark: SparkSession, d: str) -> DataFrame:
     return style.style_by_genre(_features(spark, d).withColumn("genre", F.col("label").cast("string")))
 
 
+def _concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Titles with a genre in nine kinds, and every fifth with none."""
+    k = F.col("platform_native_id").cast("int")
+    kinds = V.obs(spark, d).withColumn("genre", F.when(k % 5 > 0, F.concat_ws(" ", "genre", k % 9)))
+    return score.title_universe(kinds).select("comic_id", "genre", "title", "views")
+
+
+def _boosted_sql(trees: int) -> str:
+    """Trees of one split, round by round, over sums by genre."""
+    crc = "list_transform(range(1, length(x) + 1), lambda i: ascii(substr(x, i, 1))::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {crc}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+    ctes = [
+        f"""t AS (SELECT comic_id, CASE WHEN k % 5 > 0 THEN genre || ' ' || (k % 9) END AS genre, title, views FROM (SELECT comic_id, platform_native_id::INTEGER AS k, max(views) AS views, arg_max(genre, ord) AS genre,
+    arg_max(title, ord) AS title FROM obs GROUP BY 1, 2))""",
+        f"""g AS (SELECT genre, row_number() OVER (ORDER BY genre) AS code, coalesce(sum(1) FILTER (NOT held), 0)::DOUBLE AS n, coalesce(sum(y) FILTER (NOT held), 0) AS s
+  FROM (SELECT coalesce(genre, 'Unknown') AS genre, ln(1 + views::DOUBLE) AS y, {crc} % 5 = 0 AS held FROM (SELECT *, comic_id || ':42' AS x FROM t)) GROUP BY 1)""",
+        "p0 AS (SELECT *, sum(s) OVER () / sum(n) OVER () AS pred FROM g)",
+    ]
+    for r in range(trees):
+        ctes.append(f"""g{r} AS (SELECT *, sum(n * pred - s) OVER (ORDER BY code) AS gl, sum(n) OVER (ORDER BY code) AS hl, sum(n * pred - s) OVER () AS gt, sum(n) OVER () AS ht FROM p{r}),
+b{r} AS (SELECT code, gl, hl FROM g{r} WHERE hl >= 1 AND ht - hl >= 1 AND gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) > 1e-6
+  ORDER BY gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, code LIMIT 1),
+p{r + 1} AS (SELECT genre, g.code, n, s, pred - 0.3::DOUBLE * CASE WHEN b.code IS NULL THEN gt / (ht + 1) WHEN g.code <= b.code THEN b.gl / (b.hl + 1) ELSE (gt - b.gl) / (ht - b.hl + 1) END AS pred
+  FROM g{r} AS g LEFT JOIN b{r} AS b ON true)""")
+    return f"WITH {V.OBS_SQL}, " + ", ".join(ctes)
+
+
+@query(f"{_boosted_sql(4)} SELECT genre, pred AS prediction FROM p4")
+def m5_concept_model(spark: SparkSession, d: str) -> DataFrame:
+    """The model's table after four trees of one split."""
+    return concept.train(_concepts(spark, d), trees=4, depth=1).table(spark)
+
+
+@query(f"""{_boosted_sql(4)}, c AS (SELECT comic_id, CASE WHEN comic_id LIKE '%7' THEN 'no such genre' ELSE genre END AS genre, title FROM t)
+  SELECT comic_id, c.genre, title, exp(coalesce(p.pred, z.pred)) - 1 AS predicted, CASE WHEN exp(coalesce(p.pred, z.pred)) - 1 > 1000000 THEN 'S' WHEN exp(coalesce(p.pred, z.pred)) - 1 > 100000 THEN 'A' ELSE 'B' END AS tier
+  FROM c LEFT JOIN p4 AS p ON p.genre = c.genre JOIN p4 AS z ON z.code = 1""")
+def m6_concept_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same model asked for all titles, of which some have a genre that it does not know."""
+    titles = _concepts(spark, d)
+    asked = titles.select("comic_id", F.when(F.col("comic_id").endswith("7"), "no such genre").otherwise(F.col("genre")).alias("genre"), "title")
+    return concept.predict(asked, concept.train(titles, trees=4, depth=1))
+
+
 @query()
 def m6_concept_predict(spark: SparkSession, d: str) -> DataFrame:
     titles = score.title_universe(V.obs(spark, d)).select("comic_id", "genre", "title", "views")
@@ -1284,13 +1401,16 @@ def j6_author_confidence(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", label.alias("label"))
 
 
-@query("""SELECT conv_id, nullif(coalesce(string_agg('n' || turn, ', ' ORDER BY turn) FILTER (WHERE k <= 3), ''), '') AS staff
-  FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) END AS k FROM (SELECT DISTINCT conv_id, turn FROM conversations)) GROUP BY 1""")
+@query("""WITH p AS (SELECT DISTINCT conv_id, turn, 'n' || (turn % 3) AS name FROM conversations WHERE turn % 5 <> 4),
+  f AS (SELECT conv_id, name, min(turn) AS turn FROM p WHERE turn % 2 = 0 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) <= 3)
+  SELECT conv_id, string_agg(name, ', ' ORDER BY turn) AS staff FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN f USING (conv_id) GROUP BY 1""")
 def j7_staff_pick(spark: SparkSession, d: str) -> DataFrame:
+    """Names come again on later turns, and every fifth is missing."""
     c = V.table(spark, d, "conversations").select("conv_id", "turn").distinct()
-    person = F.struct("turn", F.when(F.col("turn") % 2 == 0, "Story & Art").otherwise("Letterer").alias("role"), F.concat(F.lit("n"), "turn").alias("name"))
+    name = F.when(F.col("turn") % 5 != 4, F.concat(F.lit("n"), F.col("turn") % 3)).alias("name")
+    person = F.struct("turn", F.when(F.col("turn") % 2 == 0, "Story & Art").otherwise("Letterer").alias("role"), name)
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(person)).alias("staff"))
-    return g.select("conv_id", F.nullif(entities.first_staff(F.col("staff")), F.lit("")).alias("staff"))
+    return g.select("conv_id", entities.first_staff(F.col("staff")).alias("staff"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name WHEN s_suppkey % 3 = 0 THEN 'found ' || s_suppkey END AS author FROM supplier""")
@@ -1303,7 +1423,7 @@ def j9_gap_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL["n4_scorecard"].replace("SELECT check_ AS", "SELECT * FROM (SELECT check_ AS") + ") WHERE failed AND severity IN ('CRITICAL', 'HIGH')")
 def n6_strict_gate(spark: SparkSession, d: str) -> DataFrame:
-    return quality.strict_gate(quality.scorecard(V.obs(spark, d)))
+    return quality.strict_gate(quality.scorecard(V.obs(spark, d)).drop("examples"))
 
 
 @query(f"""WITH {V.EPISODES_SQL} SELECT comic_id, episode_no % 3 AS episode_no, max(episode_no) AS newest FROM episodes GROUP BY 1, 2""")
