@@ -203,7 +203,7 @@ def test_boosted_trees_match_a_plain_version():
             g = lambda rows: (out[rows] - y[rows]).sum()
             worth = lambda rows: g(rows) ** 2 / (len(rows) + 1)
             cuts = [(worth(own[code[own] <= c]) + worth(own[code[own] > c]) - worth(own), -c) for c in sorted(set(code[own]))[:-1]]
-            if left and cuts and max(cuts)[0] > 1e-6:
+            if left and cuts and max(cuts)[0] > 0:
                 c = -max(cuts)[1]
                 todo += [(own[code[own] <= c], left - 1), (own[code[own] > c], left - 1)]
             else:

@@ -19,7 +19,7 @@ LEAST_ROWS = 10
 MOST_GENRES = 1 << 16
 #: What a missing genre counts as, and the usual step, penalty and smallest gain of boosted regression trees.
 NO_GENRE = "Unknown"
-STEP, PENALTY, LEAST_GAIN = 0.3, 1.0, 1e-6
+STEP, PENALTY, LEAST_GAIN = 0.3, 1.0, 0.0
 
 
 @dataclass(frozen=True)

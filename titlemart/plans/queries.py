@@ -1275,7 +1275,7 @@ def _boosted_sql(trees: int) -> str:
     ]
     for r in range(trees):
         ctes.append(f"""g{r} AS (SELECT *, sum(n * pred - s) OVER (ORDER BY code) AS gl, sum(n) OVER (ORDER BY code) AS hl, sum(n * pred - s) OVER () AS gt, sum(n) OVER () AS ht FROM p{r}),
-b{r} AS (SELECT code, gl, hl FROM g{r} WHERE hl >= 1 AND ht - hl >= 1 AND gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) > 1e-6
+b{r} AS (SELECT code, gl, hl FROM g{r} WHERE hl >= 1 AND ht - hl >= 1 AND gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) > 0
   ORDER BY gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) DESC, code LIMIT 1),
 p{r + 1} AS (SELECT genre, g.code, n, s, pred - 0.3::DOUBLE * CASE WHEN b.code IS NULL THEN gt / (ht + 1) WHEN g.code <= b.code THEN b.gl / (b.hl + 1) ELSE (gt - b.gl) / (ht - b.hl + 1) END AS pred
   FROM g{r} AS g LEFT JOIN b{r} AS b ON true)""")
