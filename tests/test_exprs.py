@@ -80,15 +80,29 @@ def test_bands(spark):
     assert one(spark, E.engagement_ratio(F.lit(3), F.lit(0)), "x") == 0 and one(spark, E.engagement_ratio_of_table(F.lit(3), F.lit(0)), "x") == 3
 
 
-def test_p_values():
+def test_p_values(spark):
     import math
 
-    import numpy as np
-
-    assert normal_two_sided(np.array([0.0, 1.959963984540054])) == pytest.approx([1, 0.05])
-    t = np.array([0.0, 0.5, 1.0, 3.0, 40.0, np.inf])
-    assert student_two_sided(t, np.ones(6)) == pytest.approx([1 - 2 / math.pi * math.atan(x) for x in t], abs=1e-9)
-    assert student_two_sided(t[:5], np.full(5, 2.0)) == pytest.approx([1 - x / math.sqrt(2 + x * x) for x in t[:5]], abs=1e-9)
+    def told(rows, schema, c):
+        return [r.p for r in spark.createDataFrame(rows, schema).coalesce(1).select(c.alias("p")).collect()]
+
+    zs = [0.0, -1.959963984540054, 1e-9, 0.3, 2.0, -3.0, 4.2, 4.25, 6.0, 9.5, 30.0, math.inf]
+    got = told([(z,) for z in zs], "z double", normal_two_sided("z"))
+    assert got == pytest.approx([math.erfc(abs(z) / math.sqrt(2)) for z in zs], abs=1e-14) and got[:2] == pytest.approx([1, 0.05])
+    assert got[6:10] == pytest.approx([math.erfc(z / math.sqrt(2)) for z in zs[6:10]], rel=1e-12)
+    ts = [0.0, 0.5, -1.0, 3.0, 40.0, math.inf]
+    student = lambda t, df: told([(t, df)], "t double, df long", student_two_sided("t", "df"))[0]
+    for t in ts:
+        assert student(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(abs(t)), abs=1e-12)
+        assert student(t, 2) == pytest.approx(1 - abs(t) / math.sqrt(2 + t * t) if math.isfinite(t) else 0, abs=1e-12)
+
+    def density(x, df):
+        return math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+
+    for t, df in ((0.7, 3), (2.1, 4), (1.5, 9), (3.3, 28), (2.0, 401), (0.1, 1000)):
+        steps = 20_000
+        area = sum((4 if k % 2 else 2) * density(t * k / steps, df) for k in range(1, steps)) + density(0, df) + density(t, df)
+        assert student(t, df) == pytest.approx(1 - 2 * area * t / steps / 3, abs=1e-9)
 
 
 def test_titles_of_any_script_are_normalized(spark):

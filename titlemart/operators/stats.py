@@ -1,31 +1,19 @@
 """Trend statistics by group: Mann-Kendall with Theil-Sen, least squares, and the report that joins them.
 
-Sums, signs and medians are built-in; only p-values need a helper, which works on whole columns.
+Everything is built-in, p-values too.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import volatility_band
 from ..functions.pvalues import normal_two_sided, student_two_sided
 from .daily import cv, genre_concentration, genre_daily
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_p(z: pd.Series) -> pd.Series:
-    return pd.Series(normal_two_sided(z.to_numpy(float)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(student_two_sided(t.to_numpy(float), df.to_numpy(float)))
-
-
 def indexed(df: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
     """(keys, i from 0, y) in the order of ``by``."""
     w = W.partitionBy(*keys).orderBy(by)
@@ -51,7 +39,7 @@ def mann_kendall(series: DataFrame, keys: list[str], *, alpha: float = 0.05) ->
         *keys, "n", F.when(enough, F.col("s")).otherwise(0.0).alias("s"), F.when(enough, z).otherwise(0.0).alias("z"),
         F.when(enough, F.col("slope")).otherwise(0.0).alias("slope"),
     )
-    out = out.withColumn("p", F.when(F.col("n") >= 4, _normal_p("z")).otherwise(1.0))
+    out = out.withColumn("p", F.when(F.col("n") >= 4, normal_two_sided("z")).otherwise(1.0))
     rising = F.when(F.col("z") > 0, "Rising").otherwise("Falling")
     return out.withColumn(
         "status", F.when(F.col("n") < 4, "Insufficient Data").when(F.col("p") < alpha, rising).otherwise("Stable")
@@ -74,7 +62,7 @@ def linear_trend(series: DataFrame, keys: list[str]) -> DataFrame:
     se = F.when(enough, F.sqrt(left / (F.col("n") - 2) / F.col("sxx"))).otherwise(0.0)
     out = out.withColumn("se", se)
     t = F.when(F.col("se") > 0, F.col("slope") / F.col("se")).when(F.col("r2") > 0, F.lit(float("inf"))).otherwise(0.0)
-    return out.withColumn("p", F.when(enough, _student_p(t, F.col("n") - 2)).otherwise(1.0)).select(
+    return out.withColumn("p", F.when(enough, student_two_sided(t, F.col("n") - 2)).otherwise(1.0)).select(
         *keys, "n", "slope", "intercept", "r2", "p", "se",
         (F.col("slope") - 1.96 * F.col("se")).alias("slope_low"), (F.col("slope") + 1.96 * F.col("se")).alias("slope_high"),
     )

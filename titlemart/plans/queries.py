@@ -545,40 +545,51 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
     return stats.indexed(daily.genre_daily(_daily(spark, d)), ["genre"], "date", "total_views")
 
 
+_NORMAL_P = """CASE WHEN {z} = 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * exp(-{z} * {z} / 2) * list_sum(list_transform(range(0, 150), lambda k:
+    exp((2 * k + 1) * ln(abs({z}) / sqrt(2)) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END"""
+# With an angle u = atan(t / sqrt(n - 2)) at hand, in terms of binomial coefficients.
+_STUDENT_P = """greatest(0.0, 1 - CASE WHEN n = 3 THEN 2 / pi() * u
+    WHEN n % 2 = 1 THEN 2 / pi() * (u + sin(u) * cos(u) * list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * cos(u) ** (2 * k))))
+    ELSE sin(u) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * cos(u) ** (2 * k))) END)"""
+
+
 @query(f"""{_SERIES}, p AS (SELECT a.genre, sum(sign(b.y - a.y))::DOUBLE AS s, median((b.y - a.y) / (b.i - a.i)) AS slope FROM s a JOIN s b ON a.genre = b.genre AND a.i < b.i GROUP BY 1),
   n AS (SELECT genre, count(*) AS n, count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18.0::DOUBLE AS v FROM s GROUP BY 1)
-  SELECT genre, n, s, CASE WHEN s > 0 THEN (s - 1) / sqrt(v) WHEN s < 0 THEN (s + 1) / sqrt(v) ELSE 0.0 END AS z, slope,
-    CASE WHEN abs(CASE WHEN s > 0 THEN (s - 1) / sqrt(v) WHEN s < 0 THEN (s + 1) / sqrt(v) ELSE 0.0 END) <= 1.959963984540054 THEN 'Stable' WHEN s > 0 THEN 'Rising' ELSE 'Falling' END AS status
+  SELECT genre, n, s, CASE WHEN s > 0 THEN (s - 1) / sqrt(v) WHEN s < 0 THEN (s + 1) / sqrt(v) ELSE 0.0 END AS z, slope, {_NORMAL_P.format(z="z")} AS p,
+    CASE WHEN abs(z) <= 1.959963984540054 THEN 'Stable' WHEN s > 0 THEN 'Rising' ELSE 'Falling' END AS status
   FROM n JOIN p USING (genre)""")
 def i1_mann_kendall(spark: SparkSession, d: str) -> DataFrame:
-    return stats.mann_kendall(_series(spark, d), ["genre"]).drop("p")
+    return stats.mann_kendall(_series(spark, d), ["genre"])
 
 
-@query(f"""{_SERIES}, r AS (SELECT genre, count(*) AS n, regr_slope(y, i) AS slope, regr_intercept(y, i) AS intercept, regr_r2(y, i) AS r2, regr_sxx(y, i) AS sxx, regr_syy(y, i) AS syy FROM s GROUP BY 1)
-  SELECT genre, n, slope, intercept, r2, sqrt((1 - r2) * syy / (n - 2) / sxx) AS se FROM r""")
+@query(f"""{_SERIES}, r AS (SELECT genre, count(*) AS n, regr_slope(y, i) AS slope, regr_intercept(y, i) AS intercept, regr_r2(y, i) AS r2, regr_sxx(y, i) AS sxx, regr_syy(y, i) AS syy FROM s GROUP BY 1),
+  e AS (SELECT *, sqrt((1 - r2) * syy / (n - 2) / sxx) AS se FROM r), u AS (SELECT *, atan(abs(slope / se) / sqrt(n - 2)) AS u FROM e)
+  SELECT genre, n, slope, intercept, r2, se, slope - 1.96::DOUBLE * se AS slope_low, slope + 1.96::DOUBLE * se AS slope_high, {_STUDENT_P} AS p FROM u""")
 def i2_linear_trend(spark: SparkSession, d: str) -> DataFrame:
-    return stats.linear_trend(_series(spark, d), ["genre"]).select("genre", "n", "slope", "intercept", "r2", "se")
-
-
-@query()
-def i3_trend_report(spark: SparkSession, d: str) -> DataFrame:
-    return stats.trend_report(_daily(spark, d))
+    return stats.linear_trend(_series(spark, d), ["genre"])
 
 
 @query(f"""{DAILY}, g AS (SELECT genre, date, sum(views)::DOUBLE AS y, count(DISTINCT comic_id) AS titles, avg({ENG}) AS e FROM daily WHERE genre <> '' GROUP BY 1, 2),
   s AS (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY date) - 1 AS i FROM g),
   p AS (SELECT a.genre, sum(sign(b.y - a.y))::DOUBLE AS s, median((b.y - a.y) / (b.i - a.i)) AS sen FROM s a JOIN s b ON a.genre = b.genre AND a.i < b.i GROUP BY 1),
   n AS (SELECT genre, count(*) AS days, sum(y)::BIGINT AS total_views, max(titles) AS max_titles, avg(e) AS mean_engagement, CASE WHEN avg(y) = 0 THEN 0.0 ELSE stddev_pop(y) / avg(y) END AS cv,
-    count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18.0::DOUBLE AS var, regr_slope(y, i) AS slope, regr_r2(y, i) AS r2 FROM s GROUP BY 1 HAVING count(*) >= 3),
+    count(*) AS n, count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18.0::DOUBLE AS var, regr_slope(y, i) AS slope, regr_r2(y, i) AS r2,
+    atan(abs(regr_slope(y, i)) / sqrt((1 - regr_r2(y, i)) * regr_syy(y, i) / regr_sxx(y, i))) AS u FROM s GROUP BY 1 HAVING count(*) >= 3),
   z AS (SELECT *, CASE WHEN s > 0 THEN (s - 1) / sqrt(var) WHEN s < 0 THEN (s + 1) / sqrt(var) ELSE 0.0 END AS mk_z FROM n JOIN p USING (genre)),
   c AS (SELECT genre, {HHI.format("v")} AS hhi, sum(v) AS total FROM (SELECT genre, comic_id, sum(views) AS v FROM daily GROUP BY 1, 2) GROUP BY 1)
   SELECT genre, days, total_views, max_titles, mean_engagement, cv, CASE WHEN abs(mk_z) <= 1.959963984540054 THEN 'Stable' WHEN s > 0 THEN 'Rising' ELSE 'Falling' END AS trend, mk_z, sen AS sen_slope, slope, r2, hhi,
     CASE WHEN total = 0 THEN 'N/A' ELSE {BAND.format("hhi")} END AS band, CASE WHEN cv > 0.5 THEN 'High' WHEN cv > 0.2 THEN 'Medium' ELSE 'Low' END AS volatility FROM z JOIN c USING (genre)""")
 def i3_trend_measures(spark: SparkSession, d: str) -> DataFrame:
-    """The report without what comes from p-values, which SQL has no functions for."""
+    """The report without its p-values."""
     return stats.trend_report(_daily(spark, d)).drop("mk_p", "lin_p", "both_significant")
 
 
+@query(SQL["i3_trend_measures"].replace("SELECT genre, days,", f"""SELECT genre, {_NORMAL_P.format(z="mk_z")} AS mk_p, {_STUDENT_P} AS lin_p,
+    {_NORMAL_P.format(z="mk_z")} < 0.05 AND {_STUDENT_P} < 0.05 AS both_significant, days,"""))
+def i3_trend_report(spark: SparkSession, d: str) -> DataFrame:
+    return stats.trend_report(_daily(spark, d))
+
+
 @query(f"""{DAILY} SELECT genre, CASE WHEN s > 0.5 THEN 'High' WHEN s > 0.2 THEN 'Medium' ELSE 'Low' END AS volatility FROM (SELECT genre, stddev_pop(views) / avg(views) AS s FROM daily GROUP BY 1)""")
 def b16_volatility_band(spark: SparkSession, d: str) -> DataFrame:
     return _daily(spark, d).groupBy("genre").agg(daily.cv(F.col("views")).alias("cv")).select("genre", E.volatility_band("cv").alias("volatility"))
