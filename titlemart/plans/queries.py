@@ -1188,6 +1188,81 @@ def c8_detail_records(spark: SparkSession, d: str) -> DataFrame:
     return bronze.detail_records(_pages(spark, d), _PAGE_RULES)
 
 
+def _made_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of forty titles: with covers and numbers, with a title attribute, with two anchors of one title, and with none."""
+    k, name, size = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")
+    cat = F.concat
+    forms = [
+        cat(F.lit("<li><a href='/story/"), k, F.lit("-x'><img data-src='https://c/"), k, F.lit(".jpg' alt='"), name, F.lit(" by Author "), size, F.lit("'></a><p><span>"), size,
+            F.lit(".5K</span><i>4."), F.col("p_partkey") % 10, F.lit("</i></p></li>")),
+        cat(F.lit('<li><div class="a>b"><a title="'), name, F.lit(' &amp; more" href="/story/'), k, F.lit('">'), size, F.lit("K</a></div> <p>text</p></li>")),
+        cat(F.lit("<article><img src='https://c/card"), k, F.lit(".png'><a href='/story/"), k, F.lit("'>Hot</a><!-- <a href='/story/1'>no</a> --><A HREF='/story/"), k, F.lit("?x'><b>The "), name,
+            F.lit("</b>\n again</A></article>")),
+        cat(F.lit("<li><a href='/story/"), k, F.lit("'>12K</a><a href='/about'>About "), name, F.lit("</a></li>")),
+    ]
+    form = F.when(F.col("p_partkey") % 4 == 0, forms[0]).when(F.col("p_partkey") % 4 == 1, forms[1]).when(F.col("p_partkey") % 4 == 2, forms[2]).otherwise(forms[3])
+    page = F.concat(F.lit("list/"), F.floor(F.col("p_partkey") / 40).cast("string")).alias("path")
+    pages = V.table(spark, d, "part").groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", form.alias("h")))), lambda x: x["h"]), "").alias("items"))
+    return pages.select("path", F.lit("wattpad").alias("source"), F.concat(F.lit("<html><script>var t = '<li>';</script><ul>"), "items", F.lit("</ul></html>")).alias("html"))
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 4 AS f, 'list/' || (p_partkey // 40) AS path, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey)::INTEGER AS rank,
+    trim(regexp_replace(p_name, '^(?i)(free with gold|up|new|latest 24hours) ', '')) AS name FROM part),
+  m AS (SELECT *, CASE f WHEN 0 THEN p_size * 1000 + 500 WHEN 1 THEN p_size * 1000 ELSE 0 END::BIGINT AS metric FROM p WHERE f < 3)
+  SELECT path, 'wattpad:' || p_partkey AS comic_id, 'wattpad' AS source, p_partkey::VARCHAR AS platform_native_id, CASE f WHEN 0 THEN name WHEN 1 THEN name || ' & more' ELSE 'The ' || p_name || ' again' END AS title,
+    CASE WHEN f = 0 THEN 'Author ' || p_size END AS author, 'https://www.wattpad.com/story/' || p_partkey || CASE WHEN f = 0 THEN '-x' ELSE '' END AS url, rank, metric AS primary_metric,
+    CASE WHEN f < 2 THEN 'reads' ELSE 'unknown' END AS metric_type, metric AS views, 0::BIGINT AS likes, CASE WHEN f = 0 THEN ('4.' || (p_partkey % 10))::DOUBLE END AS rating, NULL::VARCHAR AS genre,
+    CASE f WHEN 0 THEN 'https://c/' || p_partkey || '.jpg' WHEN 2 THEN 'https://c/card' || p_partkey || '.png' END AS cover_url, 'novel' AS content_type FROM m""")
+def c4_listing_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Best titles (C4), authors from image texts (C5) and numbers of cards (C6), by a platform's own rule."""
+    return bronze.anchor_listing(_made_listing(spark, d))
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 3 AS f FROM part WHERE p_name <> 'home')
+  SELECT 'd/' || p_partkey AS path, CASE WHEN f = 2 THEN 'tapas_io:title_of_' || replace(p_name, ' ', '_') ELSE 'tapas_io:' || p_partkey END AS comic_id, 'tapas_io' AS source,
+    CASE WHEN f = 2 THEN 'title_of_' || replace(p_name, ' ', '_') ELSE p_partkey::VARCHAR END AS platform_native_id, CASE f WHEN 0 THEN p_name || ' & co' WHEN 1 THEN 'Heading of ' || p_name ELSE 'Title of ' || p_name END AS title,
+    CASE WHEN f < 2 THEN 'https://tapas.io/series/' || p_partkey END AS url, CASE WHEN f = 0 THEN 'https://c/' || p_partkey || '.png' END AS cover_url, CASE WHEN f = 0 THEN 'About ' || p_name END AS synopsis,
+    CASE f WHEN 0 THEN p_size * 1000 + 500 WHEN 1 THEN p_partkey ELSE 0 END::BIGINT AS primary_metric, CASE f WHEN 0 THEN 'views' WHEN 1 THEN 'subscribers' ELSE 'unknown' END AS metric_type,
+    CASE WHEN f = 0 THEN p_size * 1000 + 500 ELSE 0 END::BIGINT AS views, CASE WHEN f = 0 THEN p_size ELSE 0 END::BIGINT AS likes, CASE WHEN f < 2 THEN p_partkey END::BIGINT AS subscribers,
+    CASE WHEN f = 1 THEN p_size END::INTEGER AS episode_count, NULL::INTEGER AS chapter_count, NULL::INTEGER AS volume_count, 'comic' AS content_type FROM p""")
+def c8_detail_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of one title: with cards for other sites, with a heading and an address, and with a heading alone."""
+    k, name, size = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")
+    link = F.concat(F.lit("<link rel='canonical' href='https://tapas.io/series/"), k, F.lit("'>"))
+    html = F.when(F.col("p_partkey") % 3 == 0, F.concat(
+        F.lit("<head><meta property='og:title' content='Read "), name, F.lit(" &amp; co | Tapas'><meta content='https://c/"), k, F.lit(".png' property='og:image'><meta name='og:description' content='About "), name,
+        F.lit("'><meta property='og:url' content='https://tapas.io/series/"), k, F.lit("'></head><h1>no</h1><style>7 views</style><b>"), size, F.lit(".5K views</b> <i>"), k, F.lit(" subscribers</i> "), size, F.lit(" likes"),
+    )).when(F.col("p_partkey") % 3 == 1, F.concat(link, F.lit("<h1 class=x>Heading of <b>"), name, F.lit("</b></h1><p>"), k, F.lit(" <i>subscribers</i></p>"), size, F.lit(" episodes"))).otherwise(
+        F.concat(F.lit("<!-- 5 views --><h1> Title of\n"), name, F.lit(" </h1>"))
+    )
+    pages = V.table(spark, d, "part").filter("p_name <> 'home'").select(F.concat(F.lit("d/"), k).alias("path"), F.lit("tapas_io").alias("source"), html.alias("html"))
+    return bronze.detail_records(pages)
+
+
+@query("""SELECT CASE WHEN page_id % 3 = 2 THEN 'no_adapter' ELSE 'other' END AS status, count(*) AS pages FROM pages WHERE length(html) >= 1000 GROUP BY 1""")
+def a4_manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest and its quarantine as files, read again and summed."""
+    root = _place(spark, "manifest")
+    _, manifest = bronze.parse_pages(_pages(spark, d).filter("length(html) >= 1000"), min_bytes=1000, rules=_PAGE_RULES)
+    files.write_manifest(manifest, root)
+    kept, failed = spark.read.parquet(f"{root}/manifest"), spark.read.schema(manifest.schema).json(f"{root}/quarantine")
+    summary = files.manifest_summary(kept.join(failed.select("path"), "path", "left_anti")).unionByName(files.manifest_summary(failed))
+    known = F.when(F.col("status") == "no_adapter", "no_adapter").otherwise("other")
+    return summary.groupBy(known.alias("status")).agg(F.sum("pages").alias("pages"))
+
+
+@query("""SELECT 'w/' || (p_partkey // 30) AS path, CASE WHEN p_partkey % 4 = 1 THEN 'One ' || p_partkey ELSE p_name || '/x' END AS slug, 'Work ' || p_partkey AS title FROM part WHERE p_partkey % 4 = 1""")
+def c10_wiki_index(spark: SparkSession, d: str) -> DataFrame:
+    """Wiki pages of thirty titles, of which every fourth is a work: others have a folder, a namespace, or a word that tells of no work."""
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    a = lambda slug, title: F.concat(F.lit("<a class=w href='/w/"), slug, F.lit("' title='"), title, F.lit("'>x</a>"))
+    work = F.concat(a(F.concat(F.lit("One%20"), k), F.concat(F.lit(" Work "), k)), a(F.concat(F.lit("two-"), k), F.concat(F.lit("WORK "), k)))
+    item = F.when(F.col("p_partkey") % 4 == 0, a(F.concat(k, F.lit("/x")), name)).when(F.col("p_partkey") % 4 == 1, work).when(
+        F.col("p_partkey") % 4 == 2, a(F.concat(F.lit("Cat:"), k), name)).otherwise(a(k, F.concat(F.lit("Series of "), name)))
+    page = F.concat(F.lit("w/"), F.floor(F.col("p_partkey") / 30).cast("string")).alias("path")
+    return bronze.denylist_index(V.table(spark, d, "part").groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("h")))), lambda x: x["h"]), "\n").alias("html")))
+
+
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)) AS href FROM pages)
   SELECT DISTINCT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://x.example' || href END AS url FROM l
   WHERE regexp_matches(CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://x.example' || href END, '/[a-z]{4,}$')""")
