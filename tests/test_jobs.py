@@ -188,6 +188,45 @@ def test_registered_concepts_come_from_all_trees(spark, sf_dir, monkeypatch):
     assert all(math.isclose(r.predicted, views[r.genre], rel_tol=1e-6) for r in out)
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_dense_ranks_match_a_window(spark, kind):
+    from pyspark.sql import Window as W
+
+    rng = np.random.default_rng(1)
+    rows = [(f"t{k}", None if k % 50 == 7 else f"d{k % 3}", None if k % 9 == 0 else 0 if k % 3 else int(rng.integers(-20, 20))) for k in range(600)]
+    df = spark.createDataFrame(rows, "key string, day string, v int").withColumn("v", F.col("v").cast(kind)).repartition(5)
+    want = df.withColumn("r", F.dense_rank().over(W.partitionBy("day").orderBy(F.desc_nulls_last("v"))))
+    got = keys.dense_ranks(df, "day", "v", "r", "key")
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert "Window [dense_rank" not in got._jdf.queryExecution().toString()
+    assert keys.dense_ranks(df.limit(0), "day", "v", "r", "key").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
+def test_texts_that_lack_words_of_the_left_side(spark, threshold):
+    """Words of the right side alone, hot words, sizes at the limit, and nothing to match."""
+    import random
+
+    rng = random.Random(7)
+    pick = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    common, other = [f"w{k}" for k in range(14)], [f"x{k}" for k in range(30)]
+    left = [(k, pick(common, rng.randint(1, 9))) for k in range(60)]
+    right = [(k, pick(common + other[: k % 4], rng.randint(1, 10))) for k in range(200)] + [(900 + k, left[k][1] + " x1") for k in range(20)] + [(950, left[3][1].upper() + "!"), (951, ""), (952, None)]
+    words = lambda t: set(entities_text(t).split())
+    entities_text = lambda t: (t or "").lower().replace("!", "")
+    want = {}
+    for a, ta in left:
+        scored = [(len(words(ta) & words(tb)) / len(words(ta) | words(tb)), -b) for b, tb in right if words(tb)]
+        best = max((1.0 if entities_text(ta) == entities_text(dict(right)[-b]) else s, b) for s, b in scored)
+        if best[0] >= threshold:
+            want[a] = (-best[1], round(best[0], 9))
+    one = spark.createDataFrame(left, "l_id int, text string")
+    two = spark.createDataFrame(right, "r_id int, text string")
+    got = {r.l_id: (r.r_id, round(r.similarity, 9)) for r in entities.fuzzy_match(one, two, threshold=threshold).collect()}
+    assert got == want and want
+    assert entities.fuzzy_match(one.limit(0), two).count() == entities.fuzzy_match(one, two.limit(0)).count() == 0
+
+
 def test_boosted_trees_match_a_plain_version():
     """Trees over single rows, each split tried in turn."""
     from titlemart.operators import concept

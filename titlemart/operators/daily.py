@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import engagement_ratio_of_table, hhi_band
 from ..schema import order_of
-from .keys import earliest, latest
+from .keys import dense_ranks, earliest, latest
 
 
 def daily_snapshot(obs: DataFrame) -> DataFrame:
@@ -68,8 +68,8 @@ def all_metrics(daily: DataFrame) -> DataFrame:
 
 
 def daily_rank(daily: DataFrame) -> DataFrame:
-    """Dense rank by views of each day."""
-    return daily.withColumn("day_rank", F.dense_rank().over(W.partitionBy("date").orderBy(F.desc("views"))))
+    """Dense rank by views of each day; a day's titles are ranked in ranges, not in one task."""
+    return dense_ranks(daily, "date", "views", "day_rank", "comic_id")
 
 
 def rank_delta(obs: DataFrame) -> DataFrame:

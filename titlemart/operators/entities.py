@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import normalize_author, normalize_title, norm_match_text, token_jaccard, tokens
+from ..functions.exprs import normalize_author, normalize_title, norm_match_text, tokens
 from ..functions.lineage import cut
 
 
@@ -49,39 +49,65 @@ def top_ip(ip: DataFrame, limit: int = 25) -> DataFrame:
     return ip.orderBy(F.desc_nulls_last("best_score"), "ip_key").limit(limit).select("ip_key", "title", "platforms", "n_platforms", "views", "best_score")
 
 
+#: Up to so many words of the left side, and texts of it, are sent to all tasks; more are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
+
+
+def _few(df: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
+    """``df`` cut, and marked for broadcast if it is counted to be small."""
+    done = cut(df)
+    return F.broadcast(done) if done.count() <= most else done
+
+
+def _prefixes(texts: DataFrame, df: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, place, word): of each of (id, w) the words that two sets so similar must share one of, in the order that ``df`` (word, df) gives.
+
+    Words that ``df`` lacks meet nothing.  They come first in the order, so a text with too many of them has no prefix left.
+    """
+    words = texts.select("id", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word")
+    held = words.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("held"))
+    lacking = F.col("n") - F.size("held")
+    length = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - lacking
+    prefix = held.withColumns({"lacking": lacking, "prefix": F.slice("held", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))})
+    return prefix.select("id", "n", "lacking", F.posexplode("prefix").alias("k", "x")).select("id", "n", (F.col("lacking") + F.col("k") + 1).alias("place"), F.col("x.word").alias("word"))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) -> DataFrame:
     """Of each l_id, the best r_id by word Jaccard of their texts at or over the threshold: (l_id, r_id, similarity).
 
-    An id may have several texts (alternative titles), one a row; its best pair counts, and of equal ones the smallest r_id.  Two sets that similar
-    share a word among each one's first ``n - ceil(threshold * n) + 1`` words in any common order.  Words are ordered rarest first, so the join
-    meets on rare words, and sizes must be within the threshold of each other.  Texts are compared once for each distinct normalised text, and
-    what they meet on is made once.
+    An id may have several texts (alternative titles), one a row; its best pair counts, and of equal ones the smallest r_id.  Texts are compared once for
+    each distinct normalised text.  Of the right side only words that the left side has are ever dealt, and only texts of a size that may match.  Two
+    sets that similar share a word among each one's first ``n - ceil(threshold * n) + 1`` words in any common order; words are ordered rarest first,
+    so the join meets on rare words.  Where a pair meets, sizes and places must leave room for enough words in common.
     """
 
-    def sets(df: DataFrame, key: str) -> DataFrame:
-        text = norm_match_text("text")
-        return df.select(key, text.alias("t")).filter("t <> ''")
-
-    a, b = sets(left, "l_id"), sets(right, "r_id")
-    sided = a.select("t", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(b.select("t", F.lit(False).alias("l"), F.lit(True).alias("r")))
-    texts = cut(sided.groupBy("t").agg(F.max("l").alias("l"), F.max("r").alias("r")).withColumn("w", tokens(F.col("t"))))
-    words = texts.select("t", "l", "r", F.size("w").alias("n"), F.explode("w").alias("word"))
-    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    w = W.partitionBy("t").orderBy("df", "word")
-    placed = words.join(rare, "word").withColumn("k", F.row_number().over(w))
-    prefix = cut(placed.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", "l", "r", "n", "word"))
-    pl = prefix.filter("l").select(F.col("t").alias("ta"), F.col("n").alias("na"), "word")
-    pr = prefix.filter("r").select(F.col("t").alias("tb"), F.col("n").alias("nb"), "word")
-    pairs = (
-        pl.join(pr, "word")
-        .filter((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
-        .select("ta", "tb").distinct()
-        .withColumn("similarity", token_jaccard("ta", "tb")).filter(F.col("similarity") >= threshold)
-    )
+    def texts(df: DataFrame, key: str) -> DataFrame:
+        """(id, <key>, t, w) of distinct texts, with the smallest id that has it."""
+        one = df.select(key, norm_match_text("text").alias("t")).filter("t <> ''").groupBy("t").agg(F.min(key).alias(key))
+        return cut(one.select(key, "t", tokens(F.col("t")).alias("w"), F.monotonically_increasing_id().alias("id")))
+
+    a, b = texts(left, "l_id"), texts(right, "r_id")
+    least, most = a.agg(F.min(F.size("w")), F.max(F.size("w"))).first()
+    own = _few(a.select(F.explode("w").alias("word")).distinct())
+    sized = b.filter(F.size("w").between((least or 0) * threshold, (most or 0) / threshold))
+    counts = sized.select(F.explode("w").alias("word")).join(own, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = _few(own.join(counts, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df")))
+    pa = _few(_prefixes(a, df, threshold).select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("place").alias("ka"), "word"))
+    pb = _prefixes(sized, df, threshold).select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("place").alias("kb"), "word")
+    room = 1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    met = pb.join(pa, "word").filter(
+        (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
+        & (room >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9))
+    ).select("ia", "ib").distinct()
+    wa = a.select(F.col("id").alias("ia"), F.col("t").alias("ta"), F.col("w").alias("wa"))
+    wb = b.select(F.col("id").alias("ib"), "r_id", F.col("t").alias("tb"), F.col("w").alias("wb"))
+    both = F.size(F.array_intersect("wa", "wb"))
+    similarity = F.when(F.col("ta") == F.col("tb"), 1.0).otherwise(both / (F.size("wa") + F.size("wb") - both))
+    pairs = met.join(wa, "ia").join(wb, "ib").select("ta", "r_id", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
     best = lambda r: F.min_by(r, F.struct(-F.col("similarity"), r))
-    smallest = b.groupBy(F.col("t").alias("tb")).agg(F.min("r_id").alias("r_id"))
-    of_text = pairs.join(smallest, "tb").groupBy("ta").agg(best("r_id").alias("r_id"), F.max("similarity").alias("similarity"))
-    return a.join(of_text, a.t == of_text.ta).groupBy("l_id").agg(best("r_id").alias("r_id"), F.max("similarity").alias("similarity"))
+    of_text = pairs.groupBy("ta").agg(best("r_id").alias("r_id"), F.max("similarity").alias("similarity"))
+    each = left.select("l_id", norm_match_text("text").alias("t")).filter("t <> ''").distinct()
+    return each.join(of_text, each.t == of_text.ta).groupBy("l_id").agg(best("r_id").alias("r_id"), F.max("similarity").alias("similarity"))
 
 
 def author_confidence(official: Column, external: list[Column]) -> tuple[Column, Column]:

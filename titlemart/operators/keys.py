@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lineage import cut
 
@@ -31,7 +32,15 @@ def first_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def _running(df: DataFrame, by: list[str], n: str) -> DataFrame:
+#: Into so many places the rows of one value are dealt when something comes back to them.
+SALTS = 16
+
+
+def _salt(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+
+
+def _running(df: DataFrame, by: list[str], n: str, *carry: str) -> DataFrame:
     """``before``: the sum of ``n`` over all rows that come earlier in the order of ``by[-1]`` among rows of equal ``by[:-1]``.
 
     Rows are range-partitioned; a running sum inside each partition meets the sums of the partitions before it, one row a
@@ -44,20 +53,21 @@ def _running(df: DataFrame, by: list[str], n: str) -> DataFrame:
     sums = dealt.groupBy(*group, "_part").agg(F.sum(n).alias("_n"))
     base = sums.select(*group, "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
     run = dealt.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    return run.join(F.broadcast(base), [*group, "_part"]).select(*by, n, (F.col("_inside") + F.col("_base")).alias("before"))
+    return run.join(F.broadcast(base), [*group, "_part"]).select(*by, n, *carry, (F.col("_inside") + F.col("_base")).alias("before"))
 
 
 def average_ranks(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``df`` with ``<column>_rank``: average-method ranks among all rows (1 for the least), without a single-task window.
 
     Equal values are counted first, so a value that a third of all rows share is one row when ranks are made; all columns share
-    one pass in long form.  Values must not be null, and ``key`` must be unique.
+    one pass in long form.  A rank comes back to its rows by value and salt, repeated only for the salts that they have, so a hot value's rows meet it in many
+    tasks.  Values must not be null, and ``key`` must be unique.
     """
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))
-    long = df.select(key, F.explode(pairs).alias("x")).select(key, "x.name", "x.v")
-    counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"))
-    ranks = _running(counts, ["name", "v"], "k").select("name", "v", (F.col("before") + (F.col("k") + 1) / 2).alias("r"))
-    wide = long.join(ranks, ["name", "v"]).groupBy(key).agg(
+    long = df.select(key, F.explode(pairs).alias("x")).select(key, "x.name", "x.v", _salt(key).alias("_salt"))
+    counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"), F.collect_set("_salt").alias("_salts"))
+    ranks = _running(counts, ["name", "v"], "k", "_salts").select("name", "v", (F.col("before") + (F.col("k") + 1) / 2).alias("r"), F.explode("_salts").alias("_salt"))
+    wide = long.join(ranks, ["name", "v", "_salt"]).groupBy(key).agg(
         *(F.max(F.when(F.col("name") == c, F.col("r"))).alias(f"{c}_rank") for c in columns)
     )
     return df.join(wide, key)
@@ -67,3 +77,20 @@ def dense_key(df: DataFrame, by: str, name: str) -> DataFrame:
     """Distinct values of ``by`` with consecutive keys from 1 in their order."""
     one = df.select(by).filter(F.col(by).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("bigint"))
     return _running(one, [by], "_one").select((F.col("before") + 1).cast("bigint").alias(name), by)
+
+
+def dense_ranks(df: DataFrame, group: str, value: str, name: str, key: str) -> DataFrame:
+    """``df`` with the dense rank of ``value``, greatest first and nulls last, within each ``group``; no task holds a group.
+
+    Each value of a group counts once, so a value that many rows share is one row when ranks are made; values are dealt in ranges by (group, value), and a running count inside
+    each range meets the counts of the group's ranges before it.  Ranks come back to rows by group, value and the salt of ``key``.
+    """
+    # Nulls are the last of two kinds; a whole number's bits turned over, or a number's negative, run from the greatest down.  As structs, null groups and values meet themselves.
+    whole = isinstance(df.schema[value].dataType, T.IntegralType)
+    down = F.bitwise_not(value) if whole else -F.col(value)
+    place = F.struct(F.col(value).isNull().alias("none"), F.when(F.col(value).isNotNull(), down).otherwise(0).alias("down"))
+    placed = df.withColumns({"_group": F.struct(F.col(group).alias("g")), "_place": place, "_salt": _salt(key)})
+    one = placed.groupBy("_group", "_place").agg(F.lit(1).cast("bigint").alias("_one"), F.collect_set("_salt").alias("_salts"))
+    ranks = _running(one, ["_group", "_place"], "_one", "_salts")
+    ranks = ranks.select("_group", "_place", (F.col("before") + 1).cast("int").alias(name), F.explode("_salts").alias("_salt"))
+    return placed.join(ranks, ["_group", "_place", "_salt"]).select(*df.columns, name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import engagement_ratio_of_table, platform_name, script_language
 from ..operators.daily import hhi, rank_delta, report_pct_change
 from ..operators.episodes import per_title
-from ..operators.keys import first_row
+from ..operators.keys import dense_ranks, first_row
 from ..operators.score import adaptation_readiness
 from ..schema import order_of
 
@@ -159,5 +159,5 @@ def top_performers(days: DataFrame, *, metric: str = "views", back: int | None =
         last = days.agg(F.max("date").alias("_last"))
         rows = days.join(F.broadcast(last)).filter(F.col("date") > F.date_sub("_last", back)).drop("_last")
     best = rows.groupBy("comic_id").agg(F.sum(metric).alias("_m")).orderBy(F.desc("_m"), "comic_id").limit(top)
-    ranked = rows.withColumn("day_rank", F.dense_rank().over(W.partitionBy("date").orderBy(F.desc(metric))))
+    ranked = dense_ranks(rows, "date", metric, "day_rank", "comic_id")
     return ranked.join(best, "comic_id", "left_semi").select("comic_id", "date", metric, "day_rank")
