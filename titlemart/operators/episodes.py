@@ -71,9 +71,16 @@ def unit_table(obs: DataFrame) -> DataFrame:
         *(latest(c, o, non_null=True).alias(c) for c in ("source", "title", "genre", "content_type")),
         *(F.max(c).alias(c) for c in counts.values()),
     )
-    kind = F.coalesce(*(F.when(F.col(c).isNotNull(), k) for k, c in counts.items()))
-    ratio = F.when((F.col("chapter_count") > 0) & (F.col("volume_count") > 0), F.round(F.col("chapter_count") / F.col("volume_count"), 1))
-    return u.withColumns({"units": F.coalesce(*counts.values()), "unit_type": kind, "chapters_per_volume": ratio})
+    return units_of(u)
+
+
+def units_of(titles: DataFrame) -> DataFrame:
+    """Titles with their units, of the first kind that they count; a kind that has no column is counted by none."""
+    kinds = ("episode", "chapter", "volume")
+    counts = {k: F.col(f"{k}_count") if f"{k}_count" in titles.columns else F.lit(None).cast("int") for k in kinds}
+    kind = F.coalesce(*(F.when(c.isNotNull(), k) for k, c in counts.items()))
+    ratio = F.when((counts["chapter"] > 0) & (counts["volume"] > 0), F.round(counts["chapter"] / counts["volume"], 1))
+    return titles.withColumns({"units": F.coalesce(*counts.values()), "unit_type": kind, "chapters_per_volume": ratio})
 
 
 def engagement_decay(episodes: DataFrame) -> DataFrame:

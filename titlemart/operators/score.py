@@ -11,9 +11,19 @@ from ..schema import order_of
 from .keys import average_ranks, earliest, latest, latest_row
 
 
-def title_universe(obs: DataFrame) -> DataFrame:
-    """One row a title in one aggregate: latest attributes, peak measures, rank history, and what KPI tables need besides."""
+def title_universe(obs: DataFrame, *, history: bool = False) -> DataFrame:
+    """One row a title in one aggregate: latest attributes, peak measures, rank history, and what KPI tables need besides.
+
+    With ``history`` also the first and last day and views, and the greatest number of units of each kind: what ``ratios`` and ``episodes.units_of`` ask
+    for, so that they read no observations again.
+    """
     o = order_of()
+    day = F.to_date("scraped_at")
+    units = [c for c in ("episode_count", "chapter_count", "volume_count") if c in obs.columns]
+    told = [
+        F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), earliest("views", o).alias("first_views"), latest("views", o).alias("last_views"),
+        *(F.max(c).alias(c) for c in units),
+    ] if history else []
     extra = [c for c in ("comments", "cover_url", "publisher", "synopsis", "status") if c in obs.columns]
     peaks = ["views", "subscribers", "likes", "rating"] + [c for c in ("comments",) if c in extra]
     last = [c for c in extra if c != "comments"]
@@ -26,6 +36,7 @@ def title_universe(obs: DataFrame) -> DataFrame:
         earliest("rank", o, non_null=True).alias("first_rank"),
         F.count("rank").alias("n_rank_obs"),
         F.count(F.lit(1)).alias("n_obs"),
+        *told,
     )
 
 
@@ -123,17 +134,16 @@ def adaptation_readiness(scored_: DataFrame, *, priors: dict[str, float] | None
     return scored_.withColumn("readiness", rounded(total * 100, 1))
 
 
-def conversion(obs: DataFrame) -> DataFrame:
-    """Subscribers and comments per 1,000 views, likes per view, growth between first and latest snapshot (two days at least)."""
-    o, d = order_of(), F.to_date("scraped_at")
-    u = obs.groupBy("comic_id").agg(
-        F.max("views").alias("views"), F.max("subscribers").alias("subscribers"), F.max("comments").alias("comments"),
-        F.max("likes").alias("likes"), earliest("views", o).alias("_first"), latest("views", o).alias("_last"),
-        F.countDistinct(d).alias("_days"),
-    )
+def ratios(titles: DataFrame) -> DataFrame:
+    """Subscribers and comments per 1,000 views, likes per view, growth between first and latest snapshot (two days at least), of titles with their history."""
     per = lambda c, k: F.when(F.col("views") > 0, F.col(c) * k / F.col("views"))
-    return u.select(
-        "comic_id", per("subscribers", 1000.0).alias("subs_per_1k"), per("comments", 1000.0).alias("comments_per_1k"),
-        per("likes", 1.0).alias("likes_per_view"),
-        F.when((F.col("_days") > 1) & (F.col("_first") > 0), (F.col("_last") - F.col("_first")) / F.col("_first") * 100).alias("growth_pct"),
-    )
+    grown = (F.col("last_seen") > F.col("first_seen")) & (F.col("first_views") > 0)
+    return titles.withColumns({
+        "subs_per_1k": per("subscribers", 1000.0), "comments_per_1k": per("comments", 1000.0), "likes_per_view": per("likes", 1.0),
+        "growth_pct": F.when(grown, (F.col("last_views") - F.col("first_views")) / F.col("first_views") * 100),
+    })
+
+
+def conversion(obs: DataFrame) -> DataFrame:
+    """``ratios`` of observations, one row a title."""
+    return ratios(title_universe(obs, history=True)).select("comic_id", "subs_per_1k", "comments_per_1k", "likes_per_view", "growth_pct")

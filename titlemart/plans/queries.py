@@ -980,7 +980,7 @@ def l2_title_profile(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{SCORED}, m AS (SELECT comic_id, title, first_rank - latest_rank AS delta, composite_score FROM scored WHERE n_rank_obs > 1)
   (SELECT 'rising' AS direction, * FROM m WHERE delta > 0 ORDER BY delta DESC, comic_id LIMIT 10) UNION ALL (SELECT 'falling', * FROM m WHERE delta < 0 ORDER BY delta, comic_id LIMIT 10)""")
 def l4_movers(spark: SparkSession, d: str) -> DataFrame:
-    return serve.movers(_scored(spark, d), V.obs(spark, d))
+    return serve.movers(_scored(spark, d))
 
 
 @query(f"{SCORED} SELECT comic_id, title, source, composite_score FROM scored WHERE title ILIKE '%bolt%' ORDER BY composite_score DESC NULLS LAST, comic_id LIMIT 20")
@@ -1040,16 +1040,15 @@ def l11_genre_tree(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{IP}, {_UNIT_CTE}, {V.TITLE_EPISODES_SQL}, x AS (SELECT comic_id, min(scraped_at)::DATE AS first_seen, max(views) AS v, arg_min(views, ord) AS f, arg_max(views, ord) AS t, count(DISTINCT scraped_at::DATE) AS days FROM obs GROUP BY 1),
   c AS (SELECT comic_id, count(*) AS episodes, CASE WHEN max(upload_day) > min(upload_day) AND count(*) > 1 THEN (count(*) - 1) / ((max(upload_day) - min(upload_day)) / 7.0::DOUBLE) END AS cadence_wk FROM title_episodes GROUP BY 1)
   SELECT k.comic_id, k.title, k.source AS platform, k.content_type AS type, k.genre, k.author, {_SCRIPT.replace("title", "k.title")} AS language, NULL::VARCHAR AS status, publisher, composite_score,
-    floor((0.30::DOUBLE * reach_pct + 0.15::DOUBLE * engagement_pct + 0.12::DOUBLE * momentum_pct + 0.15::DOUBLE * 0.5::DOUBLE) * 100 * 10 + 0.5::DOUBLE) / 10 AS adaptation,
+    floor((0.30::DOUBLE * reach_pct + 0.15::DOUBLE * engagement_pct + 0.12::DOUBLE * momentum_pct + 0.10::DOUBLE * least(1.0::DOUBLE, coalesce(u.units, 0)::DOUBLE / 200) + 0.15::DOUBLE * 0.5::DOUBLE) * 100 * 10
+      + 0.5::DOUBLE) / 10 AS adaptation,
     k.views, k.subscribers, k.likes, comments, rating, est_usd AS revenue_usd, best_rank, latest_rank, n_obs AS observations, like_through,
     CASE WHEN k.views > 0 THEN k.subscribers * 1000.0::DOUBLE / k.views END AS subs_per_1k, CASE WHEN k.views > 0 THEN comments * 1000.0::DOUBLE / k.views END AS comments_per_1k,
     CASE WHEN days > 1 AND f > 0 THEN (t - f)::DOUBLE / f * 100 END AS growth_pct, ip.n_platforms AS cross_platform, u.units, CASE WHEN u.units IS NOT NULL THEN 'episode' END AS unit_type, episodes, cadence_wk, year(first_seen)::VARCHAR AS first_year
   FROM k JOIN ip ON CASE WHEN length(key0) < 2 THEN k.comic_id ELSE key0 END = ip_key JOIN x ON x.comic_id = k.comic_id LEFT JOIN u ON u.comic_id = k.comic_id LEFT JOIN c ON c.comic_id = k.comic_id""")
 def l12_titles_table(spark: SparkSession, d: str) -> DataFrame:
-    obs, s = V.obs(spark, d), _scored(spark, d)
-    return serve.titles_table(
-        s, daily.seen_dates(obs), score.conversion(obs), entities.cross_platform_count(s, entities.resolve_ip(s)), episodes.unit_table(obs), V.title_episodes(spark, d)
-    )
+    s = score.scored(score.title_universe(V.obs(spark, d), history=True))
+    return serve.titles_table(s, entities.cross_platform_count(s, entities.resolve_ip(s)), V.title_episodes(spark, d))
 
 
 @query(f"""{DAYS}, m AS (SELECT max(date) AS m FROM days), c(period, cutoff) AS (SELECT 'All', DATE '0001-01-01' UNION ALL SELECT '1D', m FROM m UNION ALL SELECT '1W', m - 6 FROM m UNION ALL SELECT 'YTD', date_trunc('year', m)::DATE FROM m UNION ALL SELECT '1Y', m - 364 FROM m),

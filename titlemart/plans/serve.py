@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import engagement_ratio_of_table, platform_name, script_language
-from ..operators.daily import hhi, rank_delta, report_pct_change
-from ..operators.episodes import per_title
+from ..operators.daily import hhi, report_pct_change
+from ..operators.episodes import per_title, units_of
 from ..operators.keys import dense_ranks, first_row
-from ..operators.score import adaptation_readiness
+from ..operators.score import adaptation_readiness, ratios
 from ..schema import order_of
 
 _SORTS = {"score": "composite_score", "reach": "reach_raw", "revenue": "est_usd"}
@@ -34,9 +34,9 @@ def title_profile(scored: DataFrame, comic_id: str, style: DataFrame | None = No
     return one if style is None else one.join(style, "comic_id", "left")
 
 
-def movers(scored: DataFrame, obs: DataFrame, limit: int = 10) -> DataFrame:
-    """The largest rises and falls by rank."""
-    moved = rank_delta(obs).join(scored.select("comic_id", "title", "composite_score"), "comic_id")
+def movers(scored: DataFrame, limit: int = 10) -> DataFrame:
+    """The largest rises and falls by rank, of titles that were ranked more than once; scored titles know their first and last rank."""
+    moved = scored.filter("n_rank_obs > 1").withColumn("delta", F.col("first_rank") - F.col("latest_rank"))
     up = moved.filter("delta > 0").orderBy(F.desc("delta"), "comic_id").limit(limit).withColumn("direction", F.lit("rising"))
     down = moved.filter("delta < 0").orderBy("delta", "comic_id").limit(limit).withColumn("direction", F.lit("falling"))
     return up.unionByName(down).select("direction", "comic_id", "title", "delta", "composite_score")
@@ -123,15 +123,15 @@ def genre_tree(titles: DataFrame) -> DataFrame:
     )
 
 
-def titles_table(scored: DataFrame, seen: DataFrame, ratios: DataFrame, cross: DataFrame, units: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The flat table that users query, 29 columns beside the id: identity, score and readiness, measures, ratios, structure, cadence."""
+def titles_table(scored: DataFrame, cross: DataFrame, episodes: DataFrame) -> DataFrame:
+    """The flat table that users query, 29 columns beside the id: identity, score and readiness, measures, ratios, structure, cadence.
+
+    ``scored`` are titles with their history, so that observations are read once for all columns.
+    """
     cadence = per_title(episodes).select("comic_id", F.col("n").alias("episodes"), F.col("per_week").alias("cadence_wk"))
-    rows = adaptation_readiness(scored).withColumn("status", F.col("status") if "status" in scored.columns else F.lit(None).cast("string"))
+    rows = units_of(ratios(adaptation_readiness(scored))).withColumn("status", F.col("status") if "status" in scored.columns else F.lit(None).cast("string"))
     return (
-        rows.join(seen.select("comic_id", "first_seen"), "comic_id")
-        .join(ratios.select("comic_id", "subs_per_1k", "comments_per_1k", "growth_pct"), "comic_id")
-        .join(cross.select("comic_id", "n_platforms"), "comic_id")
-        .join(units.select("comic_id", "units", "unit_type"), "comic_id", "left").join(cadence, "comic_id", "left")
+        rows.join(cross.select("comic_id", "n_platforms"), "comic_id").join(cadence, "comic_id", "left")
         .select(
             "comic_id", "title", platform_name("source").alias("platform"), F.col("content_type").alias("type"), "genre", "author",
             script_language("title").alias("language"), "status", "publisher", "composite_score", F.col("readiness").alias("adaptation"),
