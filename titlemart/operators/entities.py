@@ -164,8 +164,9 @@ def crawl_targets(obs: DataFrame, *, source: str | None = None, limit: int = 300
         rows = rows.filter(F.col("source") == source)
     if only_missing:
         rows = rows.filter((F.coalesce("views", F.lit(0)) == 0) & (F.coalesce("subscribers", F.lit(0)) == 0))
-    one = W.partitionBy("comic_id").orderBy(F.asc_nulls_last("rank"), F.desc("scraped_at"), "source_file")
-    best = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    # The best rank, then the latest time, nulls last in both, then the file.
+    place = F.struct(F.col("rank").isNull(), "rank", F.col("scraped_at").isNull(), -F.unix_micros("scraped_at"), "source_file")
+    best = rows.groupBy("comic_id").agg(F.min_by(F.struct("source", "url", "rank"), place).alias("_b")).select("comic_id", "_b.*")
     return best.orderBy(F.asc_nulls_last("rank"), "comic_id").limit(limit).select("comic_id", "source", "url", "rank")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -92,21 +92,23 @@ def bridge(scored: DataFrame, dim: DataFrame, column: str) -> DataFrame:
 
 
 def period_aggregate(days: DataFrame, periods: dict[str, int | str | None] | None = None) -> DataFrame:
-    """By title and period back from the last day: one scan, joined with the few periods on date >= cutoff.
+    """By title and period back from the last day: one aggregate with conditions, so a day counts in all its periods and is one row all the same.
 
     A period is a number of days back, ``"year"`` for the last day's calendar year, or None for all days.
     """
     periods = periods or {"all": None, "30d": 30, "7d": 7}
-    rows = [(name, None if back == "year" else back, back == "year") for name, back in periods.items()]
-    table = days.sparkSession.createDataFrame(rows, "period string, back int, this_year boolean")
     last = days.agg(F.max("date").alias("_last"))
-    cut = table.join(F.broadcast(last)).select(
-        "period", F.when(F.col("this_year"), F.to_date(F.trunc("_last", "year"))).when(F.col("back").isNull(), F.lit("0001-01-01").cast("date")).otherwise(F.date_sub("_last", F.col("back"))).alias("cutoff")
-    )
-    return (
-        days.join(F.broadcast(cut), F.col("date") >= F.col("cutoff")).groupBy("comic_id", "period")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("views").alias("mean_views"), F.max("views").alias("max_views"), F.avg("rank").alias("mean_rank"), F.min("rank").alias("min_rank"))
-    )
+
+    def of(name: str, back: int | str | None) -> Column:
+        cutoff = F.to_date(F.trunc("_last", "year")) if back == "year" else F.date_sub("_last", back) if back is not None else None
+        inside = F.col("date").isNotNull() if cutoff is None else F.col("date") >= cutoff
+        views, rank = (F.when(inside, F.col(c)) for c in ("views", "rank"))
+        return F.struct(
+            F.lit(name).alias("period"), F.count_if(inside).alias("n"), F.avg(views).alias("mean_views"), F.max(views).alias("max_views"), F.avg(rank).alias("mean_rank"), F.min(rank).alias("min_rank")
+        )
+
+    held = days.join(F.broadcast(last)).groupBy("comic_id").agg(*(of(*p).alias(f"_{k}") for k, p in enumerate(periods.items())))
+    return held.select("comic_id", F.explode(F.array(*(f"_{k}" for k in range(len(periods))))).alias("p")).select("comic_id", "p.*").filter("n > 0")
 
 
 def genre_daily(days: DataFrame, titles: DataFrame, scores: DataFrame) -> DataFrame:
