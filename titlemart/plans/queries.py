@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions.lineage import shared_folder
-from ..functions.tables import PLATFORM_NAMES
+from ..functions.tables import EARNINGS, EARNINGS_DEFAULT, GENRES, PLATFORM_NAMES
 from ..operators import anomalies, daily, entities, episodes, kpi, quality, score, stats
 from ..operators.keys import dense_key, first_row, latest_row
 from ..schema import order_of, validated
@@ -1405,6 +1405,35 @@ def b6_normalize_genre(spark: SparkSession, d: str) -> DataFrame:
     return E.with_genre(p).select("p_partkey", "genre_en", "genre_parent")
 
 
+_KNOWN_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (k, *v)) + f", {i})" for i, (k, v) in enumerate(sorted(GENRES.items())))
+
+
+@query(f"""WITH known(label, en, parent, i) AS (VALUES {_KNOWN_SQL}), n AS (SELECT count(*) AS n FROM known)
+  SELECT p_partkey, CASE p_partkey % (n + 4) - n WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'Not-A Label' WHEN 3 THEN 'X''Y 2Nd' ELSE en END AS genre_en,
+    CASE WHEN p_partkey % (n + 4) - n IN (2, 3) THEN 'Other' ELSE parent END AS genre_parent FROM part CROSS JOIN n LEFT JOIN known ON i = p_partkey % (n + 4)""")
+def b6_known_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every known label, in capitals and with blanks, and labels that are none: missing, blank, unknown."""
+    labels = [*(f"  {k.upper().replace(' ', '   ')} " for k in sorted(GENRES)), None, " \t ", "not-a   LABEL", "x'y 2nd"]
+    raw = spark.createDataFrame(list(enumerate(labels)), "k int, genre string")
+    p = V.table(spark, d, "part").withColumn("k", (F.col("p_partkey") % len(labels)).cast("int")).join(F.broadcast(raw), "k")
+    return E.with_genre(p).select("p_partkey", "genre_en", "genre_parent")
+
+
+_PLATFORMS = [*sorted(EARNINGS), "elsewhere"]
+_EARNINGS_SQL = ", ".join(f"({k}, '{s}', {', '.join(f'{x}::DOUBLE' for x in EARNINGS.get(s, EARNINGS_DEFAULT))})" for k, s in enumerate(_PLATFORMS))
+
+
+@query(f"""{LATEST}, par(k, platform, rpm, share, pay, arpu) AS (VALUES {_EARNINGS_SQL}),
+  m AS (SELECT comic_id, platform AS source, views * share / 1000.0::DOUBLE * rpm AS a, coalesce(subscribers, 0) * pay * arpu AS s FROM latest JOIN par ON k = platform_native_id::INTEGER % {len(_PLATFORMS)}
+    WHERE views > 0 OR coalesce(subscribers, 0) > 0)
+  SELECT comic_id, source, floor(a * 100 + 0.5::DOUBLE) / 100 AS ad_rev, floor(s * 100 + 0.5::DOUBLE) / 100 AS sub_rev, floor((a + s) * 100 + 0.5::DOUBLE) / 100 AS est_monthly_usd FROM m""")
+def f4_earnings_platforms(spark: SparkSession, d: str) -> DataFrame:
+    """Revenue by every platform's own parameters, and by the default ones."""
+    names = F.array(*map(F.lit, _PLATFORMS))
+    o = V.obs(spark, d).withColumn("source", F.element_at(names, (F.col("platform_native_id").cast("int") % len(_PLATFORMS) + 1)))
+    return score.earnings_job(o).select("comic_id", "source", "ad_rev", "sub_rev", "est_monthly_usd")
+
+
 @query(r"""SELECT item_id, trim(regexp_replace(lower(text), '[^0-9a-z가-힣぀-ヿ一-鿿]+', ' ', 'g')) AS t FROM benchmark""")
 def b7_norm_match_text(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "benchmark").select("item_id", E.norm_match_text("text").alias("t"))
