@@ -1031,6 +1031,27 @@ def l10_title_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("comic_id", F.size("ranks").cast("bigint").alias("n_ranks"), F.coalesce(F.size("views_series"), F.lit(0)).cast("bigint").alias("n_views"), F.array_join("tags", " ").alias("tags"))
 
 
+@query(f"""WITH {V.OBS_SQL}, {V.TITLE_EPISODES_SQL}, dd AS (SELECT comic_id, scraped_at::DATE AS date, min(rank) AS rank, max(views) AS views FROM obs GROUP BY 1, 2),
+  ds AS (SELECT comic_id, coalesce(string_agg(date || '=' || rank, ' ' ORDER BY date) FILTER (WHERE rank IS NOT NULL), '') AS ranks, CASE WHEN count(*) >= 2 THEN string_agg(date || '=' || views, ' ' ORDER BY date) END AS views_series FROM dd GROUP BY 1),
+  es AS (SELECT comic_id, string_agg(episode_no || '=' || likes, ' ' ORDER BY episode_no, likes) AS episodes FROM title_episodes WHERE likes IS NOT NULL GROUP BY 1),
+  un AS (SELECT comic_id, max(episode_count) AS units FROM obs GROUP BY 1)
+  SELECT comic_id, ranks, views_series, episodes, units, CASE WHEN units IS NOT NULL THEN 'episode' END AS unit_type, CASE WHEN p_partkey % 2 = 0 THEN p_size / 50.0::DOUBLE END AS brightness,
+    CASE WHEN p_partkey % 3 = 0 THEN 'verified' END AS author_status FROM ds JOIN un USING (comic_id) LEFT JOIN es USING (comic_id) JOIN part ON comic_id = p_brand || ':' || p_partkey""")
+def l10_title_series(spark: SparkSession, d: str) -> DataFrame:
+    """All series of the documents, and their parts: structure, style of every other title, verification of every third."""
+    obs, part = V.obs(spark, d), V.table(spark, d, "part").withColumn("comic_id", F.concat_ws(":", "p_brand", "p_partkey"))
+    docs = serve.title_documents(score.title_universe(obs), obs, V.title_episodes(spark, d), parts={
+        "structure": episodes.unit_table(obs).select("comic_id", "units", "unit_type"),
+        "style": part.filter("p_partkey % 2 = 0").select("comic_id", (F.col("p_size") / 50.0).alias("brightness")),
+        "verification": part.filter("p_partkey % 3 = 0").select("comic_id", F.lit("verified").alias("author_status")),
+    })
+    flat = lambda c, k, v: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x[k], x[v])), " ").alias(c)
+    return docs.select(
+        "comic_id", flat("ranks", "date", "rank"), flat("views_series", "date", "views"), flat("episodes", "episode_no", "likes"),
+        "structure.units", "structure.unit_type", "style.brightness", "verification.author_status",
+    )
+
+
 @query(f"{_TITLES}, s AS (SELECT genre_parent, genre_en, count(*) AS n FROM titles GROUP BY 1, 2) SELECT genre_parent, genre_en, n, sum(n) OVER (PARTITION BY genre_parent)::BIGINT AS parent_n FROM s")
 def l11_genre_tree(spark: SparkSession, d: str) -> DataFrame:
     tree = serve.genre_tree(_titles(spark, d))
