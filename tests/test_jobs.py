@@ -104,11 +104,12 @@ def test_verification_by_other_titles_and_a_second_source(spark):
     catalog = spark.createDataFrame(
         [("x", "Other Words", ["One long name, here!"], "Lee", ["Fantasy"], None)], "ext_id string, title string, alt_titles array<string>, author string, genres array<string>, synopsis string"
     )
-    wiki = spark.createDataFrame([("w", "One Long Name", "kim", "told")], "ext_id string, title string, author string, synopsis string")
+    wiki = spark.createDataFrame([("w", "One Long Name", "kim", "A Web Novel, told"), ("v", "One long name here", "Lee", "a river in the north"), ("u", "Nothing", "Someone", "a comic")], "ext_id string, title string, author string, synopsis string")
     got = {r.comic_id: r for r in entities.verify_titles(titles, catalog, second=wiki).collect()}
     assert (got["a"].ext_id, got["a"].similarity, got["a"].second_id, got["a"].second_similarity) == ("x", 1.0, "w", 0.75)
     assert (got["a"].author_status, got["a"].genre_status, got["a"].synopsis_sources) == ("verified", "verified", 1)
-    assert (got["b"].ext_id, got["b"].second_id, got["b"].author_status) == (None, None, "unverified")
+    # An article on something else does not count, and what only an article says is not taken for the author.
+    assert (got["b"].ext_id, got["b"].second_id, got["b"].author_status, got["b"].author) == (None, "u", "unverified", None)
     alone = {r.comic_id: r for r in entities.verify_titles(titles, catalog.drop("alt_titles")).collect()}
     assert alone["a"].ext_id is None
 

@@ -110,19 +110,27 @@ def fuzzy_match(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) ->
     return each.join(of_text, each.t == of_text.ta).groupBy("l_id").agg(best("r_id").alias("r_id"), F.max("similarity").alias("similarity"))
 
 
-def author_confidence(official: Column, external: list[Column]) -> tuple[Column, Column]:
-    """(label, chosen author): verified where any two sources share a word, conflict where two say different things."""
+def author_confidence(official: Column, external: list[Column], corroborating: list[Column] | None = None) -> tuple[Column, Column]:
+    """(label, chosen author): verified where any two sources share a word, conflict where two say different things.
+
+    What ``corroborating`` sources say can confirm or contradict, but is never chosen, and alone counts as nothing.
+    """
     from ..functions.exprs import author_tokens
 
-    sources = [official, *external]
-    sets = [author_tokens(F.coalesce(s, F.lit(""))) for s in sources]
+    trusted, more = [official, *external], corroborating or []
+    sets = [author_tokens(F.coalesce(s, F.lit(""))) for s in (*trusted, *more)]
     agree = F.lit(False)
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
             agree = agree | F.coalesce(F.arrays_overlap(sets[i], sets[j]), F.lit(False))
-    n = sum((F.when(F.size(s) > 0, 1).otherwise(0) for s in sets), F.lit(0))
-    label = F.when(agree, "verified").when(n == 0, "unverified").when(n == 1, "single_source").otherwise("conflict")
-    return label, F.coalesce(*sources)
+    count = lambda some: sum((F.when(F.size(s) > 0, 1).otherwise(0) for s in some), F.lit(0))
+    said, n = count(sets[: len(trusted)]), count(sets)
+    label = F.when(said == 0, "unverified").when(agree, "verified").when(n == 1, "single_source").otherwise("conflict")
+    return label, F.coalesce(*trusted)
+
+
+#: Fixed value: words by which an article tells that it is about a work of this kind.
+MEDIA_WORDS = r"(?i)webtoon|manhwa|manhua|manga|comic|graphic novel|light novel|web novel|novel|serial|manwha|webcomic|series"
 
 
 def first_staff(staff: Column, limit: int = 3) -> Column:
@@ -190,7 +198,7 @@ def verify_titles(
     """Each title beside its best record of an outside catalog (ext_id, title, author, genres, synopsis), with labels.
 
     A record may have more titles in ``alt_titles``; the best of all counts.  ``second`` is another source of (ext_id, title, author, synopsis), an
-    encyclopedia, whose titles need to be less alike.  Author: see ``author_confidence``.  Genre: verified if it is among the record's genres, by its key,
+    encyclopedia, whose titles need to be less alike; its articles count only where their synopsis has a word for such a work, and its authors only confirm or contradict.  Author: see ``author_confidence``.  Genre: verified if it is among the record's genres, by its key,
     unverified without any, else conflict.  Synopsis: in how many places there is one.
     """
     own = titles.select(F.col("comic_id").alias("l_id"), F.col("title").alias("text"))
@@ -204,14 +212,15 @@ def verify_titles(
 
     outside = catalog.select("ext_id", F.col("author").alias("ext_author"), "genres", F.col("synopsis").alias("ext_synopsis"))
     rows = titles.join(matched(catalog, threshold, "ext_id"), "comic_id", "left").join(outside, "ext_id", "left")
-    authors, synopses = [F.col("ext_author")], ["ext_synopsis"]
+    corroborating, synopses = [], ["ext_synopsis"]
     more: list[str] = []
     if second is not None:
+        second = second.filter(F.coalesce("synopsis", F.lit("")).rlike(MEDIA_WORDS))
         other = second.select(F.col("ext_id").alias("second_id"), F.col("author").alias("second_author"), F.col("synopsis").alias("second_synopsis"))
         found = matched(second, second_threshold, "second_id").withColumnRenamed("similarity", "second_similarity")
         rows = rows.join(found, "comic_id", "left").join(other, "second_id", "left")
-        authors, synopses, more = [*authors, F.col("second_author")], [*synopses, "second_synopsis"], ["second_id", "second_similarity"]
-    label, chosen = author_confidence(F.col("author"), authors)
+        corroborating, synopses, more = [F.col("second_author")], [*synopses, "second_synopsis"], ["second_id", "second_similarity"]
+    label, chosen = author_confidence(F.col("author"), [F.col("ext_author")], corroborating)
     held = F.array_contains(F.transform("genres", lambda g: F.lower(g)), F.lower("genre"))
     genre = F.when(held, "verified").when(F.coalesce(F.size("genres"), F.lit(0)) == 0, "unverified").otherwise("conflict")
     told = [F.col(c) for c in synopses] + ([F.col("synopsis")] if "synopsis" in titles.columns else [])

@@ -1527,6 +1527,19 @@ def l5_author_listing(spark: SparkSession, d: str) -> DataFrame:
     return a.orderBy(F.desc("titles"), F.desc("reach"), "author").limit(50)
 
 
+@query("""SELECT p_partkey, CASE WHEN k IN (1, 5) THEN 'unverified' WHEN k IN (0, 4) THEN 'verified' WHEN k = 2 THEN 'single_source' ELSE 'conflict' END AS label, CASE WHEN k IN (1, 5) THEN NULL ELSE p_name END AS author
+  FROM (SELECT *, p_partkey % 6 AS k FROM part)""")
+def j6_corroborated_author(spark: SparkSession, d: str) -> DataFrame:
+    """Official and catalog names beside an article's, which confirms, contradicts, or stands alone."""
+    k = F.col("p_partkey") % 6
+    p = V.table(spark, d, "part").withColumns({
+        "o": F.when(k.isin(0, 2, 3), F.col("p_name")), "x": F.when(k == 4, F.col("p_name")).otherwise(F.lit(None).cast("string")),
+        "w": F.when(k.isin(0, 4), F.upper("p_name")).when(k == 1, F.col("p_name")).when(k == 3, "someone else"),
+    })
+    label, chosen = entities.author_confidence(F.col("o"), [F.col("x")], [F.col("w")])
+    return p.select("p_partkey", label.alias("label"), chosen.alias("author"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'verified' WHEN p_partkey % 3 = 1 THEN 'single_source' ELSE 'conflict' END AS label FROM part""")
 def j6_author_confidence(spark: SparkSession, d: str) -> DataFrame:
     p = V.table(spark, d, "part").withColumns({
