@@ -40,6 +40,16 @@ def _salt(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
 
 
+def _salts() -> Column:
+    """Aggregate: the salts of a group's rows, as bits of one number, so that groups stay in a hash aggregate."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_salt"))).alias("_salts")
+
+
+def _each_salt() -> Column:
+    bits = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return F.explode(F.filter(bits, lambda k: F.call_function("getbit", F.col("_salts"), k) == 1)).alias("_salt")
+
+
 def _running(df: DataFrame, by: list[str], n: str, *carry: str) -> DataFrame:
     """``before``: the sum of ``n`` over all rows that come earlier in the order of ``by[-1]`` among rows of equal ``by[:-1]``.
 
@@ -65,8 +75,8 @@ def average_ranks(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))
     long = df.select(key, F.explode(pairs).alias("x")).select(key, "x.name", "x.v", _salt(key).alias("_salt"))
-    counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"), F.collect_set("_salt").alias("_salts"))
-    ranks = _running(counts, ["name", "v"], "k", "_salts").select("name", "v", (F.col("before") + (F.col("k") + 1) / 2).alias("r"), F.explode("_salts").alias("_salt"))
+    counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"), _salts())
+    ranks = _running(counts, ["name", "v"], "k", "_salts").select("name", "v", (F.col("before") + (F.col("k") + 1) / 2).alias("r"), _each_salt())
     wide = long.join(ranks, ["name", "v", "_salt"]).groupBy(key).agg(
         *(F.max(F.when(F.col("name") == c, F.col("r"))).alias(f"{c}_rank") for c in columns)
     )
@@ -90,7 +100,7 @@ def dense_ranks(df: DataFrame, group: str, value: str, name: str, key: str) -> D
     down = F.bitwise_not(value) if whole else -F.col(value)
     place = F.struct(F.col(value).isNull().alias("none"), F.when(F.col(value).isNotNull(), down).otherwise(0).alias("down"))
     placed = df.withColumns({"_group": F.struct(F.col(group).alias("g")), "_place": place, "_salt": _salt(key)})
-    one = placed.groupBy("_group", "_place").agg(F.lit(1).cast("bigint").alias("_one"), F.collect_set("_salt").alias("_salts"))
+    one = placed.groupBy("_group", "_place").agg(F.lit(1).cast("bigint").alias("_one"), _salts())
     ranks = _running(one, ["_group", "_place"], "_one", "_salts")
-    ranks = ranks.select("_group", "_place", (F.col("before") + 1).cast("int").alias(name), F.explode("_salts").alias("_salt"))
+    ranks = ranks.select("_group", "_place", (F.col("before") + 1).cast("int").alias(name), _each_salt())
     return placed.join(ranks, ["_group", "_place", "_salt"]).select(*df.columns, name)
