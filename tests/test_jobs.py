@@ -1,11 +1,12 @@
 import datetime as dt
 import math
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from titlemart.operators import daily, entities, episodes, keys, kpi, stats
+from titlemart.operators import daily, entities, episodes, keys, kpi, longseries, stats
 from titlemart.operators.concept import predict, train
 from titlemart.plans import warehouse
 
@@ -60,6 +61,43 @@ def test_mann_kendall(spark):
         assert r.status == status and (status != "Insufficient Data" or (r.s, r.z, r.p) == (0, 0, 1))
 
 
+def test_long_series_count_and_select_what_pairs_give(spark, monkeypatch):
+    """Without pairs: ties, lines, falls, one row, nulls; brackets that close over rounds, with few and with many slopes left."""
+    import random
+
+    dice = random.Random(3)
+    values = {
+        "walk": [dice.gauss(i * 0.3, 40) for i in range(90)], "ties": [dice.randrange(3) for _ in range(120)], "line": [3 * i for i in range(70)], "flat": [5] * 66,
+        "third": [i // 3 for i in range(100)], "down": [-(i**2) for i in range(80)], "two": [1, 2], "one": [7], None: [4, 1, 3, 9, 2], "even": [dice.randrange(10**6) for _ in range(101)],
+    }
+    df = spark.createDataFrame([(g, i, float(v)) for g, vs in values.items() for i, v in enumerate(vs)], "g string, i int, y double").repartition(3)
+    for few in (longseries.FEW, 4):
+        monkeypatch.setattr(longseries, "FEW", few)
+        for r in stats.mann_kendall_long(df, ["g"]).collect():
+            y = values[r.g]
+            slopes = [(y[j] - y[i]) / (j - i) for j in range(len(y)) for i in range(j)]
+            enough = len(y) >= 4
+            assert r.s == (sum((x > 0) - (x < 0) for x in slopes) if enough else 0), r.g
+            assert r.slope == pytest.approx(statistics.median(slopes) if enough else 0, abs=1e-9), r.g
+    gaps = spark.createDataFrame([("g", i, y) for i, y in enumerate([1.0, None, 2.0, float("nan"), 4.0])], "g string, i int, y double")
+    r = stats.mann_kendall_long(gaps, ["g"]).first()
+    assert (r.n, r.s, r.slope) == (5, 3, 0.75)
+    assert stats.mann_kendall_long(gaps.limit(0), ["g"]).count() == 0
+
+
+def test_long_series_plan_has_no_pairs_of_a_group(spark):
+    """Rows meet by block and place, never by group alone with a condition on order."""
+    df = spark.range(50).select(F.lit("g").alias("g"), F.col("id").cast("int").alias("i"), F.rand(1).alias("y"))
+    plan = stats.mann_kendall_long(df, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and not any("Join" in line and "<" in line for line in plan.splitlines())
+
+
+def test_running_sums_broadcast_at_most_a_row_a_partition(spark):
+    df = spark.range(2000).select((F.col("id") % 700).alias("g"), "id", F.lit(1).cast("bigint").alias("one")).repartition(5)
+    rows = keys.running(df, ["g", "id"], "one").collect()
+    assert len(rows) == 2000 and all(r.before == r.id // 700 for r in rows)
+
+
 def test_linear_trend(spark):
     r = stats.linear_trend(series(spark, SERIES), ["g"]).first()
     import numpy as np

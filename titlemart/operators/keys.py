@@ -50,20 +50,21 @@ def _each_salt() -> Column:
     return F.explode(F.filter(bits, lambda k: F.call_function("getbit", F.col("_salts"), k) == 1)).alias("_salt")
 
 
-def _running(df: DataFrame, by: list[str], n: str, *carry: str) -> DataFrame:
+def running(df: DataFrame, by: list[str], n: str, *carry: str) -> DataFrame:
     """``before``: the sum of ``n`` over all rows that come earlier in the order of ``by[-1]`` among rows of equal ``by[:-1]``.
 
-    Rows are range-partitioned; a running sum inside each partition meets the sums of the partitions before it, one row a
-    partition and group.  The dealt rows are cut off from their lineage, so that both uses see the same ranges.
+    Rows are range-partitioned; a running sum inside each partition meets the sum of its first group in the partitions before it: one number a
+    partition, as its other groups begin there.  The dealt rows are cut off from their lineage, so that both uses see the same ranges.  Groups must not be null.
     """
     group = by[:-1]
     dealt = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     inside = W.partitionBy(*group, "_part").orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sums = dealt.groupBy(*group, "_part").agg(F.sum(n).alias("_n"))
-    base = sums.select(*group, "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    base = sums.select(*group, "_part", F.sum("_n").over(upto).alias("_base")).filter("_base <> 0")
     run = dealt.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    return run.join(F.broadcast(base), [*group, "_part"]).select(*by, n, *carry, (F.col("_inside") + F.col("_base")).alias("before"))
+    before = F.col("_inside") + F.coalesce("_base", F.lit(0))
+    return run.join(F.broadcast(base), [*group, "_part"], "left").select(*by, n, *carry, before.alias("before"))
 
 
 def average_ranks(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -76,7 +77,7 @@ def average_ranks(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))
     long = df.select(key, F.explode(pairs).alias("x")).select(key, "x.name", "x.v", _salt(key).alias("_salt"))
     counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"), _salts())
-    ranks = _running(counts, ["name", "v"], "k", "_salts").select("name", "v", (F.col("before") + (F.col("k") + 1) / 2).alias("r"), _each_salt())
+    ranks = running(counts, ["name", "v"], "k", "_salts").select("name", "v", (F.col("before") + (F.col("k") + 1) / 2).alias("r"), _each_salt())
     wide = long.join(ranks, ["name", "v", "_salt"]).groupBy(key).agg(
         *(F.max(F.when(F.col("name") == c, F.col("r"))).alias(f"{c}_rank") for c in columns)
     )
@@ -86,7 +87,7 @@ def average_ranks(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def dense_key(df: DataFrame, by: str, name: str) -> DataFrame:
     """Distinct values of ``by`` with consecutive keys from 1 in their order."""
     one = df.select(by).filter(F.col(by).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    return _running(one, [by], "_one").select((F.col("before") + 1).cast("bigint").alias(name), by)
+    return running(one, [by], "_one").select((F.col("before") + 1).cast("bigint").alias(name), by)
 
 
 def dense_ranks(df: DataFrame, group: str, value: str, name: str, key: str) -> DataFrame:
@@ -101,6 +102,6 @@ def dense_ranks(df: DataFrame, group: str, value: str, name: str, key: str) -> D
     place = F.struct(F.col(value).isNull().alias("none"), F.when(F.col(value).isNotNull(), down).otherwise(0).alias("down"))
     placed = df.withColumns({"_group": F.struct(F.col(group).alias("g")), "_place": place, "_salt": _salt(key)})
     one = placed.groupBy("_group", "_place").agg(F.lit(1).cast("bigint").alias("_one"), _salts())
-    ranks = _running(one, ["_group", "_place"], "_one", "_salts")
+    ranks = running(one, ["_group", "_place"], "_one", "_salts")
     ranks = ranks.select("_group", "_place", (F.col("before") + 1).cast("int").alias(name), _each_salt())
     return placed.join(ranks, ["_group", "_place", "_salt"]).select(*df.columns, name)

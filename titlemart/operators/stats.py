@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import volatility_band
+from ..functions.lineage import cut
 from ..functions.pvalues import normal_two_sided, student_two_sided
 from .daily import cv, genre_concentration, genre_daily
+from .longseries import kendall_s, median_slope
 
 
 def indexed(df: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
@@ -23,7 +25,7 @@ def indexed(df: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
 def mann_kendall(series: DataFrame, keys: list[str], *, alpha: float = 0.05) -> DataFrame:
     """Of (keys, i, y): S, z, p, Theil-Sen slope over index distance, status; fewer than 4 points: 'Insufficient Data'.
 
-    Pairs are made by an equi-join on the group, i < j: series are days, so a group's pairs are bounded by its days.
+    Pairs are made by an equi-join on the group, i < j, which is for series of days: a group's pairs are bounded by its days.  ``mann_kendall_long`` returns the same for series of any length.
     """
     left = series.select(*keys, F.col("i").alias("a"), F.col("y").alias("ya"))
     right = series.select(*keys, F.col("i").alias("b"), F.col("y").alias("yb"))
@@ -32,10 +34,25 @@ def mann_kendall(series: DataFrame, keys: list[str], *, alpha: float = 0.05) ->
         F.sum(F.signum(F.col("yb") - F.col("ya"))).alias("s"), F.median((F.col("yb") - F.col("ya")) / (F.col("b") - F.col("a"))).alias("slope")
     )
     n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _judged(n.join(s, keys, "left"), keys, alpha)
+
+
+def mann_kendall_long(series: DataFrame, keys: list[str], *, alpha: float = 0.05) -> DataFrame:
+    """``mann_kendall`` of series of any length: S by counting, the slope by selection, no pairs of a group.  Null and NaN values take no part in pairs; null keys are a group."""
+    group = F.struct(*keys).alias("g")
+    told = series.filter(F.col("y").isNotNull() & ~F.isnan("y")).select(group, F.col("i").cast("bigint").alias("i"), "y")
+    rows = cut(told.join(told.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g"))
+    n = series.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    joined = n.join(kendall_s(rows), "g", "left").join(median_slope(rows), "g", "left")
+    return _judged(joined.select("g.*", "n", "s", "slope"), keys, alpha)
+
+
+def _judged(counted: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """Of (keys, n, s, slope): with z, p and status."""
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(var)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(var)).otherwise(0.0)
     enough = F.col("n") >= 4
-    out = n.join(s, keys, "left").select(
+    out = counted.select(
         *keys, "n", F.when(enough, F.col("s")).otherwise(0.0).alias("s"), F.when(enough, z).otherwise(0.0).alias("z"),
         F.when(enough, F.col("slope")).otherwise(0.0).alias("slope"),
     )

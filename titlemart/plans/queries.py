@@ -12,7 +12,7 @@ from ..functions import exprs as E
 from ..functions.lineage import shared_folder
 from ..functions.tables import EARNINGS, EARNINGS_DEFAULT, GENRES, PLATFORM_NAMES
 from ..operators import anomalies, daily, entities, episodes, kpi, quality, score, stats
-from ..operators.keys import dense_key, first_row, latest_row
+from ..operators.keys import dense_key, first_row, latest_row, running
 from ..schema import order_of, validated
 from ..sources import files
 from ..sources import views as V
@@ -562,6 +562,17 @@ def i1_mann_kendall(spark: SparkSession, d: str) -> DataFrame:
     return stats.mann_kendall(_series(spark, d), ["genre"])
 
 
+_EVENTS = """WITH s AS (SELECT event_type AS genre, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, round(value * 100)::DOUBLE AS y FROM events)"""
+
+
+@query(SQL["i1_mann_kendall"].replace(_SERIES, _EVENTS))
+def i1_long_series(spark: SparkSession, d: str) -> DataFrame:
+    """The trend of every single event's value, by type: series too long for their pairs."""
+    e = V.table(spark, d, "events").select(F.col("event_type").alias("genre"), "ts", "event_id", F.round(F.col("value") * 100).alias("y"))
+    one = e.withColumns({"at": F.struct("ts", "event_id"), "one": F.lit(1).cast("bigint")})
+    return stats.mann_kendall_long(running(one, ["genre", "at"], "one", "y").select("genre", F.col("before").alias("i"), "y"), ["genre"])
+
+
 @query(f"""{_SERIES}, r AS (SELECT genre, count(*) AS n, regr_slope(y, i) AS slope, regr_intercept(y, i) AS intercept, regr_r2(y, i) AS r2, regr_sxx(y, i) AS sxx, regr_syy(y, i) AS syy FROM s GROUP BY 1),
   e AS (SELECT *, sqrt((1 - r2) * syy / (n - 2) / sxx) AS se FROM r), u AS (SELECT *, atan(abs(slope / se) / sqrt(n - 2)) AS u FROM e)
   SELECT genre, n, slope, intercept, r2, se, slope - 1.96::DOUBLE * se AS slope_low, slope + 1.96::DOUBLE * se AS slope_high, {_STUDENT_P} AS p FROM u""")

@@ -10,7 +10,7 @@ from ..functions.exprs import platform_name, with_genre
 from ..functions.lineage import cut
 from ..functions.tables import PLATFORM_NAMES
 from ..operators.episodes import engagement_decay, per_title
-from ..operators.keys import _running, dense_key, earliest
+from ..operators.keys import running, dense_key, earliest
 from ..schema import order_of
 from ..sources.files import rewrite_folders
 
@@ -62,7 +62,7 @@ def dim_title(scored: DataFrame, seen: DataFrame, restricted: DataFrame | None =
 def dim_episode(episodes: DataFrame) -> DataFrame:
     """Keys by (title, number): one running count over their order."""
     ids = episodes.select("comic_id", "episode_no").distinct().withColumn("_by", F.struct("comic_id", "episode_no"))
-    keyed = _running(ids.select("_by", F.lit(1).cast("bigint").alias("_one")), ["_by"], "_one")
+    keyed = running(ids.select("_by", F.lit(1).cast("bigint").alias("_one")), ["_by"], "_one")
     return keyed.select((F.col("before") + 1).cast("bigint").alias("episode_key"), F.col("_by.comic_id").alias("title_key"), F.col("_by.episode_no").alias("episode_no"))
 
 
