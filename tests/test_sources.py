@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -54,8 +55,16 @@ def test_bronze_and_silver_files(spark, tmp_path):
     for run in (1, 2):
         files.write_snapshot(spark.range(run), str(tmp_path / "g"), run)
     assert files.read_newest(spark, str(tmp_path / "g")).count() == 2
-    files.write_report({"a": spark.range(2), "b": spark.range(1)}, str(tmp_path / "r"))
-    assert spark.read.json(str(tmp_path / "r")).selectExpr("size(a) AS a", "size(b) AS b").first() == (2, 1)
+
+
+def test_report_is_one_document_of_lines(spark, tmp_path):
+    odd = spark.createDataFrame([(1, 'a "quoted"\nline'), (2, None)], "k int, s string")
+    files.write_report({"a": spark.range(300).repartition(5), 'b "x"': odd, "none": spark.range(0)}, str(tmp_path / "r"))
+    assert files.read_report(spark, str(tmp_path / "r")).selectExpr("size(a)").first()[0] == 300
+    (file,) = (tmp_path / "r").glob("part-*")
+    told = json.loads(file.read_text())
+    assert sorted(r["id"] for r in told["a"]) == list(range(300)) and told['b "x"'] == [{"k": 1, "s": 'a "quoted"\nline'}, {"k": 2}] and told["none"] == []
+    assert len(file.read_text().splitlines()) > 300
 
 
 def test_silver_is_read_by_folder_and_flat(spark, tmp_path):

@@ -206,7 +206,7 @@ def a6_report(spark: SparkSession, d: str) -> DataFrame:
     brands = part.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first"))
     files.write_report({"brands": brands, "size": part.agg(F.max("p_size").alias("most"))}, path)
     schema = "brands array<struct<brand string, n long, first string>>"
-    return spark.read.schema(schema).json(path).select(F.explode("brands").alias("b")).select("b.*")
+    return files.read_report(spark, path, schema).select(F.explode("brands").alias("b")).select("b.*")
 
 
 @query("""SELECT c_custkey::VARCHAR AS title_id, c_name AS title, DATE '2024-01-01' + (c_custkey % 300)::INTEGER AS contract_date, c_acctbal AS contract_size_usd,

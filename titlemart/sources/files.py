@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,12 +71,24 @@ def manifest_summary(manifest: DataFrame) -> DataFrame:
 
 
 def write_report(parts: dict[str, DataFrame], path: str) -> None:
-    """Small tables as the fields of one JSON document."""
-    doc = None
-    for name, df in parts.items():
-        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-        doc = one if doc is None else doc.join(one)
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    """Tables as the fields of one JSON document, each row a line of it, in the order of their JSON.
+
+    One document is one file, so its lines pass through one task, sorted with spill; no table is ever held as one value.
+    """
+    rows = [df.select(F.lit(k).alias("part"), F.lit(1).alias("kind"), F.to_json(F.struct(*df.columns)).alias("line")) for k, df in enumerate(parts.values())]
+    names = list(parts)
+    edges = [(k, 0, f"{',' if k else '{'}{json.dumps(name)}:[") for k, name in enumerate(names)] + [(k, 2, "]") for k in range(len(names))] + [(len(names), 0, "}")]
+    spark = rows[0].sparkSession
+    lines = reduce(DataFrame.union, rows, spark.createDataFrame(edges, "part int, kind int, line string"))
+    after_row = F.lag("kind").over(W.orderBy("part", "kind", "line")) == 1
+    told = lines.select(F.concat(F.when((F.col("kind") == 1) & after_row, ",").otherwise(""), "line").alias("value"))
+    told.write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A report's document as one row."""
+    reader = spark.read.option("multiLine", "true")
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
