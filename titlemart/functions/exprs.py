@@ -65,9 +65,14 @@ def normalize_author(c: Column | str) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """A capital after every character that is no letter."""
+    """A capital after every character that is no letter; one letter for one, so a sharp s has its own capital."""
     runs = F.regexp_extract_all(_col(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
+
+    def cased(r: Column) -> Column:
+        first = F.translate(F.substring(r, 1, 1), "ß", "ẞ")
+        return F.concat(F.when(F.char_length(F.upper(first)) == 1, F.upper(first)).otherwise(first), F.lower(r.substr(F.lit(2), F.char_length(r))))
+
+    return F.array_join(F.transform(runs, cased), "")
 
 
 def genre_key(c: Column | str) -> Column:
