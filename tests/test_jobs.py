@@ -85,6 +85,23 @@ def test_long_series_count_and_select_what_pairs_give(spark, monkeypatch):
     assert stats.mann_kendall_long(gaps.limit(0), ["g"]).count() == 0
 
 
+def test_long_series_meet_by_blocks_and_bins(spark, monkeypatch):
+    """Many blocks and bins, wide gaps between numbers, several rounds: what all pairs give, of rows that a count does not multiply by levels of bits."""
+    import random
+
+    dice = random.Random(5)
+    for name, few in (("LEAST", 16), ("ROWS", 64), ("MOST", 400), ("FEW", 8)):
+        monkeypatch.setattr(longseries, name, few)
+    values = {"gaps": {k * k: float(dice.randrange(-9, 60)) for k in range(260)}, "near": {k: float(dice.randrange(10**5) + 40 * k) for k in range(300)}}
+    df = spark.createDataFrame([(g, i, y) for g, vs in values.items() for i, y in vs.items()], "g string, i int, y double")
+    sizes, rows, total = longseries.dealt(df)
+    assert rows.count() == total == 560 and rows.select("id", "block").distinct().count() == 17 + 19
+    for r in stats.mann_kendall_long(df, ["g"]).collect():
+        at = list(values[r.g].items())
+        slopes = [(z - y) / (j - i) for n, (j, z) in enumerate(at) for i, y in at[:n]]
+        assert (r.s, r.slope) == (sum((x > 0) - (x < 0) for x in slopes), statistics.median(slopes)), r.g
+
+
 def test_long_series_plan_has_no_pairs_of_a_group(spark):
     """Rows meet by block and place, never by group alone with a condition on order."""
     df = spark.range(50).select(F.lit("g").alias("g"), F.col("id").cast("int").alias("i"), F.rand(1).alias("y"))

@@ -10,10 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import volatility_band
-from ..functions.lineage import cut
 from ..functions.pvalues import normal_two_sided, student_two_sided
 from .daily import cv, genre_concentration, genre_daily
-from .longseries import kendall_s, median_slope
+from .longseries import dealt, kendall_s, median_slope
 
 
 def indexed(df: DataFrame, keys: list[str], by: str, value: str) -> DataFrame:
@@ -40,10 +39,9 @@ def mann_kendall(series: DataFrame, keys: list[str], *, alpha: float = 0.05) ->
 def mann_kendall_long(series: DataFrame, keys: list[str], *, alpha: float = 0.05) -> DataFrame:
     """``mann_kendall`` of series of any length: S by counting, the slope by selection, no pairs of a group.  Null and NaN values take no part in pairs; null keys are a group."""
     group = F.struct(*keys).alias("g")
-    told = series.filter(F.col("y").isNotNull() & ~F.isnan("y")).select(group, F.col("i").cast("bigint").alias("i"), "y")
-    rows = cut(told.join(told.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g"))
+    told = dealt(series.filter(F.col("y").isNotNull() & ~F.isnan("y")).select(group, "i", "y"))
     n = series.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    joined = n.join(kendall_s(rows), "g", "left").join(median_slope(rows), "g", "left")
+    joined = n.join(kendall_s(*told), "g", "left").join(median_slope(*told), "g", "left")
     return _judged(joined.select("g.*", "n", "s", "slope"), keys, alpha)
 
 
