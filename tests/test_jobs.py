@@ -396,3 +396,37 @@ def test_detail_pages_are_made_in_many_tasks(spark, sf_dir):
     assert made.rdd.getNumPartitions() == 4
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Scan ExistingRDD" in plan and "FileScan" not in plan
+
+
+def test_sightings_are_shuffled_once_without_what_their_titles_share(spark, sf_dir):
+    """Lines are dealt by their title's number and aggregated where they lie; texts of titles come to one row a title."""
+    from titlemart.operators import score
+    from titlemart.sources import views
+
+    seen, titles = views.sightings(spark, sf_dir), views.titles(spark, sf_dir)
+    for df in (score.title_universe(seen, titles=titles), score.latest_sighting(seen, titles)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and plan.count("l_quantity") > 0
+        assert "Exchange hashpartitioning(comic_id" not in plan and "Exchange hashpartitioning(title_no" not in plan.replace("Exchange hashpartitioning(title_no#", "", 1)
+
+
+def test_sightings_and_titles_give_the_universe_of_observations(spark, sf_dir, tmp_path):
+    """Also where parts repeat, share a number, or have no brand, and lines have no part or supplier."""
+    from titlemart.operators import score
+    from titlemart.operators.keys import latest_row
+    from titlemart.schema import order_of
+    from titlemart.sources import views
+
+    lines, parts, suppliers = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "part", "supplier"))
+    some = lines.filter("l_partkey < 9")
+    some.union(some.limit(9).withColumn("l_partkey", F.lit(None).cast("long"))).union(some.limit(5).withColumn("l_suppkey", F.lit(-1).cast("long"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    kept = parts.filter("p_partkey < 7")
+    kept.union(kept.filter("p_partkey < 3")).union(kept.withColumn("p_brand", F.lit("Brand#99"))).union(kept.withColumn("p_brand", F.lit(None).cast("string"))).write.parquet(f"{tmp_path}/part.parquet")
+    d = str(tmp_path)
+    seen, titles, obs = views.sightings(spark, d), views.titles(spark, d), views.obs(spark, d)
+    told = lambda df: sorted((tuple(r[c] for c in sorted(r.asDict())) for r in df.collect()), key=str)
+    for history in (False, True):
+        got = told(score.title_universe(seen, history=history, titles=titles))
+        assert got == told(score.title_universe(obs, history=history)) and len(got) == 21
+    assert told(score.latest_sighting(seen, titles)) == told(latest_row(obs, ["comic_id"], order_of()))

@@ -114,7 +114,11 @@ def examples(titles: DataFrame, k: int = 8) -> DataFrame:
 
 
 def coverage_by_source(obs: DataFrame) -> DataFrame:
-    now = latest_row(obs.drop("tags"), ["comic_id"], order_of())
+    return coverage_of(latest_row(obs.drop("tags"), ["comic_id"], order_of()))
+
+
+def coverage_of(now: DataFrame) -> DataFrame:
+    """By platform: titles, and percent of them with each attribute, of latest observations, one a title."""
     pct = lambda c: F.round(F.count(c) / F.count(F.lit(1)) * 100, 1).alias(f"{c}_pct")
     told = [c for c in ("author", "genre", "publisher", "synopsis") if c in now.columns]
     return now.groupBy("source").agg(F.count(F.lit(1)).alias("titles"), *(pct(c) for c in told))
