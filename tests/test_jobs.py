@@ -102,6 +102,15 @@ def test_long_series_meet_by_blocks_and_bins(spark, monkeypatch):
         assert (r.s, r.slope) == (sum((x > 0) - (x < 0) for x in slopes), statistics.median(slopes)), r.g
 
 
+def test_long_series_variance_of_millions_of_points(spark):
+    """The variance of S passes the range of a long; points without a value count but make no pairs, so the test stays small."""
+    n = 2_000_000
+    df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("i"), F.when(F.col("id") < 5, F.col("id")).cast("double").alias("y"))
+    r = stats.mann_kendall_long(df, ["g"]).first()
+    var = n * (n - 1) * (2 * n + 5) / 18
+    assert var * 18 > 2**63 and (r.n, r.s, r.slope, r.status) == (n, 10, 1, "Stable") and r.z == pytest.approx(9 / var**0.5, rel=1e-12)
+
+
 def test_long_series_plan_has_no_pairs_of_a_group(spark):
     """Rows meet by block and place, never by group alone with a condition on order."""
     df = spark.range(50).select(F.lit("g").alias("g"), F.col("id").cast("int").alias("i"), F.rand(1).alias("y"))

@@ -47,7 +47,9 @@ def mann_kendall_long(series: DataFrame, keys: list[str], *, alpha: float = 0.05
 
 def _judged(counted: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """Of (keys, n, s, slope): with z, p and status."""
-    var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18
+    # In doubles: whole numbers of this size leave a long's range from 1.7 million points on.
+    n = F.col("n").cast("double")
+    var = n * (n - 1) * (2 * n + 5) / 18
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt(var)).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt(var)).otherwise(0.0)
     enough = F.col("n") >= 4
     out = counted.select(
