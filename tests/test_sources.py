@@ -259,3 +259,29 @@ def test_queries_of_pages_with_repeated_addresses(spark, sf_dir, tmp_path):
         got = entry.queries()[name](spark, str(tmp_path)).drop(*loose)
         told = con.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})")
         assert rows(got.columns, got.collect()) == rows(told.columns, told.fetchall()), name
+
+
+def test_listing_ranks_are_an_order_that_the_sql_allows(spark, sf_dir, tmp_path):
+    """Titles of two snapshots at one place have no order in the SQL: our ranks are those of the SQL with that order closed, and all else is equal as it stands."""
+    import duckdb
+    from test_entry import rows
+
+    import __spark_entry__ as entry
+
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("length(html) >= 1000")
+    # Of another platform and kind, and of the same ones with other titles at the same places.
+    as_moved = {"html": F.replace("html", F.lit('href="/'), F.lit('href="/x'))}
+    moved = [p.withColumns({"page_id": F.col("page_id") + k} | as_moved) for k in (1001, 1005)]
+    p.unionByName(moved[0]).unionByName(moved[1]).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    sql, end = entry.oracle_sql()["c3_anchor_listing"], "OVER (PARTITION BY path ORDER BY pos{})"
+    assert sql.count(end.format("")) == 1
+    got = entry.queries()["c3_anchor_listing"](spark, str(tmp_path))
+
+    def told(more):
+        return rows(got.columns, con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql.replace(end.format(''), end.format(more))})").fetchall())
+
+    ours = rows(got.columns, got.collect())
+    assert ours == told(", source, kind, native_id")
+    assert ours != told(", source DESC, kind, native_id") and ours != told(", source, kind, native_id DESC")
